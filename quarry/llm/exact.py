@@ -14,7 +14,7 @@ HOT_SHARE = 4
 def groups(docs: DataFrame, keep: str = "largest", partitions: int | None = None) -> DataFrame:
     """One row per document with the document of its group of equal texts that stays.
 
-    Rows are range-partitioned by their text (Spark samples the splitters) and sorted, so equal texts stand side by
+    Rows are range-partitioned by their text's beginning and hash (Spark samples the splitters) and sorted, so equal texts stand side by
     side and are compared in full. Texts with very many copies, found by a count of text hashes, are dealt to several
     partitions by a salt, and their parts' results are combined by SHA-256.
 
@@ -33,10 +33,12 @@ def groups(docs: DataFrame, keep: str = "largest", partitions: int | None = None
         F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("copies") / share))).cast("int").alias("salt"),
     )
     order = F.desc_nulls_last("doc_id") if keep == "largest" else F.asc_nulls_last("doc_id")
-    equal = Window.partitionBy("text", "salt").orderBy(order, "hot")
+    # The splitters that Spark samples are beginnings and hashes of texts, not whole texts.
+    begin = [F.substring("text", 1, 32).alias("begin"), F.xxhash64("text").alias("key")]
+    equal = Window.partitionBy("begin", "key", "salt", "text").orderBy(order, "hot")
     every = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = materialise(
-        salted.repartitionByRange(parts, "text", "salt").select(
+        salted.select("*", *begin).repartitionByRange(parts, "begin", "key", "salt").select(
             "doc_id", "hot", "salt", F.row_number().over(equal).alias("place"), F.first("doc_id").over(every).alias("part_keep"),
             F.count("*").over(every).alias("part_size"), F.sha2("text", 256).alias("text_sha256"),
         ),

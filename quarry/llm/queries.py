@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import exact, packing, token_files
+from quarry.llm import exact, jaccard, packing, suffix, token_files
 from quarry.llm.common import read, scratch
 
 
@@ -32,16 +33,29 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_parquet(spark, path)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near duplicates: word 5-grams, similarity 0.8 or more."""
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.999)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with identical texts; the largest doc_id stays."""
     return exact.groups(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeated 400-byte strings cover."""
+    kept = suffix.remove_repeats(read(spark, sf_dir, "documents"), length=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_files": op5_token_files,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL = {
