@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact, jaccard, packing, suffix, token_files
+from quarry.llm import exact, jaccard, packing, quality, suffix, token_files
 from quarry.llm.common import read, scratch
 
 
@@ -16,6 +16,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document by a model of trusted text, against its language's threshold."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_key")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat files by their end identifiers."""
     return token_files.token_counts(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 49407)
@@ -50,6 +55,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_files": op5_token_files,
