@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact, jaccard, packing, quality, suffix, token_files
+from quarry.llm import exact, jaccard, packing, pieces, quality, suffix, tiff, token_files, warc
 from quarry.llm.common import read, scratch
 
 
@@ -21,6 +21,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_key")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by a SentencePiece model, and the text they decode to."""
+    return pieces.encode_decode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat files by their end identifiers."""
     return token_files.token_counts(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 49407)
@@ -43,11 +48,21 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.999)
 
 
+def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as TIFF and read back."""
+    return tiff.media_digests(read(spark, sf_dir, "documents"), width=576)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with identical texts; the largest doc_id stays."""
     return exact.groups(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back through a two-level index."""
+    return warc.archive(spark, read(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes that repeated 400-byte strings cover."""
     kept = suffix.remove_repeats(read(spark, sf_dir, "documents"), length=400)
@@ -56,11 +71,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_files": op5_token_files,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_tiff_media": op7_tiff_media,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 

@@ -101,7 +101,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
         store, place = _open(file)
         store.create_dir(place.rpartition("/")[0], recursive=True)
         done = 0
-        with store.open_output_stream(place) as out:
+        with store.open_output_stream(place, compression=None) as out:
             for batch in batches:
                 texts = strings(batch, "text")
                 ids, counts = encoder.encode(texts)
