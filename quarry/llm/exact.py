@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialise, text_of
@@ -11,7 +11,32 @@ from quarry.llm.common import materialise, text_of
 HOT_SHARE = 4
 
 
-def groups(docs: DataFrame, keep: str = "largest", partitions: int | None = None) -> DataFrame:
+def _salted(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows with the columns text, begin, key, hot and salt beside a struct ``row`` of all their own."""
+    rows = docs.select(F.struct("*").alias("row"), text_of().alias("text"))
+    counted = rows.groupBy(F.xxhash64("text").alias("hot_key")).agg(F.count("*").alias("copies"))
+    share = max(docs.count() // (HOT_SHARE * parts), 50)
+    # At most HOT_SHARE * parts keys have more than total / (HOT_SHARE * parts) rows: safe to broadcast.
+    hot = F.broadcast(counted.where(F.col("copies") > share))
+    salt = F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("copies") / share)))
+    joined = rows.join(hot, F.xxhash64("text") == F.col("hot_key"), "left")
+    return joined.select("row", "text", F.substring("text", 1, 32).alias("begin"), F.xxhash64("text").alias("key"), F.col("copies").isNotNull().alias("hot"), salt.cast("int").alias("salt"))
+
+
+def _partitions(docs: DataFrame) -> int:
+    spark = docs.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _order(keep: str) -> Column:
+    return F.desc_nulls_last("doc_id") if keep == "largest" else F.asc_nulls_last("doc_id")
+
+
+#: Equal texts. The splitters that Spark samples are beginnings and hashes, not whole texts; texts are compared in full.
+EQUAL = Window.partitionBy("begin", "key", "salt", "text")
+
+
+def groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """One row per document with the document of its group of equal texts that stays.
 
     Rows are range-partitioned by their text's beginning and hash (Spark samples the splitters) and sorted, so equal texts stand side by
@@ -21,24 +46,12 @@ def groups(docs: DataFrame, keep: str = "largest", partitions: int | None = None
     Null texts count as empty. Null ids never stay while another is there; a group of null ids only has a null keep_id.
     Repeated rows count each in group_size, and one of equal ids is kept. Other columns are left out.
     """
-    spark = docs.sparkSession
-    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    counted = rows.groupBy(F.xxhash64("text").alias("hot_key")).agg(F.count("*").alias("copies"))
-    share = max(docs.count() // (HOT_SHARE * parts), 50)
-    # At most HOT_SHARE * parts keys have more than total / (HOT_SHARE * parts) rows: safe to broadcast.
-    hot = F.broadcast(counted.where(F.col("copies") > share))
-    salted = rows.join(hot, F.xxhash64("text") == F.col("hot_key"), "left").select(
-        "doc_id", "text", F.col("copies").isNotNull().alias("hot"),
-        F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("copies") / share))).cast("int").alias("salt"),
-    )
-    order = F.desc_nulls_last("doc_id") if keep == "largest" else F.asc_nulls_last("doc_id")
-    # The splitters that Spark samples are beginnings and hashes of texts, not whole texts.
-    begin = [F.substring("text", 1, 32).alias("begin"), F.xxhash64("text").alias("key")]
-    equal = Window.partitionBy("begin", "key", "salt", "text").orderBy(order, "hot")
+    parts = _partitions(docs)
+    equal = EQUAL.orderBy(_order(keep), "hot")
     every = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    salted = _salted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts).withColumn("doc_id", F.col("row.doc_id")).drop("row")
     local = materialise(
-        salted.select("*", *begin).repartitionByRange(parts, "begin", "key", "salt").select(
+        salted.repartitionByRange(parts, "begin", "key", "salt").select(
             "doc_id", "hot", "salt", F.row_number().over(equal).alias("place"), F.first("doc_id").over(every).alias("part_keep"),
             F.count("*").over(every).alias("part_size"), F.sha2("text", 256).alias("text_sha256"),
         ),
@@ -58,3 +71,18 @@ def groups(docs: DataFrame, keep: str = "largest", partitions: int | None = None
         ((F.col("place") == 1) & (~F.col("hot") | (F.col("salt") == F.col("hot_salt")))).alias("kept"),
         "text_sha256",
     )
+
+
+def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """The rows of ``docs``, all columns and one of each group of equal texts: that of the largest or smallest doc_id.
+
+    Sorted and split like ``groups``; the winners of a hot text's parts, a few rows, are compared once more. Nulls and
+    repeated rows as there.
+    """
+    parts = _partitions(docs)
+    salted = _salted(docs, parts).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    placed = salted.repartitionByRange(parts, "begin", "key", "salt").withColumn("place", F.row_number().over(EQUAL.orderBy(_order(keep), "hot")))
+    winners = materialise(placed.where("place = 1").drop("place", "begin", "salt"), "exact")
+    last = Window.partitionBy("key", "text").orderBy(_order(keep))
+    hot = winners.where("hot").withColumn("place", F.row_number().over(last)).where("place = 1")
+    return winners.where("not hot").select("row.*").unionByName(hot.select("row.*"))

@@ -180,7 +180,7 @@ def _verify(n: int, threshold: float):
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One row per document: class_id, its number of links and the size of its class.
+    """One row per document: doc_id, text_key, class_id, its number of links and the size of its class.
 
     Two documents are linked when the Jaccard similarity of their sets of word ``n``-grams is ``threshold`` or more;
     a class is what links connect, named by its least doc_id; n_links counts all documents linked to this one.
@@ -224,4 +224,4 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     tied = tied.select("seq1", "seq2", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = tied.join(classes, "root").select("seq1", "seq2", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "seq1", "seq2").join(named, ["seq1", "seq2"]).select("doc_id", "class_id", "n_links", "class_size")
+    return signed.select("doc_id", "text_key", "seq1", "seq2").join(named, ["seq1", "seq2"]).select("doc_id", "text_key", "class_id", "n_links", "class_size")

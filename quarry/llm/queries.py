@@ -45,7 +45,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near duplicates: word 5-grams, similarity 0.8 or more."""
-    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.999)
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.999).drop("text_key")
 
 
 def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +65,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes that repeated 400-byte strings cover."""
-    kept = suffix.remove_repeats(read(spark, sf_dir, "documents"), length=400)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return kept.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {

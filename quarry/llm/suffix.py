@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialise, ranges, slices, strings, text_key, text_of, utf8
@@ -268,8 +268,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merge(pa.Table.from_batches(held))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
@@ -344,10 +344,11 @@ def kept_parts(size: int, spans: list[tuple[int, int]]) -> tuple[list[tuple[int,
 def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """Every document without the bytes that a repeated string of ``length`` bytes covers.
 
-    doc_id, text_key, kept (the remaining bytes), n_bytes, n_removed and n_spans, the number of maximal removed runs.
+    row (a struct of the document's own columns without its text), kept (the remaining bytes), text (these without the
+    pieces of characters that a cut may leave), n_bytes, n_removed and n_spans, the number of maximal removed runs.
     Strings repeat within a document or across, overlaps count, and all is judged on the input. Null texts count as
     empty; texts shorter than ``length`` stay whole; repeated rows are documents, so all their long strings repeat; null
-    ids stay null; other columns are left out.
+    ids stay null.
     """
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,11 +362,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
                 removed.append(b - a - len(kept[-1]))
                 runs.append(count)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-                names=["doc_id", "text_key", "kept", "n_bytes", "n_removed", "n_spans"],
+                [batch.column("row"), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+                names=["row", "kept", "text", "n_bytes", "n_removed", "n_spans"],
             )
 
     spans = repeated_spans(docs, length, hot).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
-    joined = _keyed(docs).alias("t").join(spans.alias("w"), same, "left").select("t.doc_id", "t.text_key", "text", "spans")
-    return joined.mapInArrow(remove, "doc_id long, text_key long, kept binary, n_bytes long, n_removed long, n_spans long")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    joined = _keyed(docs, row).alias("t").join(spans.alias("w"), same, "left").select("t.row", "text", "spans")
+    return joined.mapInArrow(remove, f"row {joined.schema['row'].dataType.simpleString()}, kept binary, text string, n_bytes long, n_removed long, n_spans long")
