@@ -1,4 +1,6 @@
 """All queries of the engine and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quarry.plans import search
+
+QUERIES = {**search.QUERIES}
+ORACLE_SQL = {**search.ORACLE_SQL}
