@@ -30,12 +30,12 @@ STYLES = {"factual": "concise", "list": "detailed", "aggregation": "detailed", "
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null without a match or if the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The group of the first match, null without a match. One evaluation, so expressions built of it stay small."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), group), 0)
 
 
-def audit_year(title: Column) -> Column:
-    """Audit year of a title: 'YYYY-YY' from a range or the year that ended in March, else a single year, else ''."""
+def year_of_title(title: Column) -> Column:
+    """'YYYY-YY' from a range or the year that ended in March, else a single year, else null."""
     start, end = _first(title, r"(\d{4})-(\d{2,4})", 1), _first(title, r"(\d{4})-(\d{2,4})", 2)
     march = _first(title, r"(?i)(?:year|period)\s+ended\s+March\s+(\d{4})")
     return F.coalesce(
@@ -43,16 +43,25 @@ def audit_year(title: Column) -> Column:
         F.concat((march.cast("int") - 1).cast("string"), F.lit("-"), F.right(march, F.lit(2))),
         _first(F.lower(title), r"year\s+(\d{4})"),
         _first(F.lower(title), r"period\s+(\d{4})"),
-        F.lit(""),
     )
 
 
-def audit_year_of_filename(filename: Column) -> Column:
-    """'YYYY-YY' where the first six digits before '_', '.pdf' or the end are consecutive years, else ''."""
+def audit_year(title: Column) -> Column:
+    """Audit year of a title, '' if it has none."""
+    return F.coalesce(year_of_title(title), F.lit(""))
+
+
+def year_of_filename(filename: Column) -> Column:
+    """'YYYY-YY' where the first six digits before '_', '.pdf' or the end are consecutive years, else null."""
     pattern = r"(\d{4})(\d{2})(?:_|\.pdf|$)"
     start, end = _first(filename, pattern, 1), _first(filename, pattern, 2)
     follows = (end.cast("int") == F.right(start, F.lit(2)).cast("int") + 1) | ((end == "00") & start.endswith("99"))
-    return F.coalesce(F.when(follows, F.concat(start, F.lit("-"), end)), F.lit(""))
+    return F.when(follows, F.concat(start, F.lit("-"), end))
+
+
+def audit_year_of_filename(filename: Column) -> Column:
+    """Audit year of a file name, '' if it has none."""
+    return F.coalesce(year_of_filename(filename), F.lit(""))
 
 
 def report_year(report_no: Column) -> Column:
@@ -143,7 +152,7 @@ CITATION_STEPS = [(r"^\[|\]$", ""), (r"\s+", " "), (r"\s*,\s*", ","), (r"\b(page
 
 def citations_in(text: Column) -> Column:
     """Inner texts of the citations of an answer, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(CITATION), 1), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(CITATION), 1), lambda x: F.trim(x))
 
 
 def citation_key(citation: Column) -> Column:

@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL, by name."""
 
-from quarry.plans import search
+from quarry.plans import listing, search
 
-QUERIES = {**search.QUERIES}
-ORACLE_SQL = {**search.ORACLE_SQL}
+QUERIES = {**search.QUERIES, **listing.QUERIES}
+ORACLE_SQL = {**search.ORACLE_SQL, **listing.ORACLE_SQL}
