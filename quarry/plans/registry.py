@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL, by name."""
 
-from quarry.plans import assets, listing, search
+from quarry.plans import assets, listing, quality, search
 
-QUERIES = {**search.QUERIES, **listing.QUERIES, **assets.QUERIES}
-ORACLE_SQL = {**search.ORACLE_SQL, **listing.ORACLE_SQL, **assets.ORACLE_SQL}
+QUERIES = {**search.QUERIES, **listing.QUERIES, **assets.QUERIES, **quality.QUERIES}
+ORACLE_SQL = {**search.ORACLE_SQL, **listing.ORACLE_SQL, **assets.ORACLE_SQL, **quality.ORACLE_SQL}
