@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; bounds the memory of a task whatever the batch holds.
 SLICE_BYTES = 1 << 20
+#: Most rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +22,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that passes at most BATCH_ROWS rows or BATCH_BYTES at once between Spark and Python.
+
+    Texts may be long, and a batch is held on both sides.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name in the shared folder of ``spark.checkpoint.dir``.
 

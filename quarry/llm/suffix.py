@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, ranges, slices, strings, text_key, text_of, utf8
+from quarry.llm.common import materialise, ranges, slices, small_batches, strings, text_key, text_of, utf8
 from quarry.llm.jaccard import ODD, mix
 
 GRAM = 64
@@ -186,37 +186,58 @@ def window_digests(b: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
 
 
 SPANS = "doc_id long, text_key long, a long, b long"
-SETTLED = SPANS + ", hot boolean, f long, bucket int, shard int, d1 long, d2 long, single boolean"
+RUNS = "f long, bucket int, shard int, d1 array<long>, d2 array<long>, single array<boolean>, ids array<long>, keys array<long>, places array<long>"
+SETTLED = SPANS + ", " + RUNS
+_LISTS = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _settle(length: int):
     """Suffix arrays over cells that stream in by minimum and shard: the repeated spans of cells that no other equals.
 
-    Where a minimum's cells are in several shards, every kind of window is also given by its digest, for the merge.
+    Where a minimum's cells are in several shards, each shard also gives its kinds of windows, in sorted runs of digests.
     """
 
     def settle_rows(rows: list[dict]) -> pa.RecordBatch:
         sizes = np.array([len(r["bytes"]) for r in rows])
         at = np.cumsum(sizes) - sizes
         b = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+        starts = np.array([r["n"] for r in rows])
         need = np.zeros(len(b), bool)
-        need[ranges(at, np.array([r["n"] for r in rows]))] = True
+        need[ranges(at, starts)] = True
         again, number = repeated_starts(b, need, length)
         out: list[tuple] = []
         for r, i in zip(rows, at.tolist(), strict=True):
             if r["copies"] == 1:
                 for x, y in zip(*runs_of(again[i : i + r["n"]]), strict=True):
-                    out.append((r["doc_id"], r["text_key"], r["s"] + int(x), r["s"] + int(y) - 1 + length, False, r["f"], 0, 0, 0, 0, False))
-            if r["shards"] > 1:  # one start of each kind of window
-                own = np.arange(i, i + r["n"])
-                own = own[np.unique(number[own], return_index=True)[1]]
-                for start, (d1, d2) in zip(own.tolist(), window_digests(b, own, length).view(np.int64).tolist(), strict=True):
-                    place = r["s"] + start - i
-                    out.append((r["doc_id"], r["text_key"], place, place + length, True, r["f"], d2 % r["buckets"], r["shard"], d1, d2, r["copies"] == 1 and not again[start]))
-        names = [c.split()[0] for c in SETTLED.split(", ")]
-        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-        columns = list(zip(*out, strict=True)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                    out.append((r["doc_id"], r["text_key"], r["s"] + int(x), r["s"] + int(y) - 1 + length, *[None] * 9))
+        shards: dict[tuple, list[int]] = {}
+        for k, r in enumerate(rows):
+            if r["shards"] > 1:
+                shards.setdefault((r["f"], r["shard"], r["buckets"]), []).append(k)
+        for (f, shard, buckets), own in shards.items():
+            place = ranges(at[own], starts[own])
+            cell = np.repeat(own, starts[own])
+            _, kind = np.unique(number[place], return_index=True)  # one start of each kind of window
+            place, cell = place[kind], cell[kind]
+            digest = window_digests(b, place, length).view(np.int64)
+            single = ~again[place] & (np.array([r["copies"] for r in rows])[cell] == 1)
+            order = np.lexsort((digest[:, 1], digest[:, 0], digest[:, 1] % buckets))
+            place, cell, digest, single = place[order], cell[order], digest[order], single[order]
+            bucket = digest[:, 1] % buckets
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                told = [(rows[c]["doc_id"], rows[c]["text_key"], rows[c]["s"] + p) for c, p in zip(cell[x:y].tolist(), (place[x:y] - at[cell[x:y]]).tolist(), strict=True)]
+                out.append((None, None, None, None, f, int(bucket[x]), shard, digest[x:y, 0], digest[x:y, 1], single[x:y], *map(list, zip(*told, strict=True))))
+        return _batch(out, _names(SETTLED), [pa.int64()] * 5 + [pa.int32()] * 2 + _LISTS)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -235,41 +256,44 @@ def _settle(length: int):
     return settle
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of one shard that another shard of the same minimum has too, found by binary search in its sorted digests."""
-
-    def merge(table: pa.Table) -> pa.RecordBatch:
-        d = np.stack((table["d1"].to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8), table["d2"].to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)), axis=1).reshape(-1, 16)
-        whole = np.ascontiguousarray(d).view("S16").ravel() if len(d) else np.zeros(0, "S16")
-        shard, single = table["shard"].to_numpy(), table["single"].to_numpy()
-        found = np.zeros(len(whole), bool)
-        runs = {k: np.sort(whole[shard == k]) for k in np.unique(shard)}
-        todo = np.flatnonzero(single)
-        for k, run in runs.items():
-            mine = todo[shard[todo] != k]
-            at = np.minimum(np.searchsorted(run, whole[mine]), len(run) - 1)
-            found[mine[run[at] == whole[mine]]] = True
-        return pa.RecordBatch.from_arrays([table[c].combine_chunks() for c in ("doc_id", "text_key", "a", "b")], names=["doc_id", "text_key", "a", "b"]).filter(pa.array(found))
-
-    held: list[pa.RecordBatch] = []
-    key = None
-    for batch in batches:
-        keys = np.stack([batch.column("f").to_numpy(), batch.column("bucket").to_numpy()], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            if key is not None and tuple(keys[a]) != key:
-                yield merge(pa.Table.from_batches(held))
-                held = []
-            key = tuple(keys[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield merge(pa.Table.from_batches(held))
+def _merge(length: int):
+    """Windows of one shard that another shard of the same minimum has too, found by binary search in its sorted run."""
+
+    def joined(run: dict) -> np.ndarray:
+        out = np.empty(len(run["d1"]), "i8,i8")
+        out["f0"], out["f1"] = run["d1"], run["d2"]
+        return out
+
+    def merge_runs(runs: list[dict]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        digests = [joined(r) for r in runs]
+        ordered = [np.sort(d, order=("f0", "f1")) for d in digests]
+        for k, run in enumerate(runs):
+            todo = np.flatnonzero(np.array(run["single"], bool))
+            found = np.zeros(len(todo), bool)
+            for j, other in enumerate(ordered):
+                if runs[j]["shard"] != run["shard"]:
+                    at = np.minimum(np.searchsorted(other, digests[k][todo]), len(other) - 1)
+                    found |= other[at] == digests[k][todo]
+            out += [(run["ids"][i], run["keys"][i], run["places"][i], run["places"][i] + length) for i in todo[found].tolist()]
+        return _batch(out, _names(SPANS), [pa.int64()] * 4)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (held[-1]["f"], held[-1]["bucket"]) != (row["f"], row["bucket"]):
+                    yield merge_runs(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield merge_runs(held)
+
+    return merge
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
+    return small_batches(docs).select(*more, F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
@@ -322,9 +346,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     sources = texts.join(wanted.alias("w"), same).select("t.doc_id", "t.text_key", "text", "cells")
     bytes_of = sources.mapInArrow(cut, "f long, shard int, shards int, buckets int, copies long, s int, n int, doc_id long, text_key long, bytes binary")
     settled = materialise(bytes_of.repartition("f", "shard").sortWithinPartitions("f", "shard").mapInArrow(_settle(length), SETTLED), "settled")
-    merged = settled.where("hot").select("doc_id", "text_key", "a", "b", "f", "bucket", "shard", "d1", "d2", "single").repartition("f", "bucket").sortWithinPartitions("f", "bucket").mapInArrow(_merge, SPANS)
+    merged = settled.where("f is not null").select(*_names(RUNS)).repartition("f", "bucket").sortWithinPartitions("f", "bucket", "shard").mapInArrow(_merge(length), SPANS)
     copied = found.join(kinds.where("copies > 1").select("f", "ch"), ["f", "ch"]).select("doc_id", "text_key", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") - 1 + length).cast("long").alias("b"))
-    return settled.where("not hot").select("doc_id", "text_key", "a", "b").unionByName(merged).unionByName(copied)
+    return settled.where("f is null").select("doc_id", "text_key", "a", "b").unionByName(merged).unionByName(copied)
 
 
 def kept_parts(size: int, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
