@@ -104,7 +104,12 @@ def match_kind(found: Column, value: Column, unit: Column, tolerance: float = 0.
 
     Without an amount of the same unit it is missing, even if the number is there with another one.
     """
-    same = F.filter(found, lambda a: a["unit"] == unit_of(unit))
+    return F.get(F.transform(F.array(found), lambda f: _match_kind(f, value, unit_of(unit), tolerance)), 0)
+
+
+def _match_kind(found: Column, value: Column, unit: Column, tolerance: float) -> Column:
+    """The same of amounts that are named, so that they are extracted once."""
+    same = F.filter(found, lambda a: a["unit"] == unit)
     exact = lambda a: F.abs(a["value"] - value) < 0.01
     close = lambda a: (value != 0) & (F.try_divide(F.abs(a["value"] - value), F.abs(value)) < tolerance)
     return F.when(F.size(same) == 0, "missing").when(F.exists(same, exact), "exact").when(F.exists(same, close) | F.exists(found, exact), "close").otherwise("wrong")

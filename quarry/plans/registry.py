@@ -1,6 +1,7 @@
 """All queries of the engine and their SQL, by name."""
 
-from quarry.plans import assets, listing, quality, search
+from quarry.plans import assets, batch, listing, quality, search
 
-QUERIES = {**search.QUERIES, **listing.QUERIES, **assets.QUERIES, **quality.QUERIES}
-ORACLE_SQL = {**search.ORACLE_SQL, **listing.ORACLE_SQL, **assets.ORACLE_SQL, **quality.ORACLE_SQL}
+_ALL = (search, listing, assets, quality, batch)
+QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _ALL for name, sql in module.ORACLE_SQL.items()}
