@@ -7,15 +7,18 @@ joins and aggregates of keys that Spark shards by hash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, slices, strings, text_key, text_of, utf8
+from quarry.llm.common import materialise, scratch, slices, small_batches, strings, text_key, text_of, utf8
 
 #: A text begins after ORDER - 1 of these bytes, which UTF-8 has not.
 START = 255
@@ -47,39 +50,14 @@ def _context_of(key: Column, order: int) -> Column:
     return F.shiftright(key, 8) - F.lit(1 << (8 * (order - 1)))
 
 
-def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
-    """key and count of all n-grams of the order in the texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-        for batch in batches:
-            data, offsets = utf8(strings(batch, "text"))
-            for a, b in slices(np.diff(offsets), 1 << 23):
-                own, n = np.unique(keys_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order), return_counts=True)
-                keys.append(own)
-                counts.append(n)
-                held += len(own)
-                if held > 1 << 22:
-                    own, place = np.unique(np.concatenate(keys), return_inverse=True)
-                    counts, keys, held = [np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)], [own], len(own)
-                    if held > 1 << 21:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], names=["key", "n"])
-                        keys, counts, held = [], [], 0
-        if held:
-            own, place = np.unique(np.concatenate(keys), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(place, weights=np.concatenate(counts)).astype(np.int64))], names=["key", "n"])
-
-    return docs.select(text_of().alias("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def train(trusted: DataFrame, order: int = 5) -> DataFrame:
-    """The model: for every n-gram the logarithm of its probability, and of its weight as a context.
+def train(counts: DataFrame, order: int = 5) -> DataFrame:
+    """The model from key and n of the highest order's n-grams: for every n-gram the logarithm of its probability, and of its weight as a context.
 
     The highest order has counts, lower ones the number of different bytes seen before them. Each order's three
     discounts follow from how many of its n-grams have count 1, 2, 3 and 4. The lowest order is interpolated with the
     same probability for each of the 256 bytes. No trusted text gives an empty model, by which all bytes are equal.
     """
-    levels = {order: materialise(count_ngrams(trusted, order), "counts")}
+    levels = {order: materialise(counts, "counts")}
     for k in range(order - 1, 0, -1):
         levels[k] = materialise(levels[k + 1].groupBy(_order_of(F.col("key"), k + 1).alias("key")).agg(F.count("*").alias("n")), "counts")
     lower = None
@@ -145,16 +123,18 @@ def score(keys: np.ndarray, known: np.ndarray, logp: np.ndarray, backoff: np.nda
     return out
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Documents gathered in compressed blocks: block, part and the columns of ``docs`` as one Arrow stream."""
+def gather(docs: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+    """Documents in blocks of bounded size: block, ids, and the documents' columns as a compressed Arrow stream.
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    The blocks are a table in the shared folder, bucketed by block, so that they meet what is joined to them without
+    being shuffled again.
+    """
 
-        press = zstandard.ZstdCompressor(level=1)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         block, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for a, b in slices(np.diff(utf8(strings(batch, "text"))[1]) + 16, 1 << 22):
+            for a, b in slices(np.diff(utf8(strings(batch, "text"))[1]) + 16, 1 << 21):
                 own = pa.Table.from_batches([batch.slice(a, b - a)])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema) as writer:
@@ -163,9 +143,35 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                 if size and size + len(raw) > block_bytes:
                     block, size = block + 1, 0
                 size += len(raw)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([press.compress(raw)], pa.binary())], names=["block", "docs"])
+                ids = pa.array([own["doc_id"].to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), ids, pa.array([press.compress(raw)], pa.binary())], names=["block", "ids", "docs"])
+
+    spark = docs.sparkSession
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
+    name, path = f"quarry_blocks_{uuid.uuid4().hex}", scratch(spark, "blocks")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.mapInArrow(fill, "block long, ids array<long>, docs binary").write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(parts, "block").saveAsTable(name)
+    return spark.table(name)
+
+
+def count_ngrams(blocks: DataFrame, good: DataFrame, order: int) -> DataFrame:
+    """key and n of all n-grams of the order in the blocks' documents that are among the good ids."""
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        trusted = right["doc_id"].combine_chunks()
+        for blob in left["docs"].to_pylist() if len(trusted) else []:
+            table = _table_of(blob)
+            table = table.filter(pc.is_in(table["doc_id"], trusted))
+            data, offsets = utf8(table["text"])
+            for a, b in slices(np.diff(offsets), 1 << 20):
+                own, n = np.unique(keys_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order), return_counts=True)
+                both, place = np.unique(np.concatenate((keys, own)), return_inverse=True)
+                keys, counts = both, np.bincount(place, weights=np.concatenate((counts, n))).astype(np.int64)
+        return pa.table({"key": keys, "n": counts})
 
-    return docs.mapInArrow(gather, "block long, docs binary")
+    trusted = blocks.select("block", F.explode("ids").alias("doc_id")).join(good, "doc_id", "left_semi").select(F.col("block").alias("of"), "doc_id").distinct()
+    return blocks.groupBy("block").cogroup(trusted.groupBy("of")).applyInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _table_of(blob: bytes) -> pa.Table:
@@ -173,11 +179,11 @@ def _table_of(blob: bytes) -> pa.Table:
         return reader.read_all()
 
 
-def perplexities(docs: DataFrame, model: DataFrame, order: int = 5, block_bytes: int = 48 << 20) -> DataFrame:
+def perplexities(blocks: DataFrame, model: DataFrame, order: int = 5) -> DataFrame:
     """doc_id, text_key, lang, n_bytes and log_ppl, the mean negative log probability of a byte (null for empty texts).
 
-    Documents are gathered in blocks of bounded size; a block's different n-grams are joined with the sharded model,
-    and what the join finds goes back to the block, where every byte of every document is scored.
+    A block's different n-grams are joined with the sharded model, and what the join finds goes back to the block, where
+    every byte of every document is scored.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +213,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = 5, block_bytes:
             table = _table_of(blob)
             data, offsets = utf8(table["text"])
             sums = np.zeros(table.num_rows)
-            for a, b in slices(np.diff(offsets), 1 << 21):
+            for a, b in slices(np.diff(offsets), 1 << 20):
                 keys = keys_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
                 kinds, place = np.unique(keys, return_inverse=True)
                 each = score(kinds, known, logp, weight, order)[place]
@@ -218,12 +224,9 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = 5, block_bytes:
             out.append(table.select(["doc_id", "text_key", "lang"]).append_column("n_bytes", pa.array(size)).append_column("log_ppl", mean))
         return pa.concat_tables(out)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    blocks = _blocks(rows, block_bytes).repartition(parts, "block")
-    wanted = blocks.mapInArrow(ask, "block long, key long")
-    answers = wanted.join(model, "key").select("block", "key", "logp", "backoff")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, "doc_id long, text_key long, lang string, n_bytes long, log_ppl double")
+    wanted = blocks.select("block", "docs").mapInArrow(ask, "block long, key long")
+    answers = wanted.join(model, "key").select(F.col("block").alias("of"), "key", "logp", "backoff")
+    return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(rate, "doc_id long, text_key long, lang string, n_bytes long, log_ppl double")
 
 
 def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
@@ -249,9 +252,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
     are scored each; of repeated labels one good one suffices. Other columns are left out.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left_semi")
-    model = materialise(train(trusted, order), "model")
-    scored = materialise(perplexities(docs, model, order), "scored")
+    blocks = gather(docs)
+    model = materialise(train(count_ngrams(blocks, good, order), order), "model")
+    scored = materialise(perplexities(blocks, model, order), "scored")
     limits = thresholds(scored.join(good, "doc_id", "left_semi"), quantile, margin)
     # one row per language
     most = limits.agg(F.max("threshold").alias("most"))
