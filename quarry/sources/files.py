@@ -37,7 +37,7 @@ def read_reports_or(spark: SparkSession, folder: str, first: str = "*_enriched.j
 
 def failed_files(files: DataFrame) -> DataFrame:
     """Files that could not be parsed."""
-    return files.where(F.col("_corrupt_record").isNotNull()).select("path", F.left("_corrupt_record", F.lit(200)).alias("begin"))
+    return files.where(F.col("_corrupt_record").isNotNull() & F.col("report_metadata").isNull()).select("path", F.left("_corrupt_record", F.lit(200)).alias("begin"))
 
 
 def levels(hierarchy: Column) -> Column:

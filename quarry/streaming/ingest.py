@@ -19,7 +19,7 @@ def requests_per_hour(events: DataFrame, client: str = "user_id", at: str = "ts"
 
 def stream_requests(spark: SparkSession, folder: str, schema: str, late: str = "10 minutes") -> DataFrame:
     """The same over events that arrive as files; hours close when the watermark has passed them."""
-    events = spark.readStream.schema(schema).parquet(folder).withWatermark("ts", late)
+    events = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return requests_per_hour(events)
 
 

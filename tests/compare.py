@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +19,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return ""
     if isinstance(value, (str, bool, list, np.bool_, np.ndarray)) or not hasattr(value, "__float__"):
         return str(value)

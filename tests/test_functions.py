@@ -37,7 +37,7 @@ def test_attention_places(spark, n, order):
 def test_special_tokens(spark):
     text = "Section 143 (3) and rule 86B; Form 26AS under Article 311. ₹847.71 crore, 5 lac, 2023-24, 12.5% by GST"
     got = one(spark, tokens.special_tokens(F.col("t")), t=text)
-    assert got == ["section_143_3", "rule_86b", "form_26as", "article_311", "money_crore", "money_lakh", "year_2023-24", "has_percentage", "acronym_AS" if False else "acronym_GST"] or set(got) >= {"section_143_3", "rule_86b", "form_26as", "article_311", "money_crore", "money_lakh", "year_2023-24", "has_percentage", "acronym_GST"}
+    assert got == ["section_143_3", "rule_86b", "form_26as", "article_311", "money_crore", "money_lakh", "year_2023-24", "has_percentage", "acronym_GST"]
 
 
 def test_query_tokens_differ(spark):
