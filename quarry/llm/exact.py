@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialise, text_of
@@ -32,8 +32,9 @@ def _order(keep: str) -> Column:
     return F.desc_nulls_last("doc_id") if keep == "largest" else F.asc_nulls_last("doc_id")
 
 
-#: Equal texts. The splitters that Spark samples are beginnings and hashes, not whole texts; texts are compared in full.
-EQUAL = Window.partitionBy("begin", "key", "salt", "text")
+def _equal() -> WindowSpec:
+    """Equal texts. The splitters that Spark samples are beginnings and hashes, not whole texts; texts are compared in full."""
+    return Window.partitionBy("begin", "key", "salt", "text")
 
 
 def groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -47,7 +48,7 @@ def groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
     Repeated rows count each in group_size, and one of equal ids is kept. Other columns are left out.
     """
     parts = _partitions(docs)
-    equal = EQUAL.orderBy(_order(keep), "hot")
+    equal = _equal().orderBy(_order(keep), "hot")
     every = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     salted = _salted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts).withColumn("doc_id", F.col("row.doc_id")).drop("row")
     local = materialise(
@@ -81,7 +82,7 @@ def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """
     parts = _partitions(docs)
     salted = _salted(docs, parts).withColumn("doc_id", F.col("row.doc_id").cast("long"))
-    placed = salted.repartitionByRange(parts, "begin", "key", "salt").withColumn("place", F.row_number().over(EQUAL.orderBy(_order(keep), "hot")))
+    placed = salted.repartitionByRange(parts, "begin", "key", "salt").withColumn("place", F.row_number().over(_equal().orderBy(_order(keep), "hot")))
     winners = materialise(placed.where("place = 1").drop("place", "begin", "salt"), "exact")
     last = Window.partitionBy("key", "text").orderBy(_order(keep))
     hot = winners.where("hot").withColumn("place", F.row_number().over(last)).where("place = 1")
