@@ -59,11 +59,11 @@ def groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
         "exact",
     )
     known = F.col("part_keep").isNotNull()
-    first = F.max(F.struct(known, "part_keep", -F.col("salt"))) if keep == "largest" else F.min(F.struct(~known, "part_keep", "salt"))
+    first = F.max(F.struct(known, "part_keep", (-F.col("salt")).alias("part"))) if keep == "largest" else F.min(F.struct(~known, "part_keep", F.col("salt").alias("part")))
     # One row per hot text: bounded like the hot keys.
     whole = local.where(F.col("hot") & (F.col("place") == 1)).groupBy(F.col("text_sha256").alias("hot_sha256")).agg(
         first.alias("first"), F.sum("part_size").alias("hot_size")
-    ).select("hot_sha256", "hot_size", F.col("first.part_keep").alias("hot_keep"), F.abs("first.col3").alias("hot_salt"))
+    ).select("hot_sha256", "hot_size", F.col("first.part_keep").alias("hot_keep"), F.abs("first.part").alias("hot_salt"))
     joined = local.join(F.broadcast(whole), F.col("hot") & (F.col("text_sha256") == F.col("hot_sha256")), "left")
     return joined.select(
         "doc_id",

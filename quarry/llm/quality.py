@@ -24,6 +24,8 @@ from quarry.llm.common import materialise, scratch, slices, small_batches, strin
 START = 255
 #: Width of a bin of the logarithm of perplexity for the quantiles.
 BIN = 0.002
+#: One in so many trusted documents is left out of the training and sets the thresholds.
+CALIBRATING = 5
 MODEL = "key long, logp float, backoff float"
 
 
@@ -241,21 +243,27 @@ def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
     return summed.where(F.col("upto") >= F.col("total") * quantile).groupBy("lang").agg(((F.min("bin") + 1) * BIN + margin).alias("threshold"))
 
 
+def calibrating(doc_id: Column) -> Column:
+    """Is a trusted document kept from training, so that its perplexity is like that of other good documents?"""
+    return F.pmod(F.xxhash64(doc_id), F.lit(CALIBRATING)) == 0
+
+
 def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.99, margin: float = 0.2) -> DataFrame:
     """One row per document: doc_id, text_key, lang, n_bytes, log_ppl, threshold and accepted.
 
-    The model is trained on all documents that a label calls of good quality and not toxic, and a document is rejected
-    when its mean negative log probability exceeds its language's threshold. A language without trusted documents
-    takes the largest threshold of the others; with none at all everything is accepted.
+    Trusted documents are all that a label calls of good quality and not toxic. One in CALIBRATING of them, by a hash of
+    the id, sets the thresholds; the model is trained on the others. A document is rejected when its mean negative log
+    probability exceeds its language's threshold. A language without such documents takes the largest threshold of the
+    others; with none at all everything is accepted.
 
     Null texts count as empty; empty texts have a null log_ppl and are accepted. Null ids have no label. Repeated rows
     are scored each; of repeated labels one good one suffices. Other columns are left out.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     blocks = gather(docs)
-    model = materialise(train(count_ngrams(blocks, good, order), order), "model")
+    model = materialise(train(count_ngrams(blocks, good.where(~calibrating(F.col("doc_id"))), order), order), "model")
     scored = materialise(perplexities(blocks, model, order), "scored")
-    limits = thresholds(scored.join(good, "doc_id", "left_semi"), quantile, margin)
+    limits = thresholds(scored.join(good.where(calibrating(F.col("doc_id"))), "doc_id", "left_semi"), quantile, margin)
     # one row per language
     most = limits.agg(F.max("threshold").alias("most"))
     joined = scored.join(F.broadcast(limits.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(F.broadcast(most))
