@@ -182,3 +182,36 @@ def wilson(passes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     middle = (p + z2 / (2 * n)) / (1 + z2 / n)
     half = F.lit(z) * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n) / (1 + z2 / n)
     return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+
+
+# Patterns of amounts that are suggested for a new case, a None unit being the pattern's second group.
+SUGGESTED_AMOUNTS = [(r"₹\s*([\d,]+\.?\d*)\s*(crore|lakh)", None), (r"Rs\.?\s*([\d,]+\.?\d*)\s*(crore|lakh)", None), (r"([\d,]+\.?\d*)\s*(crore|lakh)", None), (r"([\d.]+)\s*per\s*cent", "percent"), (r"([\d.]+)\s*%", "percent")]
+# Patterns of entities that are suggested for a new case.
+SUGGESTED_ENTITIES = [
+    r"\b(NHAI|CBDT|FCI|NHA|SHA|SEBI|CAG|CPC|MoRTH)\b",
+    r"\b(\w+\s+Act,?\s+\d{4})\b",
+    r"\b(NH\s+Fee\s+Rules?,?\s*\d{4})\b",
+    r"\b(FRBM\s+Act)\b",
+    r"\b(PMJAY|Ayushman\s+Bharat|Bharatmala)\b",
+    r"\b(Bihar|Chandigarh|Tamil\s+Nadu|Uttar\s+Pradesh|Karnataka|Maharashtra|Nagaland|Tripura)\b",
+    r"\b(NH\s*\d+)\b",
+]
+
+
+def suggested_amounts(text: Column, around: int = 50) -> Column:
+    """Distinct (value, unit) that a text suggests, in the order of patterns, each with its first place and the text around it."""
+    parts = []
+    for pattern, unit in SUGGESTED_AMOUNTS:
+        pattern = "(?i)" + pattern
+        values, whole = F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 0)
+        units = F.regexp_extract_all(text, F.lit(pattern), 2) if unit is None else F.array_repeat(F.lit(unit), F.size(values))
+        parts.append(F.transform(F.arrays_zip(values.alias("v"), units.alias("u"), whole.alias("w")), lambda z: F.struct(F.replace(z["v"], F.lit(","), F.lit("")).try_cast("double").alias("value"), F.lower(z["u"]).alias("unit"), z["w"].alias("found"))))
+    every = F.filter(F.concat(*parts), lambda a: a["value"].isNotNull())
+    names = F.transform(every, lambda a: F.struct(a["value"].alias("value"), a["unit"].alias("unit")))
+    first = F.filter(every, lambda a, i: F.array_position(names, F.struct(a["value"].alias("value"), a["unit"].alias("unit"))) == i + 1)
+    return F.transform(first, lambda a: F.struct(a["value"].alias("value"), a["unit"].alias("unit"), F.instr(text, a["found"]).alias("place"), F.trim(F.substring(text, F.greatest(F.lit(1), F.instr(text, a["found"]) - around), F.length(a["found"]) + 2 * around)).alias("context")))
+
+
+def suggested_entities(text: Column) -> Column:
+    """Distinct entities that a text suggests."""
+    return F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(text, F.lit("(?i)" + p), 1) for p in SUGGESTED_ENTITIES)), lambda x: F.trim(x)))

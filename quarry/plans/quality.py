@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import amounts as A
 from quarry.functions import reports as R
 from quarry.operators import diagnostics, evaluation
+from quarry.plans.assets import CELLS_SQL
 from quarry.plans.frames import CHUNKS, FINDINGS, SECTIONS, frame, over
 from quarry.plans.listing import more
 
@@ -185,6 +186,31 @@ def chunk_confidence(spark, sf_dir):
     return m.select("p_partkey", F.round(c * 100).cast("long").alias("confidence"))
 
 
+def suggest_amounts(spark, sf_dir):
+    """Distinct amounts that answers suggest, by unit, and how often they come first."""
+    rows = _cases(spark, sf_dir).select("test_id", F.posexplode(A.suggested_amounts(F.col("answer"))).alias("k", "a"))
+    return rows.groupBy("a.unit", "k").agg(F.count("*").alias("n"), F.sum(F.col("a.place")).alias("places"), F.sum(F.round(F.col("a.value") * 100).cast("long")).alias("hundredths"))
+
+
+def suggest_entities(spark, sf_dir):
+    rows = _cases(spark, sf_dir).select(F.explode(A.suggested_entities(F.concat("answer", F.lit(" Under the Toll Act, 2003 on NH 44 in Tamil Nadu."), "entity"))).alias("entity"))
+    return rows.groupBy("entity").agg(F.count("*").alias("n"))
+
+
+def diag_tables(spark, sf_dir):
+    """Cells by kind and row type of tables, empty ones, and tables that have totals."""
+    c = frame(spark, sf_dir, CELLS_SQL)
+    filled = F.coalesce("normalized", "parsed").isNotNull()
+    t = c.groupBy("table_id").agg(F.count("*").alias("cells"), F.count_if(~filled).alias("empty"), F.count_if(F.col("row_type") == "header").alias("headers"), F.max((F.col("row_type") == "total").cast("int")).alias("has_total"))
+    return t.select("table_id", "cells", "empty", "headers", "has_total", (F.col("empty") * 100 > F.greatest("cells", F.lit(1)) * 30).alias("warn"))
+
+
+def sample_size(spark, sf_dir):
+    """Cases that a precision needs at a pass rate."""
+    r = frame(spark, sf_dir, MEASURES).where("confidence > 0 and confidence < 1").select("confidence").distinct()
+    return r.select(F.round(F.col("confidence") * 10).cast("int").alias("tenths"), F.ceil(F.lit(1.96 * 1.96) * F.col("confidence") * (1 - F.col("confidence")) / F.lit(0.0025)).cast("long").alias("n"))
+
+
 UNIT_SQL = lambda u: "CASE " + " ".join(f"WHEN lower(trim({u})) IN ({', '.join(repr(x) for x in forms)}) THEN '{n}'" for n, forms in A.UNITS.items()) + f" ELSE lower(trim({u})) END"
 
 
@@ -209,7 +235,15 @@ NOISY = "length(name) < 3 OR length(name) > 80 OR " + " OR ".join(f"regexp_match
 ISSUE_KIND = "CASE WHEN contains(lower(issue), 'amount') THEN 'amount' WHEN contains(lower(issue), 'entity') OR contains(lower(issue), 'coverage') THEN 'coverage' WHEN contains(lower(issue), 'hallucination') THEN 'hallucination' WHEN contains(lower(issue), 'forbidden') THEN 'forbidden' ELSE 'other' END"
 TOP = "ch AS (SELECT report_id, chapter, count(*) AS c FROM f GROUP BY ALL), tp AS (SELECT report_id, c AS top, chapter AS top_chapter FROM ch QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY c DESC, chapter DESC) = 1), fd AS (SELECT report_id, count(*) AS n, count(*) FILTER (WHERE amount_paise > 0) AS with_money, count(*) FILTER (WHERE confidence > 0 AND confidence < 0.5) AS unsure FROM f GROUP BY 1), ff AS (SELECT *, lower(top_chapter) = 'executive summary' AND n > 10 AS bad_chapter FROM fd JOIN tp USING (report_id))"
 
-QUERIES = {f.__name__: f for f in (extract_amounts, match_amount, amount_accuracy, entity_coverage, fact_coverage, overall_score, eval_report, eval_compare, eval_failures, issue_categorise, issue_summary, wilson_interval, ack_no_data, forbidden_content, testcase_validate, dup_detect, length_distribution, diag_content, diag_findings, diag_hierarchy, diag_rec_gaps, diag_entities, entity_noise, verb_rec_fp, diag_xrefs, diag_score, diag_score_v3, corpus_summary, chunk_confidence)}
+def _suggested_sql() -> str:
+    parts = []
+    for pattern, unit in A.SUGGESTED_AMOUNTS:
+        units = f"regexp_extract_all(answer, '(?i){pattern}', 2)" if unit is None else f"list_transform(regexp_extract_all(answer, '(?i){pattern}', 1), lambda x: '{unit}')"
+        parts.append(f"list_transform(list_zip(regexp_extract_all(answer, '(?i){pattern}', 1), {units}, regexp_extract_all(answer, '(?i){pattern}', 0)), lambda z: {{'value': TRY_CAST(replace(z[1], ',', '') AS DOUBLE), 'unit': lower(z[2]), 'found': z[3]}})")
+    return f"e AS (SELECT test_id, answer, list_filter(list_concat({', '.join(parts)}), lambda a: a.value IS NOT NULL) AS every FROM c), x AS (SELECT test_id, answer, unnest(every) AS a, generate_subscripts(every, 1) AS i FROM e), y AS (SELECT test_id, answer, a.value AS value, a.unit AS unit, arg_min(a.found, i) AS found, min(i) AS i FROM x GROUP BY ALL), z AS (SELECT *, CAST(row_number() OVER (PARTITION BY test_id ORDER BY i) - 1 AS INT) AS k FROM y)"
+
+
+QUERIES = {f.__name__: f for f in (extract_amounts, match_amount, amount_accuracy, entity_coverage, fact_coverage, overall_score, eval_report, eval_compare, eval_failures, issue_categorise, issue_summary, wilson_interval, ack_no_data, forbidden_content, testcase_validate, dup_detect, length_distribution, diag_content, diag_findings, diag_hierarchy, diag_rec_gaps, diag_entities, entity_noise, verb_rec_fp, diag_xrefs, diag_score, diag_score_v3, corpus_summary, chunk_confidence, suggest_amounts, suggest_entities, diag_tables, sample_size)}
 
 ORACLE_SQL = {
     "extract_amounts": more(f", {AM}, a AS (SELECT test_id, unnest(found) AS a FROM am) SELECT a.unit AS unit, count(*) AS n, count(DISTINCT test_id) AS tests, CAST(sum(CAST(round(a.value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM a GROUP BY 1", c=CASES),
@@ -240,5 +274,9 @@ ORACLE_SQL = {
     "diag_score": over("SELECT p_partkey, CAST(greatest(0, 20 - CASE WHEN empty_pct > 10 THEN 8 WHEN empty_pct > 5 THEN 3 ELSE 0 END - CASE WHEN inversion_pct > 5 THEN 8 WHEN inversion_pct > 2 THEN 3 ELSE 0 END - CASE WHEN duplicate_pct > 15 THEN 6 WHEN duplicate_pct > 5 THEN 3 ELSE 0 END - CASE WHEN bad_length_pct > 25 THEN 5 WHEN bad_length_pct > 10 THEN 2 ELSE 0 END - CASE WHEN confidence > 0 AND confidence < 0.8 THEN 3 ELSE 0 END) AS INT) AS content, CAST(greatest(0, 25 - least(10, mismatches) - CASE WHEN concentration > 40 THEN 15 WHEN concentration > 20 THEN 8 WHEN concentration > 10 THEN 3 ELSE 0 END - CASE WHEN hierarchies < 5 THEN 10 WHEN hierarchies < 10 THEN 3 ELSE 0 END - CASE WHEN depths = 1 THEN 3 ELSE 0 END - least(5, orphans)) AS INT) AS hierarchy FROM m", m=MEASURES),
     "diag_score_v3": over("SELECT p_partkey, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM (SELECT p_partkey, CAST(greatest(0, 100 - depths * 15 - mismatches * 5 - orphans) AS INT) AS score FROM m)", m=MEASURES),
     "corpus_summary": more(f", {TOP} SELECT count(*) AS reports, CAST(sum(n) AS BIGINT) AS findings, CAST(sum(with_money) AS BIGINT) AS with_money, CAST(sum(unsure) AS BIGINT) AS unsure, count(*) FILTER (WHERE bad_chapter) AS bad_chapters, max(top) AS most FROM ff", f=FINDINGS),
+    "suggest_amounts": more(f", {_suggested_sql()} SELECT unit, k, count(*) AS n, CAST(sum(instr(answer, found)) AS BIGINT) AS places, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM z GROUP BY ALL", c=CASES),
+    "suggest_entities": over("SELECT entity, count(*) AS n FROM (SELECT unnest(list_distinct(list_transform(list_concat(" + ", ".join(f"regexp_extract_all(t, '(?i){p}', 1)" for p in A.SUGGESTED_ENTITIES) + "), lambda x: trim(x)))) AS entity FROM (SELECT answer || ' Under the Toll Act, 2003 on NH 44 in Tamil Nadu.' || entity AS t FROM c)) GROUP BY 1", c=CASES),
+    "diag_tables": over("SELECT table_id, count(*) AS cells, count(*) FILTER (WHERE coalesce(normalized, parsed) IS NULL) AS empty, count(*) FILTER (WHERE row_type = 'header') AS headers, max(CAST(row_type = 'total' AS INT)) AS has_total, count(*) FILTER (WHERE coalesce(normalized, parsed) IS NULL) * 100 > greatest(count(*), 1) * 30 AS warn FROM c GROUP BY 1", c=CELLS_SQL),
+    "sample_size": over("SELECT DISTINCT CAST(round(confidence * 10) AS INT) AS tenths, CAST(ceil(1.96::DOUBLE * 1.96::DOUBLE * confidence * (1 - confidence) / 0.0025::DOUBLE) AS BIGINT) AS n FROM m WHERE confidence > 0 AND confidence < 1", m=MEASURES),
     "chunk_confidence": over("SELECT p_partkey, CAST(round((CAST(confidence AS DECIMAL(4,2)) * CAST(0.4 AS DECIMAL(3,2)) + CAST(depths * 0.15 AS DECIMAL(4,2)) + CAST(orphans * 0.05 AS DECIMAL(4,2))) * 100) AS BIGINT) AS confidence FROM m", m=MEASURES),
 }
