@@ -216,7 +216,7 @@ UNIT_SQL = lambda u: "CASE " + " ".join(f"WHEN lower(trim({u})) IN ({', '.join(r
 
 def _amounts_sql(text: str) -> str:
     parts = []
-    for pattern, unit in A.AMOUNT_PATTERNS:
+    for pattern, unit, _ in A.AMOUNT_PATTERNS:
         if unit is None:
             parts.append(f"list_transform(list_zip(regexp_extract_all({text}, '(?i){pattern}', 1), regexp_extract_all({text}, '(?i){pattern}', 2)), lambda t: {{'value': TRY_CAST(replace(t[1], ',', '') AS DOUBLE), 'unit': {UNIT_SQL('t[2]')}}})")
         else:
