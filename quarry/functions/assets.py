@@ -115,3 +115,40 @@ def chart_warnings(confidence: Column, marked: Column, series: Column, x_label:
         ),
         lambda x: x.isNotNull(),
     )
+
+
+# What a kind of visual element is called, and what words of its title make of it, tried in this order.
+KIND_NAMES = {"figure": "figure", "chart": "chart", "graph": "graph", "box": "information box", "diagram": "diagram", "exhibit": "exhibit", "map": "map", "infographic": "infographic"}
+ACTIONS = [("illustrates the trend of", ["trend"]), ("compares", ["comparison", "vis-a-vis"]), ("shows the composition of", ["composition", "component"]), ("depicts", ["depicting", "showing"])]
+# Themes of a table and the words that tell them.
+THEMES = [("financial figures", ["crore", "₹", "rupee", "lakh"]), ("multi-year data", ["fy ", "2020", "2021", "2022", "2023", "2024"]), ("budget comparisons", ["budget", "estimate", "actual"])]
+
+
+def last_level(path: Column) -> Column:
+    """Last section of a path like 'A > B'."""
+    return F.element_at(F.split(path, " > "), -1)
+
+
+def chart_analysis(title: Column, kind: Column, path: Column) -> Column:
+    """A sentence on a visual element: its kind, what it does, its topic (after a colon) and its section."""
+    low, called, action = F.lower(title), F.lit("visual element"), F.lit("presents")
+    for name, words in KIND_NAMES.items():
+        called = F.when(kind == name, F.lit(words)).otherwise(called)
+    for name, words in reversed(ACTIONS):
+        action = F.when(any_word(low, words), F.lit(name)).otherwise(action)
+    topic = F.when(title.contains(":"), F.trim(F.regexp_replace(title, "^[^:]*:", ""))).otherwise(title)
+    return F.concat(F.lit("This "), called, F.lit(" "), action, F.lit(" "), topic, F.lit(", as discussed in "), last_level(path), F.lit("."))
+
+
+def table_analysis(content: Column, path: Column, rows: Column, columns: Column) -> Column:
+    """A sentence on a table: themes of its words, its section and size."""
+    low = F.lower(content)
+    themes = F.array_join(F.filter(F.array(*(F.when(any_word(low, words), F.lit(name)) for name, words in THEMES)), lambda x: x.isNotNull()), ", ")
+    section = F.coalesce(last_level(F.nullif(path, F.lit(""))), F.lit("this section"))
+    return F.concat(F.lit("Contains "), F.coalesce(F.nullif(themes, F.lit("")), F.lit("tabular data")), F.lit(" related to "), section, F.lit(". Dimensions: "), rows.cast("string"), F.lit(" rows × "), columns.cast("string"), F.lit(" columns."))
+
+
+def embedding_text(path: Column, summary: Column, content: Column, most: int = 32_000) -> Column:
+    """What of a chunk is embedded: its path and a table's summary in brackets, then its text, cut to about 8000 tokens."""
+    bracket = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("[" + head), c, F.lit("]")))
+    return F.left(F.concat_ws("\n\n", bracket("", path), bracket("Table Summary: ", summary), content), F.lit(most))

@@ -147,6 +147,22 @@ def chart_validate(spark, sf_dir):
     return p.select("p_partkey", F.array_join(w, ",").alias("warnings"))
 
 
+def chart_analysis(spark, sf_dir):
+    e = frame(spark, sf_dir, ELEMENTS_SQL).where(A.is_visual_title(F.col("text")))
+    path = F.concat(F.lit("Part "), F.col("page").cast("string"), F.lit(" > Dues"))
+    return e.select("chunk_id", A.chart_analysis(F.col("text"), A.visual_part(F.col("text"), "kind"), path).alias("analysis"))
+
+
+def table_analysis(spark, sf_dir):
+    t = frame(spark, sf_dir, TABLES_SQL)
+    return t.select("chunk_id", A.table_analysis(F.concat("text", F.when(F.col("page") == 1, "lakh").otherwise("")), F.col("title"), F.size(A.table_lines(F.col("text"))), F.lit(3)).alias("analysis"))
+
+
+def embed_text(spark, sf_dir):
+    t = frame(spark, sf_dir, TABLES_SQL)
+    return t.select("chunk_id", A.embedding_text(F.col("title"), A.rule_summary(F.col("text")), F.col("text"), 120).alias("embedded"))
+
+
 LINES = "list_filter(list_transform(list_filter(list_transform(string_split(trim(text), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^[\\s|:-]+$')), lambda x: list_filter(list_transform(string_split(x, '|'), lambda c: trim(c)), lambda c: c <> '')), lambda c: len(c) > 0)"
 TYPE_SQL = lambda text, kind: f"CASE WHEN {kind} = 'box' THEN 'table_chart' " + " ".join("WHEN " + " OR ".join(f"contains(lower({text}), '{w}')" for w in words) + f" THEN '{name}'" for name, words in A.TYPE_WORDS) + f" WHEN {kind} = 'map' THEN 'area' ELSE 'bar' END"
 VIS = A.VISUAL
@@ -161,9 +177,17 @@ TABLES = f"tabs AS (SELECT report_id, chunk_id, page, ord, title, struct_title,
 CLEAN = "CASE WHEN coalesce(title, '') = '' THEN 'Untitled Table' WHEN lower(trim(title)) LIKE 'data table:%' AND regexp_matches(trim(substr(trim(title), 12)), '^\\d+\\.') THEN trim(substr(trim(title), 12)) ELSE trim(title) END"
 FIRST_POINT = "pt AS (SELECT chart_id, series_id, lower(category) AS category, min_by(value, ord) AS value FROM p GROUP BY ALL)"
 
-QUERIES = {f.__name__: f for f in (visual_titles, chart_type, caption_title, extract_charts, assets_summary, charts_filter, md_table_dims, extract_tables, tables_filter, disambiguate_titles, clean_caption, table_fallback_summary, table_quality_gate, table_structure_check, table_preview, table_sum_column, table_get_cell, table_find_column, table_entity_row, chart_series_agg, chart_total_across_series, chart_categories, chart_validate)}
+QUERIES = {f.__name__: f for f in (visual_titles, chart_type, caption_title, extract_charts, assets_summary, charts_filter, md_table_dims, extract_tables, tables_filter, disambiguate_titles, clean_caption, table_fallback_summary, table_quality_gate, table_structure_check, table_preview, table_sum_column, table_get_cell, table_find_column, table_entity_row, chart_series_agg, chart_total_across_series, chart_categories, chart_validate, chart_analysis, table_analysis, embed_text)}
+
+SUMMARY = "CASE WHEN len(l) < 3 THEN '' ELSE 'Table with ' || len(list_filter(l[3:], lambda x: contains(x, '|'))) || ' rows showing: ' || array_to_string(list_filter(list_transform(string_split(l[1], '|'), lambda c: trim(c)), lambda c: c <> '')[1:4], ', ') || '.' END"
+KIND_SQL = "CASE el " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in A.KIND_NAMES.items()) + " END"
+ACTION_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{n}'" for n, words in A.ACTIONS) + " ELSE 'presents' END"
+THEME_SQL = "concat_ws(', ', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{n}' END" for n, words in A.THEMES) + ")"
 
 ORACLE_SQL = {
+    "chart_analysis": more(f", {VISUAL_SQL} SELECT chunk_id, 'This ' || {KIND_SQL} || ' ' || {ACTION_SQL} || ' ' || CASE WHEN contains(text, ':') THEN trim(regexp_replace(text, '^[^:]*:', '')) ELSE text END || ', as discussed in Dues.' AS analysis FROM v", e=ELEMENTS_SQL),
+    "table_analysis": over(f"SELECT chunk_id, 'Contains ' || coalesce(nullif({THEME_SQL}, ''), 'tabular data') || ' related to ' || coalesce(string_split(nullif(title, ''), ' > ')[-1], 'this section') || '. Dimensions: ' || n || ' rows × 3 columns.' AS analysis FROM (SELECT *, lower(text || CASE WHEN page = 1 THEN 'lakh' ELSE '' END) AS low, len({LINES}) AS n FROM t)", t=TABLES_SQL),
+    "embed_text": over(f"SELECT chunk_id, left(concat_ws(chr(10) || chr(10), CASE WHEN coalesce(title, '') <> '' THEN '[' || title || ']' END, CASE WHEN s <> '' THEN '[Table Summary: ' || s || ']' END, text), 120) AS embedded FROM (SELECT *, {SUMMARY} AS s FROM (SELECT *, string_split(trim(text, chr(10) || ' '), chr(10)) AS l FROM t))", t=TABLES_SQL),
     "visual_titles": more(f", {VISUAL_SQL} SELECT chunk_id, number, el AS kind, vt AS title FROM v", e=ELEMENTS_SQL),
     "chart_type": over(f"SELECT chunk_id, {TYPE_SQL('text', 'k')} AS type FROM (SELECT *, CASE page WHEN 1 THEN 'map' WHEN 2 THEN 'box' ELSE 'chart' END AS k FROM e)", e=ELEMENTS_SQL),
     "caption_title": over(f"SELECT chunk_id, {CAPTION} AS title, {DESCRIBES} AS chart FROM e WHERE kind = 'image_caption'", e=ELEMENTS_SQL),
