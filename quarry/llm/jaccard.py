@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, ranges, slices, strings, text_key, text_of, utf8
+from quarry.llm.common import materialise, ranges, slices, small_batches, strings, text_key, text_of, utf8
 from quarry.llm.graph import components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -106,7 +106,7 @@ def _sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "text_key", "seq1", "seq2", "bands"],
                 )
 
-    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
+    rows_of = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
     return rows_of.mapInArrow(sign, "doc_id long, text_key long, seq1 long, seq2 long, bands array<long>")
 
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, strings, text_of
+from quarry.llm.common import materialise, small_batches, strings, text_of
 from quarry.llm.tokens import words
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, PIECES)
 
 
 def pack(parts: DataFrame, capacity: int, open_bins: int, rows_per_task: int) -> DataFrame:

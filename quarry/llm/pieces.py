@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ranges, slices, strings, text_of, utf8
+from quarry.llm.common import ranges, slices, small_batches, strings, text_of, utf8
 
 SPACE = "▁"
 MULTIPLIER = 0x9E3779B97F4A7C15
 UNIGRAM, BPE = 1, 2
 #: Words longer than this are encoded one by one.
 LONG = 64
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: What a character without a piece costs below the worst piece of a unigram model.
 UNKNOWN_COST = 10.0
 
@@ -334,5 +334,5 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "same"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(both, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, same boolean")

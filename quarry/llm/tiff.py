@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, text_of, utf8
+from quarry.llm.common import materialise, small_batches, text_of, utf8
 
 WIDTH = 576
 #: Rows of one page and of one strip that the writer makes.
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             media = [write_pages(raw[a:b].ljust(n, b"\xff"), width) for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), padded.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(padded), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "payload_bytes", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(write, "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 

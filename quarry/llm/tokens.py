@@ -26,7 +26,7 @@ ODD_SPACE = r"[\x00\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a
 #: A space that the next word doesn't own.
 FREE_SPACE = r" [ \t\r\n]| $"
 #: Words are kept between batches up to this number.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 #: Characters below this one have the same letters, cases and normal form in every Unicode version.
 STABLE = "İ"
 
