@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact, jaccard, packing, quality, suffix
-from quarry.llm.common import materialise, read, text_key
+from quarry.llm.common import materialise, read, recording, release, text_key
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+_tables: list[str] = []
+
+
+def _stage(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that first deletes the scratch tables of the one before, whose result has been written by then."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _tables)
+        with recording() as made:
+            out = work(spark, docs, sf_dir)
+        _tables.extend(made)
+        return out
+
+    return run_stage
+
+
 def _rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """Rows of docs that are, or are not, among the chosen (doc_id, text_key)."""
     keys = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("text_key").alias("chosen_key"))
@@ -19,29 +39,34 @@ def _rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     return docs.select(*DOCUMENTS).join(keys, same, how)
 
 
+@_stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     rated = quality.classify(docs, read(spark, sf_dir, "labels"))
     return _rows(docs, rated.where(~F.col("accepted")), "left_anti")
 
 
+@_stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, that of the largest doc_id."""
     return exact.deduplicate(docs.select(*DOCUMENTS), keep="largest")
 
 
+@_stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each class of near duplicates."""
     classes = jaccard.near_duplicates(docs, n=5, threshold=0.8, recall=0.999)
     return _rows(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))), "left_semi")
 
 
+@_stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without what repeated strings of 400 bytes cover."""
     kept = suffix.remove_repeats(docs.select(*DOCUMENTS), length=400)
     return kept.select("row.doc_id", "text", "row.lang", "row.source", F.length("text").cast("long").alias("n_chars"))
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 1024."""
     return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
@@ -61,7 +86,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over all documents."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        out = stage(spark, docs, sf_dir)
+        with recording() as written:
+            docs = materialise(out, name.replace(" ", "-"))
+        release(spark, before)
+        before = written
+    release(spark, _tables)
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Most rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+_recorded: list[list[str]] = [[]]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,7 +50,33 @@ def scratch(spark: SparkSession, what: str) -> str:
         base = "file://" + base
     elif base.startswith("file:/") and not base.startswith("file://"):
         base = "file://" + base[5:]
-    return f"{base.rstrip('/')}/quarry-{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quarry-{what}-{uuid.uuid4().hex}"
+    _recorded[-1].append(path)
+    return path
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The scratch folders that are made within, for ``release`` once nothing reads them any more."""
+    own: list[str] = []
+    _recorded.append(own)
+    try:
+        yield own
+    finally:
+        _recorded.pop()
+
+
+def adopt(paths: list[str]) -> None:
+    """Hand folders on to whoever records now."""
+    _recorded[-1].extend(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders, in whatever store they are."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
 
 
 def materialise(df: DataFrame, what: str, **options: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, scratch, slices, small_batches, strings, text_key, text_of, utf8
+from quarry.llm.common import materialise, recording, release, scratch, slices, small_batches, strings, text_key, text_of, utf8
 
 #: A text begins after ORDER - 1 of these bytes, which UTF-8 has not.
 START = 255
@@ -260,12 +260,16 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
     are scored each; of repeated labels one good one suffices. Other columns are left out.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    blocks = gather(docs)
-    model = materialise(train(count_ngrams(blocks, good.where(~calibrating(F.col("doc_id"))), order), order), "model")
-    scored = materialise(perplexities(blocks, model, order), "scored")
+    with recording() as tables:
+        blocks = gather(docs)
+        model = materialise(train(count_ngrams(blocks, good.where(~calibrating(F.col("doc_id"))), order), order), "model")
+        ratings = perplexities(blocks, model, order)
+    scored = materialise(ratings, "scored")
+    release(docs.sparkSession, tables)
     limits = thresholds(scored.join(good.where(calibrating(F.col("doc_id"))), "doc_id", "left_semi"), quantile, margin)
     # one row per language
-    most = limits.agg(F.max("threshold").alias("most"))
-    joined = scored.join(F.broadcast(limits.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(F.broadcast(most))
-    threshold = F.coalesce("threshold", "most")
+    limits = materialise(limits, "limits")
+    most = limits.agg(F.max("threshold")).first()[0]
+    joined = scored.join(F.broadcast(limits.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of")), "left")
+    threshold = F.coalesce("threshold", F.lit(most).cast("double"))
     return joined.select("doc_id", "text_key", "lang", "n_bytes", "log_ppl", threshold.alias("threshold"), F.coalesce(F.col("log_ppl") <= threshold, F.lit(True)).alias("accepted"))
