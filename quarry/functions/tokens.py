@@ -66,8 +66,7 @@ def special_tokens(text: Column) -> Column:
 
 def word_tokens(text: Column, stopwords: list[str] = INDEX_STOPWORDS) -> Column:
     """Lower-case words of two letters and more that aren't stopwords."""
-    stop = F.array(*(F.lit(w) for w in stopwords))
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]{2,})\b"), 1), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]{2,})\b"), 1), lambda w: ~w.isin(stopwords))
 
 
 def index_tokens(text: Column) -> Column:
