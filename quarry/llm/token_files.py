@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, scratch, slices, strings, text_of
+from quarry.llm.common import materialise, scratch, slices, small_batches, strings, text_of
 from quarry.llm.tokens import words
 
 TOKENS = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -47,7 +47,7 @@ def write_parquet(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, r
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, TOKENS).write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option(
         "parquet.enable.dictionary", "true"
     ).parquet(path)
@@ -117,7 +117,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(np.arange(done, done + n)), batch.column("doc_id")], names=["file", "place", "doc_id"])
                 done += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(write, "file string, place long, doc_id long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(write, "file string, place long, doc_id long")
 
 
 def count_flat(files: DataFrame, end_id: int, block_bytes: int = 4 << 20) -> DataFrame:
@@ -168,4 +168,5 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, block_bytes: int
     Null texts have no tokens, null ids stay null, repeated rows count each, an empty table gives no rows.
     """
     placed = materialise(write_flat(docs, scratch(docs.sparkSession, "flat"), tokenizer, end_id), "flat-docs")
-    return placed.join(count_flat(placed, end_id, block_bytes), ["file", "place"]).select("doc_id", "n_tokens")
+    # Spark takes the scan of a short list of files for small; it has a row per document.
+    return placed.join(count_flat(placed, end_id, block_bytes).hint("merge"), ["file", "place"]).select("doc_id", "n_tokens")
