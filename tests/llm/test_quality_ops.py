@@ -88,3 +88,10 @@ def test_held_out_accuracy(spark):
     rated = quality.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id")
     share = {r["quality"]: r["kept"] for r in rated.groupBy("quality").agg(F.avg(F.col("accepted").cast("double")).alias("kept")).collect()}
     assert share[1] > 0.97 and share[0] < 0.35
+
+
+def test_margin_is_for_few_documents(spark):
+    """A language with enough trusted documents has its quantile as threshold, one with few a margin too."""
+    scored = spark.createDataFrame([("en", i / 100) for i in range(1, 101)] + [("fr", i / 10) for i in range(1, 11)], "lang string, log_ppl double")
+    got = {r["lang"]: r["threshold"] for r in quality.thresholds(scored, 0.99, quality.MARGIN).collect()}
+    assert 0.99 <= got["en"] <= 0.99 + 2 * quality.BIN and 1.2 <= got["fr"] <= 1.2 + 2 * quality.BIN
