@@ -78,6 +78,11 @@ def eval_failures(spark, sf_dir):
     return evaluation.failure_patterns(c, frame(spark, sf_dir, ISSUES).distinct())
 
 
+def eval_failures_all(spark, sf_dir):
+    """Failure patterns of all results."""
+    return evaluation.failure_patterns(evaluation.scored(_cases(spark, sf_dir)), frame(spark, sf_dir, ISSUES).distinct())
+
+
 def issue_categorise(spark, sf_dir):
     return frame(spark, sf_dir, ISSUES).groupBy(evaluation.issue_kind(F.col("issue")).alias("kind")).agg(F.count("*").alias("n"))
 
@@ -87,6 +92,16 @@ def issue_summary(spark, sf_dir):
     return i.groupBy("issue").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("test_id")), ", ").alias("tests"))
 
 
+def issue_counts(spark, sf_dir):
+    """Issues of all results."""
+    return frame(spark, sf_dir, ISSUES).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def issue_tests(spark, sf_dir):
+    """Which results have which issue, a row each."""
+    return frame(spark, sf_dir, ISSUES).select("issue", "test_id")
+
+
 def wilson_interval(spark, sf_dir):
     r = evaluation.scored(_cases(spark, sf_dir)).groupBy("difficulty").agg(F.count_if("passed").alias("p"), F.count("*").alias("n"))
     low, high = A.wilson(F.col("p"), F.col("n"))
@@ -243,7 +258,7 @@ def _suggested_sql() -> str:
     return f"e AS (SELECT test_id, answer, list_filter(list_concat({', '.join(parts)}), lambda a: a.value IS NOT NULL) AS every FROM c), x AS (SELECT test_id, answer, unnest(every) AS a, generate_subscripts(every, 1) AS i FROM e), y AS (SELECT test_id, answer, a.value AS value, a.unit AS unit, arg_min(a.found, i) AS found, min(i) AS i FROM x GROUP BY ALL), z AS (SELECT *, CAST(row_number() OVER (PARTITION BY test_id ORDER BY i) - 1 AS INT) AS k FROM y)"
 
 
-QUERIES = {f.__name__: f for f in (extract_amounts, match_amount, amount_accuracy, entity_coverage, fact_coverage, overall_score, eval_report, eval_compare, eval_failures, issue_categorise, issue_summary, wilson_interval, ack_no_data, forbidden_content, testcase_validate, dup_detect, length_distribution, diag_content, diag_findings, diag_hierarchy, diag_rec_gaps, diag_entities, entity_noise, verb_rec_fp, diag_xrefs, diag_score, diag_score_v3, corpus_summary, chunk_confidence, suggest_amounts, suggest_entities, diag_tables, sample_size)}
+QUERIES = {f.__name__: f for f in (extract_amounts, match_amount, amount_accuracy, entity_coverage, fact_coverage, overall_score, eval_report, eval_compare, eval_failures, eval_failures_all, issue_categorise, issue_summary, issue_counts, issue_tests, wilson_interval, ack_no_data, forbidden_content, testcase_validate, dup_detect, length_distribution, diag_content, diag_findings, diag_hierarchy, diag_rec_gaps, diag_entities, entity_noise, verb_rec_fp, diag_xrefs, diag_score, diag_score_v3, corpus_summary, chunk_confidence, suggest_amounts, suggest_entities, diag_tables, sample_size)}
 
 ORACLE_SQL = {
     "extract_amounts": more(f", {AM}, a AS (SELECT test_id, unnest(found) AS a FROM am) SELECT a.unit AS unit, count(*) AS n, count(DISTINCT test_id) AS tests, CAST(sum(CAST(round(a.value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM a GROUP BY 1", c=CASES),
@@ -280,3 +295,8 @@ ORACLE_SQL = {
     "sample_size": over("SELECT DISTINCT CAST(round(confidence * 10) AS INT) AS tenths, CAST(ceil(1.96::DOUBLE * 1.96::DOUBLE * confidence * (1 - confidence) / 0.0025::DOUBLE) AS BIGINT) AS n FROM m WHERE confidence > 0 AND confidence < 1", m=MEASURES),
     "chunk_confidence": over("SELECT p_partkey, CAST(round((CAST(confidence AS DECIMAL(4,2)) * CAST(0.4 AS DECIMAL(3,2)) + CAST(depths * 0.15 AS DECIMAL(4,2)) + CAST(orphans * 0.05 AS DECIMAL(4,2))) * 100) AS BIGINT) AS confidence FROM m", m=MEASURES),
 }
+ORACLE_SQL |= {
+    "eval_failures_all": ORACLE_SQL["eval_failures"].replace(" AND test_id LIKE '1%'", ""),
+    "issue_counts": over("SELECT issue, count(*) AS n FROM i GROUP BY 1", i=ISSUES),
+    "issue_tests": over("SELECT issue, test_id FROM i", i=ISSUES),
+}
