@@ -102,13 +102,17 @@ def neighbours(chunks: DataFrame) -> DataFrame:
     return one(one(parsed, -1, "previous_id"), 1, "next_id").select("chunk_id", "previous_id", "next_id")
 
 
-def group_by_parent(hits: DataFrame) -> DataFrame:
-    """Chunks by section: children from the best score down, sections by their best child; ties by id."""
-    grouped = hits.groupBy(F.coalesce("parent_id", F.lit("unknown")).alias("parent_id")).agg(
+def group_by_parent(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Chunks by section: children from the best score down, sections by their best child; ties by id.
+
+    Sections are ranked and counted (``parents``) within each value of ``by``; without it all meet in one task.
+    """
+    by = by or []
+    grouped = hits.groupBy(*by, F.coalesce("parent_id", F.lit("unknown")).alias("parent_id")).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "chunk_id"))).alias("sorted"), F.max("score").alias("best"), F.count("*").alias("children")
     )
-    place = F.row_number().over(Window.orderBy(F.desc("best"), "parent_id"))
-    return grouped.select("parent_id", F.array_join(F.transform("sorted", lambda x: x["chunk_id"]), ",").alias("chunk_ids"), "best", "children", place.alias("parent_rank"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("best"), "parent_id"))
+    return grouped.select(*by, "parent_id", F.array_join(F.transform("sorted", lambda x: x["chunk_id"]), ",").alias("chunk_ids"), "best", "children", place.alias("parent_rank"), F.count("*").over(Window.partitionBy(*by)).alias("parents"))
 
 
 def attention_place(rank: Column, n: Column) -> Column:
@@ -116,21 +120,25 @@ def attention_place(rank: Column, n: Column) -> Column:
     return F.when(n <= 2, rank).when(2 * rank < n, 2 * rank).otherwise(2 * (n - 1 - rank) + 1)
 
 
-def citations(hits: DataFrame, sections: DataFrame, reports: DataFrame) -> DataFrame:
-    """Numbered citations of the hits, by section rank and score: report, section, page from 1, title ('' if unknown)."""
+def citations(hits: DataFrame, sections: DataFrame, reports: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Numbered citations of the hits, by section rank and score: report, section, page from 1, title ('' if unknown).
+
+    Numbers begin anew with each value of ``by``; without it all hits meet in one task.
+    """
+    by = by or []
     named = hits.join(sections.select(F.col("section_id").alias("parent_id"), "toc_entry", "hierarchy_path"), "parent_id", "left")
     titled = named.join(reports.select("report_id", "title"), "report_id", "left")
-    best = Window.partitionBy("parent_id")
-    order = Window.orderBy(F.desc("best"), "parent_id", F.desc("score"), "chunk_id")
+    best = Window.partitionBy(*by, "parent_id")
+    order = Window.partitionBy(*by).orderBy(F.desc("best"), "parent_id", F.desc("score"), "chunk_id")
     return titled.withColumn("best", F.max("score").over(best)).select(
         F.row_number().over(order).alias("id"), "report_id", F.coalesce("toc_entry", F.lit("Unknown")).alias("section"), F.coalesce("hierarchy_path", "toc_entry", F.lit("Unknown")).alias("hierarchy"),
         (F.col("page") + 1).alias("page"), F.coalesce("title", F.lit("")).alias("title"), "chunk_id",
     )
 
 
-def citation_map(cited: DataFrame) -> DataFrame:
+def citation_map(cited: DataFrame, by: list[str] | None = None) -> DataFrame:
     """'section, p.page' and the last citation of it: keys that collide keep the later one."""
-    return cited.groupBy(F.concat("section", F.lit(", p."), F.col("page").cast("string")).alias("key")).agg(F.max_by("chunk_id", "id").alias("chunk_id"), F.max("id").alias("id"))
+    return cited.groupBy(*(by or []), F.concat("section", F.lit(", p."), F.col("page").cast("string")).alias("key")).agg(F.max_by("chunk_id", "id").alias("chunk_id"), F.max("id").alias("id"))
 
 
 def semantic_tags(finding_type: Column, severity: Column, crore: Column, recommends: Column, target: Column) -> Column:

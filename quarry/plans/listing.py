@@ -184,6 +184,16 @@ def citation_lookup(spark, sf_dir):
     return pairs.groupBy("key").agg(F.min_by("entry", F.struct(strategy, "entry")).alias("entry"), F.min(strategy).alias("strategy"))
 
 
+def citation_lookup_all(spark, sf_dir):
+    """Citations of each report's passages against the map of that report."""
+    rows = frame(spark, sf_dir, PASSAGES).select("report_id", F.explode(R.citations_in(F.col("text"))).alias("citation"))
+    asked = rows.select("report_id", R.citation_key(F.col("citation")).alias("key"), R.citation_section(F.col("citation")).alias("section"), R.citation_page(F.col("citation")).alias("page")).distinct()
+    entry = frame(spark, sf_dir, SECTIONS).select("report_id", F.concat(F.lit("Section "), F.col("page_start").cast("string"), F.lit(".1, p."), F.col("page_end").cast("string")).alias("entry"))
+    known = entry.select("report_id", "entry", R.citation_key(F.col("entry")).alias("e_key"), R.citation_section(F.col("entry")).alias("e_section"), R.citation_page(F.col("entry")).alias("page"))
+    strategy = F.when(F.col("key") == F.col("e_key"), 1).when(F.col("section") == F.col("e_section"), 2).otherwise(3)
+    return asked.join(known, ["report_id", "page"]).groupBy("report_id", "key").agg(F.min_by("entry", F.struct(strategy, "entry")).alias("entry"), F.min(strategy).alias("strategy"))
+
+
 def context_scope(spark, sf_dir):
     text = F.concat(F.when(F.col("ord") % 3 == 0, F.lit("## 1. Context & Scope\n\n")).when(F.col("ord") % 3 == 1, F.lit("Intro\n**Context and Scope**\n")).otherwise(F.lit("No such part\n")), F.lit("The **audit** covered *"), F.col("ministry"), F.lit("*.\n\n\n\nIt ran long.\n## Findings\nMany."))
     return _reports(spark, sf_dir).select("report_id", R.context_and_scope(text).alias("scope"))
@@ -229,7 +239,7 @@ def _param_sql(which: int) -> str:
 KEY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(citation), '^\\[|\\]$', '', 'g'), '\\s+', ' ', 'g'), '\\s*,\\s*', ',', 'g'), '\\b(page|pg)\\s*', 'p', 'g'), 'p\\.\\s*', 'p', 'g'))"
 CITES_SQL = f"cites AS (SELECT passage_id, citation, {KEY_SQL} AS key, nullif(regexp_extract(citation, '(\\d+(?:\\.\\d+)*)', 1), '') AS section, CAST(nullif(regexp_extract(citation, '(?i)(?:p\\.?|page)\\s*(\\d+)', 1), '') AS INT) AS page FROM (SELECT passage_id, trim(unnest(regexp_extract_all(text, '(?i)\\[([^\\]]*(?:p\\.?\\s*\\d+|page\\s*\\d+)[^\\]]*)\\]', 1))) AS citation FROM p))"
 
-QUERIES = {f.__name__: f for f in (audit_year, audit_year_filename, report_year, series_match, series_build, registry_stats, sanitize_title, report_status, report_detail, reports_by_sector, reports_by_year, report_regex, dashboard_filter, dropdown_values, dashboard_stats, total_impact, findings_filter, findings_page, findings_summary, severity_band, recommendations_by_chapter, glossary_search, toc_projection, payload_filter_eq, payload_filter_in, payload_filter_range, payload_filter_compound, collection_stats, index_stats, upsert_latest, point_id, question_type, citation_extract, citation_lookup, context_scope, series_list, overview_merge)}
+QUERIES = {f.__name__: f for f in (audit_year, audit_year_filename, report_year, series_match, series_build, registry_stats, sanitize_title, report_status, report_detail, reports_by_sector, reports_by_year, report_regex, dashboard_filter, dropdown_values, dashboard_stats, total_impact, findings_filter, findings_page, findings_summary, severity_band, recommendations_by_chapter, glossary_search, toc_projection, payload_filter_eq, payload_filter_in, payload_filter_range, payload_filter_compound, collection_stats, index_stats, upsert_latest, point_id, question_type, citation_extract, citation_lookup, citation_lookup_all, context_scope, series_list, overview_merge)}
 
 
 def more(body: str, **frames: str) -> str:
@@ -276,3 +286,6 @@ ORACLE_SQL = {
     "series_list": more(f", {WITH_SERIES} SELECT series_id, count(*) AS reports, min(audit_year) AS first, max(audit_year) AS last, max_by(report_id, row(audit_year, ord)) AS latest FROM s WHERE series_id IS NOT NULL AND coalesce(audit_year, '') <> '' GROUP BY 1", r=REPORTS),
     "overview_merge": over("SELECT report_id, CASE WHEN ord % 6 = 0 THEN 'Ports' ELSE sector END AS topic, CASE WHEN ord % 2 = 0 THEN 'All' ELSE ministry END AS scope, year FROM r", r=REPORTS),
 }
+ORACLE_SQL |= {
+    "citation_lookup_all": more(f", {CITES_SQL}, a AS (SELECT DISTINCT report_id, key, section, page FROM cites JOIN p USING (passage_id)), e AS (SELECT report_id, 'Section ' || page_start || '.1, p.' || page_end AS entry, 'section ' || page_start || '.1,p' || page_end AS e_key, page_start || '.1' AS e_section, page_end AS e_page FROM s), m AS (SELECT a.report_id, key, entry, CASE WHEN key = e_key THEN 1 WHEN section = e_section THEN 2 ELSE 3 END AS strategy FROM a JOIN e ON a.report_id = e.report_id AND page = e_page) SELECT report_id, key, entry, strategy FROM m QUALIFY row_number() OVER (PARTITION BY report_id, key ORDER BY strategy, entry) = 1", p=PASSAGES, s=SECTIONS),
+}

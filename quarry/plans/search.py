@@ -142,13 +142,24 @@ def neighbor_expand(spark, sf_dir):
 
 
 def group_by_parent(spark, sf_dir):
-    return retrieval.group_by_parent(_hits(spark, sf_dir).where("report_id = 'R7'")).drop("best")
+    return retrieval.group_by_parent(_hits(spark, sf_dir).where("report_id = 'R7'")).drop("best", "parents")
+
+
+def group_by_parent_all(spark, sf_dir):
+    return retrieval.group_by_parent(_hits(spark, sf_dir), ["report_id"]).drop("best", "parents")
 
 
 def attention_reorder(spark, sf_dir):
     grouped = retrieval.group_by_parent(_hits(spark, sf_dir).where("report_id in ('R7', 'R9')"))
-    place = retrieval.attention_place(F.col("parent_rank") - 1, F.lit(grouped.count()))
-    return grouped.select("parent_id", place.cast("int").alias("place"))
+    return grouped.select("parent_id", _place().alias("place"))
+
+
+def _place():
+    return retrieval.attention_place(F.col("parent_rank") - 1, F.col("parents")).cast("int")
+
+
+def attention_reorder_all(spark, sf_dir):
+    return retrieval.group_by_parent(_hits(spark, sf_dir), ["report_id"]).select("report_id", "parent_id", _place().alias("place"))
 
 
 def parent_context(spark, sf_dir):
@@ -167,6 +178,14 @@ def citation_map(spark, sf_dir):
     return retrieval.citation_map(citations(spark, sf_dir))
 
 
+def citations_all(spark, sf_dir):
+    return retrieval.citations(_hits(spark, sf_dir), frame(spark, sf_dir, SECTIONS), frame(spark, sf_dir, REPORTS), ["report_id"])
+
+
+def citation_map_all(spark, sf_dir):
+    return retrieval.citation_map(citations_all(spark, sf_dir), ["report_id"])
+
+
 def sufficiency(spark, sf_dir):
     return _hits(spark, sf_dir).groupBy("report_id").agg((F.max("score") >= retrieval.SUFFICIENT).alias("sufficient"), F.max(F.when(F.col("page") == 1, F.col("score"))).alias("first_page")).select(
         "report_id", "sufficient", F.coalesce(F.col("first_page") >= retrieval.SUFFICIENT, F.lit(False)).alias("first_page_sufficient"))
@@ -187,7 +206,15 @@ def assign_parent(spark, sf_dir):
 
 
 def context_string(spark, sf_dir):
-    hits = _hits(spark, sf_dir).where("report_id in ('R7', 'R9') and parent_id is not null")
+    return _contexts(spark, sf_dir, _hits(spark, sf_dir).where("report_id in ('R7', 'R9')"))
+
+
+def context_string_all(spark, sf_dir):
+    return _contexts(spark, sf_dir, _hits(spark, sf_dir))
+
+
+def _contexts(spark, sf_dir, hits):
+    hits = hits.where("parent_id is not null")
     sections = frame(spark, sf_dir, SECTIONS).select(F.col("section_id").alias("parent_id"), "toc_entry", "hierarchy_path", "page_start", "page_end")
     near = retrieval.neighbours(frame(spark, sf_dir, CHUNKS))
     body = lambda c: F.concat(F.lit("Text of "), c)
@@ -235,7 +262,7 @@ CITED_SQL = f"""cited AS (SELECT row_number() OVER (ORDER BY best DESC, parent_i
   SELECT h.*, s.toc_entry, s.hierarchy_path, r.title, max(score) OVER (PARTITION BY h.parent_id) AS best
   FROM h LEFT JOIN s ON h.parent_id = s.section_id LEFT JOIN r ON h.report_id = r.report_id WHERE h.report_id IN ('R7', 'R9', 'R11')))"""
 
-QUERIES = {f.__name__: f for f in (cosine_topk, dense_topk_filtered, multi_query_topk, comparative_topk, multi_query_fusion, rrf_fusion, sparse_topk, hybrid_search, rerank_topk, special_tokens, word_tokens, token_idf, sparse_weights, sparse_query, parse_chunk_id, neighbor_expand, group_by_parent, attention_reorder, parent_context, citations, citation_map, sufficiency, orphan_chunks, assign_parent, context_string, semantic_tags, chunk_enrichment, hierarchy_inherit, hierarchy_mismatch)}
+QUERIES = {f.__name__: f for f in (cosine_topk, dense_topk_filtered, multi_query_topk, comparative_topk, multi_query_fusion, rrf_fusion, sparse_topk, hybrid_search, rerank_topk, special_tokens, word_tokens, token_idf, sparse_weights, sparse_query, parse_chunk_id, neighbor_expand, group_by_parent, group_by_parent_all, attention_reorder, attention_reorder_all, parent_context, citations, citations_all, citation_map, citation_map_all, sufficiency, orphan_chunks, assign_parent, context_string, context_string_all, semantic_tags, chunk_enrichment, hierarchy_inherit, hierarchy_mismatch)}
 
 ORACLE_SQL = {
     "cosine_topk": f"SELECT e.vec_id, CAST(row_number() OVER (ORDER BY {SIM} DESC, e.vec_id) AS INT) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank <= 10",
@@ -286,3 +313,13 @@ SELECT report_id, CASE WHEN length(context) > 4000 THEN left(context, 4000) || c
     "hierarchy_inherit": over("SELECT chunk_id, coalesce(CASE WHEN page = 2 THEN 'Own > Path' END, hierarchy_path) AS path FROM c LEFT JOIN s ON c.parent_id = s.section_id", c=CHUNKS, s=SECTIONS),
     "hierarchy_mismatch": over(", b AS (SELECT string_split('Part ' || page || CASE WHEN page > 2 THEN ' > Section 1' ELSE '' END, ' > ') AS own, string_split(hierarchy_path, ' > ') AS theirs FROM c JOIN s ON c.parent_id = s.section_id) SELECT CASE WHEN list_has_all(theirs, own) THEN 'subset' WHEN list_has_all(own, theirs) THEN 'superset' ELSE 'value_differs' END AS kind, count(*) AS n FROM b WHERE own <> theirs GROUP BY 1", c=CHUNKS, s=SECTIONS).replace(")\n,", "),"),
 }
+
+CITED_ALL_SQL = CITED_SQL.replace("OVER (ORDER BY", "OVER (PARTITION BY report_id ORDER BY").replace("PARTITION BY h.parent_id", "PARTITION BY h.report_id, h.parent_id").replace(" WHERE h.report_id IN ('R7', 'R9', 'R11')", "")
+PARENTS_SQL = ", g AS (SELECT report_id, coalesce(parent_id, 'unknown') AS parent_id, string_agg(chunk_id, ',' ORDER BY score DESC, chunk_id) AS chunk_ids, max(score) AS best, count(*) AS children FROM h GROUP BY 1, 2)"
+ORACLE_SQL |= {
+    "group_by_parent_all": over(f"{PARENTS_SQL} SELECT report_id, parent_id, chunk_ids, children, CAST(row_number() OVER (PARTITION BY report_id ORDER BY best DESC, parent_id) AS INT) AS parent_rank FROM g", h=HITS).replace(")\n,", "),"),
+    "attention_reorder_all": over(f"{PARENTS_SQL}, k AS (SELECT report_id, parent_id, row_number() OVER (PARTITION BY report_id ORDER BY best DESC, parent_id) - 1 AS r, count(*) OVER (PARTITION BY report_id) AS n FROM g) SELECT report_id, parent_id, CAST(CASE WHEN n <= 2 THEN r WHEN 2 * r < n THEN 2 * r ELSE 2 * (n - 1 - r) + 1 END AS INT) AS place FROM k", h=HITS).replace(")\n,", "),"),
+    "citations_all": over(f", {CITED_ALL_SQL} SELECT CAST(id AS INT) AS id, report_id, section, hierarchy, page, title, chunk_id FROM cited", h=HITS, s=SECTIONS, r=REPORTS).replace(")\n,", "),"),
+    "citation_map_all": over(f", {CITED_ALL_SQL} SELECT report_id, section || ', p.' || CAST(page AS STRING) AS key, max_by(chunk_id, id) AS chunk_id, CAST(max(id) AS INT) AS id FROM cited GROUP BY 1, 2", h=HITS, s=SECTIONS, r=REPORTS).replace(")\n,", "),"),
+    "context_string_all": ORACLE_SQL["context_string"].replace(" WHERE h.report_id IN ('R7', 'R9')", ""),
+}
