@@ -28,7 +28,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat files by their end identifiers."""
-    return token_files.token_counts(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 49407)
+    return token_files.token_counts(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), token_files.SEPARATOR)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from quarry.llm.tokens import words
 TOKENS = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 #: Documents of one Arrow batch that carries id lists between Python and the JVM hold about so many bytes of text.
 BATCH_BYTES = 4 << 20
+#: An end identifier beyond the vocabularies whose ids fit into 16 bits with it, so that a text's own special tokens count.
+SEPARATOR = 65535
 
 
 def write_parquet(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> None:
@@ -165,7 +167,8 @@ def count_flat(files: DataFrame, end_id: int, block_bytes: int = 4 << 20) -> Dat
 def token_counts(docs: DataFrame, tokenizer: str, end_id: int, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id and n_tokens of every document, counted in flat token files.
 
-    Null texts have no tokens, null ids stay null, repeated rows count each, an empty table gives no rows.
+    An ``end_id`` among a text's ids is not counted; SEPARATOR is beyond the vocabulary, so every id counts. Null texts
+    have no tokens, null ids stay null, repeated rows count each, an empty table gives no rows.
     """
     placed = materialise(write_flat(docs, scratch(docs.sparkSession, "flat"), tokenizer, end_id), "flat-docs")
     # Spark takes the scan of a short list of files for small; it has a row per document.

@@ -10,9 +10,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from conftest import table
 from tokenizers import Tokenizer
 
-from quarry.llm import packing, pieces, token_files
+from quarry.llm import packing, pieces, queries, token_files
 from quarry.llm.common import materialise, scratch
 from quarry.llm.tokens import Words
 
@@ -151,3 +152,12 @@ def test_empty_tables(empty):
     assert packing.best_fit(empty, byte).count() == 0
     assert pieces.encode_decode(empty, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
     assert materialise(empty, "x").count() == 0 and not defaultdict(int)
+
+
+def test_special_tokens_in_texts_count(spark, monkeypatch):
+    """The query counts every id, also that of a special token that stands in a text."""
+    rows = [(1, "a<|endoftext|>b", "en"), (2, "<|endoftext|>", "en"), (3, "plain words", "en")]
+    monkeypatch.setattr(queries, "read", lambda *_: table(spark, rows))
+    got = {r["doc_id"]: r["n_tokens"] for r in queries.op3_token_counts(spark, "").collect()}
+    want = {i: len(ids) for i, ids in expected(rows, "word_bpe_49k.json")}
+    assert got == want and want[2] == 1
