@@ -28,13 +28,14 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def surt(url: str | None) -> str:
-    """Key of a URL: lower-case host labels in reverse, then port, path and query; scheme, user, fragment and a leading www are left out."""
+    """Key of a URL: lower-case host labels in reverse, then port, path and query; scheme, user, fragment and a leading www are left out, tab and newline are escaped."""
     rest = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", (url or "").strip()).partition("#")[0]
     host, slash, path = re.match(r"([^/?]*)(/?)(.*)", rest, re.S).groups()
     host, _, port = host.rpartition("@")[2].lower().partition(":")
     host = host.removeprefix("www.")
     path = slash + path if slash or not path else "/" + path
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in ("80", "443") else "") + ")" + (path or "/")
+    key = ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in ("80", "443") else "") + ")" + (path or "/")
+    return key.replace("\t", "%09").replace("\n", "%0A")
 
 
 def payload_digest(payload: bytes) -> str:
@@ -148,7 +149,6 @@ def build_index(captures: DataFrame, folder: str) -> list[tuple[tuple, str]]:
         with store.open_output_stream(place + ".cdx") as out:
             for batch in batches:
                 for row in zip(*(batch.column(c.split()[0]).to_pylist() for c in CAPTURES.split(", ")), strict=True):
-                    row = (row[0].replace("\t", "%09").replace("\n", "%0A"), *row[1:])
                     first = first or row[:3]
                     held.append(row)
                     if len(held) == BLOCK_LINES:
@@ -189,7 +189,7 @@ class Index:
 
     def find(self, surt_key: str, page_id: int | None, digest: str) -> tuple[str, int, int] | None:
         """File, offset and length of a capture's record."""
-        key = _key(surt_key.replace("\t", "%09").replace("\n", "%0A"), page_id, digest)
+        key = _key(surt_key, page_id, digest)
         shard = bisect_right(self.keys, key) - 1
         if shard < 0:
             return None
@@ -217,7 +217,7 @@ class Index:
 def lookup(pages: DataFrame, shards: list[tuple[tuple, str]]) -> DataFrame:
     """The record of each page (page_id, url, html), found through the index and read from its archive.
 
-    Pages without a capture have no row. Look-ups run in the index's order, so each task reads few blocks.
+    A page without a capture is an error. Look-ups run in the index's order, so each task reads few blocks.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +232,9 @@ def lookup(pages: DataFrame, shards: list[tuple[tuple, str]]) -> DataFrame:
             rows = []
             for key in zip(*(batch.column(c).to_pylist() for c in ("surt", "page_id", "digest")), strict=True):
                 place = index.find(*key)
-                if place:
-                    rows.append(parse(index.read(place)))
+                if not place:
+                    raise ValueError(f"no capture of page {key[1]} in the index")
+                rows.append(parse(index.read(place)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RECORDS.split(", ")])

@@ -170,3 +170,15 @@ def test_archive_is_plain_warc(spark):
 
 def test_surt():
     assert warc.surt("http://www.Example.org/a?b=1#f") == "org,example)/a?b=1" and warc.surt("https://u@b.example.org:8080") == "org,example,b:8080)/" and warc.surt(None) == ")/"
+
+
+def test_keys_with_tabs(spark, monkeypatch):
+    """Captures are sorted and searched by one key; a page that is not in the index is an error."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 1)
+    urls = ["http://a/a b", "http://a/a\tb", "http://a/a\nb", "http://a/a!b", "http://a/a#b"]
+    pages = spark.createDataFrame([(i, u, f"body {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    folder = scratch(spark, "w")
+    shards = warc.build_index(warc.write(pages, folder).coalesce(1), folder)
+    assert sorted(r["page_id"] for r in warc.lookup(pages, shards).collect()) == [0, 1, 2, 3, 4]
+    with pytest.raises(Exception, match="no capture of page 9"):
+        warc.lookup(spark.createDataFrame([(9, "http://b/", "x")], "page_id long, url string, html string"), shards).collect()
