@@ -54,9 +54,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near duplicates."""
+    """One document of each class of near duplicates: that of least doc_id, of equal ones that of least text_key."""
     classes = jaccard.near_duplicates(docs, n=5, threshold=0.8, recall=0.999)
-    return _rows(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))), "left_semi")
+    return _rows(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))), "left_semi")
 
 
 @_stage

@@ -180,7 +180,7 @@ def _verify(n: int, threshold: float):
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One row per document: doc_id, text_key, class_id, its number of links and the size of its class.
+    """One row per document: doc_id, text_key, class_id, its number of links, the size of its class and the class's keep_id and keep_key.
 
     Two documents are linked when the Jaccard similarity of their sets of word ``n``-grams is ``threshold`` or more;
     a class is what links connect, named by its least doc_id; n_links counts all documents linked to this one.
@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     pairs are counted but never emitted.
 
     Null texts count as empty; texts without words are one class; texts of fewer than ``n`` words have one n-gram.
-    Null ids stay null and name a class only if it has no other; repeated rows count as documents. Other columns are
+    Null ids stay null and name a class only if it has no other. keep_id and keep_key are the doc_id and text_key of one
+    member, that of the least id and then key, null ids last. Repeated rows count as documents. Other columns are
     left out.
     """
     bands, rows = choose_bands(threshold, recall)
@@ -220,8 +221,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     single = checked.where("blocks = 1").select("node", F.col("tie").alias("root"))
     spread = checked.where("blocks > 1 and node <> tie").select(F.col("node").alias("a"), F.col("tie").alias("b"))
     several = components(spread) if not spread.isEmpty() else spread.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    tied = nodes.select("node", "seq1", "seq2", "doc_id", "copies").join(single.unionByName(several), "node", "left").join(links, "node", "left")
-    tied = tied.select("seq1", "seq2", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    classes = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = tied.join(classes, "root").select("seq1", "seq2", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "text_key", "seq1", "seq2").join(named, ["seq1", "seq2"]).select("doc_id", "text_key", "class_id", "n_links", "class_size")
+    tied = nodes.select("node", "seq1", "seq2", "doc_id", "text_key", "copies").join(single.unionByName(several), "node", "left").join(links, "node", "left")
+    tied = tied.select("seq1", "seq2", "doc_id", "text_key", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("keep"))
+    named = tied.join(classes, "root").select("seq1", "seq2", "class_id", "class_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "text_key", "seq1", "seq2").join(named, ["seq1", "seq2"]).select("doc_id", "text_key", "class_id", "n_links", "class_size", "keep_id", "keep_key")

@@ -68,3 +68,12 @@ def test_run(spark, folder):
 
 def test_registered():
     assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_one_near_copy_stays(spark):
+    """Of near copies with one id or without ids one document stays."""
+    texts = [*variants(9, 3, 80), *variants(10, 3, 80)]
+    ids = [5, 5, 7, None, None, None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == [5, None]
