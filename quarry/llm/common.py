@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Most rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Before the names of catalog tables among the recorded folders.
+TABLE = "table:"
 _recorded: list[list[str]] = [[]]
 
 
@@ -27,22 +30,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session that passes at most BATCH_ROWS rows or BATCH_BYTES at once between Spark and Python.
 
-    Texts may be long, and a batch is held on both sides.
+    Texts may be long, and a batch is held on both sides. Plans read these settings when they run, so they stay set for
+    the session; smaller values of the caller's own are left alone.
     """
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(name, str(most))
     return df
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name in the shared folder of ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests, one machine) a temporary folder is set as checkpoint folder and used.
+    Where that setting is absent and Spark runs in one process (tests), a temporary folder is set as checkpoint folder
+    and used; on a cluster, whose machines don't share such a folder, that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="quarry-scratch-")
         spark.sparkContext.setCheckpointDir(base)
@@ -66,14 +75,27 @@ def recording() -> Iterator[list[str]]:
         _recorded.pop()
 
 
+def bucketed(df: DataFrame, what: str, column: str, parts: int, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, bucketed by a column. ``release`` drops it from the catalog too."""
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    name = path.rpartition("/")[2].replace("-", "_")
+    _recorded[-1].append(TABLE + name)
+    df.write.format("parquet").option("path", path).options(**options).bucketBy(parts, column).saveAsTable(name)
+    return spark.table(name)
+
+
 def adopt(paths: list[str]) -> None:
     """Hand folders on to whoever records now."""
     _recorded[-1].extend(paths)
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch folders, in whatever store they are."""
+    """Delete scratch folders, in whatever store they are, and drop scratch tables."""
     for path in paths:
+        if path.startswith(TABLE):
+            spark.sql(f"DROP TABLE IF EXISTS {path.removeprefix(TABLE)}")
+            continue
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     paths.clear()

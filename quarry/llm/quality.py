@@ -7,7 +7,6 @@ joins and aggregates of keys that Spark shards by hash.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, recording, release, scratch, slices, small_batches, strings, text_key, text_of, utf8
+from quarry.llm.common import bucketed, materialise, recording, release, slices, small_batches, strings, text_key, text_of, utf8
 
 #: A text begins after ORDER - 1 of these bytes, which UTF-8 has not.
 START = 255
@@ -150,12 +149,9 @@ def gather(docs: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
                 ids = pa.array([own["doc_id"].to_pylist()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([block]), ids, pa.array([press.compress(raw)], pa.binary())], names=["block", "ids", "docs"])
 
-    spark = docs.sparkSession
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
-    name, path = f"quarry_blocks_{uuid.uuid4().hex}", scratch(spark, "blocks")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.mapInArrow(fill, "block long, ids array<long>, docs binary").write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(parts, "block").saveAsTable(name)
-    return spark.table(name)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(rows.mapInArrow(fill, "block long, ids array<long>, docs binary"), "blocks", "block", parts, compression="uncompressed")
 
 
 def count_ngrams(blocks: DataFrame, good: DataFrame, order: int) -> DataFrame:

@@ -64,9 +64,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the bytes that repeated 400-byte strings cover."""
-    kept = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return kept.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """All documents without the bytes that repeated 400-byte strings cover; n_passage counts those of PASSAGE bytes."""
+    kept = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), length=400, passage=suffix.PASSAGE)
+    return kept.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
 
 
 QUERIES = {

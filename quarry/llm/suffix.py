@@ -5,6 +5,8 @@ window starts are put together in cells, maximal runs of starts with the same mi
 cells of the same minimum. Minima that occur once end there. Cells of equal bytes are counted, not compared; one of
 each kind goes on, and cells of one minimum meet in one shard (or a few, where a minimum has very many kinds of cells),
 whose suffix array settles which windows are equal.
+
+Several lengths are settled at once: cells are those of the least length, and carry the bytes that the greatest needs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from quarry.llm.common import materialise, ranges, slices, small_batches, string
 from quarry.llm.jaccard import ODD, mix
 
 GRAM = 64
+#: Bytes of a passage: 50 words of three letters and a space. 99 in 100 strings of 51 words of the sample tables have over 200.
+PASSAGE = 200
 #: Window starts that a cell holds at most; longer runs are several cells.
 CELL = 1024
 #: Text bytes of a vectorised step, and bytes from which a shard's suffix array is built.
@@ -28,7 +32,7 @@ STEP, SHARD = 1 << 18, 1 << 21
 #: Kinds of cells of one minimum beyond which they are dealt to several shards.
 HOT = 1024
 BASE = 0x9E3779B97F4A7C15
-CELLS = "doc_id long, text_key long, s int, n int, f long, ch long, occ int"
+CELLS = "doc_id long, text_key long, s int, n int, size int, f long, ch long, occ int"
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -50,13 +54,14 @@ def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return op(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def cells_of(b: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Cells of texts that stand one after the other: text number, first start, starts, minimum, contents' hash, occurrences.
+def cells_of(b: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Cells of texts that stand one after the other: text number, first start, starts, size, minimum, contents' hash, occurrences.
 
+    Windows have ``length`` bytes; a cell's contents reach ``reach`` bytes from its last start, or to the text's end.
     Occurrences of the minimum in a text are given with its first cell there.
     """
     width = length - GRAM + 1
-    none = tuple(np.zeros(0, np.int64) for _ in range(6))
+    none = tuple(np.zeros(0, np.int64) for _ in range(7))
     if len(b) < length:
         return none
     h = gram_hashes(b)
@@ -92,23 +97,24 @@ def cells_of(b: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     back = np.uint64(pow(BASE, -1, 1 << 64))
     inverse = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(h), back))))
     total = np.concatenate(([np.uint64(0)], np.cumsum(mix(h ^ ODD) * power[: len(h)])))
-    ch = mix((total[s + n + width - 1] - total[s]) * inverse[s] + n.astype(np.uint64))
-    return text, s - offsets[text], n, f.view(np.int64), ch.view(np.int64), occ
+    have = np.minimum(n - 1 + reach, offsets[text + 1] - s)
+    ch = mix((total[s + have - GRAM + 1] - total[s]) * inverse[s] + (n + (have << 32)).astype(np.uint64))
+    return text, s - offsets[text], n, have, f.view(np.int64), ch.view(np.int64), occ
 
 
-def suffix_order(b: np.ndarray, need: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes with the start flagged in ``need`` by their first ``length`` bytes, and the group of each in that order.
+def suffix_order(b: np.ndarray, need: np.ndarray, depths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the ascending depths, the suffixes with the start flagged in ``need`` by their first bytes, and the group of each.
 
     Larsson-Sadakane: a suffix is numbered by the place where its group begins; each round sorts only the groups of more
-    than one suffix by the number of the suffix further on, which doubles the depth. The last round reaches ``length``.
+    than one suffix by the number of the suffix further on, which doubles the depth. A round ends at each of ``depths``,
+    and the next goes on from there.
     """
     key = np.concatenate((b, np.zeros(8, np.uint8)))
     words = np.zeros(len(b), np.uint64)
     for i in range(8):
         words = (words << np.uint64(8)) | key[i : i + len(b)]
-    order = np.argsort(words, kind="stable")
-    rank = np.zeros(len(b) + length, np.int64)
-    place = np.arange(len(b))
+    order = np.argsort(words)
+    rank = np.zeros(len(b) + depths[-1], np.int64)
 
     def number(slots: np.ndarray, own: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = np.append(True, keys[1:] != keys[:-1])
@@ -117,17 +123,19 @@ def suffix_order(b: np.ndarray, need: np.ndarray, length: int) -> tuple[np.ndarr
         alone = start & np.append(start[1:], True)
         return slots[~alone], own[~alone]
 
-    slots, own = number(place, order, words[order])
-    depth = 8
-    while depth < length and len(own):
-        step = min(depth, length - depth)
-        both = (rank[own] << 32) | rank[own + step]
-        turn = np.argsort(both, kind="stable")
-        order[slots] = own[turn]
-        depth += step
-        slots, own = number(slots, own[turn], both[turn])
-    kept = need[order]
-    return order[kept], rank[order[kept]]
+    slots, own = number(np.arange(len(b)), order, words[order])
+    done = 8
+    for depth in depths:
+        while done < depth and len(own):
+            step = min(done, depth - done)
+            both = (rank[own] << 32) | rank[own + step]
+            turn = np.argsort(both)
+            order[slots] = own[turn]
+            done += step
+            slots, own = number(slots, own[turn], both[turn])
+        done = max(done, depth)
+        kept = order[need[order]]
+        yield kept, rank[kept]
 
 
 def common_prefixes(b: np.ndarray, order: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
@@ -160,16 +168,22 @@ def common_prefixes(b: np.ndarray, order: np.ndarray, group: np.ndarray, most: i
     return out
 
 
-def repeated_starts(b: np.ndarray, need: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of the starts whose ``length`` bytes also begin at another flagged start, and the number of each start's group."""
-    order, group = suffix_order(b, need, length)
-    shared = common_prefixes(b, order, group, length) >= length
-    again = shared | np.append(shared[1:], False) if len(shared) else shared
-    out = np.zeros(len(b), bool)
-    out[order[again]] = True
-    number = np.full(len(b), -1, np.int64)
-    number[order] = group
-    return out, number
+def repeated_starts(b: np.ndarray, left: np.ndarray, depths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each depth, flags of the starts whose bytes to that depth also begin at another start, and the number of each start's group.
+
+    ``left`` has the bytes from a start to the end of its text, 0 where no string of interest begins; -1 is the group of
+    places with fewer than the depth.
+    """
+    for depth, (order, group) in zip(depths, suffix_order(b, left > 0, depths), strict=True):
+        whole = left[order] >= depth
+        order, group = order[whole], group[whole]
+        shared = common_prefixes(b, order, group, depth) >= depth
+        again = shared | np.append(shared[1:], False) if len(shared) else shared
+        out = np.zeros(len(b), bool)
+        out[order[again]] = True
+        number = np.full(len(b), -1, np.int64)
+        number[order] = group
+        yield out, number
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,9 +199,10 @@ def window_digests(b: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
     return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)
 
 
-SPANS = "doc_id long, text_key long, a long, b long"
+SPANS = "doc_id long, text_key long, length int, a long, b long"
 RUNS = "f long, bucket int, shard int, d1 array<long>, d2 array<long>, single array<boolean>, ids array<long>, keys array<long>, places array<long>"
 SETTLED = SPANS + ", " + RUNS
+_SPAN = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 _LISTS = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
@@ -200,7 +215,7 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _settle(length: int):
+def _settle(lengths: list[int]):
     """Suffix arrays over cells that stream in by minimum and shard: the repeated spans of cells that no other equals.
 
     Where a minimum's cells are in several shards, each shard also gives its kinds of windows, in sorted runs of digests.
@@ -211,33 +226,41 @@ def _settle(length: int):
         at = np.cumsum(sizes) - sizes
         b = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
         starts = np.array([r["n"] for r in rows])
-        need = np.zeros(len(b), bool)
-        need[ranges(at, starts)] = True
-        again, number = repeated_starts(b, need, length)
-        out: list[tuple] = []
-        for r, i in zip(rows, at.tolist(), strict=True):
-            if r["copies"] == 1:
-                for x, y in zip(*runs_of(again[i : i + r["n"]]), strict=True):
-                    out.append((r["doc_id"], r["text_key"], r["s"] + int(x), r["s"] + int(y) - 1 + length, *[None] * 9))
+        copies = np.array([r["copies"] for r in rows])
+        place = ranges(at, starts)
+        left = np.zeros(len(b), np.int64)
+        left[place] = np.repeat(at + sizes, starts) - place
         shards: dict[tuple, list[int]] = {}
         for k, r in enumerate(rows):
             if r["shards"] > 1:
                 shards.setdefault((r["f"], r["shard"], r["buckets"]), []).append(k)
-        for (f, shard, buckets), own in shards.items():
-            place = ranges(at[own], starts[own])
-            cell = np.repeat(own, starts[own])
-            _, kind = np.unique(number[place], return_index=True)  # one start of each kind of window
-            place, cell = place[kind], cell[kind]
-            digest = window_digests(b, place, length).view(np.int64)
-            single = ~again[place] & (np.array([r["copies"] for r in rows])[cell] == 1)
-            order = np.lexsort((digest[:, 1], digest[:, 0], digest[:, 1] % buckets))
-            place, cell, digest, single = place[order], cell[order], digest[order], single[order]
-            bucket = digest[:, 1] % buckets
-            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                told = [(rows[c]["doc_id"], rows[c]["text_key"], rows[c]["s"] + p) for c, p in zip(cell[x:y].tolist(), (place[x:y] - at[cell[x:y]]).tolist(), strict=True)]
-                out.append((None, None, None, None, f, int(bucket[x]), shard, digest[x:y, 0], digest[x:y, 1], single[x:y], *map(list, zip(*told, strict=True))))
-        return _batch(out, _names(SETTLED), [pa.int64()] * 5 + [pa.int32()] * 2 + _LISTS)
+        out: list[tuple] = []
+        for length, (again, number) in zip(lengths, repeated_starts(b, left, lengths), strict=True):
+            x, y = runs_of(again)
+            cell = np.searchsorted(at, x, side="right") - 1  # a run ends with its cell, whose last bytes are no starts
+            for k, i, j in zip(cell.tolist(), (x - at[cell]).tolist(), (y - at[cell]).tolist(), strict=True):
+                r = rows[k]
+                if r["copies"] == 1:
+                    out.append((r["doc_id"], r["text_key"], length, r["s"] + i, r["s"] + j - 1 + length, *[None] * 9))
+            for (f, shard, buckets), own in shards.items():
+                place = ranges(at[own], starts[own])
+                cell = np.repeat(own, starts[own])
+                whole = number[place] >= 0
+                place, cell = place[whole], cell[whole]
+                if not len(place):
+                    continue
+                _, kind = np.unique(number[place], return_index=True)  # one start of each kind of window
+                place, cell = place[kind], cell[kind]
+                digest = window_digests(b, place, length).view(np.int64)
+                single = ~again[place] & (copies[cell] == 1)
+                bucket = digest[:, 1] % buckets
+                order = np.lexsort((digest[:, 1], digest[:, 0], bucket))
+                place, cell, digest, single, bucket = place[order], cell[order], digest[order], single[order], bucket[order]
+                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    told = [(rows[c]["doc_id"], rows[c]["text_key"], rows[c]["s"] + p) for c, p in zip(cell[i:j].tolist(), (place[i:j] - at[cell[i:j]]).tolist(), strict=True)]
+                    out.append((None, None, length, None, None, f, int(bucket[i]), shard, digest[i:j, 0], digest[i:j, 1], single[i:j], *map(list, zip(*told, strict=True))))
+        return _batch(out, _names(SETTLED), [*_SPAN, pa.int64(), pa.int32(), pa.int32(), *_LISTS])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -256,8 +279,12 @@ def _settle(length: int):
     return settle
 
 
-def _merge(length: int):
-    """Windows of one shard that another shard of the same minimum has too, found by binary search in its sorted run."""
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of one shard that another shard of the same minimum has too.
+
+    A shard gives a kind of window once, so the runs of all shards are sorted together, and binary search tells whether
+    a window stands there more than once.
+    """
 
     def joined(run: dict) -> np.ndarray:
         out = np.empty(len(run["d1"]), "i8,i8")
@@ -267,53 +294,49 @@ def _merge(length: int):
     def merge_runs(runs: list[dict]) -> pa.RecordBatch:
         out: list[tuple] = []
         digests = [joined(r) for r in runs]
-        ordered = [np.sort(d, order=("f0", "f1")) for d in digests]
-        for k, run in enumerate(runs):
+        every = np.sort(np.concatenate(digests), order=("f0", "f1"))
+        for digest, run in zip(digests, runs, strict=True):
             todo = np.flatnonzero(np.array(run["single"], bool))
-            found = np.zeros(len(todo), bool)
-            for j, other in enumerate(ordered):
-                if runs[j]["shard"] != run["shard"]:
-                    at = np.minimum(np.searchsorted(other, digests[k][todo]), len(other) - 1)
-                    found |= other[at] == digests[k][todo]
-            out += [(run["ids"][i], run["keys"][i], run["places"][i], run["places"][i] + length) for i in todo[found].tolist()]
-        return _batch(out, _names(SPANS), [pa.int64()] * 4)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and (held[-1]["f"], held[-1]["bucket"]) != (row["f"], row["bucket"]):
-                    yield merge_runs(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield merge_runs(held)
-
-    return merge
+            found = np.searchsorted(every, digest[todo], side="right") - np.searchsorted(every, digest[todo], side="left") > 1
+            out += [(run["ids"][i], run["keys"][i], run["length"], run["places"][i], run["places"][i] + run["length"]) for i in todo[found].tolist()]
+        return _batch(out, _names(SPANS), _SPAN)
+
+    held: list[dict] = []
+    key = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = (row["f"], row["bucket"], row["length"])
+            if held and own != key:
+                yield merge_runs(held)
+                held = []
+            key = own
+            held.append(row)
+    if held:
+        yield merge_runs(held)
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return small_batches(docs).select(*more, F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """Spans (doc_id, text_key, a, b) of whole texts' bytes whose union is all that repeated strings cover.
+def repeated_spans(docs: DataFrame, lengths: list[int], hot: int = HOT) -> DataFrame:
+    """Spans (doc_id, text_key, length, a, b) of whole texts' bytes: for each length their union is all that repeated strings cover.
 
     Spans of a document may overlap. Documents without repeats have none.
     """
-    if length < GRAM + 8:
+    lengths = sorted(set(lengths))
+    least, most = lengths[0], lengths[-1]
+    if least < GRAM + 8:
         raise ValueError(f"strings of at least {GRAM + 8} bytes")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(strings(batch, "text"))
             for a, b in slices(np.diff(offsets), STEP):
-                text, s, n, f, ch, occ = cells_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
+                text, s, n, size, f, ch, occ = cells_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least, most)
                 rows = pa.array(text + a)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(f), pa.array(ch), pa.array(occ.astype(np.int32))],
-                    names=[c.split()[0] for c in CELLS.split(", ")],
-                )
+                small = [pa.array(x.astype(np.int32)) for x in (s, n, size)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_key").take(rows), *small, pa.array(f), pa.array(ch), pa.array(occ.astype(np.int32))], names=_names(CELLS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,11 +344,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
             wanted = batch.column("cells")
             at, flat = np.asarray(wanted.offsets), wanted.flatten()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            s, n = flat.field("s").to_numpy(), flat.field("n").to_numpy()
+            s, size = flat.field("s").to_numpy(), flat.field("size").to_numpy()
             begin = offsets[owner] + s
             raw = data.tobytes()
-            for x, y in slices(n + length, 1 << 22):
-                pieces = [raw[i : i + k - 1 + length] for i, k in zip(begin[x:y].tolist(), n[x:y].tolist(), strict=True)]
+            for x, y in slices(size, 1 << 22):
+                pieces = [raw[i : i + k] for i, k in zip(begin[x:y].tolist(), size[x:y].tolist(), strict=True)]
                 rows = pa.array(owner[x:y])
                 yield pa.RecordBatch.from_arrays(
                     [flat.field(c).slice(x, y - x) for c in ("f", "shard", "shards", "buckets", "copies", "s", "n")] + [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(pieces, pa.binary())],
@@ -333,22 +356,25 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
                 )
 
     found = materialise(_keyed(docs).mapInArrow(cells, CELLS), "cells")
-    kinds = found.groupBy("f", "ch").agg(F.count("*").alias("copies"), F.sum("occ").alias("occ"), F.min(F.struct("doc_id", "text_key", "s", "n")).alias("at"))
+    kinds = found.groupBy("f", "ch").agg(F.count("*").alias("copies"), F.sum("occ").alias("occ"), F.min(F.struct("doc_id", "text_key", "s", "n", "size")).alias("at"))
     kinds = materialise(kinds, "kinds")
     minima = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.sum("occ").alias("occ"), F.sum("copies").alias("all")).where("kinds > 1 or occ > all")
     open_kinds = kinds.join(minima.select("f", "kinds"), "f").select("f", "ch", "copies", "kinds", "at.*")
     dealt = open_kinds.withColumn("shards", F.ceil(F.col("kinds") / hot).cast("int")).select(
-        "doc_id", "text_key", F.struct("f", F.pmod("ch", "shards").cast("int").alias("shard"), "shards", F.col("shards").alias("buckets"), "copies", "s", "n").alias("cell")
+        "doc_id", "text_key", F.struct("f", F.pmod("ch", "shards").cast("int").alias("shard"), "shards", F.col("shards").alias("buckets"), "copies", "s", "n", "size").alias("cell")
     )
     wanted = dealt.groupBy("doc_id", "text_key").agg(F.collect_list("cell").alias("cells"))  # at most a document's own cells
     texts = _keyed(docs).alias("t")
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
     sources = texts.join(wanted.alias("w"), same).select("t.doc_id", "t.text_key", "text", "cells")
     bytes_of = sources.mapInArrow(cut, "f long, shard int, shards int, buckets int, copies long, s int, n int, doc_id long, text_key long, bytes binary")
-    settled = materialise(bytes_of.repartition("f", "shard").sortWithinPartitions("f", "shard").mapInArrow(_settle(length), SETTLED), "settled")
-    merged = settled.where("f is not null").select(*_names(RUNS)).repartition("f", "bucket").sortWithinPartitions("f", "bucket", "shard").mapInArrow(_merge(length), SPANS)
-    copied = found.join(kinds.where("copies > 1").select("f", "ch"), ["f", "ch"]).select("doc_id", "text_key", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") - 1 + length).cast("long").alias("b"))
-    return settled.where("f is null").select("doc_id", "text_key", "a", "b").unionByName(merged).unionByName(copied)
+    settled = materialise(bytes_of.repartition("f", "shard").sortWithinPartitions("f", "shard").mapInArrow(_settle(lengths), SETTLED), "settled")
+    runs = settled.where("f is not null").select("length", *_names(RUNS))
+    merged = runs.repartition("f", "bucket").sortWithinPartitions("f", "bucket", "length").mapInArrow(_merge, SPANS)
+    copied = found.join(kinds.where("copies > 1").select("f", "ch"), ["f", "ch"])
+    ends = [F.struct(F.lit(x).alias("length"), (F.col("s") + F.least(F.col("n") - 1 + x, "size")).cast("long").alias("b")) for x in lengths]
+    copied = copied.withColumn("end", F.explode(F.array(*ends))).where(F.col("size") >= F.col("end.length")).select("doc_id", "text_key", "end.length", F.col("s").cast("long").alias("a"), "end.b")
+    return settled.where("f is null").select(*_names(SPANS)).unionByName(merged).unionByName(copied)
 
 
 def kept_parts(size: int, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
@@ -365,33 +391,36 @@ def kept_parts(size: int, spans: list[tuple[int, int]]) -> tuple[list[tuple[int,
     return left, runs
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = None, hot: int = HOT) -> DataFrame:
     """Every document without the bytes that a repeated string of ``length`` bytes covers.
 
     row (a struct of the document's own columns without its text), kept (the remaining bytes), text (these without the
-    pieces of characters that a cut may leave), n_bytes, n_removed and n_spans, the number of maximal removed runs.
+    pieces of characters that a cut may leave), n_bytes, n_removed and n_spans, the number of maximal removed runs, and
+    n_passage, the bytes that repeated strings of ``passage`` bytes cover (by default n_removed), which stay.
     Strings repeat within a document or across, overlaps count, and all is judged on the input. Null texts count as
     empty; texts shorter than ``length`` stay whole; repeated rows are documents, so all their long strings repeat; null
     ids stay null.
     """
+    passage = passage or length
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(strings(batch, "text"))
             raw = data.tobytes()
-            kept, removed, runs = [], [], []
+            kept, removed, runs, passages = [], [], [], []
             for a, b, spans in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
-                left, count = kept_parts(b - a, [(x["a"], x["b"]) for x in spans or []])
+                left, count = kept_parts(b - a, [(x["a"], x["b"]) for x in spans or [] if x["length"] == length])
                 kept.append(b"".join(raw[a + x : a + y] for x, y in left))
                 removed.append(b - a - len(kept[-1]))
                 runs.append(count)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-                names=["row", "kept", "text", "n_bytes", "n_removed", "n_spans"],
-            )
+                rest, _ = kept_parts(b - a, [(x["a"], x["b"]) for x in spans or [] if x["length"] == passage])
+                passages.append(b - a - sum(y - x for x, y in rest))
+            text = pa.array([k.decode(errors="ignore") for k in kept], pa.string())
+            numbers = [pa.array(x, pa.int64()) for x in (np.diff(offsets), removed, runs, passages)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), text, *numbers], names=["row", "kept", "text", "n_bytes", "n_removed", "n_spans", "n_passage"])
 
-    spans = repeated_spans(docs, length, hot).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(docs, [length, passage], hot).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("length", "a", "b")).alias("spans"))
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
     joined = _keyed(docs, row).alias("t").join(spans.alias("w"), same, "left").select("t.row", "text", "spans")
-    return joined.mapInArrow(remove, f"row {joined.schema['row'].dataType.simpleString()}, kept binary, text string, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(remove, f"row {joined.schema['row'].dataType.simpleString()}, kept binary, text string, n_bytes long, n_removed long, n_spans long, n_passage long")

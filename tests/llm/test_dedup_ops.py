@@ -124,6 +124,19 @@ def test_repeats(spark, edge_rows, hot):
     assert all(bytes(r.kept).decode(errors="ignore") == r.text for r in got.itertuples())
 
 
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_two_lengths(spark, edge_rows, hot):
+    """Repeats of two lengths, settled at once, are those of each length alone."""
+    passage = words(40, 70)
+    rows = [r for r in edge_rows if r[0] not in (8, 9)]
+    rows += [(300 + k, words(50 + k, 30 + k) + " " + passage[k * 5 : 140 + 20 * k] + " " + words(90 + k, k), "en") for k in range(9)]
+    rows += [(400, passage[:150] + words(7, 9) + passage[60:300] + words(8, 9) + passage[:150], "en"), (401, "é" * 200, "fr"), (402, words(9, 30) + passage[-150:], "en"), (403, words(10, 30) + passage[-150:], "en")]
+    got = suffix.remove_repeats(table(spark, rows).repartition(4), length=180, passage=100, hot=hot).select("row.doc_id", "kept", "n_bytes", "n_removed", "n_spans", "n_passage").toPandas()
+    assert Counter((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got.itertuples()) == brute_removal(rows, 180)
+    shorter = Counter((i, n, gone) for i, n, gone, _, _ in brute_removal(rows, 100).elements())
+    assert Counter((key(r.doc_id), r.n_bytes, r.n_passage) for r in got.itertuples()) == shorter != Counter((key(r.doc_id), r.n_bytes, r.n_removed) for r in got.itertuples())
+
+
 def test_repeats_of_long_texts(spark, edge_rows):
     rows = [r for r in edge_rows if r[0] in (1, 2, 3, 8, 9)]
     got = suffix.remove_repeats(table(spark, rows), length=400).select("row.doc_id", "n_bytes", "n_removed").toPandas()

@@ -12,7 +12,7 @@ from conftest import words
 from test_dedup_ops import brute_classes, brute_removal, key, variants
 from test_quality_ops import PlainModel, calibrating
 
-from quarry.llm import queries
+from quarry.llm import queries, suffix
 from quarry.llm.common import materialise
 
 
@@ -54,7 +54,7 @@ def test_stages(spark, folder):
             kept = Counter(i for i, name, _ in brute_classes(rows).elements() if i == name)
             assert Counter(i for i, _, _ in now) == kept
         else:
-            want = Counter((i, n - gone) for i, n, gone, _, _ in brute_removal(rows, 400).elements())
+            want = Counter((i, n - gone) for i, n, gone, _, _ in brute_removal(rows, suffix.PASSAGE).elements())
             assert Counter((i, len(t.encode())) for i, t, _ in now) == want and sum(n for _, n in want) < sum(len((t or "").encode()) for _, t, _ in rows)
         docs, rows = out, now
     assert {key(r["doc_id"]) for r in out.collect()} == {i for i, _, _ in rows}
