@@ -1,9 +1,16 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next.
+
+Stages take documents with any further columns and give DOCUMENTS alone, the last one pieces. Null texts count as empty
+and null ids stay null in all of them; an empty table gives an empty table of the same columns. A stage's scratch tables
+live until the next stage of the same session begins, so pipelines that run side by side need sessions of their own
+(``spark.newSession()``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +22,8 @@ from quarry.llm.common import materialise, read, recording, release, text_key
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-_tables: list[str] = []
+#: Scratch tables of each session's last stage.
+_tables: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
 
 
 def _stage(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -23,10 +31,10 @@ def _stage(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _tables)
+        release(spark, _tables.setdefault(spark, []))
         with recording() as made:
             out = work(spark, docs, sf_dir)
-        _tables.extend(made)
+        _tables[spark].extend(made)
         return out
 
     return run_stage
@@ -41,34 +49,54 @@ def _rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
 
 @_stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject: those above their language's perplexity threshold go.
+
+    Texts that are null, empty or without bytes to score have no perplexity and stay. Rows of equal doc_id and text are
+    rated alike, so all of them go or stay. A language without trusted documents, null among
+    them, takes the largest threshold of the others; without any trusted document nothing is rejected.
+    """
     rated = quality.classify(docs, read(spark, sf_dir, "labels"))
     return _rows(docs, rated.where(~F.col("accepted")), "left_anti")
 
 
 @_stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, that of the largest doc_id."""
+    """One document of each text, that of the largest doc_id; of rows equal in both, one.
+
+    All null and empty texts are one text. A null doc_id is less than any other.
+    """
     return exact.deduplicate(docs.select(*DOCUMENTS), keep="largest")
 
 
 @_stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of least doc_id, of equal ones that of least text_key."""
+    """One document of each class of near duplicates: that of least doc_id, of equal ones that of least text_key.
+
+    Similarity is that of sets of word 5-grams, 0.8 or more. Texts without words are one class. Null ids come after all
+    others. Rows equal in doc_id and text both stay; the stage before leaves none.
+    """
     classes = jaccard.near_duplicates(docs, n=5, threshold=0.8, recall=0.999)
     return _rows(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))), "left_semi")
 
 
 @_stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without what repeated strings of 400 bytes cover."""
-    kept = suffix.remove_repeats(docs.select(*DOCUMENTS), length=400)
+    """All documents, their texts without what repeated strings of suffix.PASSAGE bytes cover.
+
+    A passage of 50 words is the shortest that should go, and most have fewer than 400 bytes. A text may become empty
+    but its document stays; n_chars is counted anew. Repeats within a text count; all copies of a passage go. Characters
+    that a cut splits go whole.
+    """
+    kept = suffix.remove_repeats(docs.select(*DOCUMENTS), length=suffix.PASSAGE)
     return kept.select("row.doc_id", "text", "row.lang", "row.source", F.length("text").cast("long").alias("n_chars"))
 
 
 @_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' tokens in sequences of at most 1024."""
+    """All documents' tokens in sequences of at most 1024, a row for each piece of a document.
+
+    An empty text is a piece of its end identifier alone; repeated rows are packed each; long texts are cut into pieces.
+    """
     return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
@@ -93,5 +121,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs = materialise(out, name.replace(" ", "-"))
         release(spark, before)
         before = written
-    release(spark, _tables)
+    release(spark, _tables.get(spark, []))
     return docs
