@@ -15,6 +15,8 @@ from quarry.llm.common import materialise, small_batches, strings, text_of
 from quarry.llm.tokens import words
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Pieces that are placed together, from the longest to the shortest. At most a batch of Spark's, which has 2000 rows.
+WINDOW = 2000
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
@@ -91,35 +93,42 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     return small_batches(docs).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(parts: DataFrame, capacity: int, open_bins: int, rows_per_task: int) -> DataFrame:
+def pack(parts: DataFrame, capacity: int, open_bins: int, rows_per_task: int, window: int = WINDOW) -> DataFrame:
     """Sequence and offset for each piece.
 
     Full pieces are sequences of their own. The others are dealt out evenly by a hash of all their columns, so no source
-    or group of copies meets in one task, and each task packs its pieces from the longest to the shortest; what tasks
-    lose by packing apart is a few bins each. Sequence ids hold the task's number in their upper bits.
+    or group of copies meets in one task. There they arrive in the order of their documents, and ``window`` of them at a
+    time are placed from the longest to the shortest, while bins stay open from window to window. What tasks lose by
+    packing apart is a few bins each. Sequence ids hold the task's number in their upper bits.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (TaskContext.get().partitionId() + 1) << 40
         bins = OpenBins(capacity, open_bins)
         for batch in batches:
-            put = [bins.put(n) for n in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([base + b for b, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())],
-                names=[*batch.schema.names, "sequence_id", "offset"],
-            )
+            for a in range(0, batch.num_rows, window):
+                part = batch.slice(a, window)
+                part = part.take(pa.array(np.argsort(-part.column("length").to_numpy(), kind="stable")))
+                put = [bins.put(n) for n in part.column("length").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([base + b for b, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())],
+                    names=[*part.schema.names, "sequence_id", "offset"],
+                )
 
     full = parts.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() - F.lit(2**62)).withColumn("offset", F.lit(0).cast("long"))
     rest = parts.where(F.col("length") < capacity)
     tasks = max(1, -(-rest.count() // rows_per_task))
     dealt = rest.repartition(tasks, F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.monotonically_increasing_id(), F.lit(997))))
-    packed = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "ids_crc32").mapInArrow(fill, PACKED)
+    packed = dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32", "length").mapInArrow(fill, PACKED)
     return full.unionByName(packed)
 
 
-def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, open_bins: int = 16384, rows_per_task: int = 50_000) -> DataFrame:
+def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, open_bins: int = 1024, rows_per_task: int = 50_000) -> DataFrame:
     """Pieces of all documents with the sequence that holds them and their place there, gapless from 0.
 
+    Of bins that a window leaves open those of least free space close first once there are ``open_bins``; with a bound of
+    half a window hardly a window's own bins close before its short pieces come.
+
     Pieces are written to the shared folder before packing, so a lost executor costs no second tokenising.
     An empty table gives no rows.
     """

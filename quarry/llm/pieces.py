@@ -2,7 +2,8 @@
 
 Words of equal length advance together: substrings of all of them are hashed from prefix hashes and probed in the sorted
 keys of the pieces. A unigram model is decoded by Viterbi, whose maxima over piece lengths store backpointers. A BPE
-model is not what Viterbi decodes (its scores are ranks of merges), so there each turn takes every word's best pair.
+file has ranks of merges for scores, which Viterbi can't add up: it is encoded by merges, each turn taking every word's
+best pair, or by Viterbi in its unigram view, which gives the pieces probabilities by their rank.
 """
 
 from __future__ import annotations
@@ -60,9 +61,13 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Pieces:
-    """A SentencePiece model file."""
+    """A SentencePiece model file.
 
-    def __init__(self, path: str):
+    The unigram view of a BPE file has the same pieces. Their probabilities fall with the rank of their merge as Zipf's
+    law has it, 1 / rank over the sum of all; nothing is trained.
+    """
+
+    def __init__(self, path: str, unigram: bool = False):
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
         self.text, self.score, self.type = [], [], []
@@ -80,13 +85,20 @@ class Pieces:
         self.unknown = self.type.index(2)
         self.bytes = {int(t[3:5], 16): i for i, t in enumerate(self.text) if self.type[i] == 6}
         usual = [i for i, t in enumerate(self.type) if t == 1]
+        if unigram and self.kind == BPE:
+            self.kind = UNIGRAM
+            by_rank = sorted(usual, key=lambda i: -self.score[i])
+            total = np.log((1 / np.arange(1, len(usual) + 1)).sum())
+            for rank, i in enumerate(by_rank, 1):
+                self.score[i] = float(np.float32(-np.log(rank) - total))
         self.longest = max(len(self.text[i]) for i in usual)
         keys = np.array([self._hash(self.text[i]) for i in usual], np.uint64)
         turn = np.argsort(keys)
         self.keys, self.ids = keys[turn], np.array(usual, np.int64)[turn]
-        self.scores = np.array([self.score[i] for i in usual], np.float64)[turn]
+        # unigram sums are of 32 bits, as the library's are
+        self.scores = np.array([self.score[i] for i in usual], np.float32 if self.kind == UNIGRAM else np.float64)[turn]
         self.by_text = {self.text[i]: i for i in usual}
-        self.worst = float(self.scores.min()) - UNKNOWN_COST
+        self.worst = np.float32(self.scores.min()) - np.float32(UNKNOWN_COST)
         self.power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(LONG + 1, MULTIPLIER, np.uint64))))
         values = [bytes([int(t[3:5], 16)]) if self.type[i] == 6 else b"" if self.type[i] == 3 else (" ⁇ " if self.type[i] == 2 else t.replace(SPACE, " ")).encode() for i, t in enumerate(self.text)]
         self.value = np.frombuffer(b"".join(values), np.uint8)
@@ -113,14 +125,14 @@ class Pieces:
         return out
 
     def _viterbi(self, chars: np.ndarray) -> np.ndarray:
-        """Where each word's best segmentation begins a piece."""
+        """Where each word's best segmentation begins a piece; of equal ones, that of the longer last piece."""
         n, length = chars.shape
         prefix = self._prefixes(chars)
-        best = np.full((n, length + 1), -np.inf)
+        best = np.full((n, length + 1), -np.inf, np.float32)
         best[:, 0] = 0
         back = np.zeros((n, length + 1), np.int64)
         for end in range(1, length + 1):
-            for size in range(1, min(self.longest, end) + 1):
+            for size in range(min(self.longest, end), 0, -1):
                 at, hit = self._probe(prefix[:, end] - prefix[:, end - size] * self.power[size])
                 own = best[:, end - size] + np.where(hit, self.scores[at], self.worst if size == 1 else -np.inf)
                 better = own > best[:, end]
@@ -173,9 +185,9 @@ class Pieces:
     def _one(self, word: str) -> list[str]:
         """Pieces of a long word."""
         if self.kind == UNIGRAM:
-            best, back = [0.0], [0]
+            best, back = [np.float32(0)], [0]
             for end in range(1, len(word) + 1):
-                found = [(best[end - k] + (self.score[self.by_text[s]] if (s := word[end - k : end]) in self.by_text else self.worst), k) for k in range(1, min(self.longest, end) + 1) if k == 1 or word[end - k : end] in self.by_text]
+                found = [(best[end - k] + (np.float32(self.score[self.by_text[s]]) if (s := word[end - k : end]) in self.by_text else self.worst), k) for k in range(min(self.longest, end), 0, -1) if k == 1 or word[end - k : end] in self.by_text]
                 top = max(x for x, _ in found)
                 best.append(top)
                 back.append(next(k for x, k in found if x == top))
@@ -298,41 +310,52 @@ class Pieces:
         return out
 
 
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[tuple[str, bool], Pieces] = {}
 
 
-def pieces(path: str) -> Pieces:
+def pieces(path: str, unigram: bool = False) -> Pieces:
     """The model of a file, loaded once in a worker."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    if (path, unigram) not in _loaded:
+        _loaded[path, unigram] = Pieces(path, unigram)
+    return _loaded[path, unigram]
+
+
+def crc32s(ids: np.ndarray, counts: np.ndarray) -> list[int]:
+    """CRC-32 of each text's ids as little-endian uint32."""
+    ends = np.cumsum(counts)
+    raw = ids.astype("<u4").tobytes()
+    return [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
 def encode_decode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian uint32), decoded_sha256 and same, whether decoding gives the text.
 
+    These are of the best segmentation, by Viterbi; a BPE file is taken in its unigram view. merged_tokens and
+    merged_crc32 are of the ids by the file's own kind, which for a BPE file are those by merges.
+
     Null texts count as empty and have no ids; null ids stay null; repeated rows are encoded each; other columns are
     left out. ``same`` is false only for texts that hold the model's sign for a space.
     """
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(model)
+        own, merging = pieces(model, unigram=True), pieces(model)
         for batch in batches:
             texts = strings(batch, "text")
             data, offsets = utf8(texts)
             for a, b in slices(np.diff(offsets), 16 << 20):
-                ids, counts = own.encode(texts.slice(a, b - a))
-                ends = np.cumsum(counts)
-                raw = ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                part = texts.slice(a, b - a)
+                ids, counts = own.encode(part)
+                merged, merged_counts = merging.encode(part)
                 back = own.decode(ids, counts)
                 whole = data.tobytes() if (a, b) == (0, len(texts)) else data[offsets[a] : offsets[b]].tobytes()
                 at = (offsets[a : b + 1] - offsets[a]).tolist()
                 same = [t == whole[x:y] for t, x, y in zip(back, at[:-1], at[1:], strict=True)]
+                decoded = pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string())
+                sums = [pa.array(crc32s(i, n), pa.int64()) for i, n in ((ids, counts), (merged, merged_counts))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(counts), pa.array(crc, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()), pa.array(same, pa.bool_())],
-                    names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "same"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(counts), sums[0], decoded, pa.array(same, pa.bool_()), pa.array(merged_counts), sums[1]],
+                    names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "same", "merged_tokens", "merged_crc32"],
                 )
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(both, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, same boolean")
+    return rows.mapInArrow(both, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, same boolean, merged_tokens long, merged_crc32 long")

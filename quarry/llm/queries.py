@@ -22,7 +22,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document by a SentencePiece model, and the text they decode to."""
+    """Ids of every document by Viterbi over a SentencePiece file's pieces, the text they decode to, and the ids by merges."""
     return pieces.encode_decode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 

@@ -95,7 +95,8 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
 
     Returns which document is the how-manieth of which file (file, n_bytes, place, doc_id), which the files don't tell.
     A task writes under a name of its own attempt, and only files of attempts that ended well are in the result.
-    Ids must be below 65536, and ``end_id`` must not be among a text's ids: those are left out of the file.
+    Ids must be below 65536 and differ from ``end_id``, which must lie beyond what the tokenizer gives; others are an
+    error, so no id is lost.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +110,9 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
                 ids, counts = encoder.encode(texts)
                 if len(ids) and int(ids.max()) > 65535:
                     raise ValueError("ids of more than 16 bits")
-                ends = np.cumsum(counts)
-                inner = np.flatnonzero(ids == end_id)
-                if len(inner):
-                    ends = ends - np.searchsorted(inner, ends)
-                    ids = np.delete(ids, inner)
-                out.write(np.insert(ids.astype("<u2"), ends, end_id).tobytes())
+                if (ids == end_id).any():
+                    raise ValueError(f"the end identifier {end_id} is an id of a text")
+                out.write(np.insert(ids.astype("<u2"), np.cumsum(counts), end_id).tobytes())
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(np.arange(done, done + n)), batch.column("doc_id")], names=["file", "place", "doc_id"])
                 done += n
@@ -164,11 +162,11 @@ def count_flat(files: DataFrame, end_id: int, block_bytes: int = 4 << 20) -> Dat
     return placed.where(F.size("ends") > 0).select("file", "base", F.posexplode(lengths).alias("k", "n_tokens")).select("file", (F.col("base") + F.col("k")).alias("place"), "n_tokens")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, end_id: int, block_bytes: int = 4 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, end_id: int = SEPARATOR, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id and n_tokens of every document, counted in flat token files.
 
-    An ``end_id`` among a text's ids is not counted; SEPARATOR is beyond the vocabulary, so every id counts. Null texts
-    have no tokens, null ids stay null, repeated rows count each, an empty table gives no rows.
+    Every id counts, those of special tokens in a text too. Null texts have no tokens, null ids stay null, repeated rows
+    count each, an empty table gives no rows.
     """
     placed = materialise(write_flat(docs, scratch(docs.sparkSession, "flat"), tokenizer, end_id), "flat-docs")
     # Spark takes the scan of a short list of files for small; it has a row per document.

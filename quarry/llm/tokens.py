@@ -104,12 +104,21 @@ class Words:
         if len(kept) >= KEPT_WORDS:  # words seen since are as frequent as those kept
             kept.clear()
         found = list(map(kept.get, words))
-        for i, x in enumerate(found):
-            if x is None:
-                word = words[i]
-                found[i] = x = self._word(word, space) if word else self._atom(" ") if space else b""
-                if len(kept) < KEPT_WORDS and word not in kept and not word.isalpha():
-                    kept[word] = x
+        lower, lead, tokenize = self.kind == "word", self.space if space else "", self.model.tokenize
+        for i in [i for i, x in enumerate(found) if x is None]:
+            word = words[i]
+            if word.isascii() and word.isalpha():  # most words by far
+                own = word.lower() if lower else word
+                x = kept.get(own)
+                if x is None:
+                    x = array("I", [t.id for t in tokenize(lead + own)]).tobytes()
+                    if len(kept) < KEPT_WORDS:
+                        kept[own] = x
+                found[i] = x
+                continue
+            found[i] = x = self._word(word, space) if word else self._atom(" ") if space else b""
+            if len(kept) < KEPT_WORDS and word not in kept and not word.isalpha():
+                kept[word] = x
         return found
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:

@@ -1,6 +1,7 @@
 """Encoders, token files, separator counts and packing against the libraries."""
 
 import glob
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,6 +66,16 @@ def test_full_bins_close_first():
     assert [bins.put(n)[0] for n in (6, 7, 3)] == [0, 1, 1]
 
 
+def test_packing_by_windows(spark):
+    """Pieces that arrive in any order fill few more sequences than their ids need, with a bound that closes bins."""
+    r = np.random.default_rng(1)
+    sizes = r.integers(1, 1024, 20_000).tolist()
+    parts = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECES).repartition(3)
+    got = packing.pack(parts, 1024, 1024, 50_000).toPandas()
+    assert sorted(got.length) == sorted(sizes) and got.sequence_id.nunique() <= 1.01 * -(-sum(sizes) // 1024)
+    assert packing.pack(parts, 1024, 16, 50_000).select("sequence_id").distinct().count() > got.sequence_id.nunique()
+
+
 def test_parquet_tokens(spark, edge, edge_rows):
     path = scratch(spark, "t")
     token_files.write_parquet(edge, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -83,11 +94,15 @@ def test_parquet_tokens(spark, edge, edge_rows):
 
 @pytest.mark.parametrize("block_bytes", [64, 4096])
 def test_separator_counts(edge, edge_rows, block_bytes):
-    got = token_files.token_counts(edge, public_tokenizers.path("word_bpe_49k.json"), 49407, block_bytes).toPandas()
-    want = Counter(sum(k != 49407 for k in ids) for _, ids in expected(edge_rows, "word_bpe_49k.json"))
-    assert Counter(got.n_tokens) == want
-    by = dict(zip(got.doc_id.fillna(-1).astype(int), got.n_tokens, strict=True))
-    assert by[8] == len(dict(expected(edge_rows[10:11], "word_bpe_49k.json"))[8])
+    got = token_files.token_counts(edge, public_tokenizers.path("word_bpe_49k.json"), block_bytes=block_bytes).collect()
+    want = Counter((i, len(ids)) for i, ids in expected(edge_rows, "word_bpe_49k.json"))
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == want
+
+
+def test_end_identifier_of_a_text(edge):
+    """An end identifier that a text has is an error; nothing is left out."""
+    with pytest.raises(Exception, match="end identifier"):
+        token_files.token_counts(edge, public_tokenizers.path("word_bpe_49k.json"), 49407).count()
 
 
 def test_sentencepiece_bpe(edge, edge_rows):
@@ -99,9 +114,30 @@ def test_sentencepiece_bpe(edge, edge_rows):
     ends = np.cumsum(counts)
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == lib.encode(texts)
     assert [b.decode() for b in model.decode(ids, counts)] == [lib.decode(i) for i in lib.encode(texts)]
-    got = pieces.encode_decode(edge, path).toPandas()
-    assert len(got) == len(edge_rows) and sorted(got.n_tokens) == sorted(len(lib.encode(t or "")) for _, t, _ in edge_rows)
-    assert got[~got.same].doc_id.tolist() == [10]
+    got = pieces.encode_decode(edge, path).collect()
+    assert Counter((r["doc_id"], r["merged_tokens"], r["merged_crc32"]) for r in got) == Counter((i, len(ids), crc(ids)) for i, t, _ in edge_rows for ids in [lib.encode(t or "")])
+
+
+def test_sentencepiece_unigram_view(edge, edge_rows, tmp_path):
+    """Viterbi over a BPE file's pieces: the ids that the library gives for a model file of the view."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pieces.Pieces(path, unigram=True)
+    parts = [(1, message((1, t.encode()), (2, model.score[i]), (3, model.type[i]))) for i, t in enumerate(model.text)]
+    file = tmp_path / "unigram.model"
+    file.write_bytes(message(*parts, (2, message((3, 1)) + bytes([35 << 3 & 127 | 128, 35 >> 4, 1])), (3, message((1, b"identity"), (3, 1), (4, 0), (5, 1)))))
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(file))
+    short = [x for x in ODD if "\x85" not in x] + ["the cat " * 9, "    code  of " * 9, "Unterhaltungselektronik " * 3, *(w for t in edge_rows if t[1] for w in t[1].split(" ")[:200] if w)]
+    ids, counts = model.encode(pa.array(short))
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == lib.encode(short)
+    # the library adds up a text's scores in 32 bits, so long texts are compared word by word
+    got = {(r["doc_id"], r["decoded_sha256"]): r for r in pieces.encode_decode(edge, path).collect()}
+    assert sorted(i for (i, _), r in got.items() if not r["same"]) == [10] and sum(r["n_tokens"] for r in got.values()) > 20_000
+    for i, t, _ in edge_rows:
+        if t and "▁" not in t and "  " not in t and t == t.strip():
+            own = [p for w in t.split(" ") for p in lib.encode(w)]
+            r = got[i, hashlib.sha256(t.encode()).hexdigest()]
+            assert (r["n_tokens"], r["ids_crc32"]) == (len(own), crc(own))
 
 
 def message(*fields):
@@ -113,7 +149,7 @@ def message(*fields):
         elif isinstance(value, float):
             out += bytes([number << 3 | 5]) + np.float32(value).tobytes()
         else:
-            out += bytes([number << 3 | 2, len(value)]) + value
+            out += bytes([number << 3 | 2]) + (bytes([len(value)]) if len(value) < 128 else bytes([len(value) & 127 | 128, len(value) >> 7])) + value
     return out
 
 
@@ -148,7 +184,7 @@ def test_empty_tables(empty):
     path = scratch(empty.sparkSession, "t")
     token_files.write_parquet(empty, path, word)
     assert token_files.read_parquet(empty.sparkSession, path).count() == 0
-    assert token_files.token_counts(empty, word, 49407).count() == 0
+    assert token_files.token_counts(empty, word).count() == 0
     assert packing.best_fit(empty, byte).count() == 0
     assert pieces.encode_decode(empty, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
     assert materialise(empty, "x").count() == 0 and not defaultdict(int)
