@@ -15,8 +15,8 @@ from quarry.llm.common import materialise, ranges, slices, small_batches, string
 from quarry.llm.graph import components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Documents of a candidate group that one task compares with as many others.
-BLOCK = 512
+#: Documents, and bytes of text, of a bucket that one task compares with as many others.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Shared n-grams that one matrix product of a block takes.
 COLUMNS = 16384
 
@@ -97,17 +97,18 @@ def _sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch, "text")
-            for a, b in slices(np.diff(utf8(texts)[1])):
+            size = np.diff(utf8(texts)[1])
+            for a, b in slices(size):
                 whole, band = signatures(texts.slice(a, b - a), n, bands, rows)
                 whole, band = whole.view(np.int64), band.view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands, dtype=np.int32)), pa.array(band.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("text_key").slice(a, b - a), pa.array(np.ascontiguousarray(whole[:, 0])), pa.array(np.ascontiguousarray(whole[:, 1])), lists],
-                    names=["doc_id", "text_key", "seq1", "seq2", "bands"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("text_key").slice(a, b - a), pa.array(np.ascontiguousarray(whole[:, 0])), pa.array(np.ascontiguousarray(whole[:, 1])), lists, pa.array(size[a:b])],
+                    names=["doc_id", "text_key", "seq1", "seq2", "bands", "size"],
                 )
 
     rows_of = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
-    return rows_of.mapInArrow(sign, "doc_id long, text_key long, seq1 long, seq2 long, bands array<long>")
+    return rows_of.mapInArrow(sign, "doc_id long, text_key long, seq1 long, seq2 long, bands array<long>, size long")
 
 
 def least_tied(near: np.ndarray) -> np.ndarray:
@@ -141,29 +142,56 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return inter >= threshold * (size[left][:, None] + size[right][None, :] - inter) - 1e-9
 
 
+def met_before(buckets: list[np.ndarray], own: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Boolean matrix: do the documents with these numbers share a bucket before their ``own``, where they meet now?"""
+    values, owner = np.concatenate(buckets), np.repeat(np.arange(len(buckets)), [len(x) for x in buckets])
+    values, owner = values[values < own], owner[values < own]
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    use = count[column] > 1
+    matrix = np.zeros((len(buckets), int((count > 1).sum())), np.float32)
+    matrix[owner[use], number[column[use]]] = 1
+    return matrix[left] @ matrix[right].T > 0
+
+
+LINKS = "node long, tie long, links long"
+
+
 def _verify(n: int, threshold: float):
-    """Links within the groups of a sorted stream: a row per document, its links and the least document it is tied to."""
+    """Links within blocks of buckets, which stream in sorted: a row per linked document, its links and the least one it is tied to.
+
+    A pair counts in the first bucket that its documents share.
+    """
 
     def check(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
         table = table.take(pa.array(np.unique(table["node"].to_numpy(), return_index=True)[1]))  # repeated rows of one document
-        node, side, copies = table["node"].to_numpy(), table["side"].to_numpy(), table["copies"].to_numpy()
-        grams, counts = ngrams(table["text"].combine_chunks(), n)
-        ends = np.cumsum(counts)
-        sets = [np.unique(grams[e - c : e]) for e, c in zip(ends, counts, strict=True)]
-        left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-        near = np.zeros((len(node), len(node)), bool)
-        near[np.ix_(left, right)] = linked(sets, left, right, threshold)
-        near |= near.T
-        np.fill_diagonal(near, False)
-        tie = node[least_tied(near)]
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(tie), pa.array(near @ copies), table["blocks"].combine_chunks()], names=["node", "tie", "links", "blocks"])
+        node, side, copies = (table[c].to_numpy() for c in ("node", "side", "copies"))
+        bucket, i, j = (table[c][0].as_py() for c in ("bucket", "i", "j"))
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        links, tie = np.zeros(len(node), np.int64), np.arange(len(node))
+        lists = table["buckets"].combine_chunks()
+        new = ~met_before(np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1]), bucket, left, right)
+        if i == j:
+            np.fill_diagonal(new, False)
+        left, right, new = left[new.any(axis=1)], right[new.any(axis=0)], new[np.ix_(new.any(axis=1), new.any(axis=0))]
+        if new.any():
+            both, place = np.unique(np.concatenate((left, right)), return_inverse=True)
+            grams, counts = ngrams(table["text"].combine_chunks().take(pa.array(both)), n)
+            ends = np.cumsum(counts)
+            sets = [np.unique(grams[e - c : e]) for e, c in zip(ends, counts, strict=True)]
+            near = np.zeros((len(node), len(node)), bool)
+            near[np.ix_(left, right)] = linked(sets, place[: len(left)], place[len(left) :], threshold) & new
+            near |= near.T
+            links, tie = near @ copies, least_tied(near)
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[tie[some]]), pa.array(links[some])], names=["node", "tie", "links"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("root", "i", "j")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
@@ -179,50 +207,52 @@ def _verify(n: int, threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128) -> DataFrame:
     """One row per document: doc_id, text_key, class_id, its number of links, the size of its class and the class's keep_id and keep_key.
 
     Two documents are linked when the Jaccard similarity of their sets of word ``n``-grams is ``threshold`` or more;
     a class is what links connect, named by its least doc_id; n_links counts all documents linked to this one.
 
-    Texts of equal word sequences are one node. Nodes that share a band of MinHash values, shuffled by the band's hash,
-    are tied to the least node of the band's bucket, never to each other; what ties connect is a candidate group. The
-    groups' texts are compared in full, in blocks of BLOCK by BLOCK documents over as many tasks as a group needs, so
-    pairs are counted but never emitted.
+    Texts of equal word sequences are one node. Nodes are shuffled by the hashes of their bands of MinHash values, and
+    those in one bucket compared in full, in blocks of at most BLOCK by BLOCK documents and about BLOCK_BYTES, over as
+    many tasks as a bucket needs. Buckets of the same nodes are compared once, and a pair that shares several buckets
+    counts in the first, so links are exact but for the recall, and pairs are counted, never emitted. Only verified links
+    are followed for classes.
 
     Null texts count as empty; texts without words are one class; texts of fewer than ``n`` words have one n-gram.
     Null ids stay null and name a class only if it has no other. keep_id and keep_key are the doc_id and text_key of one
     member, that of the least id and then key, null ids last. Repeated rows count as documents. Other columns are
     left out.
     """
-    bands, rows = choose_bands(threshold, recall)
+    bands, rows = choose_bands(threshold, recall, most_hashes)
     signed = materialise(_sign(docs, n, bands, rows), "signed")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     nodes = materialise(
         signed.groupBy("seq1", "seq2")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-        .select(F.monotonically_increasing_id().alias("node"), "seq1", "seq2", "first.doc_id", "first.text_key", "copies", "bands"),
+        .agg(least.alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("size").alias("size"))
+        .select(F.monotonically_increasing_id().alias("node"), "seq1", "seq2", "first.doc_id", "first.text_key", "copies", "bands", "size"),
         "nodes",
     )
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").select("band", "least")
-    groups = materialise(components(banded.join(buckets, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "root").join(nodes.select("node", "doc_id", "text_key", "copies"), "node")
+    banded = nodes.select("node", "size", F.explode("bands").alias("band"))
+    sets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.sum("size").alias("bytes")).where("n > 1")
+    # buckets of one number of nodes, least node and hash of all are of the same nodes
+    buckets = sets.groupBy("n", "least", "nodes").agg(F.min("band").alias("band"), F.max("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    members = banded.select("node", "band").join(buckets.select("band", F.least(blocks, "n").cast("int").alias("blocks")), "band")
+    listed = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col("band").alias("bucket"), "blocks"))).alias("own"))  # one of each band at most
+    wanted = listed.join(nodes.select("node", "doc_id", "text_key", "copies"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), text_key().alias("own_key"), text_of().alias("text"))
-    found = members.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).select("root", "node", "copies", "size", "text")
-    blocked = found.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("side", "other").cast("int").alias("i"), F.greatest("side", "other").cast("int").alias("j"), "side", "node", "copies", "blocks", "text"
-    )
-    checked = materialise(
-        dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(_verify(n, threshold), "node long, tie long, links long, blocks int"), "checked"
+    found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")))
+    placed = found.select("node", "copies", "text", F.transform("own", lambda x: x["bucket"]).alias("buckets"), F.explode("own").alias("at")).select("*", "at.*")
+    sided = placed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = sided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("side", "other").cast("int").alias("i"), F.greatest("side", "other").cast("int").alias("j"), "side", "node", "copies", "buckets", "text"
     )
+    checked = materialise(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(_verify(n, threshold), LINKS), "checked")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    single = checked.where("blocks = 1").select("node", F.col("tie").alias("root"))
-    spread = checked.where("blocks > 1 and node <> tie").select(F.col("node").alias("a"), F.col("tie").alias("b"))
-    several = components(spread) if not spread.isEmpty() else spread.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    tied = nodes.select("node", "seq1", "seq2", "doc_id", "text_key", "copies").join(single.unionByName(several), "node", "left").join(links, "node", "left")
+    roots = components(checked.where("node <> tie").select(F.col("node").alias("a"), F.col("tie").alias("b")))
+    tied = nodes.select("node", "seq1", "seq2", "doc_id", "text_key", "copies").join(roots, "node", "left").join(links, "node", "left")
     tied = tied.select("seq1", "seq2", "doc_id", "text_key", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    classes = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("keep"))
+    classes = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), least.alias("keep"))
     named = tied.join(classes, "root").select("seq1", "seq2", "class_id", "class_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
     return signed.select("doc_id", "text_key", "seq1", "seq2").join(named, ["seq1", "seq2"]).select("doc_id", "text_key", "class_id", "n_links", "class_size", "keep_id", "keep_key")

@@ -45,7 +45,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near duplicates: word 5-grams, similarity 0.8 or more."""
-    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.999).drop("text_key", "keep_id", "keep_key")
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=5, threshold=0.8).drop("text_key", "keep_id", "keep_key")
 
 
 def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:

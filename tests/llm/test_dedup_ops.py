@@ -88,6 +88,32 @@ def test_near_duplicates(spark, edge_rows, block, monkeypatch):
     assert Counter((key(r.doc_id), key(r.class_id), r.n_links) for r in got.itertuples()) == brute_classes(rows)
 
 
+def test_near_duplicates_by_bytes(spark, monkeypatch):
+    """Buckets of many bytes are split too; sides of one document, and pairs of sides of which one is empty, count once."""
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 1500)
+    rows = [(i, t, "en") for i, t in enumerate(variants(5, 9, 120))] + [(50 + i, t, "en") for i, t in enumerate(variants(6, 2, 400))] + [(70, variants(5, 9, 120)[3], "de")]
+    got = jaccard.near_duplicates(table(spark, rows).repartition(4)).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
+
+
+def test_near_duplicates_of_the_sample(spark):
+    """All links of a thousand documents are found, each counted once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = jaccard.near_duplicates(docs).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    sets = [set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} if w else set() for w in ((t or "").lower().split() for _, t, _ in rows)]
+    by = defaultdict(list)
+    for k, grams in enumerate(sets):
+        for g in grams or [()]:
+            by[g].append(k)
+    shared = Counter((a, b) for own in by.values() for x, b in enumerate(own) for a in own[:x])
+    links = Counter()
+    for (a, b), n in shared.items():
+        if n >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            links.update((rows[a][0], rows[b][0]))
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: links[i] for i, _, _ in rows} and sum(links.values()) > 100
+
+
 def test_near_duplicates_empty(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
