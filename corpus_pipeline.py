@@ -75,7 +75,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Similarity is that of sets of word 5-grams, 0.8 or more. Texts without words are one class. Null ids come after all
     others. Rows equal in doc_id and text both stay; the stage before leaves none.
     """
-    classes = jaccard.near_duplicates(docs, n=5, threshold=0.8, recall=0.999)
+    classes = jaccard.near_duplicates(docs, n=5, threshold=0.8)
     return _rows(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))), "left_semi")
 
 
