@@ -277,5 +277,9 @@ def digests(page_rows: DataFrame) -> DataFrame:
 
 
 def media_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Texts stored as TIFF in a table of the shared folder, read back page by page, and digested."""
+    """Texts stored as TIFF in a table of the shared folder, read back page by page, and digested.
+
+    A null text counts as empty and has one row of padding; null ids stay null; repeated rows are stored each, and equal
+    texts give equal values. Texts of any size are one image. An empty table gives no rows; other columns are left out.
+    """
     return digests(pages(materialise(encode(docs, width), "media", compression="uncompressed")))

@@ -245,7 +245,12 @@ def lookup(pages: DataFrame, shards: list[tuple[tuple, str]]) -> DataFrame:
 
 
 def archive(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """All pages written to archives, indexed, and read back through the index: page_id, payload_bytes, payload_digest, record_type and refers_to."""
+    """All pages written to archives, indexed, and read back through the index: page_id, payload_bytes, payload_digest, record_type and refers_to.
+
+    A null html is an empty payload, a null url an empty one, and a null page_id stays null. Repeated rows are a record
+    each; those that share the least page_id of their payload are all responses. Texts of any size are one record. An
+    empty table gives no rows; other columns are left out.
+    """
     folder = scratch(spark, "warc")
     captures = write(pages, folder, least_bytes)
     return lookup(pages, build_index(captures, folder))
