@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Kinds of numbered visual elements.
 ELEMENTS = ["figure", "chart", "graph", "box", "diagram", "exhibit", "map", "infographic"]
+# Fixed value: the title of a numbered visual element.
 VISUAL = r"(?i)^((Figure|Chart|Graph|Box|Diagram|Exhibit|Map|Infographic)\s+\d+[.\d]*)\s*[:\-–]\s*(.+)$"
 # Words of a title that tell the type of a chart, tried in this order.
 TYPE_WORDS = [
@@ -20,12 +21,14 @@ TYPE_WORDS = [
 CHART_WORDS = ["bar chart", "pie chart", "line chart", "area chart", "graph depicting", "graph showing", "chart depicting", "chart showing", "histogram", "scatter plot", "trend line", "depicts the", "illustrates the", "shows the trend", "comparison chart", "flow chart", "flowchart"]
 # Words of a caption that tell that an image is none.
 NO_CHART_WORDS = ["logo", "emblem", "seal", "badge", "crest", "coat of arms", "cover", "title page", "black background", "blue background", "photo of", "photograph", "picture of a", "picture of the", "group of trucks", "building", "sandbags", "grain silo", "standing on", "man standing", "people", "person"]
+# What a caption depicts, tried in this order.
 SUBJECTS = [
     r"(?:depicts?|depicting|shows?|showing|illustrat(?:es?|ing))\s+(?:the\s+)?(.{10,60}?)(?:\.|,|$)",
     r"(?:bar|pie|line)\s+chart\s+(?:of|for|depicting|showing)?\s*(?:the\s+)?(.{10,60}?)(?:\.|,|$)",
 ]
 # Words of a title that make a chart financial.
 FINANCIAL = ["revenue", "expense", "budget", "loss", "crore", "lakh"]
+# Fixed value: a line of a markdown table that only separates.
 SEPARATOR = r"^[\s|:-]+$"
 
 

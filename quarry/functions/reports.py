@@ -25,10 +25,17 @@ QUESTION_WORDS = [
 ]
 # Kind of question -> results, candidates and characters of context.
 RETRIEVAL_PARAMS = {"factual": (8, 30, 10000), "list": (18, 80, 25000), "aggregation": (18, 80, 25000), "comparison": (15, 60, 22000), "explanation": (12, 50, 18000), "procedural": (10, 40, 15000)}
+# Kinds of questions that need more context.
+WIDE_KINDS = ["list", "aggregation", "comparison"]
 # Kind of question -> style of the answer.
 STYLES = {"factual": "concise", "list": "detailed", "aggregation": "detailed", "comparison": "comparative", "explanation": "explanatory", "procedural": "detailed"}
 
 
+# Years in titles and file names.
+YEAR_RANGE, MARCH = r"(\d{4})-(\d{2,4})", r"(?i)(?:year|period)\s+ended\s+March\s+(\d{4})"
+YEAR_OF, PERIOD_OF, FILE_YEARS = r"year\s+(\d{4})", r"period\s+(\d{4})", r"(\d{4})(\d{2})(?:_|\.pdf|$)"
+
+
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without a match. One evaluation, so expressions built of it stay small."""
     return F.get(F.regexp_extract_all(text, F.lit(pattern), group), 0)
@@ -36,13 +43,13 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
 
 def year_of_title(title: Column) -> Column:
     """'YYYY-YY' from a range or the year that ended in March, else a single year, else null."""
-    start, end = _first(title, r"(\d{4})-(\d{2,4})", 1), _first(title, r"(\d{4})-(\d{2,4})", 2)
-    march = _first(title, r"(?i)(?:year|period)\s+ended\s+March\s+(\d{4})")
+    start, end = _first(title, YEAR_RANGE, 1), _first(title, YEAR_RANGE, 2)
+    march = _first(title, MARCH)
     return F.coalesce(
         F.concat(start, F.lit("-"), F.right(end, F.lit(2))),
         F.concat((march.cast("int") - 1).cast("string"), F.lit("-"), F.right(march, F.lit(2))),
-        _first(F.lower(title), r"year\s+(\d{4})"),
-        _first(F.lower(title), r"period\s+(\d{4})"),
+        _first(F.lower(title), YEAR_OF),
+        _first(F.lower(title), PERIOD_OF),
     )
 
 
@@ -53,8 +60,7 @@ def audit_year(title: Column) -> Column:
 
 def year_of_filename(filename: Column) -> Column:
     """'YYYY-YY' where the first six digits before '_', '.pdf' or the end are consecutive years, else null."""
-    pattern = r"(\d{4})(\d{2})(?:_|\.pdf|$)"
-    start, end = _first(filename, pattern, 1), _first(filename, pattern, 2)
+    start, end = _first(filename, FILE_YEARS, 1), _first(filename, FILE_YEARS, 2)
     follows = (end.cast("int") == F.right(start, F.lit(2)).cast("int") + 1) | ((end == "00") & start.endswith("99"))
     return F.when(follows, F.concat(start, F.lit("-"), end))
 
@@ -145,6 +151,7 @@ def sanitize_title(title: Column) -> Column:
 
 # --- citations -------------------------------------------------------------------------------------------------------
 
+# Fixed value: a citation in an answer.
 CITATION = r"(?i)\[([^\]]*(?:p\.?\s*\d+|page\s*\d+)[^\]]*)\]"
 # How citation keys are brought to one form, in this order, after lower-casing.
 CITATION_STEPS = [(r"^\[|\]$", ""), (r"\s+", " "), (r"\s*,\s*", ","), (r"\b(page|pg)\s*", "p"), (r"p\.\s*", "p"), (r"^\s+|\s+$", "")]
@@ -171,6 +178,21 @@ def citation_page(citation: Column) -> Column:
     return _first(citation, r"(?i)(?:p\.?|page)\s*(\d+)").cast("int")
 
 
+def legacy_top_k(kind: Column, top_k: Column) -> Column:
+    """Results without a plan for the question: at least 15 for lists, sums and comparisons."""
+    return F.when(kind.isin(WIDE_KINDS), F.greatest(top_k, F.lit(15))).otherwise(top_k)
+
+
+def legacy_chars(kind: Column, chars: Column) -> Column:
+    """Characters of context without a plan for the question: half as many more for these kinds."""
+    return F.when(kind.isin(WIDE_KINDS), F.floor(chars * 1.5).cast("int")).otherwise(chars)
+
+
+def legacy_style(kind: Column) -> Column:
+    """Style without a plan for the question."""
+    return F.when(kind == "comparison", "comparative").when(kind == "explanation", "explanatory").otherwise("adaptive")
+
+
 # --- executive summaries ---------------------------------------------------------------------------------------------
 
 # How a "Context & Scope" section begins, tried in this order, and how the next one does.

@@ -18,6 +18,13 @@ QUERY_STOPWORDS = (
     "could should may might must shall this that these those it its they them their which who what where when why how all "
     "some any"
 ).split()
+# Patterns of the keyword tokens of legal references, money, years, percentages, acronyms and words.
+SECTION = r"(section\s*\d+(?:\s*\([^)]+\))?)"
+SECTION_NUMBER, SECTION_PART = r"section\s*(\d+)", r"\(([^)]+)\)"
+RULE, FORM, ARTICLE = r"rule\s*(\d+[a-z]?)", r"form\s*(\d+[a-z]*)", r"article\s*(\d+)"
+MONEY = r"₹?\s*[\d,]+(?:\.\d+)?\s*(crore|lakh|thousand|cr|lac)"
+YEAR, PERCENT = r"\b(20\d{2}(?:-\d{2})?)\b", r"(\d+(?:\.\d+)?\s*(?:%|percent))"
+ACRONYM, WORD = r"\b([A-Z]{2,6})\b", r"\b([a-z]{2,})\b"
 #: Saturation of the term frequency.
 K1 = 1.2
 
@@ -29,44 +36,44 @@ def _tagged(tag: str, found: Column) -> Column:
 def legal_tokens(text: Column) -> Column:
     """section_n[_sub], rule_n, form_n and article_n for references in the text."""
     low = F.lower(text)
-    whole = F.regexp_extract_all(low, F.lit(r"(section\s*\d+(?:\s*\([^)]+\))?)"), 1)
+    whole = F.regexp_extract_all(low, F.lit(SECTION), 1)
     sections = F.transform(
         whole,
         lambda x: F.concat(
             F.lit("section_"),
-            F.regexp_extract(x, r"section\s*(\d+)", 1),
-            F.when(x.contains("("), F.concat(F.lit("_"), F.replace(F.regexp_extract(x, r"\(([^)]+)\)", 1), F.lit(" "), F.lit("")))).otherwise(F.lit("")),
+            F.regexp_extract(x, SECTION_NUMBER, 1),
+            F.when(x.contains("("), F.concat(F.lit("_"), F.replace(F.regexp_extract(x, SECTION_PART, 1), F.lit(" "), F.lit("")))).otherwise(F.lit("")),
         ),
     )
-    rules = _tagged("rule_", F.regexp_extract_all(low, F.lit(r"rule\s*(\d+[a-z]?)"), 1))
-    forms = _tagged("form_", F.regexp_extract_all(low, F.lit(r"form\s*(\d+[a-z]*)"), 1))
-    articles = _tagged("article_", F.regexp_extract_all(low, F.lit(r"article\s*(\d+)"), 1))
+    rules = _tagged("rule_", F.regexp_extract_all(low, F.lit(RULE), 1))
+    forms = _tagged("form_", F.regexp_extract_all(low, F.lit(FORM), 1))
+    articles = _tagged("article_", F.regexp_extract_all(low, F.lit(ARTICLE), 1))
     return F.concat(sections, rules, forms, articles)
 
 
 def money_tokens(text: Column) -> Column:
     """money_<unit> for every amount with a unit."""
-    units = F.regexp_extract_all(F.lower(text), F.lit(r"₹?\s*[\d,]+(?:\.\d+)?\s*(crore|lakh|thousand|cr|lac)"), 1)
+    units = F.regexp_extract_all(F.lower(text), F.lit(MONEY), 1)
     return F.transform(units, lambda u: F.concat(F.lit("money_"), F.when(u.isin("cr", "crore"), "crore").when(u.isin("lac", "lakh"), "lakh").otherwise(u)))
 
 
 def year_tokens(text: Column) -> Column:
-    return _tagged("year_", F.regexp_extract_all(text, F.lit(r"\b(20\d{2}(?:-\d{2})?)\b"), 1))
+    return _tagged("year_", F.regexp_extract_all(text, F.lit(YEAR), 1))
 
 
 def acronym_tokens(text: Column) -> Column:
-    return _tagged("acronym_", F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,6})\b"), 1))
+    return _tagged("acronym_", F.regexp_extract_all(text, F.lit(ACRONYM), 1))
 
 
 def special_tokens(text: Column) -> Column:
     """All pattern tokens of an indexed text, repeats included."""
-    percents = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\d+(?:\.\d+)?\s*(?:%|percent))"), 1), lambda _: F.lit("has_percentage"))
+    percents = F.transform(F.regexp_extract_all(F.lower(text), F.lit(PERCENT), 1), lambda _: F.lit("has_percentage"))
     return F.concat(legal_tokens(text), money_tokens(text), year_tokens(text), percents, acronym_tokens(text))
 
 
 def word_tokens(text: Column, stopwords: list[str] = INDEX_STOPWORDS) -> Column:
     """Lower-case words of two letters and more that aren't stopwords."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]{2,})\b"), 1), lambda w: ~w.isin(stopwords))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), 1), lambda w: ~w.isin(stopwords))
 
 
 def index_tokens(text: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from quarry.functions import assets as A
 def extract_charts(chunks: DataFrame) -> DataFrame:
     """Charts of report chunks (report_id, chunk_id, ord, kind, page, text): numbered titles, each once on its page.
 
-    A report with fewer than three gets those of its image captions that describe charts, on pages without one.
+    A report with fewer than three gets those of its image captions that describe charts, the first of each page without one.
     """
     titles = chunks.where(F.col("kind").isin("paragraph", "header") & A.is_visual_title(F.col("text")))
     parts = titles.select("*", *(A.visual_part(F.col("text"), p).alias(f"v_{p}") for p in ("number", "kind", "title")))
@@ -22,7 +20,8 @@ def extract_charts(chunks: DataFrame) -> DataFrame:
     pages = formal.groupBy("report_id").agg(F.count("*").alias("n"), F.collect_set("page").alias("pages"))
     captions = chunks.where((F.col("kind") == "image_caption") & A.describes_chart(F.col("text"))).join(pages, "report_id", "left")
     missing = captions.where((F.coalesce("n", F.lit(0)) < 3) & ~F.coalesce(F.array_contains("pages", F.col("page")), F.lit(False)))
-    fallback = missing.select("report_id", "chunk_id", "page", A.title_of_caption(F.col("text"), F.col("page") + 1).alias("title"), A.chart_type(F.col("text"), F.lit("caption")).alias("type"))
+    first = F.row_number().over(Window.partitionBy("report_id", "page").orderBy("ord", "chunk_id"))
+    fallback = missing.withColumn("first", first).where("first = 1").select("report_id", "chunk_id", "page", A.title_of_caption(F.col("text"), F.col("page") + 1).alias("title"), A.chart_type(F.col("text"), F.lit("caption")).alias("type"))
     return formal.unionByName(fallback)
 
 
@@ -36,40 +35,47 @@ def extract_tables(chunks: DataFrame) -> DataFrame:
 
 
 def disambiguate(tables: DataFrame) -> DataFrame:
-    """display: a title that differs from the other tables' of the report, by structured title, page, size or number.
+    """report_id, chunk_id and display: a title that tells a table from others of its report with the same caption.
 
-    What a table may be called depends on the names given before it, so a report's tables are named in order; a report
-    holds some hundred tables at most.
+    That is the caption if it is the only one; else the structured title if it says something else than the caption and
+    no other has it; else, for the first of a page, the page; else, for the first left of a size, rows and columns; else
+    a number among those that are left. Tables come in the order of ``ord``; a page, row or column number that is null or
+    0 tells nothing.
     """
-
-    def name(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ord", "chunk_id"], kind="stable")
-        count = rows["caption"].value_counts()
-        taken: dict[str, int] = {}
-        out = []
-        for i, r in enumerate(rows.itertuples()):
-            same = rows.index[(rows["caption"] == r.caption)]
-            own = r.struct_title or ""
-            others = [rows.at[k, "struct_title"] or "" for k in same if k != r.Index]
-            by_page, by_size = f"{r.caption} (Page {r.page})", f"{r.caption} ({r.rows}×{r.columns})"
-            if count[r.caption] == 1:
-                out.append(r.caption)
-            elif own and own != r.caption and own not in others:
-                out.append(own)
-            elif r.page and by_page not in taken:
-                taken[by_page] = 1
-                out.append(by_page)
-            elif r.rows and r.columns and by_size not in taken:
-                taken[by_size] = 1
-                out.append(by_size)
-            else:
-                taken[r.caption] = taken.get(r.caption, 0) + 1
-                out.append(f"{r.caption} ({taken[r.caption]})")
-        return pd.DataFrame({"report_id": rows["report_id"], "chunk_id": rows["chunk_id"], "display": out})
-
-    wanted = tables.select("report_id", "chunk_id", "ord", A.clean_caption(F.col("title")).alias("caption"), A.clean_caption(F.col("struct_title")).alias("clean_struct"), "struct_title", "page", "rows", "columns")
-    wanted = wanted.withColumn("struct_title", F.when(F.coalesce("struct_title", F.lit("")) != "", F.col("clean_struct"))).drop("clean_struct")
-    return wanted.groupBy("report_id").applyInPandas(name, "report_id string, chunk_id string, display string")
+    order = ["ord", "chunk_id"]
+    among = lambda *more: Window.partitionBy("report_id", "caption", *more)
+    first = lambda *more: F.row_number().over(among(*more).orderBy(*order)) == 1
+    known = lambda c: F.coalesce(F.col(c), F.lit(0)) != 0
+    named = tables.select("report_id", "chunk_id", "ord", "page", "rows", "columns", F.coalesce("struct_title", F.lit("")).alias("own"), A.clean_caption(F.col("title")).alias("caption"))
+    counted = named.withColumn("same", F.count("*").over(among())).withColumn("same_own", F.count("*").over(among("own")))
+    ways = counted.withColumn("way", F.when(F.col("same") == 1, 0).when((F.col("own") != "") & (F.col("own") != F.col("caption")) & (F.col("same_own") == 1), 1))
+    for number, columns in ((2, ["page"]), (3, ["rows", "columns"])):
+        fits = F.col("way").isNull() & first("way", *columns)
+        for c in columns:
+            fits = fits & known(c)
+        ways = ways.withColumn("fits", fits).withColumn("way", F.when(F.col("fits"), number).otherwise(F.col("way")))
+    nth = F.row_number().over(among("way").orderBy(*order))
+    told = (
+        F.when(F.col("way") == 2, F.concat(F.lit("Page "), F.col("page").cast("string"))).when(F.col("way") == 3, F.concat(F.col("rows").cast("string"), F.lit("×"), F.col("columns").cast("string"))).otherwise(nth.cast("string"))
+    )
+    display = F.when(F.col("way") == 0, F.col("caption")).when(F.col("way") == 1, A.clean_caption(F.col("own"))).otherwise(F.concat("caption", F.lit(" ("), F.col("told"), F.lit(")")))
+    return ways.withColumn("told", told).select("report_id", "chunk_id", display.alias("display"))
+
+
+def stitch(parts: DataFrame, least: float = 0.8) -> DataFrame:
+    """Tables that go on over pages: report_id, table_no, its first chunk, pages and rows, of parts (report_id, ord, chunk_id, page, caption, headers, rows).
+
+    A part goes on the one before it if it stands on the next page and has more than ``least`` of both one's headers, or
+    says that it is continued.
+    """
+    order = Window.partitionBy("report_id").orderBy("ord", "chunk_id")
+    before = parts.withColumn("b", F.lag(F.struct("page", "headers")).over(order))
+    alike = F.size(F.array_intersect("headers", "b.headers")) / F.greatest(F.size(F.array_union("headers", "b.headers")), F.lit(1)) > least
+    goes_on = (F.col("page") == F.col("b.page") + 1) & (alike | F.lower("caption").rlike(r"\bcont(d|inued)\b"))
+    numbered = before.withColumn("starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("table_no", F.sum("starts").over(order))
+    return numbered.groupBy("report_id", "table_no").agg(
+        F.min_by("chunk_id", F.struct("ord", "chunk_id")).alias("chunk_id"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "page"))), lambda x: x["page"].cast("string")), ",").alias("pages"), F.sum("rows").alias("rows")
+    )
 
 
 def preview(cells: DataFrame, max_rows: int = 3, max_cols: int = 4) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions import reports as R
 
 CRORE = 1_000_000_000  # paise
+#: A reference in a text to a numbered part of its report, and how a footnote begins.
+REFERENCE, FOOTNOTE = r"(?i)\b(para|table|section)\s+(\d+(?:\.\d+)*)", r"(?s)^\s*\[?(\d{1,4})[\].):]?\s+(.+)$"
 
 
 def with_series(reports: DataFrame) -> DataFrame:
@@ -17,10 +19,62 @@ def with_series(reports: DataFrame) -> DataFrame:
 
 
 def build_series(reports: DataFrame) -> DataFrame:
-    """series_id and its report ids by audit year (none last), ties in the reports' order."""
-    member = F.struct(F.coalesce(F.nullif("audit_year", F.lit("")), F.lit("9999")).alias("year"), "ord", "report_id")
-    rows = reports.where(F.col("series_id").isNotNull()).groupBy("series_id").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    return rows.select("series_id", F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: x["report_id"]), ",").alias("report_ids"))
+    """series_id, report_id and its place from 1 by audit year (none last), ties in the reports' order; a row for each report of a series."""
+    year = F.coalesce(F.nullif("audit_year", F.lit("")), F.lit("9999"))
+    place = F.row_number().over(Window.partitionBy("series_id", "year").orderBy("ord", "report_id"))
+    rows = reports.where(F.col("series_id").isNotNull()).select("series_id", "report_id", "ord", year.alias("year")).withColumn("own", place)
+    # years are few, so their counts are summed in order instead of sorting a whole series in one task
+    sizes = rows.groupBy("series_id", "year").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("series_id").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.withColumn("before", before), ["series_id", "year"]).select("series_id", "report_id", (F.col("before") + F.col("own")).alias("place"))
+
+
+def series_members(members: DataFrame, reports: DataFrame) -> DataFrame:
+    """Members of series with what is known of them; ids without a report are left out."""
+    return members.join(reports, "report_id")
+
+
+def latest_of_series(reports: DataFrame) -> DataFrame:
+    """series_id and its report of the latest audit year, of several the first."""
+    year = F.coalesce("audit_year", F.lit(""))
+    return reports.where(F.col("series_id").isNotNull()).groupBy("series_id").agg(F.max(year).alias("audit_year"), F.max_by("report_id", F.struct(year, -F.col("ord"))).alias("report_id"))
+
+
+def with_section_type(chunks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Chunks with the section type that the first of their classifications (chunk_id, ord, section_type) names, null without one."""
+    first = classes.groupBy("chunk_id").agg(F.min_by("section_type", "ord").alias("section_type"))
+    return chunks.join(first, "chunk_id", "left")
+
+
+def resolve_references(chunks: DataFrame, targets: DataFrame) -> DataFrame:
+    """References in chunks (report_id, chunk_id, text) to numbered paragraphs, tables and sections of their report, and the chunk that each means.
+
+    targets: report_id, kind, number and chunk_id; of several the least chunk_id. A reference to nothing known has a null.
+    """
+    found = F.regexp_extract_all("text", F.lit(REFERENCE), 0)
+    rows = chunks.select("report_id", "chunk_id", F.explode(F.array_distinct(F.transform(found, lambda x: F.lower(x)))).alias("reference"))
+    named = rows.withColumn("kind", F.regexp_extract("reference", REFERENCE, 1)).withColumn("number", F.regexp_extract("reference", REFERENCE, 2))
+    known = targets.groupBy("report_id", "kind", "number").agg(F.min("chunk_id").alias("target_id"))
+    return named.join(known, ["report_id", "kind", "number"], "left").select("report_id", "chunk_id", "kind", "number", "target_id")
+
+
+def footnotes(texts: DataFrame) -> DataFrame:
+    """report_id, number, text and chunk_id of footnotes (report_id, chunk_id, ord, text), which begin with their number; the first of each number."""
+    parsed = texts.select("report_id", "chunk_id", "ord", F.regexp_extract("text", FOOTNOTE, 1).alias("number"), F.regexp_extract("text", FOOTNOTE, 2).alias("note")).where("number <> ''")
+    first = F.min_by(F.struct("chunk_id", "note"), F.struct("ord", "chunk_id")).alias("f")
+    return parsed.groupBy("report_id", F.col("number").cast("int").alias("number")).agg(first).select("report_id", "number", "f.chunk_id", F.col("f.note").alias("text"))
+
+
+def job_status(updates: DataFrame) -> DataFrame:
+    """Jobs by the latest update (job, batch, seq, status) of each batch: batches, those that ended, and the job's status."""
+    latest = updates.groupBy("job", "batch").agg(F.max_by("status", "seq").alias("status"))
+    jobs = latest.groupBy("job").agg(F.count("*").alias("batches"), F.count_if(F.col("status") == "ended").alias("ended"))
+    return jobs.withColumn("status", F.when(F.col("ended") == F.col("batches"), "ready_for_processing").otherwise("in_progress"))
+
+
+def costs(tables: DataFrame, by: str, nano_usd: int = 150) -> DataFrame:
+    """Summarised tables by report, their tokens, and what these cost at a price in 1e-9 dollars a token."""
+    return tables.groupBy(by).agg(F.count("*").alias("tables"), F.sum("tokens").alias("tokens"), (F.sum("tokens") * nano_usd).alias("nano_usd"))
 
 
 def registry_stats(reports: DataFrame) -> DataFrame:

@@ -19,16 +19,14 @@ def percent(part: Column, whole: Column) -> Column:
 def lengths(chunks: DataFrame, by: str) -> DataFrame:
     """Sizes of texts by report: how many are short or long, and percentiles by index: the value at n // 10 and so on.
 
-    Ranks are window row numbers, so no report's lengths are gathered in one value.
+    Texts are counted by size and the counts summed in order, so no report's texts are sorted or gathered in one task.
     """
-    rows = chunks.select(by, F.length(F.coalesce("text", F.lit(""))).alias("size"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy("size")) - 1
-    n = F.count("*").over(Window.partitionBy(by))
-    ranked = rows.withColumn("place", place).withColumn("n", n)
-    at = lambda e, name: F.max(F.when(F.col("place") == F.floor(e), F.col("size"))).alias(name)
-    m = F.col("n")
-    return ranked.groupBy(by).agg(
-        F.count("*").alias("total"), F.count_if(F.col("size") < SHORT).alias("too_short"), F.count_if(F.col("size") > LONG).alias("too_long"),
+    sizes = chunks.groupBy(by, F.length(F.coalesce("text", F.lit(""))).alias("size")).agg(F.count("*").alias("n"))
+    summed = sizes.withColumn("upto", F.sum("n").over(Window.partitionBy(by).orderBy("size"))).withColumn("all", F.sum("n").over(Window.partitionBy(by)))
+    at = lambda e, name: F.min(F.when(F.col("upto") > F.floor(e), F.col("size"))).alias(name)
+    m, some = F.col("all"), lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return summed.groupBy(by).agg(
+        F.sum("n").alias("total"), some(F.col("size") < SHORT).alias("too_short"), some(F.col("size") > LONG).alias("too_long"),
         at(m / 10, "p10"), at(m / 4, "p25"), at(m / 2, "p50"), at(3 * m / 4, "p75"), at(9 * m / 10, "p90"), F.min("size").alias("least"), F.max("size").alias("most"),
     )
 

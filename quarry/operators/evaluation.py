@@ -27,6 +27,14 @@ def scored(cases: DataFrame) -> DataFrame:
     return cases.withColumn("score", score).withColumn("passed", A.passed(F.col("score"), F.col("factual"), F.col("hallucinated")))
 
 
+def chosen(cases: DataFrame, kind: str | None = None, difficulty: str | None = None) -> DataFrame:
+    """Cases of a type and a difficulty; an empty wish is none."""
+    for name, want in (("type", kind), ("difficulty", difficulty)):
+        if want:
+            cases = cases.where(F.col(name) == want)
+    return cases
+
+
 def report(results: DataFrame) -> DataFrame:
     """Cases and passes in all, by difficulty and by type, in one pass."""
     sets = [[], [F.col("difficulty")], [F.col("type")]]

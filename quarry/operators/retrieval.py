@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import tokens
+from quarry.functions import reports, tokens
+from quarry.operators.providers import Reranker
 from quarry.operators.vectors import ranked
 
+#: Buckets of the keyword index, and files among which a bucket is dealt.
+BUCKETS, PARTS = 64, 4
+
 #: Constant of reciprocal rank fusion; ranks there begin at 0.
 RRF_K = 60
 #: Score of the best chunk from which a context counts as sufficient.
@@ -51,26 +57,81 @@ def sparse_vectors(chunks: DataFrame, key: str, text: str = "text", of_query: bo
     return tf.select(key, "token", tokens.weight(F.col("tf"), F.col("token"), of_query).alias("weight"))
 
 
-def idf(tf: DataFrame, documents: int) -> DataFrame:
-    """token, df and idf of (key, token) rows."""
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+def idf(tf: DataFrame, texts: DataFrame) -> DataFrame:
+    """token, df and idf of (key, token) rows; ``texts`` is one row with the number of texts."""
+    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(texts))
+    return df.withColumn("idf", F.log((F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).drop("texts")
+
+
+def bucket_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(chunks: DataFrame, key: str, path: str, text: str = "text") -> None:
+    """The keyword index of a corpus: its texts are cut into tokens once, here.
+
+    Postings (token, key, tf) lie in folders by the token's bucket, sorted by token, so that a search reads the row
+    groups of its tokens alone; a token that very many texts have is dealt to several files. One row more tells the
+    number of texts.
+    """
+    rows = term_frequencies(chunks, key, text).withColumn("bucket", bucket_of(F.col("token")))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    chunks.agg(F.count("*").alias("texts")).write.parquet(f"{path}/texts")
+
+
+def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings of an index, and the row with its number of texts."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/texts")
+
 
+def posting_weights(postings: DataFrame, key: str) -> DataFrame:
+    """key, token and weight of indexed texts."""
+    return postings.select(key, "token", tokens.weight(F.col("tf"), F.col("token")).alias("weight"))
 
-def sparse_topk(chunks: DataFrame, key: str, question: str, k: int, text: str = "text") -> DataFrame:
-    """key, score and rank of the k chunks whose keyword vectors match the question best, tokens weighted by rarity.
 
-    The question's few tokens are broadcast, so only matching tokens of the corpus are aggregated.
+def sparse_topk(postings: DataFrame, texts: DataFrame, key: str, question: str, k: int) -> DataFrame:
+    """key, score and rank of the k texts whose keyword vectors match the question best, tokens weighted by rarity.
+
+    Only the postings of the question's tokens, of which there are a few, are read.
     """
-    spark = chunks.sparkSession
-    asked = sparse_vectors(spark.createDataFrame([(0, question)], "q int, text string"), "q", of_query=True).select("token", F.col("weight").alias("asked"))
-    every = chunks.select(key, F.explode(tokens.index_tokens(F.col(text))).alias("token"))
-    tf = every.join(F.broadcast(asked), "token").groupBy(key, "token", "asked").agg(F.count("*").alias("tf"))
-    rare = idf(tf.select(key, "token"), chunks.count())
-    scored = tf.join(F.broadcast(rare), "token").groupBy(key).agg(F.sum(tokens.weight(F.col("tf"), F.col("token")) * F.col("asked") * F.col("idf")).alias("score"))
+    spark = postings.sparkSession
+    asked = sparse_vectors(spark.createDataFrame([(0, question)], "q int, text string"), "q", of_query=True).select("token", F.col("weight").alias("asked"), bucket_of(F.col("token")).alias("b"))
+    known = asked.collect()  # of one question
+    found = postings.where(F.col("bucket").isin(sorted({r["b"] for r in known})) & F.col("token").isin(sorted(r["token"] for r in known)))
+    rare = idf(found, texts).join(F.broadcast(asked.drop("b")), "token")  # a row for each token of the question
+    scored = found.join(F.broadcast(rare), "token").groupBy(key).agg(F.sum(tokens.weight(F.col("tf"), F.col("token")) * F.col("asked") * F.col("idf")).alias("score"))
     return ranked(scored, F.round("score", 9), key, k)
 
 
+def hybrid_or_dense(dense: DataFrame, sparse: Callable[[], DataFrame], key: str, k: int) -> DataFrame:
+    """Fusion of a dense and a keyword list; where the keyword index can't be read, the dense list alone."""
+    try:
+        return hybrid_topk(dense, sparse(), key, k)
+    except AnalysisException:
+        return dense.where(F.col("rank") <= k).select(key, F.lit(1).cast("long").alias("lists"), "score", "rank")
+
+
+def rerank(hits: DataFrame, question: str, reranker: Reranker, key: str, k: int, path: str = "hierarchy_path", text: str = "text") -> DataFrame:
+    """The k hits that a model finds best; it is shown a hit's text after the path of its section in brackets."""
+    shown = F.concat(F.when(F.coalesce(path, F.lit("")) != "", F.concat(F.lit("["), F.col(path), F.lit("] "))).otherwise(F.lit("")), F.coalesce(text, F.lit("")))
+    return ranked(hits.drop("score", "rank"), reranker.score(question, shown), key, k)
+
+
+def best_of(df: DataFrame, by: str, limit: Column, key: str, digits: int = 4) -> DataFrame:
+    """Rows of each group up to its own limit, by score and then key, with their place from 1.
+
+    Scores are counted by their first digits and the counts summed in order, so only rows of nearly equal scores are
+    sorted together, however large a group is.
+    """
+    binned = df.withColumn("_bin", F.floor(F.col("score") * 10**digits))
+    counts = binned.groupBy(by, "_bin").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(by, "_bin").orderBy(F.desc("score"), key))
+    rows = binned.join(counts.withColumn("_ahead", ahead).drop("_n"), [by, "_bin"])
+    return rows.withColumn("place", F.col("_ahead") + own).where(F.col("place") <= limit).drop("_bin", "_ahead")
+
+
 def fuse(lists: DataFrame, key: str, by: list[str] | None = None, constant: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (rank from 1): key and the sum of 1 / (constant + rank - 1)."""
     share = F.lit(1.0) / (F.lit(constant) + F.col("rank") - 1)
@@ -141,6 +202,53 @@ def citation_map(cited: DataFrame, by: list[str] | None = None) -> DataFrame:
     return cited.groupBy(*(by or []), F.concat("section", F.lit(", p."), F.col("page").cast("string")).alias("key")).agg(F.max_by("chunk_id", "id").alias("chunk_id"), F.max("id").alias("id"))
 
 
+def citation_entries(cited: DataFrame, by: str) -> DataFrame:
+    """Keys under which an answer's citations are found: (by, known, place, entry) of citations (by, ord, entry, section, page_physical, page_logical).
+
+    A citation has its normal form, its form without spaces and commas, and forms of its section and page numbers. Of
+    citations with one key the last counts, at the place of the first.
+    """
+    section, page = reports.citation_section(F.col("entry")), reports.citation_page(F.col("entry"))
+    short = F.when(page != 0, F.concat(section, F.lit("p"), page.cast("string")))
+    digits, number = F.regexp_replace("page_logical", r"\D", ""), F.regexp_replace("section", r"[^\d.]", "")
+    keys = F.array(reports.citation_key(F.col("entry")), F.regexp_replace(F.lower("entry"), r"[\s,]+", ""), short, F.concat(F.lit("section"), short), F.when((digits != "") & (number != ""), F.concat(number, F.lit("p"), digits)))
+    rows = cited.select(by, "ord", F.struct("entry", "page_physical", "page_logical").alias("value"), F.posexplode(keys).alias("nth", "known")).where("known is not null")
+    place = F.struct("ord", "nth")
+    return rows.groupBy(by, "known").agg(F.max_by("value", place).alias("value"), F.min(place).alias("place")).select(by, "known", "place", "value.*")
+
+
+def lookup_citations(asked: DataFrame, entries: DataFrame, by: str) -> DataFrame:
+    """by, citation, entry and strategy of citations (by, citation) that are found among their answer's entries.
+
+    Tried are 1 the normal form, 2 section and page, 3 the page, 4 parts of the normal form, the first entry each, and 5
+    the page in a key if only one key has it. An answer's entries are few, so each is compared with all.
+    """
+    text = F.col("citation")
+    terms = F.split("key", "p")
+    first, last = F.get("terms", 0), F.element_at("terms", -1)
+    parsed = asked.select(by, "citation", reports.citation_key(text).alias("key"), reports.citation_section(text).alias("c_section"), reports.citation_page(text).alias("c_page"), F.get(F.regexp_extract_all(text, F.lit(r"(?i)p\.?\s*(\d+)"), 1), 0).alias("target"))
+    both = parsed.withColumn("terms", terms).join(entries, by)
+    page = F.col("c_page") != 0
+    strategy = (
+        F.when(F.col("known") == F.col("key"), 1)
+        .when(page & (F.col("known") == F.concat("c_section", F.lit("p"), F.col("c_page").cast("string"))), 2)
+        .when(page & ((F.col("page_physical") == F.col("c_page") - 1) | (F.col("page_logical") == F.col("c_page").cast("string"))), 3)
+        .when((F.size("terms") >= 2) & F.contains("known", first) & F.contains("known", F.concat(F.lit("p"), last)), 4)
+    )
+    on_page = F.get(F.regexp_extract_all("known", F.lit(r"p(\d+)"), 1), 0) == F.col("target")
+    found = both.withColumn("strategy", strategy).withColumn("on_page", on_page).groupBy(by, "citation").agg(
+        F.min("strategy").alias("best"), F.min_by("entry", F.when(F.col("strategy").isNotNull(), F.struct("strategy", "place"))).alias("first"),
+        F.count_if("on_page").alias("pages"), F.max(F.when(F.col("on_page"), F.col("entry"))).alias("only"),
+    )
+    alone = F.when(F.col("pages") == 1, F.col("only"))
+    return found.select(by, "citation", F.when(F.col("best").isNotNull(), F.col("first")).otherwise(alone).alias("entry"), F.coalesce("best", F.when(alone.isNotNull(), 5)).alias("strategy")).where("strategy is not null")
+
+
+def has_semantic_data(finding_type: Column, severity: Column, crore: Column, recommends: Column) -> Column:
+    """Is a chunk enriched at all? Empty texts and zero are nothing."""
+    return (F.coalesce(finding_type, F.lit("")) != "") | (F.coalesce(severity, F.lit("")) != "") | (F.coalesce(crore, F.lit(0)) != 0) | F.coalesce(recommends, F.lit(False))
+
+
 def semantic_tags(finding_type: Column, severity: Column, crore: Column, recommends: Column, target: Column) -> Column:
     """Display tags of a chunk's finding, ' | ' between them."""
     tags = F.array(

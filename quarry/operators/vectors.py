@@ -1,10 +1,18 @@
-"""Dense similarity search as plain plans."""
+"""Dense similarity search: one query as an expression, a query set as products of blocks of vectors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors of a block.
+BLOCK = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -15,6 +23,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def cosine_of(a: Column, query: list[float]) -> Column:
+    """Cosine similarity with one stated vector, whose length is a constant."""
+    size = float(np.sqrt(np.dot(query, query)))
+    literal = F.array(*(F.lit(float(x)) for x in query)) if query else F.array().cast("array<double>")
+    return F.try_divide(dot(a, literal), F.sqrt(dot(a, a)) * F.lit(size))
+
+
 def ranked(df: DataFrame, score: Column, tie: str, k: int, by: list[str] | None = None) -> DataFrame:
     """The k best rows, of each group if ``by`` is given, with their rank from 1.
 
@@ -31,16 +46,45 @@ def ranked(df: DataFrame, score: Column, tie: str, k: int, by: list[str] | None
 def dense_topk(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """vec_id, score and rank of the k vectors most similar to the query vector; filters come before the similarity."""
     chosen = vectors if where is None else vectors.where(where)
-    literal = F.array(*(F.lit(float(x)) for x in query))
-    return ranked(chosen.select("vec_id", "embedding"), cosine(F.col("embedding"), literal), "vec_id", k).drop("embedding")
+    return ranked(chosen.select("vec_id", "embedding"), cosine_of(F.col("embedding"), query), "vec_id", k).drop("embedding")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of vectors of unit length: their ids, number of dimensions and doubles. Null, empty and zero vectors are in none."""
+    for batch in batches:
+        lists = batch.column("embedding")
+        size = np.asarray(pc.list_value_length(lists).fill_null(0))
+        for dim in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == dim)
+            for at in range(0, len(own), BLOCK):
+                rows = pa.array(own[at : at + BLOCK])
+                matrix = lists.take(rows).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                norm = np.sqrt((matrix * matrix).sum(axis=1))
+                fine = norm > 0  # false for nulls, which are nan
+                ids = batch.column("vec_id").take(rows).filter(pa.array(fine))
+                unit = (matrix[fine] / norm[fine][:, None]).astype("<f8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([unit], pa.binary())], names=["ids", "dim", "unit"])
 
 
 def topk_of_queries(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score and rank of the k vectors most similar to each query vector, exactly.
+    """query_id, vec_id, score and rank of the k vectors most similar to each query vector, exactly; ties by vec_id.
 
-    The stated query set is broadcast (its size is the caller's) against all vectors; only k rows of each query and task
-    are shuffled.
+    Queries and vectors (vec_id long, embedding) are put into blocks, and each block of the stated query set is
+    multiplied with each block of vectors, so what is paired are blocks; a pair of blocks gives k rows for each of its
+    queries. Vectors of other dimensions than a query's, and null, empty and zero ones, are similar to nothing.
     """
-    asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
-    pairs = vectors.select("vec_id", "embedding").crossJoin(asked).withColumn("score", cosine(F.col("embedding"), F.col("query"))).drop("embedding", "query")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, ids, dim, asked, unit in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "ids", "dim", "asked", "unit")), strict=True):
+                ids = np.array(ids, np.int64)
+                score = np.round(np.frombuffer(asked, "<f8").reshape(-1, dim) @ np.frombuffer(unit, "<f8").reshape(-1, dim).T, 12)  # equal vectors, equal scores
+                for q, own in zip(q_ids, score, strict=True):
+                    some = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
+                    top = some[np.lexsort((ids[some], -own[some]))[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q)), pa.array(ids[top]), pa.array(own[top])], names=["query_id", "vec_id", "score"])
+
+    pack = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_packed, "ids array<long>, dim int, unit binary")
+    asked = pack(queries).select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("unit").alias("asked"))
+    pairs = pack(vectors).crossJoin(asked).where("dim = q_dim").drop("q_dim").mapInArrow(best, "query_id long, vec_id long, score double")
     return ranked(pairs, F.col("score"), "vec_id", k, ["query_id"])

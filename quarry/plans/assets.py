@@ -10,7 +10,7 @@ from quarry.plans.frames import frame, over
 from quarry.plans.listing import more
 
 ELEMENTS_SQL = """
-SELECT concat('R', CAST(p_partkey % 120 AS STRING)) AS report_id, concat('k', CAST(p_partkey AS STRING)) AS chunk_id, p_partkey AS ord, CAST(p_size % 9 AS INT) AS page,
+SELECT concat('R', CAST(CAST(floor(p_partkey / 5) AS BIGINT) AS STRING)) AS report_id, concat('k', CAST(p_partkey AS STRING)) AS chunk_id, p_partkey AS ord, CAST(p_size % 9 AS INT) AS page,
        CASE WHEN p_partkey % 9 IN (2, 3, 4) THEN 'image_caption' ELSE 'paragraph' END AS kind,
        CASE CAST(p_partkey % 9 AS INT)
          WHEN 0 THEN concat('Figure ', CAST(p_size % 3 AS STRING), '.1: Trend of ', p_name) WHEN 1 THEN concat('chart 4 - Share of ', p_name, ' by type')
@@ -19,20 +19,20 @@ SELECT concat('R', CAST(p_partkey % 120 AS STRING)) AS report_id, concat('k', CA
          WHEN 7 THEN concat('Exhibit 9: ', p_name, ' versus ', p_type) ELSE concat('As Figure 2 shows, ', p_name) END AS text
 FROM {part}"""
 TABLES_SQL = """
-SELECT concat('R', CAST(p_partkey % 120 AS STRING)) AS report_id, concat('t', CAST(p_partkey AS STRING)) AS chunk_id, p_partkey AS ord, CAST(p_size % 5 AS INT) AS page, 'table_markdown' AS kind,
+SELECT concat('R', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) AS report_id, concat('t', CAST(p_partkey AS STRING)) AS chunk_id, p_partkey AS ord, CAST(p_size % 5 AS INT) AS page, 'table_markdown' AS kind,
        CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN concat('Data Table: ', CAST(p_size % 4 AS STRING), '.1 ', p_name) WHEN 1 THEN '' WHEN 2 THEN ' Data Table: Summary ' ELSE 'Receipts' END AS title,
        CASE WHEN p_partkey % 6 = 1 THEN concat('Totals of ', p_brand) END AS struct_title,
        concat('| ', p_brand, ' | Budget | Actual |', chr(10), '|---|:-:|---|', chr(10), repeat(concat('| ', p_name, ' | ', CAST(p_size AS STRING), ' |  |', chr(10)), CAST(p_size % 4 AS INT))) AS text
 FROM {part}"""
 CELLS_SQL = """
-SELECT CAST(l_orderkey % 300 AS INT) AS table_id, CAST(l_partkey AS INT) AS row_no, CAST(l_linenumber - 1 AS INT) AS col_no,
+SELECT CAST(floor(l_orderkey / 40) AS INT) AS table_id, CAST(l_partkey AS INT) AS row_no, CAST(l_linenumber - 1 AS INT) AS col_no,
        CASE WHEN min(l_suppkey) % 7 = 0 THEN 'total' WHEN min(l_suppkey) % 7 = 1 THEN 'header' ELSE 'data' END AS row_type,
        concat('cell no. ', CAST(min(l_suppkey) AS STRING), ' of ', CAST(count(*) AS STRING)) AS text,
        CAST(CASE WHEN min(l_suppkey) % 3 = 0 THEN 0 WHEN min(l_suppkey) % 3 = 1 THEN NULL ELSE min(CAST(l_extendedprice AS DECIMAL(14,2))) END AS DECIMAL(14,2)) AS normalized,
        CAST(CASE WHEN min(l_suppkey) % 5 = 0 THEN NULL ELSE min(CAST(l_quantity AS DECIMAL(14,2))) END AS DECIMAL(14,2)) AS parsed
-FROM {lineitem} GROUP BY l_orderkey % 300, l_partkey, l_linenumber"""
+FROM {lineitem} GROUP BY CAST(floor(l_orderkey / 40) AS INT), l_partkey, l_linenumber"""
 POINTS_SQL = """
-SELECT CAST(l_orderkey % 40 AS INT) AS chart_id, CAST(l_suppkey % 5 AS INT) AS series_id, concat(CASE WHEN l_partkey % 2 = 0 THEN 'FY ' ELSE 'fy ' END, CAST(year(l_shipdate) AS STRING)) AS category,
+SELECT CAST(floor(l_orderkey / 40) AS INT) AS chart_id, CAST(l_suppkey % 5 AS INT) AS series_id, concat(CASE WHEN l_partkey % 2 = 0 THEN 'FY ' ELSE 'fy ' END, CAST(year(l_shipdate) AS STRING)) AS category,
        concat(lpad(CAST(l_orderkey AS STRING), 9, '0'), '-', lpad(CAST(l_partkey AS STRING), 9, '0'), '-', CAST(l_linenumber AS STRING), '-', lpad(CAST(l_suppkey AS STRING), 6, '0'), '-', CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS STRING)) AS ord,
        CAST(l_extendedprice AS DECIMAL(14,2)) AS value
 FROM {lineitem}"""
@@ -172,9 +172,15 @@ SUBJECT = lambda i: f"regexp_replace(regexp_replace(trim(regexp_extract(lower(te
 INITCAP = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
 CAPTION = f"CASE WHEN length({SUBJECT(0)}) > 10 THEN {INITCAP(SUBJECT(0))} WHEN length({SUBJECT(1)}) > 10 THEN {INITCAP(SUBJECT(1))} ELSE 'Visual Element on Page ' || (page + 1) END"
 CHARTS = f"""{VISUAL_SQL}, formal AS (SELECT report_id, chunk_id, page, number || ': ' || vt AS title, {TYPE_SQL('vt', 'el')} AS type FROM v WHERE kind IN ('paragraph', 'header') QUALIFY row_number() OVER (PARTITION BY report_id, page, number ORDER BY ord, chunk_id) = 1),
-charts AS (SELECT * FROM formal UNION ALL SELECT report_id, chunk_id, page, {CAPTION}, {TYPE_SQL('text', "'caption'")} FROM e WHERE kind = 'image_caption' AND {DESCRIBES} AND (SELECT count(*) FROM formal f WHERE f.report_id = e.report_id) < 3 AND NOT EXISTS (SELECT 1 FROM formal f WHERE f.report_id = e.report_id AND f.page = e.page))"""
+charts AS (SELECT * FROM formal UNION ALL SELECT report_id, chunk_id, page, {CAPTION}, {TYPE_SQL('text', "'caption'")} FROM e WHERE kind = 'image_caption' AND {DESCRIBES} AND (SELECT count(*) FROM formal f WHERE f.report_id = e.report_id) < 3 AND NOT EXISTS (SELECT 1 FROM formal f WHERE f.report_id = e.report_id AND f.page = e.page) QUALIFY row_number() OVER (PARTITION BY report_id, page ORDER BY ord, chunk_id) = 1)"""
 TABLES = f"tabs AS (SELECT report_id, chunk_id, page, ord, title, struct_title, CAST(len(l) AS INT) AS rows, CAST(len(l[1]) AS INT) AS columns, array_to_string(l[1], ',') AS headers, CAST(row_number() OVER (PARTITION BY report_id ORDER BY ord, chunk_id) AS INT) AS table_no FROM (SELECT *, {LINES} AS l FROM t WHERE length(text) >= 30) WHERE len(l) >= 2)"
-CLEAN = "CASE WHEN coalesce(title, '') = '' THEN 'Untitled Table' WHEN lower(trim(title)) LIKE 'data table:%' AND regexp_matches(trim(substr(trim(title), 12)), '^\\d+\\.') THEN trim(substr(trim(title), 12)) ELSE trim(title) END"
+CLEAN_OF = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN 'Untitled Table' WHEN lower(trim({c})) LIKE 'data table:%' AND regexp_matches(trim(substr(trim({c}), 12)), '^\\d+\\.') THEN trim(substr(trim({c}), 12)) ELSE trim({c}) END"
+CLEAN = CLEAN_OF("title")
+NAMED = f"""n1 AS (SELECT *, {CLEAN} AS caption FROM tabs), n2 AS (SELECT *, count(*) OVER (PARTITION BY report_id, caption) AS same, coalesce(struct_title, '') <> '' AND struct_title <> caption AND count(*) OVER (PARTITION BY report_id, caption, coalesce(struct_title, '')) = 1 AS told FROM n1),
+n3 AS (SELECT *, same > 1 AND NOT told AND coalesce(page, 0) <> 0 AND row_number() OVER (PARTITION BY report_id, caption, told, page ORDER BY ord, chunk_id) = 1 AS paged FROM n2),
+n4 AS (SELECT *, same > 1 AND NOT told AND NOT paged AND rows > 0 AND columns > 0 AND row_number() OVER (PARTITION BY report_id, caption, told, paged, rows, columns ORDER BY ord, chunk_id) = 1 AS sized FROM n3),
+named AS (SELECT report_id, chunk_id, page, rows, columns, CASE WHEN same = 1 THEN caption WHEN told THEN {CLEAN_OF('struct_title')} WHEN paged THEN caption || ' (Page ' || page || ')' WHEN sized THEN caption || ' (' || rows || '×' || columns || ')'
+  ELSE caption || ' (' || row_number() OVER (PARTITION BY report_id, caption, told, paged, sized ORDER BY ord, chunk_id) || ')' END AS display FROM n4)"""
 FIRST_POINT = "pt AS (SELECT chart_id, series_id, lower(category) AS category, min_by(value, ord) AS value FROM p GROUP BY ALL)"
 
 QUERIES = {f.__name__: f for f in (visual_titles, chart_type, caption_title, extract_charts, assets_summary, charts_filter, md_table_dims, extract_tables, tables_filter, disambiguate_titles, clean_caption, table_fallback_summary, table_quality_gate, table_structure_check, table_preview, table_sum_column, table_get_cell, table_find_column, table_entity_row, chart_series_agg, chart_total_across_series, chart_categories, chart_validate, chart_analysis, table_analysis, embed_text)}
@@ -196,6 +202,8 @@ ORACLE_SQL = {
     "charts_filter": more(f", {CHARTS} SELECT report_id, chunk_id, title FROM charts WHERE page = 2 AND type = 'line' ORDER BY report_id, title, chunk_id LIMIT 20 OFFSET 2", e=ELEMENTS_SQL),
     "md_table_dims": over(f"SELECT chunk_id, CAST(len(l) AS INT) AS rows, CAST(len(l[1]) AS INT) AS columns, array_to_string(l[1], ',') AS headers FROM (SELECT chunk_id, {LINES} AS l FROM t)", t=TABLES_SQL),
     "extract_tables": more(f", {TABLES} SELECT report_id, chunk_id, rows, columns, headers, table_no FROM tabs", t=TABLES_SQL),
+    "disambiguate_titles": more(f", {TABLES}, {NAMED} SELECT report_id, chunk_id, display FROM named", t=TABLES_SQL),
+    "tables_filter": more(f", {TABLES}, {NAMED} SELECT report_id, chunk_id, display FROM named WHERE page = 1 AND rows >= 3 AND columns >= 3", t=TABLES_SQL),
     "clean_caption": over(f"SELECT chunk_id, {CLEAN} AS caption FROM t", t=TABLES_SQL),
     "table_fallback_summary": over("SELECT chunk_id, CASE WHEN len(l) < 3 THEN '' ELSE 'Table with ' || len(list_filter(l[3:], lambda x: contains(x, '|'))) || ' rows showing: ' || array_to_string(list_filter(list_transform(string_split(l[1], '|'), lambda c: trim(c)), lambda c: c <> '')[1:4], ', ') || '.' END AS summary FROM (SELECT chunk_id, string_split(trim(text, chr(10) || ' '), chr(10)) AS l FROM t)", t=TABLES_SQL),
     "table_quality_gate": over(f"SELECT * FROM (SELECT chunk_id, CAST(len(flatten({LINES})) AS INT) AS cells FROM t) WHERE cells >= 6", t=TABLES_SQL),

@@ -38,6 +38,16 @@ def series_build(spark, sf_dir):
     return catalog.build_series(catalog.with_series(_reports(spark, sf_dir)))
 
 
+def series_members(spark, sf_dir):
+    """Members of series that are known; the registry lacks a third of the reports."""
+    r = catalog.with_series(_reports(spark, sf_dir))
+    return catalog.series_members(catalog.build_series(r), r.where("ord % 3 > 0").select("report_id", "audit_year")).select("series_id", "report_id", "audit_year")
+
+
+def series_latest(spark, sf_dir):
+    return catalog.latest_of_series(catalog.with_series(_reports(spark, sf_dir)))
+
+
 def registry_stats(spark, sf_dir):
     return catalog.registry_stats(catalog.with_series(_reports(spark, sf_dir)))
 
@@ -90,7 +100,7 @@ def total_impact(spark, sf_dir):
 
 
 def findings_filter(spark, sf_dir):
-    return catalog.filter_findings(_findings(spark, sf_dir), "HIGH", "Non_Compliance", 0.05, 0.5, "chapter").select("finding_id")
+    return catalog.filter_findings(_findings(spark, sf_dir), "HIGH", "Non_Compliance", 5, 50, "chapter").select("finding_id")
 
 
 def findings_page(spark, sf_dir):
@@ -174,24 +184,23 @@ def citation_extract(spark, sf_dir):
     return rows.select("passage_id", "citation", R.citation_key(F.col("citation")).alias("key"), R.citation_section(F.col("citation")).alias("section"), R.citation_page(F.col("citation")).alias("page"))
 
 
+def _cited(spark, sf_dir):
+    """Citations of an answer on each report: some entries know their physical page, some a logical one in other words."""
+    s = frame(spark, sf_dir, SECTIONS)
+    physical, logical = F.when(F.col("toc_level") == 0, F.col("page_end") - 1), F.when(F.col("toc_level") == 1, F.col("page_end").cast("string")).when(F.col("toc_level") == 2, F.concat(F.lit("page "), F.col("page_end").cast("string")))
+    entry = F.concat(F.lit("Section "), F.col("page_start").cast("string"), F.lit(".1, p."), F.col("page_end").cast("string"))
+    return s.select("report_id", F.col("page_start").alias("ord"), entry.alias("entry"), F.col("toc_entry").alias("section"), physical.alias("page_physical"), logical.alias("page_logical"))
+
+
 def citation_lookup(spark, sf_dir):
-    """Answers' citations against a map: by key, else by section and page, else the first entry of the page."""
-    asked = citation_extract(spark, sf_dir).select("key", "section", "page").distinct()
-    entry = frame(spark, sf_dir, SECTIONS).where("report_id = 'R5'").select(F.concat(F.lit("Section "), F.col("page_start").cast("string"), F.lit(".1, p."), F.col("page_end").cast("string")).alias("entry"))
-    known = entry.select("entry", R.citation_key(F.col("entry")).alias("e_key"), R.citation_section(F.col("entry")).alias("e_section"), R.citation_page(F.col("entry")).alias("e_page"))
-    pairs = asked.join(F.broadcast(known), F.col("page") == F.col("e_page"))  # the map of one answer
-    strategy = F.when(F.col("key") == F.col("e_key"), 1).when(F.col("section") == F.col("e_section"), 2).otherwise(3)
-    return pairs.groupBy("key").agg(F.min_by("entry", F.struct(strategy, "entry")).alias("entry"), F.min(strategy).alias("strategy"))
+    """Citations in each report's passages against the citations of that report's answer."""
+    asked = frame(spark, sf_dir, PASSAGES, wide=True).select("report_id", F.explode(R.citations_in(F.col("text"))).alias("citation")).distinct()
+    return retrieval.lookup_citations(asked, retrieval.citation_entries(_cited(spark, sf_dir), "report_id"), "report_id")
 
 
 def citation_lookup_all(spark, sf_dir):
-    """Citations of each report's passages against the map of that report."""
-    rows = frame(spark, sf_dir, PASSAGES).select("report_id", F.explode(R.citations_in(F.col("text"))).alias("citation"))
-    asked = rows.select("report_id", R.citation_key(F.col("citation")).alias("key"), R.citation_section(F.col("citation")).alias("section"), R.citation_page(F.col("citation")).alias("page")).distinct()
-    entry = frame(spark, sf_dir, SECTIONS).select("report_id", F.concat(F.lit("Section "), F.col("page_start").cast("string"), F.lit(".1, p."), F.col("page_end").cast("string")).alias("entry"))
-    known = entry.select("report_id", "entry", R.citation_key(F.col("entry")).alias("e_key"), R.citation_section(F.col("entry")).alias("e_section"), R.citation_page(F.col("entry")).alias("page"))
-    strategy = F.when(F.col("key") == F.col("e_key"), 1).when(F.col("section") == F.col("e_section"), 2).otherwise(3)
-    return asked.join(known, ["report_id", "page"]).groupBy("report_id", "key").agg(F.min_by("entry", F.struct(strategy, "entry")).alias("entry"), F.min(strategy).alias("strategy"))
+    """How many citations each way finds."""
+    return citation_lookup(spark, sf_dir).groupBy("strategy").agg(F.count("*").alias("n"))
 
 
 def context_scope(spark, sf_dir):
@@ -239,7 +248,16 @@ def _param_sql(which: int) -> str:
 KEY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(citation), '^\\[|\\]$', '', 'g'), '\\s+', ' ', 'g'), '\\s*,\\s*', ',', 'g'), '\\b(page|pg)\\s*', 'p', 'g'), 'p\\.\\s*', 'p', 'g'))"
 CITES_SQL = f"cites AS (SELECT passage_id, citation, {KEY_SQL} AS key, nullif(regexp_extract(citation, '(\\d+(?:\\.\\d+)*)', 1), '') AS section, CAST(nullif(regexp_extract(citation, '(?i)(?:p\\.?|page)\\s*(\\d+)', 1), '') AS INT) AS page FROM (SELECT passage_id, trim(unnest(regexp_extract_all(text, '(?i)\\[([^\\]]*(?:p\\.?\\s*\\d+|page\\s*\\d+)[^\\]]*)\\]', 1))) AS citation FROM p))"
 
-QUERIES = {f.__name__: f for f in (audit_year, audit_year_filename, report_year, series_match, series_build, registry_stats, sanitize_title, report_status, report_detail, reports_by_sector, reports_by_year, report_regex, dashboard_filter, dropdown_values, dashboard_stats, total_impact, findings_filter, findings_page, findings_summary, severity_band, recommendations_by_chapter, glossary_search, toc_projection, payload_filter_eq, payload_filter_in, payload_filter_range, payload_filter_compound, collection_stats, index_stats, upsert_latest, point_id, question_type, citation_extract, citation_lookup, citation_lookup_all, context_scope, series_list, overview_merge)}
+LOOKUP_SQL = f"""a AS (SELECT DISTINCT report_id, citation, key, section, cites.page AS page, regexp_extract(citation, '(?i)p\\.?\\s*(\\d+)', 1) AS target FROM cites JOIN p USING (passage_id)),
+e AS (SELECT report_id, page_start AS ord, 'Section ' || page_start || '.1, p.' || page_end AS citation, toc_entry AS section, CASE WHEN toc_level = 0 THEN page_end - 1 END AS physical, CASE toc_level WHEN 1 THEN CAST(page_end AS STRING) WHEN 2 THEN 'page ' || page_end END AS logical,
+  page_start || '.1' AS number, CASE WHEN page_end > 0 THEN page_end END AS page FROM s),
+k AS (SELECT *, unnest([{KEY_SQL}, regexp_replace(lower(citation), '[\\s,]+', '', 'g'), number || 'p' || page, 'section' || number || 'p' || page, regexp_replace(section, '[^0-9.]', '', 'g') || 'p' || nullif(regexp_replace(logical, '[^0-9]', '', 'g'), '')]) AS known, unnest([0, 1, 2, 3, 4]) AS nth FROM e),
+m AS (SELECT report_id, known, min(row(ord, nth)) AS place, max_by(row(citation, physical, logical), row(ord, nth)) AS v FROM k WHERE known IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT a.*, m.place, m.v[1] AS entry, CASE WHEN known = key THEN 1 WHEN page <> 0 AND known = a.section || 'p' || page THEN 2 WHEN page <> 0 AND (v[2] = page - 1 OR v[3] = CAST(page AS STRING)) THEN 3
+  WHEN contains(key, 'p') AND contains(known, string_split(key, 'p')[1]) AND contains(known, 'p' || string_split(key, 'p')[-1]) THEN 4 END AS way, regexp_extract(known, 'p(\\d+)', 1) = target AND target <> '' AS paged FROM a JOIN m USING (report_id)),
+looked AS (SELECT report_id, citation, CASE WHEN min(way) IS NOT NULL THEN min_by(entry, row(way, place)) FILTER (WHERE way IS NOT NULL) ELSE max(entry) FILTER (WHERE paged) END AS entry, coalesce(min(way), 5) AS strategy FROM j GROUP BY 1, 2 HAVING min(way) IS NOT NULL OR count(*) FILTER (WHERE paged) = 1)"""
+
+QUERIES = {f.__name__: f for f in (audit_year, audit_year_filename, report_year, series_match, series_build, series_members, series_latest, registry_stats, sanitize_title, report_status, report_detail, reports_by_sector, reports_by_year, report_regex, dashboard_filter, dropdown_values, dashboard_stats, total_impact, findings_filter, findings_page, findings_summary, severity_band, recommendations_by_chapter, glossary_search, toc_projection, payload_filter_eq, payload_filter_in, payload_filter_range, payload_filter_compound, collection_stats, index_stats, upsert_latest, point_id, question_type, citation_extract, citation_lookup, citation_lookup_all, context_scope, series_list, overview_merge)}
 
 
 def more(body: str, **frames: str) -> str:
@@ -252,7 +270,9 @@ ORACLE_SQL = {
     "audit_year_filename": over(f"SELECT report_id, {FILE_YEAR} AS audit_year FROM r", r=REPORTS),
     "report_year": over("SELECT report_id, coalesce(CAST(nullif(regexp_extract(report_no, '(20\\d{2})', 1), '') AS INT), 2024) AS year FROM r", r=REPORTS),
     "series_match": over(f"SELECT report_id, {SERIES_SQL} AS series_id FROM r", r=REPORTS),
-    "series_build": more(f", {WITH_SERIES} SELECT series_id, CAST(count(*) AS INT) AS n, string_agg(report_id, ',' ORDER BY coalesce(nullif(audit_year, ''), '9999'), ord) AS report_ids FROM s WHERE series_id IS NOT NULL GROUP BY 1", r=REPORTS),
+    "series_build": more(f", {WITH_SERIES} SELECT series_id, report_id, row_number() OVER (PARTITION BY series_id ORDER BY coalesce(nullif(audit_year, ''), '9999'), ord, report_id) AS place FROM s WHERE series_id IS NOT NULL", r=REPORTS),
+    "series_members": more(f", {WITH_SERIES} SELECT series_id, report_id, audit_year FROM s WHERE series_id IS NOT NULL AND ord % 3 > 0", r=REPORTS),
+    "series_latest": more(f", {WITH_SERIES} SELECT series_id, coalesce(audit_year, '') AS audit_year, report_id FROM s WHERE series_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY coalesce(audit_year, '') DESC, ord) = 1", r=REPORTS),
     "registry_stats": more(f", {WITH_SERIES} SELECT series_id, count(*) AS reports, coalesce(string_agg(DISTINCT nullif(audit_year, ''), ',' ORDER BY nullif(audit_year, '')), '') AS years FROM s GROUP BY 1", r=REPORTS),
     "sanitize_title": over(_title_sql(), r=REPORTS),
     "report_status": more(", k AS (SELECT r.report_id, count(finding_id) AS findings, count(*) FILTER (WHERE severity = 'high') AS high FROM r LEFT JOIN f USING (report_id) GROUP BY 1) SELECT *, CASE WHEN findings = 0 THEN 'Compliant' WHEN high > 5 THEN 'Action Pending' WHEN high > 0 THEN 'Under Review' ELSE 'Partial Compliance' END AS status FROM k", r=REPORTS, f=FINDINGS),
@@ -264,7 +284,7 @@ ORACLE_SQL = {
     "dropdown_values": over("SELECT DISTINCT 'ministry' AS kind, ministry AS value FROM r UNION ALL SELECT DISTINCT 'year', CAST(year AS STRING) FROM r", r=REPORTS),
     "dashboard_stats": over("SELECT (SELECT count(*) FROM r) AS reports, (SELECT CAST(sum(amount) AS DECIMAL(20,2)) FROM r WHERE amount > 0) AS impact, (SELECT count(DISTINCT ministry) FROM r) AS ministries, (SELECT count(DISTINCT sector) FROM r) AS sectors, (SELECT min(year) FROM r) AS first_year, (SELECT max(year) FROM r) AS last_year, (SELECT count(*) FROM f) AS findings", r=REPORTS, f=FINDINGS),
     "total_impact": over("SELECT CASE WHEN sum(amount) >= 1000 THEN CAST(CAST(round(sum(amount) / 1000) AS BIGINT) AS STRING) || 'K+' ELSE CAST(CAST(round(sum(amount)) AS BIGINT) AS STRING) END AS impact FROM r", r=REPORTS),
-    "findings_filter": over("SELECT finding_id FROM f WHERE severity = 'high' AND finding_type = 'non_compliance' AND coalesce(amount_paise, 0)::DOUBLE / 1000000000 BETWEEN 0.05::DOUBLE AND 0.5::DOUBLE AND contains(lower(chapter), 'chapter')", f=FINDINGS),
+    "findings_filter": over("SELECT finding_id FROM f WHERE severity = 'high' AND finding_type = 'non_compliance' AND coalesce(amount_paise, 0)::DOUBLE / 1000000000 BETWEEN 5 AND 50 AND contains(lower(chapter), 'chapter')", f=FINDINGS),
     "findings_page": more(", k AS (SELECT finding_id, amount_paise FROM f WHERE severity = 'low'), t AS (SELECT count(*) AS total FROM k) SELECT finding_id, amount_paise, total, 150 < total AS has_more FROM k, t ORDER BY amount_paise DESC NULLS LAST, finding_id LIMIT 50 OFFSET 100", f=FINDINGS),
     "findings_summary": over("SELECT severity, finding_type, count(*) AS n, CAST(sum(coalesce(amount_paise, 0)) AS BIGINT) AS paise FROM f GROUP BY GROUPING SETS ((), (severity), (finding_type))", f=FINDINGS),
     "severity_band": over("SELECT CASE WHEN amount_paise::DOUBLE / 10000000 > 100 THEN 'critical' WHEN amount_paise::DOUBLE / 10000000 >= 10 THEN 'high' WHEN amount_paise::DOUBLE / 10000000 >= 1 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM f GROUP BY 1", f=FINDINGS),
@@ -281,11 +301,9 @@ ORACLE_SQL = {
     "point_id": over("SELECT chunk_id, CAST(CAST('0x' || left(md5(chunk_id), 16) AS UBIGINT) AS STRING) AS point_id FROM c", c=CHUNKS),
     "question_type": more(f", q AS (SELECT report_id, lower(['" + "', '".join(QUESTIONS) + f"'][CAST(ord % {len(QUESTIONS)} AS INT) + 1] || ' ' || ministry) AS q FROM r), k AS (SELECT report_id, {_kinds_sql()} AS kind FROM q) SELECT report_id, kind, {_param_sql(0)} AS top_k, {_param_sql(2)} AS chars FROM k", r=REPORTS),
     "citation_extract": more(f", {CITES_SQL} SELECT * FROM cites", p=PASSAGES),
-    "citation_lookup": more(f", {CITES_SQL}, a AS (SELECT DISTINCT key, section, page FROM cites), e AS (SELECT 'Section ' || page_start || '.1, p.' || page_end AS entry, 'section ' || page_start || '.1,p' || page_end AS e_key, page_start || '.1' AS e_section, page_end AS e_page FROM s WHERE report_id = 'R5'), m AS (SELECT key, entry, CASE WHEN key = e_key THEN 1 WHEN section = e_section THEN 2 ELSE 3 END AS strategy FROM a JOIN e ON page = e_page) SELECT key, entry, strategy FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY strategy, entry) = 1", p=PASSAGES, s=SECTIONS),
+    "citation_lookup": more(f", {CITES_SQL}, {LOOKUP_SQL} SELECT report_id, citation, entry, CAST(strategy AS INT) AS strategy FROM looked", p=PASSAGES, s=SECTIONS),
+    "citation_lookup_all": more(f", {CITES_SQL}, {LOOKUP_SQL} SELECT CAST(strategy AS INT) AS strategy, count(*) AS n FROM looked GROUP BY 1", p=PASSAGES, s=SECTIONS),
     "context_scope": over("SELECT report_id, CASE WHEN ord % 3 < 2 THEN 'The audit covered ' || ministry || '.' || chr(10) || chr(10) || 'It ran long.' END AS scope FROM r", r=REPORTS),
     "series_list": more(f", {WITH_SERIES} SELECT series_id, count(*) AS reports, min(audit_year) AS first, max(audit_year) AS last, max_by(report_id, row(audit_year, ord)) AS latest FROM s WHERE series_id IS NOT NULL AND coalesce(audit_year, '') <> '' GROUP BY 1", r=REPORTS),
     "overview_merge": over("SELECT report_id, CASE WHEN ord % 6 = 0 THEN 'Ports' ELSE sector END AS topic, CASE WHEN ord % 2 = 0 THEN 'All' ELSE ministry END AS scope, year FROM r", r=REPORTS),
 }
-ORACLE_SQL |= {
-    "citation_lookup_all": more(f", {CITES_SQL}, a AS (SELECT DISTINCT report_id, key, section, page FROM cites JOIN p USING (passage_id)), e AS (SELECT report_id, 'Section ' || page_start || '.1, p.' || page_end AS entry, 'section ' || page_start || '.1,p' || page_end AS e_key, page_start || '.1' AS e_section, page_end AS e_page FROM s), m AS (SELECT a.report_id, key, entry, CASE WHEN key = e_key THEN 1 WHEN section = e_section THEN 2 ELSE 3 END AS strategy FROM a JOIN e ON a.report_id = e.report_id AND page = e_page) SELECT report_id, key, entry, strategy FROM m QUALIFY row_number() OVER (PARTITION BY report_id, key ORDER BY strategy, entry) = 1", p=PASSAGES, s=SECTIONS),
-}

@@ -8,11 +8,11 @@ from quarry.functions import amounts as A
 from quarry.functions import reports as R
 from quarry.operators import diagnostics, evaluation
 from quarry.plans.assets import CELLS_SQL
-from quarry.plans.frames import CHUNKS, FINDINGS, SECTIONS, frame, over
+from quarry.plans.frames import CHUNKS, FINDINGS, LINE_ID, SECTIONS, frame, over
 from quarry.plans.listing import more
 
-CASES = """
-SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS test_id,
+CASES = f"""
+SELECT {LINE_ID} AS test_id,
        concat('NHAI collected Rs. ', CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING), ' crore in ', CAST(CAST(l_quantity AS INT) AS STRING), ' cases, or ', CAST(CAST(l_tax AS DECIMAL(6,2)) * 100 AS STRING), ' per cent of dues. ',
          CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN 'No data on tolls; 12.5 tonnes were not found.' WHEN 1 THEN concat('Stock of the Food Corporation fell ', CAST(l_suppkey % 40 AS STRING), '%.') WHEN 2 THEN 'Goods and services tax of 3 states rose in 2 years.' ELSE '₹1,250.5 lakh went to 7 godowns.' END) AS answer,
        CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) * (1 + CAST(l_linenumber % 4 AS DOUBLE) * 2 / 100) AS expected_value,
@@ -23,25 +23,26 @@ SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-'
        CASE WHEN l_linenumber < 4 THEN 'factual' WHEN l_linenumber < 6 THEN 'list' ELSE 'aggregation' END AS type,
        CAST(1 + l_partkey % 5 AS INT) AS factual, CAST(1 + l_suppkey % 5 AS INT) AS complete, CAST(1 + l_orderkey % 5 AS INT) AS relevant, CAST(1 + (l_partkey + l_suppkey) % 5 AS INT) AS cited,
        CAST(l_partkey % 11 AS DOUBLE) / 10 AS amount_accuracy, CAST(l_suppkey % 5 AS DOUBLE) / 4 AS entity_coverage, l_returnflag = 'R' AS hallucinated
-FROM {lineitem}"""
-ISSUES = """
-SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS test_id,
+FROM {{lineitem}}"""
+ISSUES = f"""
+SELECT {LINE_ID} AS test_id,
        CASE CAST(l_suppkey % 6 AS INT) WHEN 0 THEN 'Missing required amount: 5 crore' WHEN 1 THEN 'Low entity coverage: 40%' WHEN 2 THEN 'Hallucination detected: no source' WHEN 3 THEN 'Contains forbidden content' WHEN 4 THEN 'Low key fact coverage: 20%' ELSE 'Slow' END AS issue
-FROM {lineitem}"""
+FROM {{lineitem}}"""
 DOCS = "SELECT doc_id, lang AS report_id, text FROM {documents}"
 
 
-def _cases(spark, sf_dir):
-    return frame(spark, sf_dir, CASES)
+def _cases(spark, sf_dir, wide=False):
+    return frame(spark, sf_dir, CASES, wide)
 
 
 def extract_amounts(spark, sf_dir):
-    rows = _cases(spark, sf_dir).select("test_id", F.explode(A.amounts_in(F.col("answer"))).alias("a"))
+    # an outer explode: for an inner one Spark would extract the amounts once more, to filter by their number
+    rows = _cases(spark, sf_dir, wide=True).select("test_id", F.explode_outer(A.amounts_in(F.col("answer"))).alias("a")).where("a is not null")
     return rows.groupBy("a.unit").agg(F.count("*").alias("n"), F.count_distinct("test_id").alias("tests"), F.sum(F.round(F.col("a.value") * 100).cast("long")).alias("hundredths"))
 
 
 def _matches(spark, sf_dir):
-    return _cases(spark, sf_dir).select("test_id", "required", A.match_kind(A.amounts_in(F.col("answer")), F.col("expected_value"), F.col("expected_unit")).alias("kind"))
+    return _cases(spark, sf_dir, wide=True).select("test_id", "required", A.match_kind(A.amounts_in(F.col("answer")), F.col("expected_value"), F.col("expected_unit")).alias("kind"))
 
 
 def match_amount(spark, sf_dir):
@@ -53,11 +54,11 @@ def amount_accuracy(spark, sf_dir):
 
 
 def entity_coverage(spark, sf_dir):
-    return _cases(spark, sf_dir).select("test_id", A.contains_entity(F.col("answer"), F.col("entity")).alias("found"))
+    return _cases(spark, sf_dir, wide=True).select("test_id", A.contains_entity(F.col("answer"), F.col("entity")).alias("found"))
 
 
 def fact_coverage(spark, sf_dir):
-    return _cases(spark, sf_dir).select("test_id", A.fact_holds(F.col("fact"), F.col("answer")).alias("holds"))
+    return _cases(spark, sf_dir, wide=True).select("test_id", A.fact_holds(F.col("fact"), F.col("answer")).alias("holds"))
 
 
 def overall_score(spark, sf_dir):
@@ -69,16 +70,17 @@ def eval_report(spark, sf_dir):
 
 
 def eval_compare(spark, sf_dir):
-    now = evaluation.scored(_cases(spark, sf_dir).dropDuplicates(["test_id"])).select("test_id", "passed", "hallucinated")
+    now = evaluation.scored(_cases(spark, sf_dir)).select("test_id", "passed", "hallucinated")
     return evaluation.compare(now.select("test_id", (F.length("test_id") % 3 == 0).alias("passed")), now).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def eval_failures(spark, sf_dir):
-    c = evaluation.scored(_cases(spark, sf_dir).where("test_id like '1%'"))
-    return evaluation.failure_patterns(c, frame(spark, sf_dir, ISSUES).distinct())
+def eval_filtered(spark, sf_dir):
+    """Results of hard questions of fact."""
+    c = evaluation.chosen(evaluation.scored(_cases(spark, sf_dir)), kind="factual", difficulty="hard")
+    return c.groupBy("hallucinated").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
-def eval_failures_all(spark, sf_dir):
+def eval_failures(spark, sf_dir):
     """Failure patterns of all results."""
     return evaluation.failure_patterns(evaluation.scored(_cases(spark, sf_dir)), frame(spark, sf_dir, ISSUES).distinct())
 
@@ -88,8 +90,8 @@ def issue_categorise(spark, sf_dir):
 
 
 def issue_summary(spark, sf_dir):
-    i = frame(spark, sf_dir, ISSUES).where("test_id like '99%'")
-    return i.groupBy("issue").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("test_id")), ", ").alias("tests"))
+    """Issues with their number, and the first and last case of each; issue_tests has all cases."""
+    return frame(spark, sf_dir, ISSUES).groupBy("issue").agg(F.count("*").alias("n"), F.min("test_id").alias("first_test"), F.max("test_id").alias("last_test"))
 
 
 def issue_counts(spark, sf_dir):
@@ -203,12 +205,12 @@ def chunk_confidence(spark, sf_dir):
 
 def suggest_amounts(spark, sf_dir):
     """Distinct amounts that answers suggest, by unit, and how often they come first."""
-    rows = _cases(spark, sf_dir).select("test_id", F.posexplode(A.suggested_amounts(F.col("answer"))).alias("k", "a"))
+    rows = _cases(spark, sf_dir, wide=True).select("test_id", F.posexplode(A.suggested_amounts(F.col("answer"))).alias("k", "a"))
     return rows.groupBy("a.unit", "k").agg(F.count("*").alias("n"), F.sum(F.col("a.place")).alias("places"), F.sum(F.round(F.col("a.value") * 100).cast("long")).alias("hundredths"))
 
 
 def suggest_entities(spark, sf_dir):
-    rows = _cases(spark, sf_dir).select(F.explode(A.suggested_entities(F.concat("answer", F.lit(" Under the Toll Act, 2003 on NH 44 in Tamil Nadu."), "entity"))).alias("entity"))
+    rows = _cases(spark, sf_dir, wide=True).select(F.explode(A.suggested_entities(F.concat("answer", F.lit(" Under the Toll Act, 2003 on NH 44 in Tamil Nadu."), "entity"))).alias("entity"))
     return rows.groupBy("entity").agg(F.count("*").alias("n"))
 
 
@@ -258,7 +260,8 @@ def _suggested_sql() -> str:
     return f"e AS (SELECT test_id, answer, list_filter(list_concat({', '.join(parts)}), lambda a: a.value IS NOT NULL) AS every FROM c), x AS (SELECT test_id, answer, unnest(every) AS a, generate_subscripts(every, 1) AS i FROM e), y AS (SELECT test_id, answer, a.value AS value, a.unit AS unit, arg_min(a.found, i) AS found, min(i) AS i FROM x GROUP BY ALL), z AS (SELECT *, CAST(row_number() OVER (PARTITION BY test_id ORDER BY i) - 1 AS INT) AS k FROM y)"
 
 
-QUERIES = {f.__name__: f for f in (extract_amounts, match_amount, amount_accuracy, entity_coverage, fact_coverage, overall_score, eval_report, eval_compare, eval_failures, eval_failures_all, issue_categorise, issue_summary, issue_counts, issue_tests, wilson_interval, ack_no_data, forbidden_content, testcase_validate, dup_detect, length_distribution, diag_content, diag_findings, diag_hierarchy, diag_rec_gaps, diag_entities, entity_noise, verb_rec_fp, diag_xrefs, diag_score, diag_score_v3, corpus_summary, chunk_confidence, suggest_amounts, suggest_entities, diag_tables, sample_size)}
+QUERIES = {f.__name__: f for f in (extract_amounts, match_amount, amount_accuracy, entity_coverage, fact_coverage, overall_score, eval_report, eval_compare, eval_failures, eval_filtered, issue_categorise, issue_summary, issue_counts, issue_tests, wilson_interval, ack_no_data, forbidden_content, testcase_validate, dup_detect, length_distribution, diag_content, diag_findings, diag_hierarchy, diag_rec_gaps, diag_entities, entity_noise, verb_rec_fp, diag_xrefs, diag_score, diag_score_v3, corpus_summary, chunk_confidence, suggest_amounts, suggest_entities, diag_tables, sample_size)}
+QUERIES["eval_failures_all"] = eval_failures
 
 ORACLE_SQL = {
     "extract_amounts": more(f", {AM}, a AS (SELECT test_id, unnest(found) AS a FROM am) SELECT a.unit AS unit, count(*) AS n, count(DISTINCT test_id) AS tests, CAST(sum(CAST(round(a.value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM a GROUP BY 1", c=CASES),
@@ -268,10 +271,11 @@ ORACLE_SQL = {
     "fact_coverage": more(", k AS (SELECT test_id, lower(answer) AS low, list_transform(regexp_extract_all(fact, '\\d+\\.?\\d*'), lambda x: CAST(x AS DOUBLE)) AS nums, list_transform(regexp_extract_all(lower(answer), '\\d+\\.?\\d*'), lambda x: TRY_CAST(x AS DOUBLE)) AS own, list_filter(regexp_extract_all(lower(fact), '\\b([a-z]{4,})\\b', 1), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in A.COMMON_WORDS) + ")) AS words FROM c) SELECT test_id, CASE WHEN len(words) = 0 THEN true ELSE len(list_filter(words, lambda w: contains(low, w)))::DOUBLE / len(words) >= 0.4 AND len(list_filter(nums, lambda n: n > 1 AND len(list_filter(own, lambda m: abs(m - n) < 0.1 OR abs(m - n) / n < 0.05)) = 0)) = 0 END AS holds FROM k", c=CASES),
     "overall_score": more(f", {SCORED} SELECT test_id, CAST(round(score * 100) AS BIGINT) AS score, passed FROM sc", c=CASES),
     "eval_report": more(f", {SCORED} SELECT difficulty, type, count(*) AS n, count(*) FILTER (WHERE passed) AS passed FROM sc GROUP BY GROUPING SETS ((), (difficulty), (type))", c=CASES),
-    "eval_compare": more(f", {SCORED}, d AS (SELECT DISTINCT ON (test_id) test_id, passed FROM sc) SELECT CASE WHEN length(test_id) % 3 <> 0 AND passed THEN 'newly_passing' WHEN length(test_id) % 3 = 0 AND NOT passed THEN 'newly_failing' ELSE 'consistent_failure' END AS kind, count(*) AS n FROM d WHERE NOT (length(test_id) % 3 = 0 AND passed) GROUP BY 1", c=CASES),
-    "eval_failures": more(f", {SCORED}, fl AS (SELECT * FROM sc WHERE NOT passed AND test_id LIKE '1%'), n AS (SELECT count(*) AS total FROM fl), di AS (SELECT DISTINCT * FROM i) SELECT 'difficulty' AS pattern, difficulty AS value, count(*) AS n FROM fl GROUP BY 2 HAVING count(*) > (SELECT total * 0.5 FROM n) UNION ALL SELECT 'type', type, count(*) FROM fl GROUP BY 2 HAVING count(*) > (SELECT total * 0.4 FROM n) UNION ALL SELECT 'issue', issue, count(*) FROM fl JOIN di USING (test_id) GROUP BY 2 HAVING count(*) >= 3", c=CASES, i=ISSUES),
+    "eval_compare": more(f", {SCORED}, d AS (SELECT test_id, passed FROM sc) SELECT CASE WHEN length(test_id) % 3 <> 0 AND passed THEN 'newly_passing' WHEN length(test_id) % 3 = 0 AND NOT passed THEN 'newly_failing' ELSE 'consistent_failure' END AS kind, count(*) AS n FROM d WHERE NOT (length(test_id) % 3 = 0 AND passed) GROUP BY 1", c=CASES),
+    "eval_failures": more(f", {SCORED}, fl AS (SELECT * FROM sc WHERE NOT passed), n AS (SELECT count(*) AS total FROM fl), di AS (SELECT DISTINCT * FROM i) SELECT 'difficulty' AS pattern, difficulty AS value, count(*) AS n FROM fl GROUP BY 2 HAVING count(*) > (SELECT total * 0.5 FROM n) UNION ALL SELECT 'type', type, count(*) FROM fl GROUP BY 2 HAVING count(*) > (SELECT total * 0.4 FROM n) UNION ALL SELECT 'issue', issue, count(*) FROM fl JOIN di USING (test_id) GROUP BY 2 HAVING count(*) >= 3", c=CASES, i=ISSUES),
     "issue_categorise": over(f"SELECT {ISSUE_KIND} AS kind, count(*) AS n FROM i GROUP BY 1", i=ISSUES),
-    "issue_summary": over("SELECT issue, count(*) AS n, string_agg(test_id, ', ' ORDER BY test_id) AS tests FROM i WHERE test_id LIKE '99%' GROUP BY 1", i=ISSUES),
+    "issue_summary": over("SELECT issue, count(*) AS n, min(test_id) AS first_test, max(test_id) AS last_test FROM i GROUP BY 1", i=ISSUES),
+    "eval_filtered": more(f", {SCORED} SELECT hallucinated, count(*) AS n, count(*) FILTER (WHERE passed) AS passed FROM sc WHERE type = 'factual' AND difficulty = 'hard' GROUP BY 1", c=CASES),
     "wilson_interval": more(f", {SCORED}, r AS (SELECT difficulty, (count(*) FILTER (WHERE passed))::DOUBLE / count(*) AS p, count(*)::DOUBLE AS n, 1.96::DOUBLE * 1.96::DOUBLE AS z2 FROM sc GROUP BY 1) SELECT difficulty, CAST(round(greatest(0, (p + z2 / (2 * n)) / (1 + z2 / n) - 1.96::DOUBLE * sqrt((p * (1 - p) + z2 / (4 * n)) / n) / (1 + z2 / n)) * 1000000) AS BIGINT) AS low, CAST(round(least(1, (p + z2 / (2 * n)) / (1 + z2 / n) + 1.96::DOUBLE * sqrt((p * (1 - p) + z2 / (4 * n)) / n) / (1 + z2 / n)) * 1000000) AS BIGINT) AS high FROM r", c=CASES),
     "ack_no_data": over("SELECT regexp_matches(lower(answer), '" + "|".join(A.NO_DATA).replace("'", "''") + "') AS admits, count(*) AS n FROM c GROUP BY 1", c=CASES),
     "forbidden_content": over("SELECT test_id FROM c WHERE contains(lower(answer), 'tolls') OR contains(lower(answer), 'lakh went')", c=CASES),
@@ -296,7 +300,7 @@ ORACLE_SQL = {
     "chunk_confidence": over("SELECT p_partkey, CAST(round((CAST(confidence AS DECIMAL(4,2)) * CAST(0.4 AS DECIMAL(3,2)) + CAST(depths * 0.15 AS DECIMAL(4,2)) + CAST(orphans * 0.05 AS DECIMAL(4,2))) * 100) AS BIGINT) AS confidence FROM m", m=MEASURES),
 }
 ORACLE_SQL |= {
-    "eval_failures_all": ORACLE_SQL["eval_failures"].replace(" AND test_id LIKE '1%'", ""),
+    "eval_failures_all": ORACLE_SQL["eval_failures"],
     "issue_counts": over("SELECT issue, count(*) AS n FROM i GROUP BY 1", i=ISSUES),
     "issue_tests": over("SELECT issue, test_id FROM i", i=ISSUES),
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quarry.functions import reports as R
 from quarry.functions import tokens as T
 from quarry.operators import retrieval, vectors
-from quarry.plans.frames import CHUNKS, FINDINGS, PASSAGES, REPORTS, SECTIONS, duck, frame, over
+from quarry.plans.frames import CHUNKS, FINDINGS, PASSAGES, REPORTS, SECTIONS, duck, frame, over, spread
+from quarry.sources.scratch import shared_folder
 
 QUESTION = "What did Audit find on short levy of GST under Section 143 and Rule 12B for the year 2015-16 in crore?"
 STOP_INDEX = "[" + ",".join(f"'{w}'" for w in T.INDEX_STOPWORDS) + "]"
@@ -18,8 +19,26 @@ def _vectors(spark, sf_dir):
 
 
 def _query_vector(spark, sf_dir, number=0):
-    """The query's embedding: one row."""
-    return list(_vectors(spark, sf_dir).where(F.col("vec_id") == number).first()["embedding"])
+    """The query's embedding: one row; without it an empty vector, to which nothing is similar."""
+    row = _vectors(spark, sf_dir).where(F.col("vec_id") == number).first()
+    return list(row["embedding"] or []) if row else []
+
+
+#: Folders of keyword indexes by application, data folder and corpus. An index is written once and read by all searches.
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark, sf_dir, corpus):
+    """Postings and number of texts of the passages or the documents."""
+    name = (spark.sparkContext.applicationId, sf_dir, corpus)
+    if name not in _indexes:
+        path = shared_folder(spark, "keywords")
+        if corpus == "passages":
+            retrieval.write_postings(frame(spark, sf_dir, PASSAGES, wide=True).select("passage_id", "text"), "passage_id", path)
+        else:
+            retrieval.write_postings(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "doc_id", path)
+        _indexes[name] = path
+    return retrieval.read_postings(spark, _indexes[name])
 
 
 def cosine_topk(spark, sf_dir):
@@ -37,9 +56,8 @@ def multi_query_topk(spark, sf_dir):
 
 def comparative_topk(spark, sf_dir):
     """The k best of each group (a report, here the label) in one plan."""
-    query = F.array(*(F.lit(float(x)) for x in _query_vector(spark, sf_dir)))
     v = _vectors(spark, sf_dir)
-    return vectors.ranked(v, vectors.cosine(F.col("embedding"), query), "vec_id", 3, ["label"]).select("label", "vec_id", "rank")
+    return vectors.ranked(v, vectors.cosine_of(F.col("embedding"), _query_vector(spark, sf_dir)), "vec_id", 3, ["label"]).select("label", "vec_id", "rank")
 
 
 def multi_query_fusion(spark, sf_dir):
@@ -56,15 +74,25 @@ def rrf_fusion(spark, sf_dir):
 
 
 def sparse_topk(spark, sf_dir):
-    return retrieval.sparse_topk(frame(spark, sf_dir, PASSAGES), "passage_id", QUESTION, 20).select("passage_id", "rank")
+    return retrieval.sparse_topk(*_index(spark, sf_dir, "passages"), "passage_id", QUESTION, 20).select("passage_id", "rank")
 
 
 def hybrid_search(spark, sf_dir):
-    """Dense and keyword lists over passages and vectors, fused; the key is a number of both."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("lang") == "en").select(F.col("doc_id").alias("vec_id"), "text")
+    """Dense and keyword lists over documents and vectors, fused; the key is a number of both."""
     dense = vectors.dense_topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 50)
-    sparse = retrieval.sparse_topk(docs, "vec_id", "the union and the tion of thing", 50)
-    return retrieval.hybrid_topk(dense, sparse, "vec_id", 10).select("vec_id", "lists", "rank")
+    sparse = lambda: retrieval.sparse_topk(*_index(spark, sf_dir, "documents"), "doc_id", ASKED_WORDS, 50).withColumnRenamed("doc_id", "vec_id")
+    return retrieval.hybrid_or_dense(dense, sparse, "vec_id", 10).select("vec_id", "lists", "rank")
+
+
+#: A question in words of the sample documents, whose prose is invented.
+ASKED_WORDS = "the union and the tion of thing"
+
+
+def hybrid_fallback(spark, sf_dir):
+    """The same while the keyword index can't be read: the dense list."""
+    dense = vectors.dense_topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 50)
+    missing = lambda: retrieval.sparse_topk(*retrieval.read_postings(spark, f"{sf_dir}/no-such-index"), "vec_id", ASKED_WORDS, 50)
+    return retrieval.hybrid_or_dense(dense, missing, "vec_id", 10).select("vec_id", "lists", "rank")
 
 
 def rerank_topk(spark, sf_dir):
@@ -75,23 +103,22 @@ def rerank_topk(spark, sf_dir):
 
 
 def special_tokens(spark, sf_dir):
-    rows = frame(spark, sf_dir, PASSAGES).select(F.explode(T.special_tokens(F.col("text"))).alias("token"))
+    rows = frame(spark, sf_dir, PASSAGES, wide=True).select(F.explode(T.special_tokens(F.col("text"))).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def word_tokens(spark, sf_dir):
-    rows = frame(spark, sf_dir, PASSAGES).select(F.explode(T.word_tokens(F.col("text"))).alias("token"))
+    rows = frame(spark, sf_dir, PASSAGES, wide=True).select(F.explode(T.word_tokens(F.col("text"))).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def token_idf(spark, sf_dir):
-    chunks = frame(spark, sf_dir, PASSAGES)
-    found = retrieval.idf(retrieval.term_frequencies(chunks, "passage_id"), chunks.count())
+    found = retrieval.idf(*_index(spark, sf_dir, "passages"))
     return found.select("token", "df", F.round(F.col("idf") * 10000).cast("long").alias("idf4"))
 
 
 def sparse_weights(spark, sf_dir):
-    found = retrieval.sparse_vectors(frame(spark, sf_dir, PASSAGES), "passage_id")
+    found = retrieval.posting_weights(_index(spark, sf_dir, "passages")[0], "passage_id")
     return found.groupBy("token").agg(F.count("*").alias("n"), F.max(F.round(F.col("weight") * 10000)).cast("long").alias("most4"))
 
 
@@ -142,24 +169,12 @@ def neighbor_expand(spark, sf_dir):
 
 
 def group_by_parent(spark, sf_dir):
-    return retrieval.group_by_parent(_hits(spark, sf_dir).where("report_id = 'R7'")).drop("best", "parents")
-
-
-def group_by_parent_all(spark, sf_dir):
     return retrieval.group_by_parent(_hits(spark, sf_dir), ["report_id"]).drop("best", "parents")
 
 
 def attention_reorder(spark, sf_dir):
-    grouped = retrieval.group_by_parent(_hits(spark, sf_dir).where("report_id in ('R7', 'R9')"))
-    return grouped.select("parent_id", _place().alias("place"))
-
-
-def _place():
-    return retrieval.attention_place(F.col("parent_rank") - 1, F.col("parents")).cast("int")
-
-
-def attention_reorder_all(spark, sf_dir):
-    return retrieval.group_by_parent(_hits(spark, sf_dir), ["report_id"]).select("report_id", "parent_id", _place().alias("place"))
+    place = retrieval.attention_place(F.col("parent_rank") - 1, F.col("parents")).cast("int")
+    return retrieval.group_by_parent(_hits(spark, sf_dir), ["report_id"]).select("report_id", "parent_id", place.alias("place"))
 
 
 def parent_context(spark, sf_dir):
@@ -170,20 +185,11 @@ def parent_context(spark, sf_dir):
 
 
 def citations(spark, sf_dir):
-    hits = _hits(spark, sf_dir).where("report_id in ('R7', 'R9', 'R11')")
-    return retrieval.citations(hits, frame(spark, sf_dir, SECTIONS), frame(spark, sf_dir, REPORTS))
-
-
-def citation_map(spark, sf_dir):
-    return retrieval.citation_map(citations(spark, sf_dir))
-
-
-def citations_all(spark, sf_dir):
     return retrieval.citations(_hits(spark, sf_dir), frame(spark, sf_dir, SECTIONS), frame(spark, sf_dir, REPORTS), ["report_id"])
 
 
-def citation_map_all(spark, sf_dir):
-    return retrieval.citation_map(citations_all(spark, sf_dir), ["report_id"])
+def citation_map(spark, sf_dir):
+    return retrieval.citation_map(citations(spark, sf_dir), ["report_id"])
 
 
 def sufficiency(spark, sf_dir):
@@ -206,15 +212,8 @@ def assign_parent(spark, sf_dir):
 
 
 def context_string(spark, sf_dir):
-    return _contexts(spark, sf_dir, _hits(spark, sf_dir).where("report_id in ('R7', 'R9')"))
-
-
-def context_string_all(spark, sf_dir):
-    return _contexts(spark, sf_dir, _hits(spark, sf_dir))
-
-
-def _contexts(spark, sf_dir, hits):
-    hits = hits.where("parent_id is not null")
+    """A context for each report's hits."""
+    hits = _hits(spark, sf_dir).where("parent_id is not null")
     sections = frame(spark, sf_dir, SECTIONS).select(F.col("section_id").alias("parent_id"), "toc_entry", "hierarchy_path", "page_start", "page_end")
     near = retrieval.neighbours(frame(spark, sf_dir, CHUNKS))
     body = lambda c: F.concat(F.lit("Text of "), c)
@@ -257,12 +256,16 @@ def hierarchy_mismatch(spark, sf_dir):
     return both.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-CITED_SQL = f"""cited AS (SELECT row_number() OVER (ORDER BY best DESC, parent_id NULLS FIRST, score DESC, chunk_id) AS id, report_id, coalesce(toc_entry, 'Unknown') AS section, coalesce(hierarchy_path, toc_entry, 'Unknown') AS hierarchy,
+CITED_SQL = f"""cited AS (SELECT row_number() OVER (PARTITION BY report_id ORDER BY best DESC, parent_id NULLS FIRST, score DESC, chunk_id) AS id, report_id, coalesce(toc_entry, 'Unknown') AS section, coalesce(hierarchy_path, toc_entry, 'Unknown') AS hierarchy,
   page + 1 AS page, coalesce(title, '') AS title, chunk_id FROM (
-  SELECT h.*, s.toc_entry, s.hierarchy_path, r.title, max(score) OVER (PARTITION BY h.parent_id) AS best
-  FROM h LEFT JOIN s ON h.parent_id = s.section_id LEFT JOIN r ON h.report_id = r.report_id WHERE h.report_id IN ('R7', 'R9', 'R11')))"""
+  SELECT h.*, s.toc_entry, s.hierarchy_path, r.title, max(score) OVER (PARTITION BY h.report_id, h.parent_id) AS best
+  FROM h LEFT JOIN s ON h.parent_id = s.section_id LEFT JOIN r ON h.report_id = r.report_id))"""
+
+PARENTS_SQL = ", g AS (SELECT report_id, coalesce(parent_id, 'unknown') AS parent_id, string_agg(chunk_id, ',' ORDER BY score DESC, chunk_id) AS chunk_ids, max(score) AS best, count(*) AS children FROM h GROUP BY 1, 2)"
 
-QUERIES = {f.__name__: f for f in (cosine_topk, dense_topk_filtered, multi_query_topk, comparative_topk, multi_query_fusion, rrf_fusion, sparse_topk, hybrid_search, rerank_topk, special_tokens, word_tokens, token_idf, sparse_weights, sparse_query, parse_chunk_id, neighbor_expand, group_by_parent, group_by_parent_all, attention_reorder, attention_reorder_all, parent_context, citations, citations_all, citation_map, citation_map_all, sufficiency, orphan_chunks, assign_parent, context_string, context_string_all, semantic_tags, chunk_enrichment, hierarchy_inherit, hierarchy_mismatch)}
+QUERIES = {f.__name__: f for f in (cosine_topk, dense_topk_filtered, multi_query_topk, comparative_topk, multi_query_fusion, rrf_fusion, sparse_topk, hybrid_search, hybrid_fallback, rerank_topk, special_tokens, word_tokens, token_idf, sparse_weights, sparse_query, parse_chunk_id, neighbor_expand, group_by_parent, attention_reorder, parent_context, citations, citation_map, sufficiency, orphan_chunks, assign_parent, context_string, semantic_tags, chunk_enrichment, hierarchy_inherit, hierarchy_mismatch)}
+#: The same under the names they had while the others took a few reports.
+QUERIES |= {f"{n}_all": QUERIES[n] for n in ("group_by_parent", "attention_reorder", "citations", "citation_map", "context_string")}
 
 ORACLE_SQL = {
     "cosine_topk": f"SELECT e.vec_id, CAST(row_number() OVER (ORDER BY {SIM} DESC, e.vec_id) AS INT) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank <= 10",
@@ -273,8 +276,8 @@ ORACLE_SQL = {
     "rrf_fusion": f"WITH l AS (SELECT e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, e.vec_id) AS r FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (5, 6)) q QUALIFY r <= 20) SELECT vec_id, count(*) AS lists, CAST(round(sum(1::DOUBLE / (60 + r - 1)) * 1000000) AS BIGINT) AS micro_score FROM l GROUP BY 1",
     "rerank_topk": f"WITH c AS (SELECT e.vec_id, e.embedding FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {SIM} DESC, e.vec_id LIMIT 50) SELECT e.vec_id, CAST(row_number() OVER (ORDER BY {SIM} DESC, e.vec_id) AS INT) AS rank FROM c e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q QUALIFY rank <= 10",
     "hybrid_search": f"""
-WITH passages AS (SELECT doc_id AS passage_id, text FROM documents WHERE lang = 'en'),
-tok AS (SELECT passage_id, unnest(regexp_extract_all(lower(text), '\\b([a-z]{{2,}})\\b', 1)) AS token FROM passages),
+WITH passages AS (SELECT doc_id AS passage_id, text FROM documents),
+tok AS (SELECT passage_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) AS token FROM passages),
 asked(token) AS (VALUES ('union'), ('tion'), ('thing')), m AS (SELECT passage_id, token, count(*) AS tf FROM tok JOIN asked USING (token) GROUP BY ALL),
 d AS (SELECT token, count(*) AS df FROM m GROUP BY 1), n AS (SELECT count(*) AS n FROM passages),
 s AS (SELECT passage_id, round(sum(tf / (tf + 1.2::DOUBLE) * (1::DOUBLE / 2.2::DOUBLE) * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)), 9) AS score FROM m JOIN d USING (token), n GROUP BY 1),
@@ -284,7 +287,7 @@ f AS (SELECT vec_id, count(*) AS lists, round(sum(1::DOUBLE / (60 + r - 1)), 12)
 SELECT vec_id, lists, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM f QUALIFY rank <= 10""",
     "context_string": over(f""", n AS (SELECT chunk_id, left(chunk_id, length(chunk_id) - 4) AS stem, CAST(right(chunk_id, 4) AS INT) AS i FROM c),
 k AS (SELECT h.report_id, h.parent_id, h.chunk_id, h.score, h.page, s.toc_entry, s.hierarchy_path, s.page_start, s.page_end, p.chunk_id AS prev, x.chunk_id AS next
-  FROM h JOIN s ON h.parent_id = s.section_id JOIN n ON n.chunk_id = h.chunk_id LEFT JOIN n p ON p.stem = n.stem AND p.i = n.i - 1 LEFT JOIN n x ON x.stem = n.stem AND x.i = n.i + 1 WHERE h.report_id IN ('R7', 'R9')),
+  FROM h JOIN s ON h.parent_id = s.section_id JOIN n ON n.chunk_id = h.chunk_id LEFT JOIN n p ON p.stem = n.stem AND p.i = n.i - 1 LEFT JOIN n x ON x.stem = n.stem AND x.i = n.i + 1),
 l AS (SELECT *, row_number() OVER (PARTITION BY report_id, parent_id ORDER BY score DESC, chunk_id) AS nth, max(score) OVER (PARTITION BY report_id, parent_id) AS best FROM k),
 t AS (SELECT report_id, parent_id, best, '## ' || hierarchy_path || ' (Pages ' || (page_start + 1) || '-' || (page_end + 1) || ')' || chr(10) || chr(10) AS head, nth,
   concat_ws(chr(10), '[...preceding]: ' || right('Text of ' || prev, 200), '[Source: ' || toc_entry || ', p.' || (page + 1) || ']', '[' || nth || ']' || CASE WHEN score > 0.85 THEN '★★★' WHEN score > 0.7 THEN '★★' ELSE '★' END || ' Text of ' || chunk_id,
@@ -300,11 +303,11 @@ SELECT report_id, CASE WHEN length(context) > 4000 THEN left(context, 4000) || c
     "sparse_query": f"WITH {ASKED} SELECT token, CAST(round(asked * 10000) AS BIGINT) AS weight4 FROM asked",
     "parse_chunk_id": over("SELECT chunk_id, regexp_extract(chunk_id, '^(.+)_child_p(\\d+)_(\\w+)_(\\d+)$', 1) AS report, CAST(regexp_extract(chunk_id, '^(.+)_child_p(\\d+)_(\\w+)_(\\d+)$', 2) AS INT) AS page_no, regexp_extract(chunk_id, '^(.+)_child_p(\\d+)_(\\w+)_(\\d+)$', 3) AS kind, CAST(regexp_extract(chunk_id, '^(.+)_child_p(\\d+)_(\\w+)_(\\d+)$', 4) AS INT) AS index FROM c", c=CHUNKS),
     "neighbor_expand": over(", k AS (SELECT chunk_id, left(chunk_id, length(chunk_id) - 4) AS stem, CAST(right(chunk_id, 4) AS INT) AS i FROM c) SELECT k.chunk_id, p.chunk_id AS previous_id, n.chunk_id AS next_id FROM k LEFT JOIN k p ON p.stem = k.stem AND p.i = k.i - 1 LEFT JOIN k n ON n.stem = k.stem AND n.i = k.i + 1", c=CHUNKS).replace(")\n,", "),"),
-    "group_by_parent": over(", g AS (SELECT coalesce(parent_id, 'unknown') AS parent_id, string_agg(chunk_id, ',' ORDER BY score DESC, chunk_id) AS chunk_ids, max(score) AS best, count(*) AS children FROM h WHERE report_id = 'R7' GROUP BY 1) SELECT parent_id, chunk_ids, children, CAST(row_number() OVER (ORDER BY best DESC, parent_id) AS INT) AS parent_rank FROM g", h=HITS).replace(")\n,", "),"),
-    "attention_reorder": over(", g AS (SELECT coalesce(parent_id, 'unknown') AS parent_id, max(score) AS best FROM h WHERE report_id IN ('R7', 'R9') GROUP BY 1), k AS (SELECT parent_id, row_number() OVER (ORDER BY best DESC, parent_id) - 1 AS r, count(*) OVER () AS n FROM g) SELECT parent_id, CAST(CASE WHEN n <= 2 THEN r WHEN 2 * r < n THEN 2 * r ELSE 2 * (n - 1 - r) + 1 END AS INT) AS place FROM k", h=HITS).replace(")\n,", "),"),
+    "group_by_parent": over(f"{PARENTS_SQL} SELECT report_id, parent_id, chunk_ids, children, CAST(row_number() OVER (PARTITION BY report_id ORDER BY best DESC, parent_id) AS INT) AS parent_rank FROM g", h=HITS).replace(")\n,", "),"),
+    "attention_reorder": over(f"{PARENTS_SQL}, k AS (SELECT report_id, parent_id, row_number() OVER (PARTITION BY report_id ORDER BY best DESC, parent_id) - 1 AS r, count(*) OVER (PARTITION BY report_id) AS n FROM g) SELECT report_id, parent_id, CAST(CASE WHEN n <= 2 THEN r WHEN 2 * r < n THEN 2 * r ELSE 2 * (n - 1 - r) + 1 END AS INT) AS place FROM k", h=HITS).replace(")\n,", "),"),
     "parent_context": over("SELECT chunk_id, coalesce(toc_entry, 'Unknown') AS toc_entry, coalesce(page_start, 0) AS page_start, coalesce(page_end, 0) AS page_end FROM h LEFT JOIN s ON h.parent_id = s.section_id", h=HITS, s=SECTIONS),
     "citations": over(f", {CITED_SQL} SELECT CAST(id AS INT) AS id, report_id, section, hierarchy, page, title, chunk_id FROM cited", h=HITS, s=SECTIONS, r=REPORTS).replace(")\n,", "),"),
-    "citation_map": over(f", {CITED_SQL} SELECT section || ', p.' || CAST(page AS STRING) AS key, max_by(chunk_id, id) AS chunk_id, CAST(max(id) AS INT) AS id FROM cited GROUP BY 1", h=HITS, s=SECTIONS, r=REPORTS).replace(")\n,", "),"),
+    "citation_map": over(f", {CITED_SQL} SELECT report_id, section || ', p.' || CAST(page AS STRING) AS key, max_by(chunk_id, id) AS chunk_id, CAST(max(id) AS INT) AS id FROM cited GROUP BY 1, 2", h=HITS, s=SECTIONS, r=REPORTS).replace(")\n,", "),"),
     "sufficiency": over("SELECT report_id, max(score) >= 0.25 AS sufficient, coalesce(max(score) FILTER (WHERE page = 1) >= 0.25, false) AS first_page_sufficient FROM h GROUP BY 1", h=HITS),
     "orphan_chunks": over("SELECT report_id, count(*) AS orphans FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.section_id = c.parent_id) GROUP BY 1", c=CHUNKS, s=SECTIONS),
     "assign_parent": over("SELECT chunk_id, max_by(section_id, CASE WHEN section_id IS NOT NULL THEN CAST(toc_level AS STRING) || section_id END) AS section_id FROM c LEFT JOIN s ON c.report_id = s.report_id AND page BETWEEN page_start AND page_end GROUP BY 1", c=CHUNKS, s=SECTIONS),
@@ -313,13 +316,5 @@ SELECT report_id, CASE WHEN length(context) > 4000 THEN left(context, 4000) || c
     "hierarchy_inherit": over("SELECT chunk_id, coalesce(CASE WHEN page = 2 THEN 'Own > Path' END, hierarchy_path) AS path FROM c LEFT JOIN s ON c.parent_id = s.section_id", c=CHUNKS, s=SECTIONS),
     "hierarchy_mismatch": over(", b AS (SELECT string_split('Part ' || page || CASE WHEN page > 2 THEN ' > Section 1' ELSE '' END, ' > ') AS own, string_split(hierarchy_path, ' > ') AS theirs FROM c JOIN s ON c.parent_id = s.section_id) SELECT CASE WHEN list_has_all(theirs, own) THEN 'subset' WHEN list_has_all(own, theirs) THEN 'superset' ELSE 'value_differs' END AS kind, count(*) AS n FROM b WHERE own <> theirs GROUP BY 1", c=CHUNKS, s=SECTIONS).replace(")\n,", "),"),
 }
-
-CITED_ALL_SQL = CITED_SQL.replace("OVER (ORDER BY", "OVER (PARTITION BY report_id ORDER BY").replace("PARTITION BY h.parent_id", "PARTITION BY h.report_id, h.parent_id").replace(" WHERE h.report_id IN ('R7', 'R9', 'R11')", "")
-PARENTS_SQL = ", g AS (SELECT report_id, coalesce(parent_id, 'unknown') AS parent_id, string_agg(chunk_id, ',' ORDER BY score DESC, chunk_id) AS chunk_ids, max(score) AS best, count(*) AS children FROM h GROUP BY 1, 2)"
-ORACLE_SQL |= {
-    "group_by_parent_all": over(f"{PARENTS_SQL} SELECT report_id, parent_id, chunk_ids, children, CAST(row_number() OVER (PARTITION BY report_id ORDER BY best DESC, parent_id) AS INT) AS parent_rank FROM g", h=HITS).replace(")\n,", "),"),
-    "attention_reorder_all": over(f"{PARENTS_SQL}, k AS (SELECT report_id, parent_id, row_number() OVER (PARTITION BY report_id ORDER BY best DESC, parent_id) - 1 AS r, count(*) OVER (PARTITION BY report_id) AS n FROM g) SELECT report_id, parent_id, CAST(CASE WHEN n <= 2 THEN r WHEN 2 * r < n THEN 2 * r ELSE 2 * (n - 1 - r) + 1 END AS INT) AS place FROM k", h=HITS).replace(")\n,", "),"),
-    "citations_all": over(f", {CITED_ALL_SQL} SELECT CAST(id AS INT) AS id, report_id, section, hierarchy, page, title, chunk_id FROM cited", h=HITS, s=SECTIONS, r=REPORTS).replace(")\n,", "),"),
-    "citation_map_all": over(f", {CITED_ALL_SQL} SELECT report_id, section || ', p.' || CAST(page AS STRING) AS key, max_by(chunk_id, id) AS chunk_id, CAST(max(id) AS INT) AS id FROM cited GROUP BY 1, 2", h=HITS, s=SECTIONS, r=REPORTS).replace(")\n,", "),"),
-    "context_string_all": ORACLE_SQL["context_string"].replace(" WHERE h.report_id IN ('R7', 'R9')", ""),
-}
+ORACLE_SQL |= {f"{n}_all": ORACLE_SQL[n] for n in ("group_by_parent", "attention_reorder", "citations", "citation_map", "context_string")}
+ORACLE_SQL["hybrid_fallback"] = ORACLE_SQL["cosine_topk"].replace("SELECT e.vec_id,", "SELECT e.vec_id, CAST(1 AS BIGINT) AS lists,")

@@ -77,6 +77,12 @@ def findings(files: DataFrame) -> DataFrame:
     return rows.select("report_id", "ord", "f.source_chunk_id", "f.finding_type", "f.severity", F.col("f.total_amount_inr").alias("amount_paise"), "f.chapter", "f.page", "f.confidence", F.coalesce("f.description", "f.text").alias("text"))
 
 
+def section_classes(files: DataFrame) -> DataFrame:
+    """Section types of chunks in the files' order."""
+    rows = files.where(F.col("_corrupt_record").isNull()).select(F.posexplode("semantic_enrichment.section_classifications").alias("ord", "s"))
+    return rows.select("s.chunk_id", "ord", "s.section_type", "s.confidence")
+
+
 def batch_results(spark: SparkSession, path: str, jobs: DataFrame | None = None) -> DataFrame:
     """Summaries of a JSONL file of batch results: report_id, variant, content, word_count, thinking_used, error.
 

@@ -29,19 +29,50 @@ def client_of(forwarded: Column, peer: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), peer)
 
 
-def index_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str) -> None:
-    """New files of rows (with ``seq``) put into a table by key, the later row winning; all files there are, then done.
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in store.listStatus(path)] if store.exists(path) else []
 
-    A batch writes a new version of the table beside the old one and names it last, so a repeated batch does no harm.
+
+def _manifest(spark: SparkSession, table: str, before: int | None = None) -> dict[int, str]:
+    """Folder of each bucket by the last whole manifest (of a batch before ``before``)."""
+    whole = [int(n) for n in _children(spark, f"{table}/manifest") if (before is None or int(n) < before) and "_SUCCESS" in _children(spark, f"{table}/manifest/{n}")]
+    return {r["bucket"]: r["path"] for r in spark.read.parquet(f"{table}/manifest/{max(whole):09d}").collect()} if whole else {}
+
+
+def read_indexed(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """The rows that an indexed table holds now."""
+    paths = sorted(_manifest(spark, table).values())
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def index_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, buckets: int = 32, files_a_batch: int = 1000) -> None:
+    """New files of rows (with ``seq``) put into a table by key, the row of highest seq winning whenever it comes; all files there are, then done.
+
+    The table is bucketed by the key's hash. A batch rewrites the buckets that its keys fall into, beside the old ones,
+    and then writes a manifest, one row per bucket, that names each bucket's folder. Readers follow the last whole
+    manifest; a batch that is repeated starts from the one before its own, so it does no harm.
     """
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
     def put(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
-        new = f"{target}/version={number}"
-        current = own.read.schema(batch.schema).parquet(f"{target}/version={number - 1}") if number else own.createDataFrame([], batch.schema)
-        upsert(current, batch, key).write.mode("overwrite").parquet(new)
-
-    stream = spark.readStream.schema(schema).parquet(source)
+        known = _manifest(own, target, before=number)
+        touched = [r["bucket"] for r in batch.select(place.alias("bucket")).distinct().collect()]
+        if not touched:
+            return
+        old = [known[b] for b in touched if b in known]
+        current = own.read.schema(batch.schema).parquet(*old) if old else batch.limit(0)
+        folder = f"{target}/rows/batch={number}"
+        none = own.createDataFrame([], batch.schema)
+        rows = upsert(none, current.unionByName(batch), key).withColumn("bucket", place)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        known |= {b: f"{folder}/bucket={b}" for b in touched}
+        own.createDataFrame(sorted(known.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/{number:09d}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
