@@ -188,13 +188,16 @@ def _cited(spark, sf_dir):
     """Citations of an answer on each report: some entries know their physical page, some a logical one in other words."""
     s = frame(spark, sf_dir, SECTIONS)
     physical, logical = F.when(F.col("toc_level") == 0, F.col("page_end") - 1), F.when(F.col("toc_level") == 1, F.col("page_end").cast("string")).when(F.col("toc_level") == 2, F.concat(F.lit("page "), F.col("page_end").cast("string")))
-    entry = F.concat(F.lit("Section "), F.col("page_start").cast("string"), F.lit(".1, p."), F.col("page_end").cast("string"))
+    end = F.col("page_end").cast("string")
+    usual = F.concat(F.lit("Section "), F.col("page_start").cast("string"), F.lit("."), (F.col("page_end") % 5).cast("string"), F.lit(", p."), end)
+    entry = F.when(F.col("toc_level") == 2, F.concat(F.lit("Section 2.1, p."), end, F.lit("4"))).when(F.col("toc_level") == 3, F.lit("Annexure, p.0")).otherwise(usual)
     return s.select("report_id", F.col("page_start").alias("ord"), entry.alias("entry"), F.col("toc_entry").alias("section"), physical.alias("page_physical"), logical.alias("page_logical"))
 
 
 def citation_lookup(spark, sf_dir):
-    """Citations in each report's passages against the citations of that report's answer."""
-    asked = frame(spark, sf_dir, PASSAGES, wide=True).select("report_id", F.explode(R.citations_in(F.col("text"))).alias("citation")).distinct()
+    """Citations in each report's passages, and the same without the word, against the citations of that report's answer."""
+    cited = F.flatten(F.transform(R.citations_in(F.col("text")), lambda x: F.array(x, F.regexp_replace(x, "^Section ", ""))))
+    asked = frame(spark, sf_dir, PASSAGES, wide=True).select("report_id", F.explode(cited).alias("citation")).distinct()
     return retrieval.lookup_citations(asked, retrieval.citation_entries(_cited(spark, sf_dir), "report_id"), "report_id")
 
 
@@ -248,10 +251,11 @@ def _param_sql(which: int) -> str:
 KEY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(citation), '^\\[|\\]$', '', 'g'), '\\s+', ' ', 'g'), '\\s*,\\s*', ',', 'g'), '\\b(page|pg)\\s*', 'p', 'g'), 'p\\.\\s*', 'p', 'g'))"
 CITES_SQL = f"cites AS (SELECT passage_id, citation, {KEY_SQL} AS key, nullif(regexp_extract(citation, '(\\d+(?:\\.\\d+)*)', 1), '') AS section, CAST(nullif(regexp_extract(citation, '(?i)(?:p\\.?|page)\\s*(\\d+)', 1), '') AS INT) AS page FROM (SELECT passage_id, trim(unnest(regexp_extract_all(text, '(?i)\\[([^\\]]*(?:p\\.?\\s*\\d+|page\\s*\\d+)[^\\]]*)\\]', 1))) AS citation FROM p))"
 
-LOOKUP_SQL = f"""a AS (SELECT DISTINCT report_id, citation, key, section, cites.page AS page, regexp_extract(citation, '(?i)p\\.?\\s*(\\d+)', 1) AS target FROM cites JOIN p USING (passage_id)),
-e AS (SELECT report_id, page_start AS ord, 'Section ' || page_start || '.1, p.' || page_end AS citation, toc_entry AS section, CASE WHEN toc_level = 0 THEN page_end - 1 END AS physical, CASE toc_level WHEN 1 THEN CAST(page_end AS STRING) WHEN 2 THEN 'page ' || page_end END AS logical,
-  page_start || '.1' AS number, CASE WHEN page_end > 0 THEN page_end END AS page FROM s),
-k AS (SELECT *, unnest([{KEY_SQL}, regexp_replace(lower(citation), '[\\s,]+', '', 'g'), number || 'p' || page, 'section' || number || 'p' || page, regexp_replace(section, '[^0-9.]', '', 'g') || 'p' || nullif(regexp_replace(logical, '[^0-9]', '', 'g'), '')]) AS known, unnest([0, 1, 2, 3, 4]) AS nth FROM e),
+LOOKUP_SQL = f"""b AS (SELECT DISTINCT report_id, unnest([citation, regexp_replace(citation, '^Section ', '')]) AS citation FROM cites JOIN p USING (passage_id)),
+a AS (SELECT DISTINCT report_id, citation, {KEY_SQL} AS key, nullif(regexp_extract(citation, '(\\d+(?:\\.\\d+)*)', 1), '') AS section, CAST(nullif(regexp_extract(citation, '(?i)(?:p\\.?|page)\\s*(\\d+)', 1), '') AS INT) AS page, regexp_extract(citation, '(?i)p\\.?\\s*(\\d+)', 1) AS target FROM b),
+d AS (SELECT report_id, page_start AS ord, CASE toc_level WHEN 2 THEN 'Section 2.1, p.' || page_end || '4' WHEN 3 THEN 'Annexure, p.0' ELSE 'Section ' || page_start || '.' || (page_end % 5) || ', p.' || page_end END AS citation, toc_entry AS section, CASE WHEN toc_level = 0 THEN page_end - 1 END AS physical, CASE toc_level WHEN 1 THEN CAST(page_end AS STRING) WHEN 2 THEN 'page ' || page_end END AS logical FROM s),
+e AS (SELECT *, nullif(regexp_extract(citation, '(\\d+(?:\\.\\d+)*)', 1), '') AS number, nullif(CAST(nullif(regexp_extract(citation, '(?i)(?:p\\.?|page)\\s*(\\d+)', 1), '') AS INT), 0) AS page FROM d),
+k AS (SELECT *, unnest([{KEY_SQL}, regexp_replace(lower(citation), '[\\s,]+', '', 'g'), number || 'p' || page, 'section' || number || 'p' || page, nullif(regexp_replace(section, '[^0-9.]', '', 'g'), '') || 'p' || nullif(regexp_replace(logical, '[^0-9]', '', 'g'), '')]) AS known, unnest([0, 1, 2, 3, 4]) AS nth FROM e),
 m AS (SELECT report_id, known, min(row(ord, nth)) AS place, max_by(row(citation, physical, logical), row(ord, nth)) AS v FROM k WHERE known IS NOT NULL GROUP BY 1, 2),
 j AS (SELECT a.*, m.place, m.v[1] AS entry, CASE WHEN known = key THEN 1 WHEN page <> 0 AND known = a.section || 'p' || page THEN 2 WHEN page <> 0 AND (v[2] = page - 1 OR v[3] = CAST(page AS STRING)) THEN 3
   WHEN contains(key, 'p') AND contains(known, string_split(key, 'p')[1]) AND contains(known, 'p' || string_split(key, 'p')[-1]) THEN 4 END AS way, regexp_extract(known, 'p(\\d+)', 1) = target AND target <> '' AS paged FROM a JOIN m USING (report_id)),
