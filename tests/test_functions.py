@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import amounts, assets, reports, tokens
-from quarry.operators import catalog, diagnostics, providers, retrieval
+from quarry.operators import assets as table_ops
+from quarry.operators import catalog, diagnostics, providers, retrieval, vectors
 
 
 def one(spark, column, **values):
@@ -125,3 +126,88 @@ def test_upsert_is_idempotent(spark):
 def test_gaps(spark):
     df = spark.createDataFrame([("r", 2), ("r", 5), ("r", 3), ("s", 1), ("t", None)], "r string, n int")
     assert {r["r"]: r["numbers"] for r in diagnostics.gaps(df, "r", "n").collect()} == {"r": "4", "s": ""}
+
+
+def test_display_titles(spark):
+    """Null pages tell nothing, structured titles are compared as they stand, and each way is used up in order."""
+    rows = [
+        ("r", "a", 1, None, 5, 3, "Dues", None), ("r", "b", 2, 4, 5, 3, "Dues", None), ("r", "c", 3, 4, 5, 3, "Dues", ""), ("r", "d", 4, None, 5, 3, "Dues", None), ("r", "e", 5, 0, 0, 3, "Dues", None),
+        ("r", "f", 6, 9, 2, 2, "Dues", "Data Table: 1.2 Ports"), ("r", "g", 7, 9, 2, 2, "Dues", "1.2 Ports"), ("r", "h", 8, 9, 2, 2, "Dues", "Dues"), ("r", "i", 9, 1, 1, 1, "Alone", None), ("s", "j", 1, None, 1, 1, "Dues", "x"), ("s", "k", 1, None, 1, 1, "Dues", "x"), ("s", "l", 2, None, 1, 1, "", None),
+    ]
+    df = spark.createDataFrame(rows, "report_id string, chunk_id string, ord int, page int, rows int, columns int, title string, struct_title string")
+    got = {r["chunk_id"]: r["display"] for r in table_ops.disambiguate(df).collect()}
+    assert got == {
+        "a": "Dues (5×3)", "b": "Dues (Page 4)", "c": "Dues (1)", "d": "Dues (2)", "e": "Dues (3)", "f": "1.2 Ports", "g": "1.2 Ports", "h": "Dues (Page 9)", "i": "Alone", "j": "Dues (1×1)", "k": "Dues (1)", "l": "Untitled Table",
+    }
+
+
+def test_one_caption_of_a_page(spark):
+    rows = [("r", "a", 1, 3, "image_caption", "a bar chart depicting the dues of ports"), ("r", "b", 2, 3, "image_caption", "a pie chart showing the dues of rails"), ("r", "c", 3, 4, "image_caption", "a photo of people"), ("r", "d", 4, 4, "image_caption", "it shows the trend line of dues paid")]
+    got = table_ops.extract_charts(spark.createDataFrame(rows, "report_id string, chunk_id string, ord int, page int, kind string, text string")).collect()
+    assert sorted(r["chunk_id"] for r in got) == ["a", "d"]
+
+
+def test_tables_over_pages(spark):
+    rows = [("r", 1, "a", 1, "Dues", "A,B,C,D,E,F", 3), ("r", 2, "b", 2, "Dues", "A,B,C,D,E,F", 4), ("r", 3, "c", 4, "Dues", "A,B,C,D,E,F", 1), ("r", 4, "d", 5, "Dues (contd.)", "X", 2), ("r", 5, "e", 6, "Dues", "X,Y", 2), ("s", 6, "f", 7, "Dues", None, 2)]
+    df = spark.createDataFrame(rows, "report_id string, ord int, chunk_id string, page int, caption string, heads string, rows int").withColumn("headers", F.split("heads", ","))
+    assert sorted((r["chunk_id"], r["pages"], r["rows"]) for r in table_ops.stitch(df).collect()) == [("a", "1,2", 7), ("c", "4,5", 3), ("e", "6", 2), ("f", "7", 2)]
+
+
+def test_citation_lookup(spark):
+    """Each way of finding a citation, worked out by hand."""
+    entries = spark.createDataFrame([("r", 0, "Section 2.3, p.54", "2.3 Dues", None, None), ("r", 1, "Executive Summary, p.11", "Executive Summary", 10, "11"), ("r", 2, "Annexure, p.0", "Annexure", None, None), ("r", 3, "Section 2.3, p.54", "2.3 Dues", 99, None)], "by string, ord int, entry string, section string, page_physical int, page_logical string")
+    known = retrieval.citation_entries(entries, "by")
+    assert known.where("known = 'section 2.3,p54'").first()["page_physical"] == 99
+    asked = spark.createDataFrame([("r", c) for c in ("[section 2.3 ,  Page 54]", "2.3, p.54", "Part 9, page 11", "section 2.3, p.5", "x, p.0", "y, p.77", "no page")], "by string, citation string")
+    got = {r["citation"]: (r["entry"], r["strategy"]) for r in retrieval.lookup_citations(asked, known, "by").collect()}
+    assert got == {"[section 2.3 ,  Page 54]": ("Section 2.3, p.54", 1), "2.3, p.54": ("Section 2.3, p.54", 2), "Part 9, page 11": ("Executive Summary, p.11", 3), "section 2.3, p.5": ("Section 2.3, p.54", 4), "x, p.0": ("Annexure, p.0", 5)}
+
+
+def test_similar_vectors(spark):
+    """Blocks give what pairs give; null, zero and odd vectors are similar to nothing; equal vectors go by number."""
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0]), (7, []), (8, [1.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = vectors.topk_of_queries(v, v.where("vec_id in (2, 4, 5, 8)"), 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(2, 1, 1), (2, 2, 2), (2, 3, 8), (8, 1, 8), (8, 2, 1), (8, 3, 2)]
+    assert [r["vec_id"] for r in vectors.dense_topk(v.where("vec_id <> 6"), [5.0, 0.0], 9).orderBy("rank").collect()] == [1, 2, 8, 3]
+
+
+def test_best_of_groups(spark):
+    rows = [(g, f"k{i}", ((i * 37) % 10) / 10 + (i % 3) / 1e6) for g in ("a", "b") for i in range(25)]
+    limits = F.when(F.col("g") == "a", 7).otherwise(30)
+    got = retrieval.best_of(spark.createDataFrame(rows, "g string, k string, score double"), "g", limits, "k").collect()
+    for g, n in (("a", 7), ("b", 25)):
+        want = [k for _, k, _ in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))][:n]
+        assert [r["k"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["place"])] == want
+
+
+def test_rerank_shows_the_path(spark):
+    df = spark.createDataFrame([("a", "Ports > Dues", "nothing"), ("b", None, "dues of rails"), ("c", "", None)], "chunk_id string, hierarchy_path string, text string")
+    got = retrieval.rerank(df, "ports dues", providers.WordOverlap(), "chunk_id", 2).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["score"]) for r in got] == [("a", 1.0), ("b", 0.5)]
+
+
+def test_keyword_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "toll dues toll"), (2, "dues"), (3, None), (4, "Section 5 dues")], "id long, text string")
+    retrieval.write_postings(docs, "id", str(tmp_path / "k"))
+    postings, texts = retrieval.read_postings(spark, str(tmp_path / "k"))
+    assert texts.first()["texts"] == 4 and postings.where("token = 'toll'").first()["tf"] == 2
+    assert [r["id"] for r in retrieval.sparse_topk(postings, texts, "id", "toll under Section 5", 5).orderBy("rank").collect()] == [4, 1]
+    assert retrieval.sparse_topk(postings, texts, "id", "the of", 5).count() == 0
+
+
+def test_legacy_sizes(spark):
+    for kind, want in (("list", (15, 15000)), ("factual", (10, 10000))):
+        assert (one(spark, reports.legacy_top_k(F.lit(kind), F.lit(10))), one(spark, reports.legacy_chars(F.lit(kind), F.lit(10000)))) == want
+
+
+def test_jobs_and_footnotes(spark):
+    updates = spark.createDataFrame([("j", "a", 1, "in_progress"), ("j", "a", 2, "ended"), ("j", "b", 1, "ended"), ("k", "a", 3, "in_progress")], "job string, batch string, seq int, status string")
+    assert sorted((r["job"], r["status"]) for r in catalog.job_status(updates).collect()) == [("j", "ready_for_processing"), ("k", "in_progress")]
+    notes = spark.createDataFrame([("r", "c1", 1, "1. First"), ("r", "c2", 2, "[1] Again"), ("r", "c3", 3, "none"), ("r", "c4", 4, None)], "report_id string, chunk_id string, ord int, text string")
+    assert [(r["number"], r["chunk_id"], r["text"]) for r in catalog.footnotes(notes).collect()] == [(1, "c1", "First")]
+
+
+def test_semantic_data(spark):
+    yes = lambda *v: one(spark, retrieval.has_semantic_data(*(F.lit(x).cast(t) for x, t in zip(v, ("string", "string", "double", "boolean"), strict=True))))
+    assert not yes(None, "", 0.0, None) and yes("fraud", None, None, None) and yes(None, "low", None, None) and yes(None, None, 0.1, None) and yes(None, None, None, True)

@@ -31,5 +31,11 @@ def test_no_pairwise_joins(spark, data, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_search_reads_postings(spark, data):
+    """A search reads the buckets of its tokens, and no text of the corpus."""
+    text = plan(registry.QUERIES["sparse_topk"](spark, data))
+    assert "PartitionFilters: [bucket" in text and "In(token" in text and "lineitem" not in text
+
+
 def test_one_pass_over_groupings(spark, data):
     assert plan(registry.QUERIES["findings_summary"](spark, data)).count("Scan parquet") <= 2

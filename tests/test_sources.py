@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quarry.operators import catalog
 from quarry.plans import batch
 from quarry.sources import files
 from quarry.streaming import ingest
@@ -72,6 +73,27 @@ def test_streams(spark, data, tmp_path):
     assert spark.table("hours").agg(F.sum("requests")).first()[0] == events.count()
 
 
+def test_rows_that_come_late(spark, tmp_path):
+    """Batches rewrite the buckets they touch, and an older row that comes later changes nothing."""
+    schema, source, table = "k string, v int, seq long", str(tmp_path / "in"), str(tmp_path / "table")
+    go = lambda rows: (spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source), ingest.index_stream(spark, source, schema, table, str(tmp_path / "c"), "k", buckets=4))
+    assert ingest.read_indexed(spark, table, schema).count() == 0
+    go([("a", 1, 5), ("b", 1, 1), ("c", 1, 1)])
+    go([("a", 2, 3), ("b", 2, 2), ("d", 1, 1), (None, 7, 1)])
+    got = {r["k"]: r["v"] for r in ingest.read_indexed(spark, table, schema).collect()}
+    assert got == {"a": 1, "b": 2, "c": 1, "d": 1, None: 7}
+    go([("d", 9, 9)])
+    assert {r["k"]: r["v"] for r in ingest.read_indexed(spark, table, schema).collect()} == got | {"d": 9}
+
+
+def test_section_types(spark, tmp_path):
+    own = REPORT | {"semantic_enrichment": {"section_classifications": [{"chunk_id": "x", "section_type": "finding", "confidence": 0.9}, {"chunk_id": "x", "section_type": "other"}]}}
+    (tmp_path / "r_chunks.json").write_text(json.dumps(own))
+    classes = files.section_classes(files.read_reports(spark, str(tmp_path)))
+    chunks = spark.createDataFrame([("x",), ("y",)], "chunk_id string")
+    assert {r["chunk_id"]: r["section_type"] for r in catalog.with_section_type(chunks, classes).collect()} == {"x": "finding", "y": None}
+
+
 def test_partial_events(spark):
     rows = spark.createDataFrame([(1, 0, 'data: {"type": "token", "da'), (1, 1, 'ta": "a"}\n\ndata: {"type": "done"'), (2, 0, "noise\n\n")], "s int, turn int, text string")
     got = ingest.parse_events(rows, "s", "turn").collect()
