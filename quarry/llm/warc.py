@@ -22,6 +22,8 @@ from quarry.llm.common import materialise, scratch, small_batches
 
 #: Captures in a compressed block of the index.
 BLOCK_LINES = 1000
+#: Tasks among which the pages of one payload are dealt.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 CAPTURES = "surt string, page_id long, digest string, file string, offset long, length long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -112,9 +114,11 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
 
     rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("sha1", F.sha1("html"))
-    # Minima are taken before the shuffle; the join splits a payload that very many pages share.
+    # Minima are taken before the shuffle; pages that share a payload go to SALTS tasks, each of which gets its minimum.
     again = keyed.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return materialise(keyed.join(again, "sha1", "left").select("page_id", "url", "html", "first").mapInArrow(archive, CAPTURES), "captures")
+    salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    return materialise(dealt.join(salted, ["sha1", "salt"], "left").select("page_id", "url", "html", "first").mapInArrow(archive, CAPTURES), "captures")
 
 
 def _line(row: tuple) -> str:
