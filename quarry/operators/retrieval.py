@@ -47,8 +47,16 @@ def payload_filter(df: DataFrame, conditions: dict) -> Column:
 
 def term_frequencies(chunks: DataFrame, key: str, text: str = "text", of_query: bool = False) -> DataFrame:
     """key, token and tf of every chunk."""
+    return _tokens(chunks, key, text, of_query).groupBy(key, "token").agg(F.count("*").alias("tf"))
+
+
+def _tokens(chunks: DataFrame, key: str, text: str, of_query: bool = False) -> DataFrame:
+    """key and token, a row for each time that a text has it.
+
+    The explode is an outer one: for an inner one Spark would cut texts a second time, to filter by their number of tokens.
+    """
     make = tokens.query_tokens if of_query else tokens.index_tokens
-    return chunks.select(key, F.explode(make(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    return chunks.select(key, F.explode_outer(make(F.col(text))).alias("token")).where("token is not null")
 
 
 def sparse_vectors(chunks: DataFrame, key: str, text: str = "text", of_query: bool = False) -> DataFrame:
@@ -74,9 +82,10 @@ def write_postings(chunks: DataFrame, key: str, path: str, text: str = "text") -
     groups of its tokens alone; a token that very many texts have is dealt to several files. One row more tells the
     number of texts.
     """
-    rows = term_frequencies(chunks, key, text).withColumn("bucket", bucket_of(F.col("token")))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(PARTS)))
-    dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    rows = _tokens(chunks, key, text).select(key, "token", bucket_of(F.col("token")).alias("bucket"), F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("part"))
+    # one shuffle: rows of a text and token meet where the file is written
+    counted = rows.repartition("bucket", "part").groupBy("bucket", "part", key, "token").agg(F.count("*").alias("tf")).drop("part")
+    counted.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
     chunks.agg(F.count("*").alias("texts")).write.parquet(f"{path}/texts")
 
 
@@ -154,13 +163,15 @@ def parse_chunk_id(chunk_id: Column) -> list[Column]:
 def neighbours(chunks: DataFrame) -> DataFrame:
     """chunk_id with the ids of the chunks right before and after it on its page: same report and kind, index off by one.
 
-    Two equi-joins on the parsed id; gaps in the indices give no neighbour.
+    The chunks of a kind on a page are looked at in order; gaps in the indices give no neighbour, and neither do ids of
+    another form.
     """
     parsed = chunks.select("chunk_id", *parse_chunk_id(F.col("chunk_id")))
-    near = parsed.where(F.col("report").isNotNull()).select(F.col("chunk_id").alias("near_id"), *(F.col(c).alias(f"n_{c}") for c in ("report", "page_no", "kind", "index")))
-    same = lambda d: reduce(lambda a, b: a & b, [F.col(c) == F.col(f"n_{c}") for c in ("report", "page_no", "kind")]) & (F.col("index") + d == F.col("n_index"))
-    one = lambda df, d, name: df.join(near, same(d), "left").select(*df.columns, F.col("near_id").alias(name))
-    return one(one(parsed, -1, "previous_id"), 1, "next_id").select("chunk_id", "previous_id", "next_id")
+    order = Window.partitionBy("report", "page_no", "kind").orderBy("index")
+    beside = lambda move, step: F.when(move("index").over(order) == F.col("index") + step, move("chunk_id").over(order))
+    usual = parsed.where(F.col("report").isNotNull()).select("chunk_id", beside(F.lag, -1).alias("previous_id"), beside(F.lead, 1).alias("next_id"))
+    none = F.lit(None).cast("string")
+    return usual.unionByName(parsed.where(F.col("report").isNull()).select("chunk_id", none.alias("previous_id"), none.alias("next_id")))
 
 
 def group_by_parent(hits: DataFrame, by: list[str] | None = None) -> DataFrame:

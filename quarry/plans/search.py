@@ -103,12 +103,12 @@ def rerank_topk(spark, sf_dir):
 
 
 def special_tokens(spark, sf_dir):
-    rows = frame(spark, sf_dir, PASSAGES, wide=True).select(F.explode(T.special_tokens(F.col("text"))).alias("token"))
+    rows = frame(spark, sf_dir, PASSAGES, wide=True).select(F.explode_outer(T.special_tokens(F.col("text"))).alias("token")).where("token is not null")
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def word_tokens(spark, sf_dir):
-    rows = frame(spark, sf_dir, PASSAGES, wide=True).select(F.explode(T.word_tokens(F.col("text"))).alias("token"))
+    rows = frame(spark, sf_dir, PASSAGES, wide=True).select(F.explode_outer(T.word_tokens(F.col("text"))).alias("token")).where("token is not null")
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
