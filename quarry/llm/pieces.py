@@ -27,6 +27,8 @@ from quarry.llm.common import ranges, slices, small_batches, strings, text_of, u
 SPACE = "▁"
 MULTIPLIER = 0x9E3779B97F4A7C15
 UNIGRAM, BPE = 1, 2
+#: First 20 bits of a hash.
+BEGIN = np.uint64(44)
 #: Words longer than this are encoded one by one.
 LONG = 64
 KEPT_WORDS = 200_000
@@ -97,6 +99,8 @@ class Pieces:
         self.keys, self.ids = keys[turn], np.array(usual, np.int64)[turn]
         # unigram sums are of 32 bits, as the library's are
         self.scores = np.array([self.score[i] for i in usual], np.float32 if self.kind == UNIGRAM else np.float64)[turn]
+        self.begins = np.zeros(1 << 20, bool)
+        self.begins[self.keys >> BEGIN] = True
         self.by_text = {self.text[i]: i for i in usual}
         self.worst = np.float32(self.scores.min()) - np.float32(UNKNOWN_COST)
         self.power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(LONG + 1, MULTIPLIER, np.uint64))))
@@ -118,6 +122,12 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return at, self.keys[at] == keys
 
+    def _hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the keys that are pieces, and their places; most others fall out by their first bits."""
+        some = np.flatnonzero(self.begins[keys >> BEGIN])
+        at, hit = self._probe(keys[some])
+        return some[hit], at[hit]
+
     def _prefixes(self, chars: np.ndarray) -> np.ndarray:
         out = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
         for i in range(chars.shape[1]):
@@ -127,21 +137,25 @@ class Pieces:
     def _viterbi(self, chars: np.ndarray) -> np.ndarray:
         """Where each word's best segmentation begins a piece; of equal ones, that of the longer last piece."""
         n, length = chars.shape
-        prefix = self._prefixes(chars)
-        best = np.full((n, length + 1), -np.inf, np.float32)
-        best[:, 0] = 0
-        back = np.zeros((n, length + 1), np.int64)
+        prefix = np.ascontiguousarray(self._prefixes(chars).T)  # by place, as are the others
+        best = np.full((length + 1, n), -np.inf, np.float32)
+        best[0] = 0
+        back = np.zeros((length + 1, n), np.int64)
         for end in range(1, length + 1):
             for size in range(min(self.longest, end), 0, -1):
-                at, hit = self._probe(prefix[:, end] - prefix[:, end - size] * self.power[size])
-                own = best[:, end - size] + np.where(hit, self.scores[at], self.worst if size == 1 else -np.inf)
-                better = own > best[:, end]
-                best[better, end] = own[better]
-                back[better, end] = end - size
+                row, at = self._hits(prefix[end] - prefix[end - size] * self.power[size])
+                own = best[end - size, row] + self.scores[at]
+                if size == 1:  # any character is a piece, if need be an unknown one
+                    every = best[end - 1] + self.worst
+                    every[row] = own
+                    row, own = np.arange(n), every
+                better = own > best[end, row]
+                best[end, row[better]] = own[better]
+                back[end, row[better]] = end - size
         begins = np.zeros((n, length), bool)
         row, at = np.arange(n), np.full(n, length)
         while len(row):
-            at = back[row, at]
+            at = back[at, row]
             begins[row, at] = True
             row, at = row[at > 0], at[at > 0]
         return begins
