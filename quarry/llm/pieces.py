@@ -94,13 +94,14 @@ class Pieces:
             for rank, i in enumerate(by_rank, 1):
                 self.score[i] = float(np.float32(-np.log(rank) - total))
         self.longest = max(len(self.text[i]) for i in usual)
-        keys = np.array([self._hash(self.text[i]) for i in usual], np.uint64)
+        keys = np.array([self._hash(self.text[i]) for i in usual], np.uint64) * np.uint64(MULTIPLIER)  # short pieces' hashes are small
         turn = np.argsort(keys)
         self.keys, self.ids = keys[turn], np.array(usual, np.int64)[turn]
         # unigram sums are of 32 bits, as the library's are
         self.scores = np.array([self.score[i] for i in usual], np.float32 if self.kind == UNIGRAM else np.float64)[turn]
-        self.begins = np.zeros(1 << 20, bool)
-        self.begins[self.keys >> BEGIN] = True
+        size = np.bincount(self.keys >> BEGIN, minlength=1 << 20)
+        self.begins, self.alike = size > 0, int(size.max())
+        self.first = np.minimum(np.cumsum(size) - size, len(self.keys) - 1)
         self.by_text = {self.text[i]: i for i in usual}
         self.worst = np.float32(self.scores.min()) - np.float32(UNKNOWN_COST)
         self.power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(LONG + 1, MULTIPLIER, np.uint64))))
@@ -117,15 +118,22 @@ class Pieces:
             h = (h * MULTIPLIER + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def _probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each key among the piece keys, and whether it is one."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+    def _probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash among the sorted piece keys, and whether it is one."""
+        return self._places(hashes * np.uint64(MULTIPLIER))
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of keys. Their first bits tell where the pieces that share these begin; the few of them are gone through."""
+        at = self.first[keys >> BEGIN]
+        for _ in range(self.alike - 1):
+            at = np.minimum(at + (self.keys[at] < keys), len(self.keys) - 1)
         return at, self.keys[at] == keys
 
-    def _hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the keys that are pieces, and their places; most others fall out by their first bits."""
+    def _hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the hashes that are pieces', and their places; most others fall out by their first bits."""
+        keys = hashes * np.uint64(MULTIPLIER)
         some = np.flatnonzero(self.begins[keys >> BEGIN])
-        at, hit = self._probe(keys[some])
+        at, hit = self._places(keys[some])
         return some[hit], at[hit]
 
     def _prefixes(self, chars: np.ndarray) -> np.ndarray:

@@ -116,6 +116,15 @@ class Words:
                         kept[own] = x
                 found[i] = x
                 continue
+            if word and word[-1] in ".,;:" and (bare := word[:-1]).isascii() and bare.isalpha():
+                own = bare.lower() if lower else bare
+                x = kept.get(own)
+                if x is None:
+                    x = array("I", [t.id for t in tokenize(lead + own)]).tobytes()
+                    if len(kept) < KEPT_WORDS:
+                        kept[own] = x
+                found[i] = x + self._atom(word[-1])
+                continue
             found[i] = x = self._word(word, space) if word else self._atom(" ") if space else b""
             if len(kept) < KEPT_WORDS and word not in kept and not word.isalpha():
                 kept[word] = x
