@@ -18,7 +18,7 @@ from quarry.llm.tokens import words
 
 TOKENS = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 #: Documents of one Arrow batch that carries id lists between Python and the JVM hold about so many bytes of text.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: An end identifier beyond the vocabularies whose ids fit into 16 bits with it, so that a text's own special tokens count.
 SEPARATOR = 65535
 

@@ -107,23 +107,17 @@ class Words:
         lower, lead, tokenize = self.kind == "word", self.space if space else "", self.model.tokenize
         for i in [i for i, x in enumerate(found) if x is None]:
             word = words[i]
-            if word.isascii() and word.isalpha():  # most words by far
-                own = word.lower() if lower else word
-                x = kept.get(own)
-                if x is None:
-                    x = array("I", [t.id for t in tokenize(lead + own)]).tobytes()
-                    if len(kept) < KEPT_WORDS:
-                        kept[own] = x
-                found[i] = x
-                continue
-            if word and word[-1] in ".,;:" and (bare := word[:-1]).isascii() and bare.isalpha():
+            end = word[-1:]
+            bare = word[:-1] if end and end in ".,;:" else word
+            if bare.isalpha() and (bare.isascii() or max(bare) < STABLE):  # most words by far
                 own = bare.lower() if lower else bare
                 x = kept.get(own)
                 if x is None:
-                    x = array("I", [t.id for t in tokenize(lead + own)]).tobytes()
+                    mapped = own if own.isascii() else own.encode().decode("latin-1").translate(self.letters)
+                    x = array("I", [t.id for t in tokenize(lead + mapped)]).tobytes()
                     if len(kept) < KEPT_WORDS:
                         kept[own] = x
-                found[i] = x + self._atom(word[-1])
+                found[i] = x if bare is word else x + self._atom(end)
                 continue
             found[i] = x = self._word(word, space) if word else self._atom(" ") if space else b""
             if len(kept) < KEPT_WORDS and word not in kept and not word.isalpha():
