@@ -50,7 +50,7 @@ def write_parquet(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, r
                 )
 
     ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, TOKENS).write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option(
+    ordered.mapInArrow(encode, TOKENS).write.option("compression", "snappy").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option(
         "parquet.enable.dictionary", "true"
     ).parquet(path)
 
