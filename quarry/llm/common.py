@@ -108,6 +108,14 @@ def materialise(df: DataFrame, what: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: its partitions keep their rows and numbers, even when executors are lost."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact, jaccard, packing, pieces, quality, suffix, tiff, token_files, warc
+from quarry.llm import exact, jaccard, licenses, merkle, packing, pieces, quality, suffix, tiff, token_files, warc
 from quarry.llm.common import read, scratch
 
 
@@ -69,6 +69,19 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that every document names, and the places of the base phrases."""
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("found")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash tree over all documents by source, with each document's proof; half of them are found without their line breaks."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = F.when(tampered & F.contains("text", F.lit("\n")), merkle.leaf(text=F.replace("text", F.lit("\n"), F.lit(""))))
+    proofs = merkle.manifest(read(spark, sf_dir, "documents"), found=found)
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -80,6 +93,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_license_scan": op11_license_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
