@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact, jaccard, licenses, merkle, packing, pieces, quality, suffix, tiff, token_files, warc
+from quarry.llm import exact, jaccard, licenses, merkle, packing, pieces, quality, sql, suffix, tiff, token_files, trie, warc
 from quarry.llm.common import read, scratch
 
 
@@ -82,6 +82,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of rebuilt conversations."""
+    return trie.prefix_trie(read(spark, sf_dir, "conversations")).drop("tokens")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -95,6 +100,7 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_license_scan": op11_license_scan,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -104,4 +110,6 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op12_merkle_manifest": sql.manifest(),
+    "op13_prefix_trie": sql.prefix_trie(),
 }
