@@ -25,8 +25,8 @@ START = 255
 BIN = 0.002
 #: One in so many trusted documents is left out of the training and sets the thresholds.
 CALIBRATING = 5
-#: Nats per byte that are added to the threshold of a language with too few trusted documents for its quantile.
-MARGIN = 0.2
+#: Nats per byte that are added to the threshold of a language with one trusted document, and to others' by the root of their number.
+MARGIN = 0.6
 MODEL = "key long, logp float, backoff float"
 
 
@@ -232,14 +232,14 @@ def perplexities(blocks: DataFrame, model: DataFrame, order: int = 5) -> DataFra
 def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
     """lang (null is a language too) and the largest log_ppl that is accepted: the quantile of its trusted documents.
 
-    Fewer than 1 / (1 - quantile) documents have none above the quantile, which is then their largest value and too low
-    for others: such a language's threshold exceeds it by the margin. Quantiles are exact to BIN: counts of bins, summed in order, so a language of any size is no group in one task.
+    A quantile of n documents is known to about 1 / sqrt(n), and is too low where n is small: that of a few is their largest
+    value. So thresholds exceed it by margin / sqrt(n), one rule for all n. Quantiles are exact to BIN: counts of bins, summed in order, so a language of any size is no group in one task.
     """
     bins = scored.where(F.col("log_ppl").isNotNull()).groupBy("lang", F.floor(F.col("log_ppl") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     up_to = Window.partitionBy("lang").orderBy("bin")
     every = Window.partitionBy("lang")
     summed = bins.select("lang", "bin", F.sum("n").over(up_to).alias("upto"), F.sum("n").over(every).alias("total"))
-    return summed.where(F.col("upto") >= F.col("total") * quantile).groupBy("lang").agg(((F.min("bin") + 1) * BIN + F.when(F.max("total") * (1 - quantile) < 1, margin).otherwise(0.0)).alias("threshold"))
+    return summed.where(F.col("upto") >= F.col("total") * quantile).groupBy("lang").agg(((F.min("bin") + 1) * BIN + margin / F.sqrt(F.max("total"))).alias("threshold"))
 
 
 def calibrating(doc_id: Column) -> Column:

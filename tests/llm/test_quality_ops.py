@@ -90,8 +90,9 @@ def test_held_out_accuracy(spark):
     assert share[1] > 0.97 and share[0] < 0.35
 
 
-def test_margin_is_for_few_documents(spark):
-    """A language with enough trusted documents has its quantile as threshold, one with few a margin too."""
-    scored = spark.createDataFrame([("en", i / 100) for i in range(1, 101)] + [("fr", i / 10) for i in range(1, 11)], "lang string, log_ppl double")
-    got = {r["lang"]: r["threshold"] for r in quality.thresholds(scored, 0.99, quality.MARGIN).collect()}
-    assert 0.99 <= got["en"] <= 0.99 + 2 * quality.BIN and 1.2 <= got["fr"] <= 1.2 + 2 * quality.BIN
+def test_margin_falls_with_the_root_of_documents(spark):
+    """A threshold exceeds the quantile by the margin over the root of the language's trusted documents, however many there are."""
+    scored = spark.createDataFrame([("en", i / 100) for i in range(1, 101)] + [("fr", i / 10) for i in range(1, 11)] + [("de", 1.0)], "lang string, log_ppl double")
+    got = {r["lang"]: r["threshold"] for r in quality.thresholds(scored, 0.99, 0.6).collect()}
+    for lang, quantile, n in (("en", 0.99, 100), ("fr", 1.0, 10), ("de", 1.0, 1)):
+        assert quantile <= got[lang] - 0.6 / n**0.5 <= quantile + 2 * quality.BIN
