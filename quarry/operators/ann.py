@@ -24,9 +24,10 @@ from quarry.operators.vectors import BLOCK, cosine, dense_topk, ranked, topk_of_
 CELLS, PER_CELL = 16_384, 64
 #: Cell of vectors that no query of the index's dimension is similar to: null, empty, zero, or of another dimension.
 ASIDE = -1
-#: Sampled vectors, and queries among them, by which it is measured how many cells hold the nearest vectors, for these numbers of
-#: nearest, and the share of them that should be found.
-MEASURED, QUERIES, DEPTHS, SHARE = 65_536, 256, (10, 30, 100, 300, 1000), 0.96
+#: Rows of the sample that an index keeps, queries of a set that are tried on it, and the share of their nearest that should be found.
+SAMPLE, TRIED, SHARE = 65_536, 256, 0.96
+#: A filter that leaves fewer rows of the sample than so many for each of the nearest makes a search read all cells.
+LEAST = 5
 #: Candidates by codes that are scored exactly, for each of the k wanted.
 KEPT = 4
 
@@ -63,30 +64,6 @@ def fit(vectors: DataFrame, dim: int, cells: int | None = None) -> np.ndarray:
     return np.array(KMeans(k=k, seed=7, maxIter=10).fit(sample).clusterCenters())
 
 
-def measure(vectors: DataFrame, dim: int, centroids: np.ndarray) -> list[tuple[int, int]]:
-    """For each of DEPTHS the number of nearest cells that hold SHARE of so many nearest vectors.
-
-    Measured on about MEASURED vectors, of which a depth takes its part: a filter that lets one in ten through makes the
-    10 nearest of its rows about the 100 nearest of all, so searches with filters look up a larger depth.
-    """
-    n = vectors.count()
-    share = min(1.0, MEASURED / max(n, 1))
-    rows = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).select("embedding").toArrow()
-    matrix = unit(rows["embedding"].combine_chunks(), dim)[1] if rows.num_rows else np.zeros((0, dim))
-    if len(matrix) < 2 or not len(centroids):
-        return [(d, len(centroids)) for d in DEPTHS]
-    own = nearest(matrix, centroids, 1)[:, 0]
-    asked = matrix[:: max(1, len(matrix) // QUERIES)]
-    order = nearest(asked, centroids, len(centroids))
-    turn = np.empty_like(order)
-    np.put_along_axis(turn, order, np.arange(len(centroids))[None, :], axis=1)
-    most = min(len(matrix), max(2, int(np.ceil(max(DEPTHS) * share)) + 1))
-    score = asked @ matrix.T
-    near = np.argsort(-score, axis=1, kind="stable")[:, 1:most]
-    ranks = np.take_along_axis(turn, own[near], axis=1)
-    return [(d, int(np.quantile(ranks[:, : max(1, int(np.ceil(d * share)))], SHARE, method="higher")) + 1) for d in DEPTHS]
-
-
 def _coded(dim: int, centroids: np.ndarray):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,39 +99,60 @@ def write_index(vectors: DataFrame, path: str, payload: Sequence[str] = (), dim:
     centroids = fit(rows, dim, cells)
     listed = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
     spark.createDataFrame(listed, "cell int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
-    spark.createDataFrame(measure(rows, dim, centroids), "depth int, cells int").coalesce(1).write.parquet(f"{path}/probes")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     coded = rows.mapInArrow(_coded(dim, centroids), f"{kinds}, cell int, code binary, scale float")
+    n = rows.count()
+    share = min(1.0, SAMPLE / max(n, 1))
+    spark.createDataFrame([(n, share)], "n long, share double").coalesce(1).write.parquet(f"{path}/size")
+    coded.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).drop("code", "scale").coalesce(1).write.parquet(f"{path}/sample")
+    spark.createDataFrame([], coded.schema).coalesce(1).write.parquet(f"{path}/kinds")  # without vectors there is no other file
     coded.hint("rebalance", "cell").sortWithinPartitions("cell", "vec_id").write.partitionBy("cell").parquet(f"{path}/vectors")
 
 
 class Index(NamedTuple):
-    """The indexed rows, the centroids (at most CELLS) and the cells to probe by depth."""
+    """The indexed rows, the centroids (at most CELLS), a sample of about SAMPLE rows with their cells, and its share of the rows."""
 
     rows: DataFrame
     centroids: np.ndarray
-    probes: list[tuple[int, int]]
-
-    def probed(self, k: int, where: Column | None) -> int:
-        """Cells to read for k rows that a filter lets through: as many as for k by the share of such rows, counted in the payload."""
-        depth = float(k)
-        if where is not None:
-            total, some = self.rows.agg(F.count("*"), F.count(F.when(where, 1))).first()
-            depth = k * total / some if some else float("inf")
-        return next((cells for d, cells in self.probes if d >= depth), len(self.centroids))
+    sample: DataFrame
+    share: float
+
+    def probed(self, asked: np.ndarray, k: int, where: Column | None) -> int:
+        """Cells that hold SHARE of the k nearest rows that a filter lets through, as the sample tells for some queries (unit vectors).
+
+        Filters may go with the cells, so it is told by what this filter leaves of the sample. Where that is little, all cells.
+        """
+        every = len(self.centroids)
+        found = (self.sample if where is None else self.sample.where(where)).where(F.col("cell") != ASIDE).select("cell", "embedding").toArrow()
+        depth = max(1, int(np.ceil(k * self.share)))
+        if found.num_rows < LEAST * depth or not len(asked) or not every:
+            return every
+        rows, matrix = unit(found["embedding"].combine_chunks(), asked.shape[1])
+        cell = found["cell"].to_numpy()[rows]
+        order = nearest(asked, self.centroids, every)
+        turn = np.empty_like(order)
+        np.put_along_axis(turn, order, np.arange(every)[None, :], axis=1)
+        score = asked @ matrix.T
+        score[score > 1 - 1e-9] = -2  # itself
+        near = np.argpartition(-score, depth - 1, axis=1)[:, :depth]
+        return int(np.quantile(np.take_along_axis(turn, cell[near], axis=1), SHARE, method="higher")) + 1
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     """An index that ``write_index`` wrote."""
     found = [r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()]
-    return Index(spark.read.parquet(f"{path}/vectors"), np.array(found, np.float64), sorted(map(tuple, spark.read.parquet(f"{path}/probes").collect())))
+    kinds = spark.read.parquet(f"{path}/kinds").schema
+    sample = spark.read.schema(kinds).parquet(f"{path}/sample").drop("code", "scale")
+    return Index(spark.read.schema(kinds).parquet(f"{path}/vectors"), np.array(found, np.float64), sample, spark.read.parquet(f"{path}/size").first()["share"])
 
 
 def topk(index: Index, query: Sequence[float], k: int, where: Column | None = None, n: int | None = None) -> DataFrame:
     """vec_id, score and rank of about the k vectors most similar to one query: folders of the probed cells alone are read."""
     q = np.asarray(query, np.float64)
-    fits = len(index.centroids) and q.shape == index.centroids.shape[1:] and np.any(q)
-    cells = nearest((q / np.sqrt(q @ q))[None, :], index.centroids, n or index.probed(k, where))[0].tolist() if fits else []
+    cells: list[int] = []
+    if len(index.centroids) and q.shape == index.centroids.shape[1:] and np.any(q):
+        own = (q / np.sqrt(q @ q))[None, :]
+        cells = nearest(own, index.centroids, n or index.probed(own, k, where))[0].tolist()
     rows = index.rows.where(F.col("cell").isin(cells))
     return dense_topk(rows if where is None else rows.where(where), list(query), k)
 
@@ -184,7 +182,7 @@ def _blocks(columns: Sequence[str], ids: str):
             for own in np.unique(cell):
                 rows = np.flatnonzero(cell == own)
                 for at in range(0, len(rows), BLOCK):
-                    part = batch.take(pa.array(rows[at : at + BLOCK]))
+                    part = batch.take(pa.array(rows[at : at + BLOCK])).sort_by(ids)
                     raw = [b"".join(c.to_pylist()) if pa.types.is_binary(c.type) else c.to_numpy().astype("<f4").tobytes() for c in (part.column(x) for x in columns)]
                     key = part.column(ids)
                     lists = pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), key)
@@ -206,9 +204,10 @@ def _scored(centroids: np.ndarray, most: int):
                 codes = np.frombuffer(batch.column("code")[i].as_buffer(), np.int8).reshape(-1, dim)
                 scale = np.frombuffer(batch.column("scale")[i].as_buffer(), "<f4")
                 near = (asked @ centroids[cell])[:, None] + (asked.astype(np.float32) @ codes.astype(np.float32).T) * scale[None, :]
+                near = np.round(near, 5)  # equal vectors, equal scores; ids are in order
                 n = min(most, len(ids))
-                top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                columns = [np.repeat(asked_of, n), np.full(n * len(asked), cell, np.int32), ids[top].ravel(), np.take_along_axis(near, top, axis=1).ravel().astype(np.float64)]
+                top = np.argsort(-near, axis=1, kind="stable")[:, :n]
+                columns = [np.repeat(asked_of, n), np.full(n * len(asked), cell, np.int32), ids[top].ravel(), np.take_along_axis(near, top, axis=1).ravel()]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "cell", "vec_id", "near"])
 
     return best
@@ -217,15 +216,18 @@ def _scored(centroids: np.ndarray, most: int):
 def topk_of_set(index: Index, queries: DataFrame, k: int, where: Column | None = None, n: int | None = None) -> DataFrame:
     """query_id, vec_id, score and rank of about the k vectors most similar to each query (vec_id, embedding) of a stated set.
 
-    Blocks of queries meet blocks of vectors in the ``n`` cells that they probe (or as many as were measured for k and the
-    filter), KEPT * k candidates of each query are scored exactly. Ties go by vec_id. Queries without a vector of the
+    Blocks of queries meet blocks of vectors in the ``n`` cells that they probe (or as many as the sample tells for some of the
+    queries and the filter), KEPT * k candidates of each query are scored exactly. Ties go by vec_id. Queries without a vector of the
     index's dimension have no rows.
     """
     spark = queries.sparkSession
     rows = index.rows.where(F.col("cell") != ASIDE)
     rows = rows if where is None else rows.where(where)
     named = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    asked = named.mapInArrow(_asked(index.centroids, n or index.probed(k, where)), "cell int, query_id long, asked binary")
+    if n is None:
+        tried = named.orderBy(F.xxhash64("query_id")).limit(TRIED).toArrow()["embedding"].combine_chunks()
+        n = index.probed(unit(tried, index.centroids.shape[1])[1] if len(index.centroids) and len(tried) else np.zeros((0, 0)), k, where)
+    asked = named.mapInArrow(_asked(index.centroids, n), "cell int, query_id long, asked binary")
     # a cell's queries are dealt by their ids too, so that many that ask the same are in several tasks
     gathered = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", F.pmod(F.xxhash64("query_id"), F.lit(8))).sortWithinPartitions("cell")
     question = gathered.mapInArrow(_blocks(["asked"], "query_id"), "cell int, query_ids array<long>, asked binary")

@@ -1,7 +1,7 @@
 """All queries of the engine and their SQL, by name."""
 
-from quarry.plans import answers, assets, batch, listing, quality, search
+from quarry.plans import answers, assets, batch, indexes, listing, quality, search
 
-_ALL = (search, listing, assets, quality, batch, answers)
+_ALL = (search, listing, assets, quality, batch, answers, indexes)
 QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _ALL for name, sql in module.ORACLE_SQL.items()}

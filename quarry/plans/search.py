@@ -8,7 +8,7 @@ from quarry.functions import reports as R
 from quarry.functions import tokens as T
 from quarry.operators import retrieval, vectors
 from quarry.plans.frames import CHUNKS, FINDINGS, PASSAGES, REPORTS, SECTIONS, duck, frame, over, spread
-from quarry.sources.scratch import shared_folder
+from quarry.sources.scratch import kept
 
 QUESTION = "What did Audit find on short levy of GST under Section 143 and Rule 12B for the year 2015-16 in crore?"
 STOP_INDEX = "[" + ",".join(f"'{w}'" for w in T.INDEX_STOPWORDS) + "]"
@@ -24,21 +24,14 @@ def _query_vector(spark, sf_dir, number=0):
     return list(row["embedding"] or []) if row else []
 
 
-#: Folders of keyword indexes by application, data folder and corpus. An index is written once and read by all searches.
-_indexes: dict[tuple[str, str, str], str] = {}
-
-
 def _index(spark, sf_dir, corpus):
-    """Postings and number of texts of the passages or the documents."""
-    name = (spark.sparkContext.applicationId, sf_dir, corpus)
-    if name not in _indexes:
-        path = shared_folder(spark, "keywords")
-        if corpus == "passages":
-            retrieval.write_postings(frame(spark, sf_dir, PASSAGES, wide=True).select("passage_id", "text"), "passage_id", path)
-        else:
-            retrieval.write_postings(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "doc_id", path)
-        _indexes[name] = path
-    return retrieval.read_postings(spark, _indexes[name])
+    """Postings and number of texts of the passages or the documents, indexed once and again when the table has changed."""
+    if corpus == "passages":
+        tables, rows, key = ["lineitem"], lambda: frame(spark, sf_dir, PASSAGES, wide=True).select("passage_id", "text"), "passage_id"
+    else:
+        tables, rows, key = ["documents"], lambda: spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "doc_id"
+    path = kept(spark, f"keywords-{corpus}", [f"{sf_dir}/{t}.parquet" for t in tables], lambda to: retrieval.write_postings(rows(), key, to))
+    return retrieval.read_postings(spark, path)
 
 
 def cosine_topk(spark, sf_dir):
