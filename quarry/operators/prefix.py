@@ -67,3 +67,22 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapp
 
     out = {name: whole(name) for name in values} | {f"{name}_all": F.coalesce(F.col(f"_a_{name}"), F.col(f"{name}_all")) for name in values}
     return joined.withColumns(out).drop("_s", *own, *(f"_{x}_{name}" for x in "vba" for name in values))
+
+
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, take: Sequence[str]) -> DataFrame:
+    """``left`` with the columns ``take`` of the last row of ``right`` in its group at or before it, null without any.
+
+    Both have the columns ``by`` and ``at``; of right rows at one place the one of largest ``take`` counts, so there left rows
+    see it too. Rows of both are counted together in segments, and a left row joins the right one by its number: the join has
+    one row of the right for each key, and no group is in one task.
+    """
+    rank = F.struct(*take)
+    best = right.groupBy(*by, at).agg(F.max(rank).alias("_take"))
+    own = left.select(*by, at, F.struct("*").alias("_row"))
+    kind = best.schema["_take"].dataType
+    both = own.withColumns({"_take": F.lit(None).cast(kind), "_left": F.lit(1)}).unionByName(best.withColumns({"_row": F.lit(None).cast(own.schema["_row"].dataType), "_left": F.lit(0)}))
+    counted = running(segmented(both, by, [at, "_left"]), by, [at, "_left"], sums={"_n": (1 - F.col("_left")).cast("long")})
+    keys = [f"_r_{i}" for i in range(len(by))]
+    found = counted.where("_left = 0").select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col("_n").alias("_m"), F.col("_take").alias("_found"))
+    joined = counted.where("_left = 1").drop("_take").join(found, _same(by, keys) & (F.col("_n") == F.col("_m")), "left")
+    return joined.select("_row.*", *(F.col(f"_found.{c}").alias(c) for c in take))
