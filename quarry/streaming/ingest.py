@@ -23,6 +23,30 @@ def stream_requests(spark: SparkSession, folder: str, schema: str, late: str = "
     return requests_per_hour(events)
 
 
+def sliding_requests(events: DataFrame, client: str = "user_id", at: str = "ts", size: str = "1 hour", slide: str = "15 minutes", limit: int = HOURLY) -> DataFrame:
+    """Requests of clients in each sliding window, and those over the limit. Streams need a watermark on ``at`` before."""
+    counted = events.groupBy(F.window(at, size, slide).alias("w"), client).agg(F.count("*").alias("requests"))
+    return counted.select(client, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests", F.greatest(F.lit(0), F.col("requests") - limit).alias("refused"))
+
+
+def stream_sliding(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, late: str = "10 minutes", limit: int = HOURLY) -> None:
+    """Closed sliding windows of events that arrive as files, a file a batch, appended to the target; all files there are, then done.
+
+    A window closes when the watermark, ``late`` before the latest event, has passed its end; what comes for it after that batch is
+    left out.
+    """
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).withWatermark("ts", late)
+    sliding_requests(events, limit=limit).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def late_requests(windows: DataFrame, arrived: DataFrame, client: str = "user_id", at: str = "ts", size: str = "1 hour", slide: str = "15 minutes") -> DataFrame:
+    """Closed windows that some requests came too late for: the client, start, end and how many came too late."""
+    every = sliding_requests(arrived, client, at, size, slide).select(client, "start", "end", F.col("requests").alias("all"))
+    closed = windows.agg(F.max("end").alias("closed"))  # one row
+    met = every.join(windows.select(client, "start", "requests"), [client, "start"], "left").join(F.broadcast(closed), F.col("end") <= F.col("closed"))
+    return met.select(client, "start", "end", (F.col("all") - F.coalesce("requests", F.lit(0))).alias("late")).where("late > 0")
+
+
 def client_of(forwarded: Column, peer: Column) -> Column:
     """First address that a request was forwarded for, else the peer's."""
     first = F.trim(F.get(F.split(forwarded, ","), 0))
