@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,12 +13,13 @@ from quarry.operators.providers import Enhancer, Reranker, merged_filters, per_q
 from quarry.operators.vectors import ranked
 
 
-def ask(question: str, index: tuple[DataFrame, DataFrame], chunks: DataFrame, sections: DataFrame, reports: DataFrame, enhancer: Enhancer, reranker: Reranker, filters: dict | None = None) -> dict[str, DataFrame]:
+def ask(question: str, index: tuple[Callable[[list[str]], DataFrame], DataFrame], chunks: DataFrame, sections: DataFrame, reports: DataFrame, enhancer: Enhancer, reranker: Reranker, filters: dict | None = None) -> dict[str, DataFrame]:
     """hits, context (one row), citations and sufficient (one row) for a question.
 
     The question is planned, each of its queries searched in the keyword index, their lists fused, and the best
     candidates that pass the filters reranked with the paths of their sections. Hits are grouped by section, sections
     placed so that the best stand first and last, and the context cut to the plan's size.
+    index: postings (chunk_id, token, tf) of given tokens, and one row with the number of texts.
     chunks: chunk_id, report_id, parent_id, page and text, what filters ask for, and if they are there previous_text,
     next_text and tags.
     """

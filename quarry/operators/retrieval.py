@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +14,6 @@ from quarry.functions import reports, tokens
 from quarry.operators.providers import Reranker
 from quarry.operators.vectors import ranked
 
-#: Buckets of the keyword index, and files among which a bucket is dealt.
-BUCKETS, PARTS = 64, 4
-
 #: Constant of reciprocal rank fusion; ranks there begin at 0.
 RRF_K = 60
 #: Score of the best chunk from which a context counts as sufficient.
@@ -71,27 +69,9 @@ def idf(tf: DataFrame, texts: DataFrame) -> DataFrame:
     return df.withColumn("idf", F.log((F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).drop("texts")
 
 
-def bucket_of(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
-
-
-def write_postings(chunks: DataFrame, key: str, path: str, text: str = "text") -> None:
-    """The keyword index of a corpus: its texts are cut into tokens once, here.
-
-    Postings (token, key, tf) lie in folders by the token's bucket, sorted by token, so that a search reads the row
-    groups of its tokens alone; a token that very many texts have is dealt to several files. One row more tells the
-    number of texts.
-    """
-    rows = _tokens(chunks, key, text).select(key, "token", bucket_of(F.col("token")).alias("bucket"), F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("part"))
-    # one shuffle: rows of a text and token meet where the file is written
-    counted = rows.repartition("bucket", "part").groupBy("bucket", "part", key, "token").agg(F.count("*").alias("tf")).drop("part")
-    counted.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
-    chunks.agg(F.count("*").alias("texts")).write.parquet(f"{path}/texts")
-
-
-def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Postings of an index, and the row with its number of texts."""
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/texts")
+def tokens_of(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, token and tf 1, a row for each time that a text has a token of the index."""
+    return _tokens(chunks, key, text).withColumn("tf", F.lit(1).cast("long"))
 
 
 def posting_weights(postings: DataFrame, key: str) -> DataFrame:
@@ -99,26 +79,41 @@ def posting_weights(postings: DataFrame, key: str) -> DataFrame:
     return postings.select(key, "token", tokens.weight(F.col("tf"), F.col("token")).alias("weight"))
 
 
-def sparse_topk(postings: DataFrame, texts: DataFrame, key: str, question: str, k: int) -> DataFrame:
+def sparse_topk(postings: Callable[[list[str]], DataFrame], texts: DataFrame, key: str, question: str, k: int) -> DataFrame:
     """key, score and rank of the k texts whose keyword vectors match the question best, tokens weighted by rarity.
 
-    Only the postings of the question's tokens, of which there are a few, are read.
+    ``postings`` gives those of some tokens: only those of the question's tokens, of which there are a few, are read.
+    ``texts`` is one row with the number of texts.
     """
-    spark = postings.sparkSession
-    asked = sparse_vectors(spark.createDataFrame([(0, question)], "q int, text string"), "q", of_query=True).select("token", F.col("weight").alias("asked"), bucket_of(F.col("token")).alias("b"))
-    known = asked.collect()  # of one question
-    found = postings.where(F.col("bucket").isin(sorted({r["b"] for r in known})) & F.col("token").isin(sorted(r["token"] for r in known)))
-    rare = idf(found, texts).join(F.broadcast(asked.drop("b")), "token")  # a row for each token of the question
+    spark = texts.sparkSession
+    asked = sparse_vectors(spark.createDataFrame([(0, question)], "q int, text string"), "q", of_query=True).select("token", F.col("weight").alias("asked"))
+    found = postings(sorted(r["token"] for r in asked.collect()))  # of one question
+    rare = idf(found, texts).join(F.broadcast(asked), "token")  # a row for each token of the question
     scored = found.join(F.broadcast(rare), "token").groupBy(key).agg(F.sum(tokens.weight(F.col("tf"), F.col("token")) * F.col("asked") * F.col("idf")).alias("score"))
     return ranked(scored, F.round("score", 9), key, k)
 
 
+#: Errors of files that can't be found or read, when a query is planned or while it runs.
+UNREADABLE = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "FILE_NOT_EXIST", "UNABLE_TO_INFER_SCHEMA", "FileNotFoundException")
+
+
 def hybrid_or_dense(dense: DataFrame, sparse: Callable[[], DataFrame], key: str, k: int) -> DataFrame:
-    """Fusion of a dense and a keyword list; where the keyword index can't be read, the dense list alone."""
+    """Fusion of a dense and a keyword list; where the keyword index can't be read, the dense list alone.
+
+    The keyword list, a few rows, is fetched here, so that files that vanish while it is read count too.
+    """
     try:
-        return hybrid_topk(dense, sparse(), key, k)
-    except AnalysisException:
+        found = sparse()
+        listed = dense.sparkSession.createDataFrame(found.collect(), found.schema)
+    except FileNotFoundError:
+        listed = None
+    except (PySparkException, Py4JJavaError) as error:
+        if not any(name in str(error) for name in UNREADABLE):
+            raise
+        listed = None
+    if listed is None:
         return dense.where(F.col("rank") <= k).select(key, F.lit(1).cast("long").alias("lists"), "score", "rank")
+    return hybrid_topk(dense, listed, key, k)
 
 
 def rerank(hits: DataFrame, question: str, reranker: Reranker, key: str, k: int, path: str = "hierarchy_path", text: str = "text") -> DataFrame:

@@ -23,8 +23,9 @@ def _hits(spark, sf_dir):
 def ask(spark, sf_dir):
     """Citations of a question's answer, the place of each hit's section in the context, and whether the hits suffice."""
     chunks = frame(spark, sf_dir, PASSAGES, wide=True).withColumnRenamed("passage_id", "chunk_id")
-    postings, texts = search._index(spark, sf_dir, "passages")
-    found = answers.ask(search.QUESTION, (postings.withColumnRenamed("passage_id", "chunk_id"), texts), chunks, frame(spark, sf_dir, SECTIONS), frame(spark, sf_dir, REPORTS), providers.RuleEnhancer(), providers.WordOverlap())
+    index = search._index(spark, sf_dir, "passages")
+    named = lambda tokens: index.postings(tokens).withColumnRenamed("passage_id", "chunk_id")
+    found = answers.ask(search.QUESTION, (named, index.texts()), chunks, frame(spark, sf_dir, SECTIONS), frame(spark, sf_dir, REPORTS), providers.RuleEnhancer(), providers.WordOverlap())
     rows = found["citations"].join(found["hits"].select("chunk_id", "place", "rank"), "chunk_id")
     return rows.crossJoin(F.broadcast(found["sufficient"])).select("id", "chunk_id", "report_id", "section", "page", "place", "rank", "sufficient")
 

@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from quarry.operators import ann
+from quarry.operators import ann, retrieval, segments
 from quarry.operators.retrieval import payload_filter
-from quarry.plans.frames import LINE_ID, REPORT_NO, duck, frame
+from quarry.plans.frames import LINE_ID, REPORT_NO, duck, frame, spread
 from quarry.sources import layout
-from quarry.sources.scratch import kept
+from quarry.sources.scratch import kept, shared_folder
 
 #: Filter of the vector searches.
 LABELS = (1, 3, 5)
@@ -87,11 +87,41 @@ def layout_filters(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
-QUERIES = {f.__name__: f for f in (ann_filtered_topk, ann_exact_filtered, ann_recall, ann_rows, layout_filters)}
+def _changed(spark, sf_dir):
+    """A keyword index of most documents, then with the others and changed ones put in and some deleted, in two more segments."""
+    base = shared_folder(spark, "keywords")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    segments.create(spread(docs.where("doc_id % 5 <> 4")), "doc_id", base)
+    index = segments.open_keywords(spark, base, "doc_id")
+    index = segments.upsert(index, docs.where("doc_id % 5 = 4 or doc_id % 7 = 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" union added"))).otherwise(F.col("text"))))
+    return segments.upsert(index, docs.where("doc_id % 35 = 0").withColumn("text", F.lit("added twice")), deleted=docs.where("doc_id % 11 = 0"))
+
+
+CHANGED_WORDS = "the union added twice"
+
+
+def keyword_incremental(spark, sf_dir):
+    """A keyword search after two changes of the index, in three segments."""
+    index = _changed(spark, sf_dir)
+    return retrieval.sparse_topk(index.postings, index.texts(), "doc_id", CHANGED_WORDS, 50).select("doc_id", "rank")
+
+
+def keyword_merged(spark, sf_dir):
+    """How many texts have each token after the same changes and a merge of the segments."""
+    index = segments.merge(_changed(spark, sf_dir))
+    return index.postings(["union", "added", "twice", "nosuchtoken"]).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf")).crossJoin(F.broadcast(index.texts()))
+
+
+QUERIES = {f.__name__: f for f in (ann_filtered_topk, ann_exact_filtered, ann_recall, ann_rows, layout_filters, keyword_incremental, keyword_merged)}
 
 SIM = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12)"
 RANKED = f"SELECT q.vec_id AS query_id, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, e.vec_id) AS INT) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q"
+LIVE = """live AS (SELECT doc_id, CASE WHEN doc_id % 35 = 0 THEN 'added twice' WHEN doc_id % 7 = 0 THEN coalesce(text, '') || ' union added' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0),
+m AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) AS token FROM live) WHERE token IN ('union', 'added', 'twice') GROUP BY ALL), n AS (SELECT count(*) AS n FROM live), d AS (SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM m GROUP BY 1)"""
 ORACLE_SQL = {
+    "keyword_incremental": f"""WITH {LIVE}, s AS (SELECT doc_id, round(sum(m.tf / (m.tf + 1.2::DOUBLE) * (1::DOUBLE / 2.2::DOUBLE) * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)), 9) AS score FROM m JOIN d USING (token), n GROUP BY 1)
+SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 50""",
+    "keyword_merged": f"WITH {LIVE} SELECT token, df, tf, n AS texts FROM d, n",
     "ann_exact_filtered": f"{RANKED} WHERE e.label IN {LABELS} QUALIFY rank <= 10",
     "ann_recall": f"WITH a AS ({RANKED} QUALIFY rank <= 10), b AS ({RANKED} WHERE e.label IN {LABELS} QUALIFY rank <= 10) SELECT 'none' AS filter, count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM a UNION ALL SELECT 'labels', count(DISTINCT query_id), count(*), true FROM b",
     "ann_rows": "SELECT label, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings GROUP BY 1",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import reports as R
 from quarry.functions import tokens as T
-from quarry.operators import retrieval, vectors
+from quarry.operators import retrieval, segments, vectors
 from quarry.plans.frames import CHUNKS, FINDINGS, PASSAGES, REPORTS, SECTIONS, duck, frame, over, spread
 from quarry.sources.scratch import kept
 
@@ -25,13 +25,17 @@ def _query_vector(spark, sf_dir, number=0):
 
 
 def _index(spark, sf_dir, corpus):
-    """Postings and number of texts of the passages or the documents, indexed once and again when the table has changed."""
+    """The keyword index of the passages or the documents, made once and again when the table has changed."""
     if corpus == "passages":
         tables, rows, key = ["lineitem"], lambda: frame(spark, sf_dir, PASSAGES, wide=True).select("passage_id", "text"), "passage_id"
     else:
         tables, rows, key = ["documents"], lambda: spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "doc_id"
-    path = kept(spark, f"keywords-{corpus}", [f"{sf_dir}/{t}.parquet" for t in tables], lambda to: retrieval.write_postings(rows(), key, to))
-    return retrieval.read_postings(spark, path)
+    path = kept(spark, f"keywords-{corpus}", [f"{sf_dir}/{t}.parquet" for t in tables], lambda to: segments.create(rows(), key, to))
+    return segments.open_keywords(spark, path, key)
+
+
+def _topk(index, question, k):
+    return retrieval.sparse_topk(index.postings, index.texts(), index.key, question, k)
 
 
 def cosine_topk(spark, sf_dir):
@@ -67,13 +71,13 @@ def rrf_fusion(spark, sf_dir):
 
 
 def sparse_topk(spark, sf_dir):
-    return retrieval.sparse_topk(*_index(spark, sf_dir, "passages"), "passage_id", QUESTION, 20).select("passage_id", "rank")
+    return _topk(_index(spark, sf_dir, "passages"), QUESTION, 20).select("passage_id", "rank")
 
 
 def hybrid_search(spark, sf_dir):
     """Dense and keyword lists over documents and vectors, fused; the key is a number of both."""
     dense = vectors.dense_topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 50)
-    sparse = lambda: retrieval.sparse_topk(*_index(spark, sf_dir, "documents"), "doc_id", ASKED_WORDS, 50).withColumnRenamed("doc_id", "vec_id")
+    sparse = lambda: _topk(_index(spark, sf_dir, "documents"), ASKED_WORDS, 50).withColumnRenamed("doc_id", "vec_id")
     return retrieval.hybrid_or_dense(dense, sparse, "vec_id", 10).select("vec_id", "lists", "rank")
 
 
@@ -84,7 +88,7 @@ ASKED_WORDS = "the union and the tion of thing"
 def hybrid_fallback(spark, sf_dir):
     """The same while the keyword index can't be read: the dense list."""
     dense = vectors.dense_topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 50)
-    missing = lambda: retrieval.sparse_topk(*retrieval.read_postings(spark, f"{sf_dir}/no-such-index"), "vec_id", ASKED_WORDS, 50)
+    missing = lambda: _topk(segments.open_keywords(spark, f"{sf_dir}/no-such-index", "vec_id"), ASKED_WORDS, 50)
     return retrieval.hybrid_or_dense(dense, missing, "vec_id", 10).select("vec_id", "lists", "rank")
 
 
@@ -106,12 +110,13 @@ def word_tokens(spark, sf_dir):
 
 
 def token_idf(spark, sf_dir):
-    found = retrieval.idf(*_index(spark, sf_dir, "passages"))
+    index = _index(spark, sf_dir, "passages")
+    found = retrieval.idf(index.postings(), index.texts())
     return found.select("token", "df", F.round(F.col("idf") * 10000).cast("long").alias("idf4"))
 
 
 def sparse_weights(spark, sf_dir):
-    found = retrieval.posting_weights(_index(spark, sf_dir, "passages")[0], "passage_id")
+    found = retrieval.posting_weights(_index(spark, sf_dir, "passages").postings(), "passage_id")
     return found.groupBy("token").agg(F.count("*").alias("n"), F.max(F.round(F.col("weight") * 10000)).cast("long").alias("most4"))
 
 

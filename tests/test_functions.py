@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import amounts, assets, reports, tokens
 from quarry.operators import assets as table_ops
-from quarry.operators import catalog, diagnostics, providers, retrieval, vectors
+from quarry.operators import catalog, diagnostics, providers, retrieval, segments, vectors
 
 
 def one(spark, column, **values):
@@ -189,9 +189,10 @@ def test_rerank_shows_the_path(spark):
 
 def test_keyword_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "toll dues toll"), (2, "dues"), (3, None), (4, "Section 5 dues")], "id long, text string")
-    retrieval.write_postings(docs, "id", str(tmp_path / "k"))
-    postings, texts = retrieval.read_postings(spark, str(tmp_path / "k"))
-    assert texts.first()["texts"] == 4 and postings.where("token = 'toll'").first()["tf"] == 2
+    segments.create(docs, "id", str(tmp_path / "k"))
+    index = segments.open_keywords(spark, str(tmp_path / "k"), "id")
+    postings, texts = index.postings, index.texts()
+    assert texts.first()["texts"] == 4 and postings().where("token = 'toll'").first()["tf"] == 2
     assert [r["id"] for r in retrieval.sparse_topk(postings, texts, "id", "toll under Section 5", 5).orderBy("rank").collect()] == [4, 1]
     assert retrieval.sparse_topk(postings, texts, "id", "the of", 5).count() == 0
 

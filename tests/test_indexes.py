@@ -1,12 +1,13 @@
 """The vector index and the payload layout: recall, pruning, odd rows."""
 
+import shutil
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import ann
+from quarry.operators import ann, retrieval, segments
 from quarry.plans import indexes
 from quarry.plans.frames import frame
 from quarry.sources import layout, scratch
@@ -99,3 +100,34 @@ def test_kept_folders_follow_their_inputs(spark, tmp_path):
     assert second != first and spark.read.parquet(second).count() == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(first).count()
+
+
+def test_changed_index_equals_a_new_one(spark, tmp_path):
+    texts = {i: f"toll dues {'abcdefg'[i % 7] * 3} of port" for i in range(60)}
+    docs = lambda d: spark.createDataFrame(sorted(d.items()), "id long, text string")
+    segments.create(docs(texts), "id", f"file://{tmp_path}/a")
+    index = segments.open_keywords(spark, f"file://{tmp_path}/a", "id")
+    for changed, gone in (({3: "new words", 70: "toll"}, [5, 6, 999]), ({3: "toll twice", 5: "back", 8: None}, [70]), ({}, [3])):
+        index = segments.upsert(index, docs(changed), deleted=spark.createDataFrame([(g,) for g in gone], "id long"))
+        texts = {k: v for k, v in (texts | changed).items() if k not in gone}
+    segments.create(docs(texts), "id", f"file://{tmp_path}/b")
+    new = segments.open_keywords(spark, f"file://{tmp_path}/b", "id")
+    every = lambda x: sorted(map(tuple, x.postings().collect()))
+    assert len(index.segments) == 4 and every(index) == every(new) and index.texts().first() == new.texts().first()
+    merged = segments.merge(index)
+    assert len(merged.segments) == 1 and every(merged) == every(new) and merged.texts().first() == new.texts().first()
+    assert sorted(r["id"] for r in merged.postings(["twice", "back", "bbb"]).collect()) == sorted([5, *(i for i, t in texts.items() if t and "bbb" in t)])
+    assert set(merged.postings(["back"]).inputFiles()) < set(merged.postings().inputFiles()) or len(merged.postings().inputFiles()) == 1
+
+
+def test_search_without_its_index(spark, tmp_path):
+    dense = spark.createDataFrame([(1, 0.5, 1), (2, 0.25, 2)], "id long, score double, rank int")
+    segments.create(spark.createDataFrame([(2, "toll")], "id long, text string"), "id", f"file://{tmp_path}/k")
+    index = segments.open_keywords(spark, f"file://{tmp_path}/k", "id")
+    search = lambda: retrieval.sparse_topk(index.postings, index.texts(), "id", "toll", 5)
+    assert retrieval.hybrid_or_dense(dense, search, "id", 5).where("id = 2").first()["lists"] == 2
+    planned = search()
+    planned._jdf.queryExecution().executedPlan()
+    shutil.rmtree(tmp_path / "k")
+    for lost in (lambda: planned, search, lambda: segments.open_keywords(spark, f"file://{tmp_path}/k", "id")):
+        assert [r["id"] for r in retrieval.hybrid_or_dense(dense, lost, "id", 5).orderBy("rank").collect()] == [1, 2]

@@ -32,9 +32,9 @@ def test_no_pairwise_joins(spark, data, name):
 
 
 def test_search_reads_postings(spark, data):
-    """A search reads the buckets of its tokens, and no text of the corpus."""
+    """A search reads the files and row groups of its tokens, and no text of the corpus."""
     text = plan(registry.QUERIES["sparse_topk"](spark, data))
-    assert "PartitionFilters: [bucket" in text and "In(token" in text and "lineitem" not in text
+    assert "In(token" in text and "lineitem" not in text
 
 
 def test_one_pass_over_groupings(spark, data):
