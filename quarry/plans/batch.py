@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import reports as R
 from quarry.operators import assets, catalog
-from quarry.plans.assets import TABLES_SQL
 from quarry.plans.frames import FINDINGS, PASSAGES, REPORTS, frame, over
+from quarry.plans import listing
+from quarry.plans.assets import TABLES_SQL
 from quarry.plans.listing import _title_sql, more
 from quarry.sources import files
 from quarry.sources.scratch import shared_folder
@@ -76,8 +77,10 @@ def toc_tiers(spark, sf_dir):
 
 
 def retrieval_params(spark, sf_dir):
+    """Kinds of the questions on reports, how many there are, and how each is searched and answered."""
     rows = [(k, *v, R.STYLES[k]) for k, v in R.RETRIEVAL_PARAMS.items()]
-    return spark.createDataFrame(rows, "kind string, top_k int, candidates int, chars int, style string")
+    kinds = F.broadcast(spark.createDataFrame(rows, "kind string, top_k int, candidates int, chars int, style string"))  # six rows
+    return listing.question_type(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("questions")).join(kinds, "kind")
 
 
 def stream_ingest(spark, sf_dir):
@@ -158,7 +161,7 @@ ORACLE_SQL = {
     "money_normalize": over("SELECT CASE page % 3 WHEN 0 THEN 'lakh' WHEN 1 THEN 'crore' ELSE 'rupee' END AS unit, CAST(sum(coalesce(amount_paise, 0) // 1000000 * CASE page % 3 WHEN 0 THEN 10000000 WHEN 1 THEN 1000000000 ELSE 100 END) AS STRING) AS paise FROM f GROUP BY 1", f=FINDINGS),
     "temporal_refs": over("SELECT report_id, list_min(y) AS first, list_max(y) AS last, CAST(len(y) AS INT) AS n FROM (SELECT report_id, regexp_extract_all(title, '\\b(20\\d{2})', 1) AS y FROM r) WHERE len(y) > 0", r=REPORTS),
     "toc_tiers": more(f", k AS ({_title_sql()}), j AS (SELECT floor(100 - levenshtein(r.title, k.title) * 100 / greatest(length(r.title), length(k.title))::DOUBLE) AS fit FROM r JOIN k USING (report_id)) SELECT CASE WHEN fit >= 70 THEN 'accept' WHEN fit >= 40 THEN 'review' ELSE 'reject' END AS tier, count(*) AS n FROM j GROUP BY 1", r=REPORTS),
-    "retrieval_params": f"SELECT * FROM (VALUES {PARAM_ROWS}) t(kind, top_k, candidates, chars, style)",
+    "retrieval_params": f"SELECT kind, questions, top_k, candidates, chars, style FROM (SELECT kind, count(*) AS questions FROM ({listing.ORACLE_SQL['question_type']}) GROUP BY 1) JOIN (VALUES {PARAM_ROWS}) t(kind, top_k, candidates, chars, style) USING (kind)",
     "batch_results": over("SELECT CASE WHEN ord % 2 = 0 THEN 'A' || ord ELSE report_id END AS report_id, CASE WHEN ord % 2 = 0 THEN 'simple' END AS variant, CASE WHEN ord % 10 <> 3 THEN title END AS content, CASE WHEN ord % 10 <> 3 THEN CAST(len(regexp_split_to_array(trim(title), '\\s+')) AS INT) END AS word_count, ord % 10 <> 3 AND ord % 3 = 0 AS thinking_used, CASE WHEN ord % 10 = 3 THEN 'too long' END AS error FROM r", r=REPORTS),
     "job_status": "WITH l AS (SELECT user_id AS job, event_type, max_by(event_id % 5 > 0, event_id) AS ended FROM events GROUP BY 1, 2) SELECT job, count(*) AS batches, count(*) FILTER (WHERE ended) AS ended, CASE WHEN bool_and(ended) THEN 'ready_for_processing' ELSE 'in_progress' END AS status FROM l GROUP BY 1",
     "cost_estimates": over("SELECT report_id, count(*) AS tables, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, CAST(sum(length(text) // 4) * 150 AS BIGINT) AS nano_usd FROM t GROUP BY 1", t=TABLES_SQL),

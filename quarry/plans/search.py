@@ -121,10 +121,12 @@ def sparse_weights(spark, sf_dir):
 
 
 def sparse_query(spark, sf_dir):
-    asked = spark.createDataFrame([(0, QUESTION)], "q int, text string")
-    return retrieval.sparse_vectors(asked, "q", of_query=True).select("token", F.round(F.col("weight") * 10000).cast("long").alias("weight4"))
+    """Reports' titles as questions: their tokens, how many titles have each, and its largest weight."""
+    asked = retrieval.sparse_vectors(frame(spark, sf_dir, REPORTS, wide=True).select("report_id", "title"), "report_id", "title", of_query=True)
+    return asked.groupBy("token").agg(F.count("*").alias("n"), F.max(F.round(F.col("weight") * 10000)).cast("long").alias("most4"))
 
 
+STOP_QUERY = "[" + ",".join(f"'{w}'" for w in T.QUERY_STOPWORDS) + "]"
 TOKENS_SQL = f"""
 SELECT passage_id, unnest(list_concat(
   list_transform(regexp_extract_all(lower(text), 'section\\s*\\d+(?:\\s*\\([^)]+\\))?'), lambda x: 'section_' || regexp_extract(x, 'section\\s*(\\d+)', 1) || CASE WHEN contains(x, '(') THEN '_' || replace(regexp_extract(x, '\\(([^)]+)\\)', 1), ' ', '') ELSE '' END),
@@ -298,9 +300,14 @@ SELECT report_id, CASE WHEN length(context) > 4000 THEN left(context, 4000) || c
     "word_tokens": passages_with(f"tok AS ({WORDS_SQL}) SELECT token, count(*) AS n FROM tok GROUP BY 1"),
     "token_idf": passages_with(f"{TF_SQL}, n AS (SELECT count(*) AS n FROM passages), d AS (SELECT token, count(*) AS df FROM tf GROUP BY 1) SELECT token, df, CAST(round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * 10000) AS BIGINT) AS idf4 FROM d, n"),
     "sparse_weights": passages_with(f"{TF_SQL} SELECT token, count(*) AS n, CAST(max(round(tf / (tf + 1.2::DOUBLE) * {BOOST} * 10000)) AS BIGINT) AS most4 FROM tf GROUP BY 1"),
-    "sparse_query": f"WITH {ASKED} SELECT token, CAST(round(asked * 10000) AS BIGINT) AS weight4 FROM asked",
+    "sparse_query": over(f""", tok AS (SELECT report_id, unnest(list_concat(
+  list_transform(regexp_extract_all(lower(title), 'section\\s*(\\d+)', 1), lambda x: 'section_' || x), list_transform(regexp_extract_all(lower(title), 'rule\\s*(\\d+[a-z]?)', 1), lambda x: 'rule_' || x),
+  list_transform(regexp_extract_all(lower(title), 'form\\s*(\\d+[a-z]*)', 1), lambda x: 'form_' || x), list_transform(regexp_extract_all(lower(title), 'article\\s*(\\d+)', 1), lambda x: 'article_' || x),
+  CASE WHEN regexp_matches(lower(title), 'crore|lakh|₹') THEN ['money_crore'] ELSE [] END, list_transform(regexp_extract_all(title, '\\b(20\\d{{2}}(?:-\\d{{2}})?)\\b', 1), lambda x: 'year_' || x),
+  list_transform(regexp_extract_all(title, '\\b([A-Z]{{2,6}})\\b', 1), lambda x: 'acronym_' || x), list_filter(regexp_extract_all(lower(title), '\\b([a-z]{{2,}})\\b', 1), lambda w: NOT list_contains({STOP_QUERY}, w)))) AS token FROM r),
+tf AS (SELECT report_id, token, count(*) AS tf FROM tok GROUP BY ALL) SELECT token, count(*) AS n, CAST(max(round(tf / (tf + 1.2::DOUBLE) * {BOOST} * 10000)) AS BIGINT) AS most4 FROM tf GROUP BY 1""", r=REPORTS).replace(")\n,", "),"),
     "parse_chunk_id": over("SELECT chunk_id, regexp_extract(chunk_id, '^(.+)_child_p(\\d+)_(\\w+)_(\\d+)$', 1) AS report, CAST(regexp_extract(chunk_id, '^(.+)_child_p(\\d+)_(\\w+)_(\\d+)$', 2) AS INT) AS page_no, regexp_extract(chunk_id, '^(.+)_child_p(\\d+)_(\\w+)_(\\d+)$', 3) AS kind, CAST(regexp_extract(chunk_id, '^(.+)_child_p(\\d+)_(\\w+)_(\\d+)$', 4) AS INT) AS index FROM c", c=CHUNKS),
-    "neighbor_expand": over(", k AS (SELECT chunk_id, left(chunk_id, length(chunk_id) - 4) AS stem, CAST(right(chunk_id, 4) AS INT) AS i FROM c) SELECT k.chunk_id, p.chunk_id AS previous_id, n.chunk_id AS next_id FROM k LEFT JOIN k p ON p.stem = k.stem AND p.i = k.i - 1 LEFT JOIN k n ON n.stem = k.stem AND n.i = k.i + 1", c=CHUNKS).replace(")\n,", "),"),
+    "neighbor_expand": over(", k AS (SELECT chunk_id, left(chunk_id, length(chunk_id) - 4) AS stem, CAST(right(chunk_id, 4) AS INT) AS i FROM c), l AS (SELECT *, lag(chunk_id) OVER w AS p, lag(i) OVER w AS pi, lead(chunk_id) OVER w AS n, lead(i) OVER w AS ni FROM k WINDOW w AS (PARTITION BY stem ORDER BY i)) SELECT chunk_id, CASE WHEN pi = i - 1 THEN p END AS previous_id, CASE WHEN ni = i + 1 THEN n END AS next_id FROM l", c=CHUNKS).replace(")\n,", "),"),
     "group_by_parent": over(f"{PARENTS_SQL} SELECT report_id, parent_id, chunk_ids, children, CAST(row_number() OVER (PARTITION BY report_id ORDER BY best DESC, parent_id) AS INT) AS parent_rank FROM g", h=HITS).replace(")\n,", "),"),
     "attention_reorder": over(f"{PARENTS_SQL}, k AS (SELECT report_id, parent_id, row_number() OVER (PARTITION BY report_id ORDER BY best DESC, parent_id) - 1 AS r, count(*) OVER (PARTITION BY report_id) AS n FROM g) SELECT report_id, parent_id, CAST(CASE WHEN n <= 2 THEN r WHEN 2 * r < n THEN 2 * r ELSE 2 * (n - 1 - r) + 1 END AS INT) AS place FROM k", h=HITS).replace(")\n,", "),"),
     "parent_context": over("SELECT chunk_id, coalesce(toc_entry, 'Unknown') AS toc_entry, coalesce(page_start, 0) AS page_start, coalesce(page_end, 0) AS page_end FROM h LEFT JOIN s ON h.parent_id = s.section_id", h=HITS, s=SECTIONS),

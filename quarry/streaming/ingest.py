@@ -60,6 +60,11 @@ def _children(spark: SparkSession, folder: str) -> list[str]:
     return [x.getPath().getName() for x in store.listStatus(path)] if store.exists(path) else []
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _manifest(spark: SparkSession, table: str, before: int | None = None) -> dict[int, str]:
     """Folder of each bucket by the last whole manifest (of a batch before ``before``)."""
     whole = [int(n) for n in _children(spark, f"{table}/manifest") if (before is None or int(n) < before) and "_SUCCESS" in _children(spark, f"{table}/manifest/{n}")]
@@ -77,7 +82,8 @@ def index_stream(spark: SparkSession, source: str, schema: str, target: str, che
 
     The table is bucketed by the key's hash. A batch rewrites the buckets that its keys fall into, beside the old ones,
     and then writes a manifest, one row per bucket, that names each bucket's folder. Readers follow the last whole
-    manifest; a batch that is repeated starts from the one before its own, so it does no harm.
+    manifest; a batch that is repeated starts from the one before its own, so it does no harm. Buckets that neither this
+    batch's manifest nor the one before names are deleted.
     """
     place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
@@ -94,7 +100,10 @@ def index_stream(spark: SparkSession, source: str, schema: str, target: str, che
         rows = upsert(none, current.unionByName(batch), key).withColumn("bucket", place)
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
         known |= {b: f"{folder}/bucket={b}" for b in touched}
+        before, older = (_manifest(own, target, before=n) for n in (number, number - 1))
         own.createDataFrame(sorted(known.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/{number:09d}")
+        for path in set(older.values()) - set(before.values()):  # readers follow this manifest or the one before
+            _delete(own, path)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
