@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import retrieval
@@ -43,3 +43,36 @@ def ask(question: str, index: tuple[Callable[[list[str]], DataFrame], DataFrame]
         "citations": cited,
         "sufficient": hits.agg((F.coalesce(F.max("score"), F.lit(0.0)) >= retrieval.SUFFICIENT).alias("sufficient")),
     }
+
+
+# What stands before a report's part of a comparison.
+RULE, YEAR_LINE, REPORT_LINE, YEAR_NOTE = "=" * 60, "📅 YEAR: ", "📄 Report: ", ("⚠️ All findings below are from ", ". Cite as: [", " - Section X, p.XX]")
+
+
+def comparison_citations(hits: DataFrame, by: str) -> DataFrame:
+    """``hits`` with id, the citation's number in its series: reports in their place, then sections by their best hit, then hits by score.
+
+    Hits have the series, report_id, place (of the report in its series), parent_id, chunk_id and score. A report's hits are
+    numbered on their own; what stands before them is summed over one row a report.
+    """
+    own = Window.partitionBy(by, "report_id")
+    best = F.max("score").over(Window.partitionBy(by, "report_id", "parent_id"))
+    numbered = hits.withColumn("_best", best).withColumn("_nth", F.row_number().over(own.orderBy(F.desc("_best"), "parent_id", F.desc("score"), "chunk_id")))
+    counts = hits.groupBy(by, "report_id", "place").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(by).orderBy("place", "report_id").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(by, "report_id", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_ahead"))
+    return numbered.join(ahead, [by, "report_id"]).withColumn("id", F.col("_ahead") + F.col("_nth")).drop("_ahead", "_nth", "_best")
+
+
+def comparison_context(hits: DataFrame, by: str) -> DataFrame:
+    """Each series' context (its reports' contexts under headers of year and title), the years it covers, and its number of hits.
+
+    Hits have the series, place, year and title of their report beside what ``retrieval.context`` asks for. A report without a
+    year goes by its id.
+    """
+    year = F.coalesce(F.nullif("year_label", F.lit("")), "report_id")
+    heads = hits.groupBy(by, "report_id", "place").agg(F.first(year).alias("year"), F.first(F.coalesce("title", "report_id")).alias("title"), F.count("*").alias("n"))
+    head = F.concat(F.lit(f"\n{RULE}\n{YEAR_LINE}"), "year", F.lit(f"\n{REPORT_LINE}"), "title", F.lit(f"\n{RULE}\n\n{YEAR_NOTE[0]}"), "year", F.lit(YEAR_NOTE[1]), "year", F.lit(f"{YEAR_NOTE[2]}\n\n"))
+    parts = heads.join(retrieval.context(hits), "report_id").withColumn("part", F.concat(head, "context"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "report_id", "part"))), lambda x: x["part"])
+    return parts.groupBy(by).agg(F.array_join(ordered, "\n\n").alias("context"), F.array_join(F.array_sort(F.collect_list("year")), ", ").alias("years"), F.sum("n").alias("hits"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import reports as R
 from quarry.operators import answers, catalog, providers, retrieval
+from quarry.operators.vectors import ranked
 from quarry.plans import listing, search
 from quarry.plans.frames import CHUNK_ID, CHUNKS, FINDINGS, PASSAGES, REPORTS, SECTIONS, duck, frame, over
 from quarry.plans.listing import more
@@ -65,7 +66,31 @@ def semantic_data(spark, sf_dir):
     return f.groupBy(has.alias("has_data")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (ask, rerank_breadcrumb, series_query, legacy_params, section_type, semantic_data)}
+#: Five reports are a series; each takes part with so many hits.
+COMPARED = 5
+NUMBER = "CAST(substr(report_id, 2) AS BIGINT)"
+YEARS = f"SELECT report_id, CAST(floor({NUMBER} / 5) AS BIGINT) AS series, {NUMBER} AS place, CASE WHEN {NUMBER} % 6 = 0 THEN '' ELSE concat(CAST(2010 + {NUMBER} % 13 AS STRING), '-', CAST(11 + {NUMBER} % 13 AS STRING)) END AS year_label, title FROM ({REPORTS}) AS r"
+
+
+def _compared(spark, sf_dir):
+    """The best hits of each report with its series, year and title."""
+    best = ranked(search._hits(spark, sf_dir).where("parent_id is not null"), F.col("score"), "chunk_id", COMPARED, ["report_id"]).drop("rank")
+    return search._context_rows(spark, sf_dir, best).join(frame(spark, sf_dir, YEARS), "report_id")
+
+
+def comparative_citations(spark, sf_dir):
+    """Citations of comparisons, numbered through all reports of a series."""
+    found = answers.comparison_citations(_compared(spark, sf_dir), "series")
+    return found.select("series", "id", "report_id", F.coalesce(F.nullif("year_label", F.lit("")), "report_id").alias("year"), F.col("toc_entry").alias("section"), (F.col("page") + 1).alias("page"), "chunk_id")
+
+
+def comparative_context(spark, sf_dir):
+    """Contexts of comparisons with a header of year and title for each report."""
+    return answers.comparison_context(_compared(spark, sf_dir), "series").select("series", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("size"), "years", "hits")
+
+
+QUERIES = {f.__name__: f for f in (ask, rerank_breadcrumb, series_query, legacy_params, section_type, semantic_data, comparative_citations, comparative_context)}
+TOP_SQL = f"t5 AS (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY score DESC, chunk_id) AS nth FROM a WHERE parent_id IS NOT NULL) WHERE nth <= {COMPARED})"
 
 
 def _overlap(question: str, text: str) -> str:
@@ -75,6 +100,13 @@ def _overlap(question: str, text: str) -> str:
 
 SHOWN = "coalesce('[' || nullif(hierarchy_path, '') || '] ', '') || text"
 ORACLE_SQL = {
+    "comparative_citations": more(f""", {TOP_SQL}, k AS (SELECT t5.*, s.toc_entry, max(score) OVER (PARTITION BY t5.report_id, t5.parent_id) AS best FROM t5 JOIN s ON t5.parent_id = s.section_id)
+SELECT series, row_number() OVER (PARTITION BY series ORDER BY place, k.report_id, best DESC, parent_id, score DESC, chunk_id) AS id, k.report_id, coalesce(nullif(year_label, ''), k.report_id) AS year, toc_entry AS section, page + 1 AS page, chunk_id FROM k JOIN y USING (report_id)""", a=search.HITS, s=SECTIONS, y=YEARS),
+    "comparative_context": more(f""", {TOP_SQL}, h AS (SELECT t5.* FROM t5){search.CONTEXT_SQL},
+e AS (SELECT *, coalesce(nullif(year_label, ''), report_id) AS year FROM o JOIN y USING (report_id)), f AS (SELECT report_id, count(*) AS n FROM k GROUP BY 1),
+j AS (SELECT e.*, n, chr(10) || repeat('=', 60) || chr(10) || '{answers.YEAR_LINE}' || year || chr(10) || '{answers.REPORT_LINE}' || coalesce(title, report_id) || chr(10) || repeat('=', 60) || chr(10) || chr(10) || '{answers.YEAR_NOTE[0]}' || year || '{answers.YEAR_NOTE[1]}' || year || '{answers.YEAR_NOTE[2]}' || chr(10) || chr(10) || context AS part FROM e JOIN f USING (report_id)),
+w AS (SELECT series, string_agg(part, chr(10) || chr(10) ORDER BY place, report_id) AS c, string_agg(year, ', ' ORDER BY year) AS years, CAST(sum(n) AS BIGINT) AS hits FROM j GROUP BY 1)
+SELECT series, md5(c) AS context_md5, length(c) AS size, years, hits FROM w""", a=search.HITS, c=CHUNKS, s=SECTIONS, y=YEARS),
     "ask": search.passages_with(f"""sections AS ({duck(SECTIONS)}), {search.TF_SQL}, {search.ASKED}, m AS (SELECT * FROM tf JOIN asked USING (token)), d AS (SELECT token, count(*) AS df FROM m GROUP BY 1), n AS (SELECT count(*) AS n FROM passages),
 w AS (SELECT passage_id, round(sum(tf / (tf + 1.2::DOUBLE) * {search.BOOST} * asked * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)), 9) AS score FROM m JOIN d USING (token), n GROUP BY 1),
 c AS (SELECT passage_id FROM w QUALIFY row_number() OVER (ORDER BY score DESC, passage_id) <= 30),

@@ -211,14 +211,18 @@ def assign_parent(spark, sf_dir):
     return found.groupBy("chunk_id").agg(best.alias("section_id"))
 
 
-def context_string(spark, sf_dir):
-    """A context for each report's hits."""
-    hits = _hits(spark, sf_dir).where("parent_id is not null")
+def _context_rows(spark, sf_dir, hits):
+    """Hits with their section, text and neighbours."""
     sections = frame(spark, sf_dir, SECTIONS).select(F.col("section_id").alias("parent_id"), "toc_entry", "hierarchy_path", "page_start", "page_end")
     near = retrieval.neighbours(frame(spark, sf_dir, CHUNKS))
     body = lambda c: F.concat(F.lit("Text of "), c)
-    rows = hits.join(sections, "parent_id").join(near, "chunk_id").select(
+    return hits.where("parent_id is not null").join(sections, "parent_id").join(near, "chunk_id").select(
         "*", body(F.col("chunk_id")).alias("text"), body(F.col("previous_id")).alias("previous_text"), body(F.col("next_id")).alias("next_text"), F.when(F.col("page") == 1, "Recommendation").alias("tags"))
+
+
+def context_string(spark, sf_dir):
+    """A context for each report's hits."""
+    rows = _context_rows(spark, sf_dir, _hits(spark, sf_dir))
     return retrieval.context(rows).select("report_id", retrieval.truncated(F.col("context"), F.lit(4000)).alias("context"))
 
 
@@ -263,6 +267,16 @@ CITED_SQL = f"""cited AS (SELECT row_number() OVER (PARTITION BY report_id ORDER
 
 PARENTS_SQL = ", g AS (SELECT report_id, coalesce(parent_id, 'unknown') AS parent_id, string_agg(chunk_id, ',' ORDER BY score DESC, chunk_id) AS chunk_ids, max(score) AS best, count(*) AS children FROM h GROUP BY 1, 2)"
 
+CONTEXT_SQL = """, n AS (SELECT chunk_id, left(chunk_id, length(chunk_id) - 4) AS stem, CAST(right(chunk_id, 4) AS INT) AS i FROM c),
+k AS (SELECT h.report_id, h.parent_id, h.chunk_id, h.score, h.page, s.toc_entry, s.hierarchy_path, s.page_start, s.page_end, p.chunk_id AS prev, x.chunk_id AS next
+  FROM h JOIN s ON h.parent_id = s.section_id JOIN n ON n.chunk_id = h.chunk_id LEFT JOIN n p ON p.stem = n.stem AND p.i = n.i - 1 LEFT JOIN n x ON x.stem = n.stem AND x.i = n.i + 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY report_id, parent_id ORDER BY score DESC, chunk_id) AS nth, max(score) OVER (PARTITION BY report_id, parent_id) AS best FROM k),
+t AS (SELECT report_id, parent_id, best, '## ' || hierarchy_path || ' (Pages ' || (page_start + 1) || '-' || (page_end + 1) || ')' || chr(10) || chr(10) AS head, nth,
+  concat_ws(chr(10), '[...preceding]: ' || right('Text of ' || prev, 200), '[Source: ' || toc_entry || ', p.' || (page + 1) || ']', '[' || nth || ']' || CASE WHEN score > 0.85 THEN '★★★' WHEN score > 0.7 THEN '★★' ELSE '★' END || ' Text of ' || chunk_id,
+    CASE WHEN page = 1 THEN '  📋 Recommendation' END, '[following...]: ' || left('Text of ' || next, 200)) AS lines FROM l),
+g AS (SELECT report_id, parent_id, best, head || string_agg(lines, chr(10) || chr(10) ORDER BY nth) AS section FROM t GROUP BY report_id, parent_id, best, head),
+o AS (SELECT report_id, string_agg(section, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY best DESC, parent_id) AS context FROM g GROUP BY 1)"""
+
 QUERIES = {f.__name__: f for f in (cosine_topk, dense_topk_filtered, multi_query_topk, comparative_topk, multi_query_fusion, rrf_fusion, sparse_topk, hybrid_search, hybrid_fallback, rerank_topk, special_tokens, word_tokens, token_idf, sparse_weights, sparse_query, parse_chunk_id, neighbor_expand, group_by_parent, attention_reorder, parent_context, citations, citation_map, sufficiency, orphan_chunks, assign_parent, context_string, semantic_tags, chunk_enrichment, hierarchy_inherit, hierarchy_mismatch)}
 #: The same under the names they had while the others took a few reports.
 QUERIES |= {f"{n}_all": QUERIES[n] for n in ("group_by_parent", "attention_reorder", "citations", "citation_map", "context_string")}
@@ -285,15 +299,7 @@ l AS (SELECT passage_id AS vec_id, row_number() OVER (ORDER BY score DESC, passa
   UNION ALL SELECT e.vec_id, row_number() OVER (ORDER BY {SIM} DESC, e.vec_id) AS r FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY r <= 50),
 f AS (SELECT vec_id, count(*) AS lists, round(sum(1::DOUBLE / (60 + r - 1)), 12) AS score FROM l GROUP BY 1)
 SELECT vec_id, lists, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM f QUALIFY rank <= 10""",
-    "context_string": over(f""", n AS (SELECT chunk_id, left(chunk_id, length(chunk_id) - 4) AS stem, CAST(right(chunk_id, 4) AS INT) AS i FROM c),
-k AS (SELECT h.report_id, h.parent_id, h.chunk_id, h.score, h.page, s.toc_entry, s.hierarchy_path, s.page_start, s.page_end, p.chunk_id AS prev, x.chunk_id AS next
-  FROM h JOIN s ON h.parent_id = s.section_id JOIN n ON n.chunk_id = h.chunk_id LEFT JOIN n p ON p.stem = n.stem AND p.i = n.i - 1 LEFT JOIN n x ON x.stem = n.stem AND x.i = n.i + 1),
-l AS (SELECT *, row_number() OVER (PARTITION BY report_id, parent_id ORDER BY score DESC, chunk_id) AS nth, max(score) OVER (PARTITION BY report_id, parent_id) AS best FROM k),
-t AS (SELECT report_id, parent_id, best, '## ' || hierarchy_path || ' (Pages ' || (page_start + 1) || '-' || (page_end + 1) || ')' || chr(10) || chr(10) AS head, nth,
-  concat_ws(chr(10), '[...preceding]: ' || right('Text of ' || prev, 200), '[Source: ' || toc_entry || ', p.' || (page + 1) || ']', '[' || nth || ']' || CASE WHEN score > 0.85 THEN '★★★' WHEN score > 0.7 THEN '★★' ELSE '★' END || ' Text of ' || chunk_id,
-    CASE WHEN page = 1 THEN '  📋 Recommendation' END, '[following...]: ' || left('Text of ' || next, 200)) AS lines FROM l),
-g AS (SELECT report_id, parent_id, best, head || string_agg(lines, chr(10) || chr(10) ORDER BY nth) AS section FROM t GROUP BY report_id, parent_id, best, head),
-o AS (SELECT report_id, string_agg(section, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY best DESC, parent_id) AS context FROM g GROUP BY 1)
+    "context_string": over(f"""{CONTEXT_SQL}
 SELECT report_id, CASE WHEN length(context) > 4000 THEN left(context, 4000) || chr(10) || chr(10) || '[Context truncated...]' ELSE context END AS context FROM o""", c=CHUNKS, h=HITS, s=SECTIONS).replace(")\n,", "),"),
     "sparse_topk": passages_with(f"{TF_SQL}, {ASKED}, m AS (SELECT * FROM tf JOIN asked USING (token)), d AS (SELECT token, count(*) AS df FROM m GROUP BY 1), n AS (SELECT count(*) AS n FROM passages), s AS (SELECT passage_id, round(sum(tf / (tf + 1.2::DOUBLE) * {BOOST} * asked * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)), 9) AS score FROM m JOIN d USING (token), n GROUP BY 1) SELECT passage_id, CAST(row_number() OVER (ORDER BY score DESC, passage_id) AS INT) AS rank FROM s QUALIFY rank <= 20"),
     "special_tokens": passages_with(f"tok AS ({TOKENS_SQL}) SELECT token, count(*) AS n FROM tok GROUP BY 1"),
