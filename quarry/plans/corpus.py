@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from quarry.functions.rounding import half_even
 from quarry.operators import embedding
 from quarry.operators.prefix import saved
-from quarry.plans.frames import PASSAGES, frame
+from quarry.plans.frames import PASSAGES, duck, frame
 from quarry.plans.search import TF_SQL, passages_with
-from quarry.sources import manifest
+from quarry.sources import files, manifest
 from quarry.sources.scratch import shared_folder
 
 #: Halves that doubles hold, halves that they only print, and prices.
@@ -77,13 +77,60 @@ def manifest_ingest(spark, sf_dir):
     return found.select(name(F.col("path")).alias("nation"), "status").join(read, "nation", "left")
 
 
-QUERIES = {f.__name__: f for f in (half_even_rounding, tfidf_vectors, tfidf_refresh, manifest_ingest)}
+#: Customers as a nation's chunks: their section, text and page.
+MEMBERS = "SELECT c_nationkey AS n, c_custkey AS k, concat('N', CAST(c_nationkey AS STRING), '_s', CAST(c_custkey % 4 AS STRING)) AS section_id, concat('Member ', CAST(c_custkey AS STRING), ' of ', n_name) AS text, n_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"
+
+
+def _report_files(spark, sf_dir):
+    """Files of nations as reports: some without metadata, some cut off in the middle."""
+    m = frame(spark, sf_dir, MEMBERS)
+    name = F.concat(F.lit("N"), F.col("n").cast("string"))
+    levels = F.create_map(F.lit("level_2"), F.concat(F.lit("Section "), (F.col("k") % 4).cast("string")), F.lit("level_1"), F.col("n_name"))
+    chunk = F.struct(
+        F.concat(name, F.lit("_c"), F.col("k").cast("string")).alias("chunk_id"), F.col("section_id").alias("parent_chunk_id"), F.lit("paragraph").alias("content_type"), F.col("text").alias("content"), (F.col("k") % 50).cast("int").alias("source_page_physical"),
+        levels.alias("hierarchy"), F.struct(F.concat(name, F.lit(".pdf")).alias("source")).alias("metadata"),
+    )
+    finding = F.struct(F.concat(name, F.lit("_c"), F.col("k").cast("string")).alias("source_chunk_id"), F.lit("non_compliance").alias("finding_type"), (F.col("k") * 100).alias("total_amount_inr"), F.col("text").alias("description"))
+    parts = m.groupBy("n", "n_name").agg(F.collect_list(chunk).alias("chunks"), F.collect_list(F.when(F.col("k") % 3 == 0, finding)).alias("found"), F.collect_set("section_id").alias("sections"))
+    metadata = F.struct(name.alias("report_id"), F.col("n_name").alias("report_title"), (F.col("n") % 13 + 2010).cast("int").alias("report_year"), F.concat(name, F.lit(".pdf")).alias("source_filename"), F.size("chunks").alias("page_count"))
+    section = lambda s: F.struct(s.alias("chunk_id"), name.alias("report_id"), F.array(F.lit(0), F.lit(49)).alias("page_range_physical"), F.concat(F.lit("Entry of "), s).alias("toc_entry"), F.lit(2).alias("toc_level"))
+    report = F.to_json(F.struct(
+        F.when(F.col("n") % 7 != 3, metadata).alias("report_metadata"), F.transform("sections", section).alias("parent_chunks"), F.col("chunks").alias("child_chunks"), F.struct(F.col("found").alias("findings")).alias("semantic_enrichment"),
+    ))
+    text = F.when(F.col("n") % 11 == 5, F.left(report, F.lit(300))).otherwise(report)
+    folder = shared_folder(spark, "reports")
+    parts.select("n", text.alias("value")).repartition("n").write.partitionBy("n").text(folder)
+    return files.read_reports(spark, folder, "*.txt")
+
+
+def report_files(spark, sf_dir):
+    """Metadata of report files, with what stands in where there is none."""
+    return files.reports(_report_files(spark, sf_dir)).select("report_id", "title", F.col("year").cast("long").alias("year"), "filename", F.col("pages").cast("long").alias("pages"))
+
+
+def report_file_parts(spark, sf_dir):
+    """Chunks, sections and findings of report files, and the files that can't be read."""
+    rows = _report_files(spark, sf_dir)
+    chunks = files.chunks(rows).agg(F.lit("chunks").alias("part"), F.count("*").alias("n"), F.max("hierarchy_path").alias("last"), F.sum("page").alias("sum"))
+    sections = files.sections(rows).agg(F.lit("sections").alias("part"), F.count("*").alias("n"), F.max("toc_entry").alias("last"), F.sum("page_end").alias("sum"))
+    findings = files.findings(rows).agg(F.lit("findings").alias("part"), F.count("*").alias("n"), F.max("text").alias("last"), F.sum("amount_paise").alias("sum"))
+    failed = files.failed_files(rows).agg(F.lit("failed").alias("part"), F.count("*").alias("n"), F.max(F.left("begin", F.lit(10))).alias("last"), F.sum(F.length("begin")).alias("sum"))
+    return chunks.unionByName(sections).unionByName(findings).unionByName(failed)
+
+
+QUERIES = {f.__name__: f for f in (report_files, report_file_parts, half_even_rounding, tfidf_vectors, tfidf_refresh, manifest_ingest)}
 
 #: The same by whole numbers of 128 bits.
 ROUND = lambda x: f"(SELECT CASE WHEN r * 2 > p OR (r * 2 = p AND q % 2 = 1) THEN q + 1 ELSE q END FROM (SELECT (m * 100) // p AS q, (m * 100) % p AS r, p FROM (SELECT CAST({x} * pow(2, k) AS HUGEINT) AS m, CAST(1 AS HUGEINT) << k AS p FROM (SELECT CAST(54 - floor(log2(CASE WHEN {x} > 0 THEN {x} ELSE 1 END)) AS INT) AS k))))"
 BITS = "(('0x' || left(md5(token), 7))::BIGINT % 1048576)"
 PLACES = f"{TF_SQL}, t AS (SELECT passage_id, {BITS} AS place, sum(tf) AS tf FROM tf GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM passages), w AS (SELECT place, ln((n + 1) / (count(*) + 1)::DOUBLE) AS idf FROM t, n GROUP BY place, n), v AS (SELECT passage_id, (1 + ln(tf)) * idf AS value FROM t JOIN w USING (place))"
+READABLE = f"m AS ({duck(MEMBERS)}), w AS (SELECT * FROM m WHERE n % 11 <> 5)"
 ORACLE_SQL = {
+    "report_files": f"WITH {READABLE} SELECT 'N' || n AS report_id, CASE WHEN n % 7 = 3 THEN 'N' || n ELSE n_name END AS title, CASE WHEN n % 7 <> 3 THEN 2010 + n % 13 END AS year, 'N' || n || '.pdf' AS filename, CASE WHEN n % 7 <> 3 THEN count(*) END AS pages FROM w GROUP BY n, n_name",
+    "report_file_parts": f"""WITH {READABLE} SELECT 'chunks' AS part, count(*) AS n, max(n_name || ' > Section ' || k % 4) AS last, CAST(sum(k % 50) AS BIGINT) AS sum FROM w
+UNION ALL SELECT 'sections', count(DISTINCT section_id), max('Entry of ' || section_id), 49 * count(DISTINCT section_id) FROM w
+UNION ALL SELECT 'findings', count(*), max(text), CAST(sum(k * 100) AS BIGINT) FROM w WHERE k % 3 = 0
+UNION ALL SELECT 'failed', count(DISTINCT n), CASE WHEN count(*) > 0 THEN max('{{"report_m') END, CASE WHEN count(*) > 0 THEN 200 * count(DISTINCT n) END FROM m WHERE n % 11 = 5""",
     "half_even_rounding": f"WITH h AS ({HALVES.replace('{lineitem}', 'lineitem')}) SELECT line, " + ", ".join(f"CAST(sum({ROUND(c)}) AS BIGINT) AS {c}" for c in ("exact", "printed", "price")) + " FROM h GROUP BY 1",
     "tfidf_vectors": passages_with(f"{PLACES} SELECT passage_id, count(*) AS places, CAST(round(sqrt(sum(value * value)) * 1000) AS BIGINT) AS size3, CAST(round(max(value) / sqrt(sum(value * value)) * 1000) AS BIGINT) AS most3 FROM v WHERE value <> 0 GROUP BY 1"),
     "manifest_ingest": "SELECT 'N' || c_nationkey AS nation, CASE c_nationkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'changed' WHEN 2 THEN 'touched' ELSE 'new' END AS status, CASE WHEN c_nationkey % 2 = 1 THEN count(*) END AS rows, CASE WHEN c_nationkey % 2 = 1 THEN 'second' END AS mark FROM customer GROUP BY c_nationkey",
