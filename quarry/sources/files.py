@@ -37,7 +37,8 @@ def read_reports_or(spark: SparkSession, folder: str, first: str = "*_enriched.j
 
 def failed_files(files: DataFrame) -> DataFrame:
     """Files that could not be parsed, or not to their end; no other function takes anything from them."""
-    return files.where(F.col("_corrupt_record").isNotNull()).select("path", F.left("_corrupt_record", F.lit(200)).alias("begin"))
+    # Spark doesn't read the corrupt record alone, so another column is looked at
+    return files.where(F.col("_corrupt_record").isNotNull() & (F.coalesce("report_metadata.report_id", F.lit("")) != F.lit("\0"))).select("path", F.left("_corrupt_record", F.lit(200)).alias("begin"))
 
 
 def levels(hierarchy: Column) -> Column:
