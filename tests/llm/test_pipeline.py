@@ -67,7 +67,7 @@ def test_run(spark, folder):
 
 
 def test_registered():
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 14)} and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
 def test_one_near_copy_stays(spark):
