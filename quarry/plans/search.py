@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import reports as R
 from quarry.functions import tokens as T
 from quarry.operators import retrieval, segments, vectors
 from quarry.plans.frames import CHUNKS, FINDINGS, PASSAGES, REPORTS, SECTIONS, duck, frame, over, spread
