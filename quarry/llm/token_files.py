@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,7 +37,7 @@ def write_parquet(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, r
         encoder, part, done = words(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = strings(batch, "text")
-            sizes = np.asarray(pa.compute.binary_length(texts)).astype(np.int64)
+            sizes = np.asarray(pc.binary_length(texts)).astype(np.int64)
             for a, b in slices(sizes, BATCH_BYTES):
                 ids, counts = encoder.encode(texts.slice(a, b - a))
                 ends = np.cumsum(counts)
