@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialise, ranges, slices, small_batches, strings, text_key, text_of, utf8
@@ -19,6 +19,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Shared n-grams that one matrix product of a block takes.
 COLUMNS = 16384
+#: Fewest documents of a block around one centre that are taken as linked by it.
+CORE = 8
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 96) -> tuple[int, int]:
@@ -154,24 +156,87 @@ def met_before(buckets: list[np.ndarray], own: int, left: np.ndarray, right: np.
     return matrix[left] @ matrix[right].T > 0
 
 
+def around_centres(grams: np.ndarray, counts: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """Two hashes of the centre that each document lies around, zeros for none.
+
+    A centre is the set of n-grams that over half of the documents have which no earlier centre took. The Jaccard
+    distance is a metric, so documents within half of the largest distance of a link from one centre are all linked.
+    """
+    out = np.zeros((len(counts), 2), np.uint64)
+    values, column = np.unique(grams, return_inverse=True)
+    if not len(values):
+        return out
+    owner, column = np.divmod(np.unique(np.repeat(np.arange(len(counts)), counts) * len(values) + column), len(values))
+    size = np.bincount(owner, minlength=len(counts))
+    free = np.ones(len(counts), bool)
+    while free.sum() >= least:
+        centre = 2 * np.bincount(column[free[owner]], minlength=len(values)) > free.sum()
+        shared = np.bincount(owner, weights=centre[column], minlength=len(counts))
+        near = free & (shared >= (1 + threshold) / 2 * (size + centre.sum() - shared) + 1e-9)
+        if near.sum() < least:
+            break
+        out[near] = mix(values[centre]).sum(), mix(mix(values[centre] ^ ODD)).sum()
+        free &= ~near
+    return out
+
+
+def _by_key(work: Callable[[pa.Table], pa.RecordBatch], keys: list[str]):
+    """For mapInArrow: ``work`` on the rows of each key, which stream in sorted, one row a node."""
+
+    def whole(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        return work(table.take(pa.array(np.unique(table["node"].to_numpy(), return_index=True)[1])))  # repeated rows of one document
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            own = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1), len(own)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if key is not None and tuple(own[a]) != key:
+                    yield whole(held)
+                    held = []
+                key = tuple(own[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield whole(held)
+
+    return run
+
+
+def _centred(n: int, threshold: float, least: int):
+    """The centre of each document that lies around one of its block."""
+
+    def find(table: pa.Table) -> pa.RecordBatch:
+        grams, counts = ngrams(table["text"].combine_chunks(), n)
+        keys = around_centres(grams, counts, threshold, least)
+        some = keys.any(axis=1)
+        keys = keys[some].view(np.int64)
+        return pa.RecordBatch.from_arrays([table["node"].combine_chunks().filter(pa.array(some)), table["copies"].combine_chunks().filter(pa.array(some)), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1]))], names=["node", "copies", "key1", "key2"])
+
+    return _by_key(find, ["bucket", "part"])
+
+
 LINKS = "node long, tie long, links long"
 
 
 def _verify(n: int, threshold: float):
-    """Links within blocks of buckets, which stream in sorted: a row per linked document, its links and the least one it is tied to.
+    """Links within blocks of buckets: a row per linked document, its links and the least one it is tied to.
 
-    A pair counts in the first bucket that its documents share.
+    A pair counts in the first bucket that its documents share, and not here if both lie around one centre.
     """
 
-    def check(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        table = table.take(pa.array(np.unique(table["node"].to_numpy(), return_index=True)[1]))  # repeated rows of one document
-        node, side, copies = (table[c].to_numpy() for c in ("node", "side", "copies"))
+    def check(table: pa.Table) -> pa.RecordBatch:
+        node, side, copies, core = (table[c].to_numpy() for c in ("node", "side", "copies", "core"))
         bucket, i, j = (table[c][0].as_py() for c in ("bucket", "i", "j"))
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         links, tie = np.zeros(len(node), np.int64), np.arange(len(node))
         lists = table["buckets"].combine_chunks()
         new = ~met_before(np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1]), bucket, left, right)
+        new &= (core[left][:, None] != core[right][None, :]) | (core[left] < 0)[:, None]
         if i == j:
             np.fill_diagonal(new, False)
         left, right, new = left[new.any(axis=1)], right[new.any(axis=0)], new[np.ix_(new.any(axis=1), new.any(axis=0))]
@@ -187,24 +252,12 @@ def _verify(n: int, threshold: float):
         some = links > 0
         return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[tie[some]]), pa.array(links[some])], names=["node", "tie", "links"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if key is not None and tuple(keys[a]) != key:
-                    yield check(held)
-                    held = []
-                key = tuple(keys[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield check(held)
+    return _by_key(check, ["bucket", "i", "j"])
 
-    return verify
+
+def _blocks(n: Column, size: Column) -> Column:
+    """Blocks of at most about BLOCK documents and BLOCK_BYTES, and of one document at least."""
+    return F.least(F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)), n).cast("int")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128) -> DataFrame:
@@ -219,6 +272,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     counts in the first, so links are exact but for the recall, and pairs are counted, never emitted. Only verified links
     are followed for classes.
 
+    Nodes of buckets of several blocks are first compared with the centre of a block, which grows with their number
+    alone: those around equal centres are linked by the triangle inequality (``around_centres``) and counted by a sum,
+    and are not compared with one another. All other pairs are.
+
     Null texts count as empty; texts without words are one class; texts of fewer than ``n`` words have one n-gram.
     Null ids stay null and name a class only if it has no other. keep_id and keep_key are the doc_id and text_key of one
     member, that of the least id and then key, null ids last. Repeated rows count as documents. Other columns are
@@ -236,23 +293,45 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     banded = nodes.select("node", "size", F.explode("bands").alias("band"))
     sets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.sum("size").alias("bytes")).where("n > 1")
     # buckets of one number of nodes, least node and hash of all are of the same nodes
-    buckets = sets.groupBy("n", "least", "nodes").agg(F.min("band").alias("band"), F.max("bytes").alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    members = banded.select("node", "band").join(buckets.select("band", F.least(blocks, "n").cast("int").alias("blocks")), "band")
-    listed = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col("band").alias("bucket"), "blocks"))).alias("own"))  # one of each band at most
-    wanted = listed.join(nodes.select("node", "doc_id", "text_key", "copies"), "node")
+    buckets = sets.groupBy("n", "least", "nodes").agg(F.min("band").alias("bucket"), F.max("bytes").alias("bytes"))
+    sized = buckets.select("bucket", _blocks(F.col("n"), F.col("bytes")).alias("blocks"))
+    members = materialise(banded.withColumnRenamed("band", "bucket").join(sized, "bucket"), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), text_key().alias("own_key"), text_of().alias("text"))
-    found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")))
-    placed = found.select("node", "copies", "text", F.transform("own", lambda x: x["bucket"]).alias("buckets"), F.explode("own").alias("at")).select("*", "at.*")
-    sided = placed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = sided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("side", "other").cast("int").alias("i"), F.greatest("side", "other").cast("int").alias("j"), "side", "node", "copies", "buckets", "text"
+    same_row = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
+    named = nodes.select("node", "doc_id", "text_key", "copies")
+    homes = members.where("blocks > 1").groupBy("node").agg(F.max(F.struct("blocks", "bucket")).alias("home"))
+    split = homes.select("node", "home.bucket", F.pmod(F.xxhash64("node"), F.col("home.blocks")).cast("int").alias("part"))
+    homed = split.join(named, "node").join(texts, same_row).select("bucket", "part", "node", "copies", "text")
+    around = homed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(_centred(n, threshold, CORE), "node long, copies long, key1 long, key2 long")
+    around = materialise(around, "centred")
+    centres = around.groupBy("key1", "key2").agg(F.min("node").alias("core"), F.sum("copies").alias("core_copies"))
+    cores = materialise(around.join(centres, ["key1", "key2"]).select("node", "core", "core_copies"), "cores")
+    # a bucket's sides: one of a small bucket, else those of each core, which meet all others, and those of the rest, which meet all
+    of = members.join(cores.select("node", "core"), "node", "left").withColumn("core", F.coalesce("core", F.lit(-1)))
+    of = of.withColumn("group", F.when(F.col("blocks") > 1, F.col("core")).otherwise(F.lit(-1)))
+    groups = of.groupBy("bucket", "group").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("core").alias("low"), F.max("core").alias("high"))
+    groups = groups.where("group >= 0 OR low <> high OR low < 0").withColumn("own", _blocks(F.col("n"), F.col("bytes")))
+    before = Window.partitionBy("bucket").orderBy("group")
+    groups = groups.select("bucket", "group", "own", (F.sum("own").over(before) - F.col("own")).cast("int").alias("at"), F.sum("own").over(Window.partitionBy("bucket")).cast("int").alias("sides"))
+    groups = groups.withColumn("to", F.when(F.col("group") < 0, 0).otherwise(F.col("at") + F.col("own"))).withColumn("meets", (F.col("at") > 0) | (F.col("to") < F.col("sides")))
+    sided = of.join(groups, ["bucket", "group"]).withColumn("side", (F.col("at") + F.pmod(F.xxhash64("node"), F.col("own"))).cast("int"))
+    listed = sided.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("bucket", "side", "at", "to", "sides", "meets"))).alias("own"), F.first("core").alias("core"))  # one of each band at most
+    wanted = listed.where(F.exists("own", lambda x: x["meets"])).join(named, "node")
+    found = wanted.join(texts, same_row)
+    placed = found.select("node", "core", "copies", "text", F.transform("own", lambda x: x["bucket"]).alias("buckets"), F.explode(F.filter("own", lambda x: x["meets"])).alias("met")).select("*", "met.*")
+    none = F.array().cast("array<int>")
+    below = F.when(F.col("at") > 0, F.sequence(F.lit(0), F.col("at") - 1)).otherwise(none)
+    above = F.when(F.col("to") < F.col("sides"), F.sequence("to", F.col("sides") - 1)).otherwise(none)
+    dealt = placed.withColumn("other", F.explode(F.concat(below, above))).select(
+        "bucket", F.least("side", "other").cast("int").alias("i"), F.greatest("side", "other").cast("int").alias("j"), "side", "node", "core", "copies", "buckets", "text"
     )
     checked = materialise(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(_verify(n, threshold), LINKS), "checked")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(checked.where("node <> tie").select(F.col("node").alias("a"), F.col("tie").alias("b")))
-    tied = nodes.select("node", "seq1", "seq2", "doc_id", "text_key", "copies").join(roots, "node", "left").join(links, "node", "left")
-    tied = tied.select("seq1", "seq2", "doc_id", "text_key", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    ties = checked.select("node", "tie").unionByName(cores.select("node", F.col("core").alias("tie"))).where("node <> tie")
+    roots = components(ties.select(F.col("node").alias("a"), F.col("tie").alias("b")))
+    tied = nodes.select("node", "seq1", "seq2", "doc_id", "text_key", "copies").join(roots, "node", "left").join(links, "node", "left").join(cores, "node", "left")
+    same = F.coalesce("core_copies", "copies") - 1
+    tied = tied.select("seq1", "seq2", "doc_id", "text_key", "copies", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + same).alias("n_links"))
     classes = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), least.alias("keep"))
-    named = tied.join(classes, "root").select("seq1", "seq2", "class_id", "class_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "text_key", "seq1", "seq2").join(named, ["seq1", "seq2"]).select("doc_id", "text_key", "class_id", "n_links", "class_size", "keep_id", "keep_key")
+    rated = tied.join(classes, "root").select("seq1", "seq2", "class_id", "class_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"), "n_links")
+    return signed.select("doc_id", "text_key", "seq1", "seq2").join(rated, ["seq1", "seq2"]).select("doc_id", "text_key", "class_id", "n_links", "class_size", "keep_id", "keep_key")

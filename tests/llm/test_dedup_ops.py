@@ -83,6 +83,7 @@ def variants(seed, n, size):
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_duplicates(spark, edge_rows, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CORE", 2)
     rows = [*edge_rows, *((100 + i, t, "en") for i, t in enumerate(variants(5, 14, 120))), *((200 + i, t, "en") for i, t in enumerate(variants(6, 5, 40)))]
     got = jaccard.near_duplicates(table(spark, rows).repartition(4)).toPandas()
     assert Counter((key(r.doc_id), key(r.class_id), r.n_links) for r in got.itertuples()) == brute_classes(rows)
@@ -96,6 +97,36 @@ def test_near_duplicates_by_bytes(spark, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
 
 
+@pytest.mark.parametrize(("block", "core"), [(40, 8), (16, 2), (7, 2)])
+def test_near_duplicates_around_centres(spark, block, core, monkeypatch):
+    """Documents around a centre, some at the edge of it, between two centres and in copies, have the links of a full comparison."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CORE", core)
+    texts = variants(5, 60, 120)
+    for k in range(0, 60, 3):  # two changes, within reach of some only
+        w = texts[k].split()
+        w[(k * 11 + 50) % 120] = f"y{k}"
+        texts.append(" ".join(w))
+    other = variants(5, 40, 120)
+    texts += [" ".join([*t.split()[:110], *"some other end of the text as the second template has".split()]) + f" z{k % 5}" for k, t in enumerate(other)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(500 + i, texts[i % 7], "de") for i in range(20)] + [(None, texts[1], "en")]
+    got = jaccard.near_duplicates(table(spark, rows).repartition(4)).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute_classes(rows)
+
+
+def test_centres_link_within_half_the_distance():
+    """All pairs around one centre are linked, and a block of one template has one centre for nearly all."""
+    import pyarrow as pa
+
+    texts = variants(5, 50, 150) + variants(9, 30, 150)
+    grams, counts = jaccard.ngrams(pa.array(texts), 5)
+    keys = [tuple(k) for k in jaccard.around_centres(grams, counts, 0.8, 8).tolist()]
+    ends = counts.cumsum()
+    sets = [set(grams[e - c : e].tolist()) for e, c in zip(ends, counts, strict=True)]
+    assert len(set(keys[:50])) == len(set(keys[50:])) == 1 and len(set(keys)) == 2 and (0, 0) not in keys
+    assert all(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if keys[i] == keys[j])
+
+
 def test_near_duplicates_of_the_sample(spark):
     """All links of a thousand documents are found, each counted once."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
