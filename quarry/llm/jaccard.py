@@ -299,8 +299,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), text_key().alias("own_key"), text_of().alias("text"))
     same_row = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
     named = nodes.select("node", "doc_id", "text_key", "copies")
-    homes = members.where("blocks > 1").groupBy("node").agg(F.max(F.struct("blocks", "bucket")).alias("home"))
-    split = homes.select("node", "home.bucket", F.pmod(F.xxhash64("node"), F.col("home.blocks")).cast("int").alias("part"))
+    homes = members.where("blocks > 1").groupBy("node").agg(F.max(F.struct("blocks", "bucket", "size")).alias("home")).select("node", "home.bucket", "home.size")
+    parts = homes.groupBy("bucket").agg(_blocks(F.count("*"), F.sum("size")).alias("parts"))
+    split = homes.join(parts, "bucket").select("node", "bucket", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     homed = split.join(named, "node").join(texts, same_row).select("bucket", "part", "node", "copies", "text")
     around = homed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(_centred(n, threshold, CORE), "node long, copies long, key1 long, key2 long")
     around = materialise(around, "centred")
