@@ -5,6 +5,7 @@ import io
 
 import pytest
 
+from quarry.plans import batch
 from quarry.plans import registry
 
 
@@ -39,3 +40,9 @@ def test_search_reads_postings(spark, data):
 
 def test_one_pass_over_groupings(spark, data):
     assert plan(registry.QUERIES["findings_summary"](spark, data)).count("Scan parquet") <= 2
+
+
+def test_money_beyond_longs(spark, tmp_path):
+    line = "1L as l_orderkey, 1L as l_partkey, 1L as l_suppkey, 1 as l_linenumber, 1.0D as l_quantity, 9.0e9D as l_extendedprice, 0.0D as l_discount, 'R' as l_returnflag, 'O' as l_linestatus"
+    spark.range(2000).selectExpr(*line.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert batch.money_normalize(spark, str(tmp_path)).collect() == [("crore", str(2000 * 9_000_000_000 * 1_000_000_000))]
