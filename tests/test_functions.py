@@ -212,3 +212,32 @@ def test_jobs_and_footnotes(spark):
 def test_semantic_data(spark):
     yes = lambda *v: one(spark, retrieval.has_semantic_data(*(F.lit(x).cast(t) for x, t in zip(v, ("string", "string", "double", "boolean"), strict=True))))
     assert not yes(None, "", 0.0, None) and yes("fraud", None, None, None) and yes(None, "low", None, None) and yes(None, None, 0.1, None) and yes(None, None, None, True)
+
+
+def test_bags_are_term_frequencies(spark):
+    texts = [("a", "Section 14 and section 14, Rule 5B"), ("b", "levy levy"), ("a", "section 14 levy"), ("c", None), (None, "rail"), (None, "rail port"), ("d", "₹ 1,250.5 crore, 12.5.5 % of 7,1 lac and 3percent, 1.2.3cr")]
+    rows = spark.createDataFrame(texts, "k string, text string")
+    want = sorted(map(str, retrieval.term_frequencies(rows, "k").collect()))
+    assert sorted(map(str, retrieval.postings_of(retrieval.bags(rows, "k"), "k").collect())) == want
+    some = sorted(map(str, retrieval.postings_of(retrieval.bags(rows, "k", only=["levy", "section_14"]), "k").collect()))
+    assert some == [w for w in want if "'levy'" in w or "'section_14'" in w]
+
+
+def test_one_question_shuffles_no_postings(spark):
+    rows = spark.range(4000).selectExpr("concat('key', id) as k", "concat('levy of dues ', repeat('and rail port ship toll ', 20), id % 7, ' crore') as text")
+    found = retrieval.sparse_topk_of_texts(rows, "k", "levy in crore", 3)
+    assert [r["k"] for r in found.orderBy("rank").collect()] == ["key0", "key1", "key10"]
+    plan = retrieval.postings_of(retrieval.bags(rows, "k"), "k").groupBy("token").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" not in plan.replace("hashpartitioning(k#", "hashpartitioning(k").split("Union")[0]
+
+
+def test_numbers_are_tried_once(spark):
+    """Patterns of money and percentages find what they found while they could begin and end within a number."""
+    import random
+    import re
+
+    r = random.Random(3)
+    parts = ["1", "23", ",", ".", " ", "₹", "%", "percent", "crore", "cr", "lakh", "lac", "x", "-", "45.6", "thousand"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 16))) for _ in range(4000)]
+    for old, new in ((r"₹?\s*[\d,]+(?:\.\d+)?\s*(crore|lakh|thousand|cr|lac)", tokens.MONEY), (r"(\d+(?:\.\d+)?\s*(?:%|percent))", tokens.PERCENT)):
+        assert [re.findall(old, t) for t in texts] == [re.findall(new, t) for t in texts]
