@@ -76,6 +76,15 @@ NO_RECOMMENDATION = [r"\b(Act|Rules?|Manual|Agreement|Clause|Section\s+\d)\b", r
 A_RECOMMENDATION = [r"(?i)\b(Audit|CAG)\s+recommend", r"(?i)\b(CBDT|Ministry|MoRTH|NHAI|Government|Department)\s+(may|should)", r"(?i)•\s*(The\s+)?(CBDT|Ministry|MoRTH)"]
 
 
+def once_a_number(pattern: str) -> str:
+    """A pattern of amounts that finds the same, but tries a number at its beginning alone and gives back none of it.
+
+    What follows a number begins with none of its characters, so a shorter number never fits where the whole one does not.
+    """
+    out = pattern.replace(r"([\d,]+\.?\d*)\s*", r"(?<![\d,])([\d,]++\.?+\d*+)\s*+").replace(r"([\d,]+)\s*", r"(?<![\d,])([\d,]++)\s*+")
+    return out.replace(r"(-?[\d.]+)\s*", r"((?:-|(?<![\d.]))[\d.]++)\s*+").replace(r"([\d.]+)\s*", r"(?<![\d.])([\d.]++)\s*+")
+
+
 def unit_of(unit: Column) -> Column:
     """A unit's usual form."""
     low = F.lower(F.trim(unit))
@@ -90,7 +99,7 @@ def amounts_in(text: Column) -> Column:
     parts, low = [], F.lower(text)
     none = F.array().cast("array<struct<value:double,unit:string>>")
     for pattern, unit, needed in AMOUNT_PATTERNS:
-        pattern = "(?i)" + pattern
+        pattern = "(?i)" + once_a_number(pattern)
         number = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")
         values = F.regexp_extract_all(text, F.lit(pattern), 1)
         if unit is None:
@@ -207,7 +216,7 @@ def suggested_amounts(text: Column, around: int = 50) -> Column:
     """Distinct (value, unit) that a text suggests, in the order of patterns, each with its first place and the text around it."""
     parts = []
     for pattern, unit in SUGGESTED_AMOUNTS:
-        pattern = "(?i)" + pattern
+        pattern = "(?i)" + once_a_number(pattern)
         values, whole = F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 0)
         units = F.regexp_extract_all(text, F.lit(pattern), 2) if unit is None else F.array_repeat(F.lit(unit), F.size(values))
         parts.append(F.transform(F.arrays_zip(values.alias("v"), units.alias("u"), whole.alias("w")), lambda z: F.struct(F.replace(z["v"], F.lit(","), F.lit("")).try_cast("double").alias("value"), F.lower(z["u"]).alias("unit"), z["w"].alias("found"))))

@@ -241,3 +241,21 @@ def test_numbers_are_tried_once(spark):
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 16))) for _ in range(4000)]
     for old, new in ((r"₹?\s*[\d,]+(?:\.\d+)?\s*(crore|lakh|thousand|cr|lac)", tokens.MONEY), (r"(\d+(?:\.\d+)?\s*(?:%|percent))", tokens.PERCENT)):
         assert [re.findall(old, t) for t in texts] == [re.findall(new, t) for t in texts]
+
+
+def test_amounts_are_tried_once():
+    """Patterns of amounts find what they found, and a long number without a unit takes no time of its square."""
+    import random
+    import re
+    import time
+
+    r = random.Random(5)
+    parts = ["1", "23", ",", ".", " ", "₹", "Rs", "%", "-", " per cent", "crore", "cr", "lakh", "lac", " lakh crore", "m", "sq. km", "Lakh Metric Tonnes", "cases", "days", "MT", "x"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 16))) for _ in range(3000)]
+    every = [p for p, *_ in amounts.AMOUNT_PATTERNS] + [p for p, _ in amounts.SUGGESTED_AMOUNTS]
+    for old in every:
+        new = re.compile("(?i)" + amounts.once_a_number(old))
+        assert [[m.group(0, 1) for m in re.finditer("(?i)" + old, t)] for t in texts] == [[m.group(0, 1) for m in new.finditer(t)] for t in texts], old
+    began = time.process_time()
+    assert not re.findall("(?i)" + amounts.once_a_number(every[2]), "7" * 5000)
+    assert time.process_time() - began < 1
