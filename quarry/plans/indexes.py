@@ -24,6 +24,8 @@ SELECT {LINE_ID} AS chunk_id, concat('R', CAST({REPORT_NO} AS STRING)) AS report
        CASE CAST(l_quantity AS INT) % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, concat('part ', CAST(l_linenumber AS STRING)) AS section_type,
        CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_paise, l_returnflag = 'R' AS is_recommendation, CASE WHEN l_linestatus = 'O' THEN concat('NODE', CAST(l_suppkey % 17 AS STRING)) END AS recommendation_target
 FROM {{lineitem}}"""
+#: Columns of lines from which payloads are made.
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"]
 #: Filters on two columns each, and the same in SQL.
 FILTERS = {
     "year_severity": ({"report_year": 2015, "severity": "critical"}, "report_year = 2015 AND severity = 'critical'"),
@@ -76,7 +78,9 @@ def ann_rows(spark, sf_dir):
 
 def payload_layout(spark, sf_dir):
     """Rows along a curve of the eleven payload columns."""
-    write = lambda to: layout.write_layout(frame(spark, sf_dir, PAYLOAD), to, FIELDS, keys=["report_id", "parent_chunk_id"], group_rows=2000)
+    made = lambda lines: spark.sql(PAYLOAD, lineitem=lines)
+    rows = frame(spark, sf_dir, PAYLOAD.replace("\nFROM", f", {', '.join(LINE)}\nFROM"))
+    write = lambda to: layout.write_layout(rows, to, FIELDS, keys=["report_id", "parent_chunk_id"], group_rows=2000, narrow=LINE, make=made)
     return kept(spark, "payload", [f"{sf_dir}/lineitem.parquet"], write)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +41,21 @@ def curve(found: Mapping[str, list]) -> Column:
     return place
 
 
-def write_layout(df: DataFrame, path: str, fields: Sequence[str], keys: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> None:
+def write_layout(df: DataFrame, path: str, fields: Sequence[str], keys: Sequence[str] = (), group_rows: int = GROUP_ROWS, narrow: Sequence[str] = (), make: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Rows as Parquet along the curve of ``fields``, in row groups of ``group_rows`` with statistics, and bloom filters of ``keys``.
 
-    Rows of one place on the curve are dealt on by their hash, so many equal rows lie in several files.
+    Rows of one place on the curve are dealt on by their hash, so many equal rows lie in several files. Rows that are made from few
+    columns are dealt as these: ``narrow`` names them and ``make`` gives the rows of them again, one for one. A filter is sized by
+    the rows of a group.
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    placed = df.withColumn("_place", curve(cuts(df, fields))).withColumn("_hash", F.xxhash64(*fields, F.monotonically_increasing_id()))
-    writer = placed.repartitionByRange(parts, "_place", "_hash").sortWithinPartitions("_place", *fields).drop("_place", "_hash").write.option("parquet.block.row.count.limit", str(group_rows))
+    own = list(narrow) if make else df.columns
+    placed = df.withColumn("_place", curve(cuts(df, fields))).withColumn("_hash", F.pmod(F.xxhash64(*fields, F.monotonically_increasing_id()), F.lit(1 << 16))).select(*own, "_place", "_hash")
+    dealt = placed.repartitionByRange(parts, "_place", "_hash").sortWithinPartitions("_place", *([] if make else fields))
+    writer = (make(dealt) if make else dealt.drop("_place", "_hash")).write.option("parquet.block.row.count.limit", str(group_rows)).option("compression", "zstd")
     for key in keys:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(group_rows))
     writer.parquet(path)
 
 

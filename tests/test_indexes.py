@@ -131,3 +131,12 @@ def test_search_without_its_index(spark, tmp_path):
     shutil.rmtree(tmp_path / "k")
     for lost in (lambda: planned, search, lambda: segments.open_keywords(spark, f"file://{tmp_path}/k", "id")):
         assert [r["id"] for r in retrieval.hybrid_or_dense(dense, lost, "id", 5).orderBy("rank").collect()] == [1, 2]
+
+
+def test_layout_deals_narrow_rows(spark, tmp_path):
+    """Rows made from one column are shuffled as it, and are the same in the end."""
+    make = lambda df: df.selectExpr("id", "id % 7 as a", "repeat('x', 500) as b")
+    rows = make(spark.range(3000))
+    layout.write_layout(rows, f"file://{tmp_path}/n", ["a", "b"], ["b"], group_rows=100, narrow=["id"], make=make)
+    got = spark.read.parquet(f"file://{tmp_path}/n")
+    assert got.columns == rows.columns and got.exceptAll(rows).count() == rows.exceptAll(got).count() == 0
