@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quarry.functions import rounding
 from quarry.functions.rounding import half_even
 from quarry.operators import embedding
 from quarry.sources import manifest
@@ -76,3 +77,11 @@ def test_vectors_shuffle_no_tokens(spark):
     assert "token" not in made._jdf.queryExecution().executedPlan().toString()
     got = made.collect()
     assert sorted((r["id"], r["places"]) for r in got) == [(1, 2), (2, 2), (2, 2), (3, 0)] and len({str(r["vector"]) for r in got if r["id"] == 2}) == 1
+
+
+def test_half_even_by_doubles(spark):
+    r = random.Random(2)
+    values = [0.5, 1.5, 0.125, 2.675, 1.005, 68719476735.5, 1e-300, 3e-39] + [r.randrange(10**9) / 8 for _ in range(500)] + [r.randrange(10**9) / 10000 + 0.00005 for _ in range(500)] + [r.uniform(0, 1) * 10.0 ** r.randrange(-6, 10) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", *(rounding._by_doubles(F.col("x"), n).alias(f"d{n}") for n in range(5))).collect()
+    for row in rows:
+        assert [row[f"d{n}"] for n in range(5)] == [round(row["x"], n) for n in range(5)], row["x"]
