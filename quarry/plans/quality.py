@@ -210,7 +210,8 @@ def suggest_amounts(spark, sf_dir):
 
 
 def suggest_entities(spark, sf_dir):
-    rows = _cases(spark, sf_dir, wide=True).select(F.explode(A.suggested_entities(F.concat("answer", F.lit(" Under the Toll Act, 2003 on NH 44 in Tamil Nadu."), "entity"))).alias("entity"))
+    # an outer explode, as in extract_amounts
+    rows = _cases(spark, sf_dir, wide=True).select(F.explode_outer(A.suggested_entities(F.concat("answer", F.lit(" Under the Toll Act, 2003 on NH 44 in Tamil Nadu."), "entity"))).alias("entity")).where("entity is not null")
     return rows.groupBy("entity").agg(F.count("*").alias("n"))
 
 
