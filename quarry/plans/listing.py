@@ -197,7 +197,7 @@ def _cited(spark, sf_dir):
 def citation_lookup(spark, sf_dir):
     """Citations in each report's passages, and the same without the word, against the citations of that report's answer."""
     cited = F.flatten(F.transform(R.citations_in(F.col("text")), lambda x: F.array(x, F.regexp_replace(x, "^Section ", ""))))
-    asked = frame(spark, sf_dir, PASSAGES, wide=True).select("report_id", F.explode(cited).alias("citation")).distinct()
+    asked = frame(spark, sf_dir, PASSAGES, wide=True).select("report_id", F.explode_outer(cited).alias("citation")).where("citation is not null")
     return retrieval.lookup_citations(asked, retrieval.citation_entries(_cited(spark, sf_dir), "report_id"), "report_id")
 
 

@@ -259,3 +259,18 @@ def test_amounts_are_tried_once():
     began = time.process_time()
     assert not re.findall("(?i)" + amounts.once_a_number(every[2]), "7" * 5000)
     assert time.process_time() - began < 1
+
+
+def test_citations_are_looked_up_in_lists(spark):
+    entries = spark.createDataFrame([(1, 0, "Section 2.1, p.14", "2.1", None, None)], "by long, ord int, entry string, section string, page_physical int, page_logical string")
+    asked = spark.createDataFrame([(1, "Section 2.1, p.14"), (1, "Section 2.1, p.14"), (2, "p.1")], "by long, citation string")
+    found = retrieval.lookup_citations(asked, retrieval.citation_entries(entries, "by"), "by")
+    assert "min_by" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, "Section 2.1, p.14", "Section 2.1, p.14", 1)]
+
+
+def test_blocks_of_many_questions(spark):
+    v = spark.range(700).selectExpr("id as vec_id", "array(float(sin(id)), float(cos(id)), float(id % 7)) as embedding")
+    got = vectors.topk_of_queries(v, v, 1)
+    assert {(r["query_id"], r["rank"], r["score"]) for r in got.select("query_id", "rank", "score").collect()} == {(i, 1, 1.0) for i in range(700)}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= vectors.PAIRS * 2 * vectors.BLOCK * 64 * 8
