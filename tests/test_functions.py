@@ -274,3 +274,10 @@ def test_blocks_of_many_questions(spark):
     got = vectors.topk_of_queries(v, v, 1)
     assert {(r["query_id"], r["rank"], r["score"]) for r in got.select("query_id", "rank", "score").collect()} == {(i, 1, 1.0) for i in range(700)}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= vectors.PAIRS * 2 * vectors.BLOCK * 64 * 8
+
+
+def test_chunks_without_a_parent_have_no_section(spark):
+    chunks = spark.createDataFrame([("s1", None), ("c2", "s1"), ("c3", "s9")], "chunk_id string, parent_id string")
+    got = retrieval.with_sections(chunks, spark.createDataFrame([("s1", "One")], "section_id string, toc_entry string"))
+    assert "coalesce(parent_id" in got._jdf.queryExecution().optimizedPlan().toString()  # their key is not null
+    assert {r["chunk_id"]: r["toc_entry"] for r in got.collect()} == {"s1": None, "c2": "One", "c3": None}
