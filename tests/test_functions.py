@@ -281,3 +281,8 @@ def test_chunks_without_a_parent_have_no_section(spark):
     got = retrieval.with_sections(chunks, spark.createDataFrame([("s1", "One")], "section_id string, toc_entry string"))
     assert "coalesce(parent_id" in got._jdf.queryExecution().optimizedPlan().toString()  # their key is not null
     assert {r["chunk_id"]: r["toc_entry"] for r in got.collect()} == {"s1": None, "c2": "One", "c3": None}
+
+
+def test_neighbours_keep_columns(spark):
+    rows = spark.createDataFrame([("R_child_p001_paragraph_0001", 5), ("R_child_p001_paragraph_0002", 6), ("odd", 7)], "chunk_id string, score int")
+    assert {(r["chunk_id"][-4:], r["score"], (r["next_id"] or "")[-4:]) for r in retrieval.neighbours(rows, "score").collect()} == {("0001", 5, "0002"), ("0002", 6, ""), ("odd", 7, "")}
