@@ -46,3 +46,11 @@ def test_money_beyond_longs(spark, tmp_path):
     line = "1L as l_orderkey, 1L as l_partkey, 1L as l_suppkey, 1 as l_linenumber, 1.0D as l_quantity, 9.0e9D as l_extendedprice, 0.0D as l_discount, 'R' as l_returnflag, 'O' as l_linestatus"
     spark.range(2000).selectExpr(*line.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
     assert batch.money_normalize(spark, str(tmp_path)).collect() == [("crore", str(2000 * 9_000_000_000 * 1_000_000_000))]
+
+
+def test_pages_and_not_chunks_meet_sections(spark, data):
+    assert "Keys [1]: [chunk_id" not in plan(registry.QUERIES["assign_parent"](spark, data))
+
+
+def test_entities_are_found_once(spark, data):
+    assert "size(array_distinct" not in plan(registry.QUERIES["suggest_entities"](spark, data))
