@@ -261,6 +261,13 @@ def test_amounts_are_tried_once():
     assert time.process_time() - began < 1
 
 
+def test_chunks_without_a_parent_have_no_section(spark):
+    chunks = spark.createDataFrame([("s1", None), ("c2", "s1"), ("c3", "s9")], "chunk_id string, parent_id string")
+    got = retrieval.with_sections(chunks, spark.createDataFrame([("s1", "One")], "section_id string, toc_entry string"))
+    assert "coalesce(parent_id" in got._jdf.queryExecution().optimizedPlan().toString()  # their key is not null
+    assert {r["chunk_id"]: r["toc_entry"] for r in got.collect()} == {"s1": None, "c2": "One", "c3": None}
+
+
 def test_citations_are_looked_up_in_lists(spark):
     entries = spark.createDataFrame([(1, 0, "Section 2.1, p.14", "2.1", None, None)], "by long, ord int, entry string, section string, page_physical int, page_logical string")
     asked = spark.createDataFrame([(1, "Section 2.1, p.14"), (1, "Section 2.1, p.14"), (2, "p.1")], "by long, citation string")
@@ -269,20 +276,19 @@ def test_citations_are_looked_up_in_lists(spark):
     assert [tuple(r) for r in found.collect()] == [(1, "Section 2.1, p.14", "Section 2.1, p.14", 1)]
 
 
+def test_neighbours_keep_columns(spark):
+    rows = spark.createDataFrame([("R_child_p001_paragraph_0001", 5), ("R_child_p001_paragraph_0002", 6), ("odd", 7)], "chunk_id string, score int")
+    assert {(r["chunk_id"][-4:], r["score"], (r["next_id"] or "")[-4:]) for r in retrieval.neighbours(rows, "score").collect()} == {("0001", 5, "0002"), ("0002", 6, ""), ("odd", 7, "")}
+
+
+def test_bags_of_questions(spark):
+    rows = spark.createDataFrame([(1, "dues dues crore 5%"), (2, "rail"), (2, "rail GST"), (3, None)], "id long, text string")
+    got = retrieval.postings_of(retrieval.bags(rows, "id", of_query=True), "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.term_frequencies(rows, "id", of_query=True).select("id", "token", "tf").collect()))
+
+
 def test_blocks_of_many_questions(spark):
     v = spark.range(700).selectExpr("id as vec_id", "array(float(sin(id)), float(cos(id)), float(id % 7)) as embedding")
     got = vectors.topk_of_queries(v, v, 1)
     assert {(r["query_id"], r["rank"], r["score"]) for r in got.select("query_id", "rank", "score").collect()} == {(i, 1, 1.0) for i in range(700)}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= vectors.PAIRS * 2 * vectors.BLOCK * 64 * 8
-
-
-def test_chunks_without_a_parent_have_no_section(spark):
-    chunks = spark.createDataFrame([("s1", None), ("c2", "s1"), ("c3", "s9")], "chunk_id string, parent_id string")
-    got = retrieval.with_sections(chunks, spark.createDataFrame([("s1", "One")], "section_id string, toc_entry string"))
-    assert "coalesce(parent_id" in got._jdf.queryExecution().optimizedPlan().toString()  # their key is not null
-    assert {r["chunk_id"]: r["toc_entry"] for r in got.collect()} == {"s1": None, "c2": "One", "c3": None}
-
-
-def test_neighbours_keep_columns(spark):
-    rows = spark.createDataFrame([("R_child_p001_paragraph_0001", 5), ("R_child_p001_paragraph_0002", 6), ("odd", 7)], "chunk_id string, score int")
-    assert {(r["chunk_id"][-4:], r["score"], (r["next_id"] or "")[-4:]) for r in retrieval.neighbours(rows, "score").collect()} == {("0001", 5, "0002"), ("0002", 6, ""), ("odd", 7, "")}
