@@ -23,26 +23,33 @@ def half_even_rounding(spark, sf_dir):
     return rows.groupBy("line").agg(*(cents(c) for c in ("exact", "printed", "price")))
 
 
+#: Columns of lines from which passages' keys and texts are made.
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax"]
+
+
 def _counted(spark, sf_dir, *left_out):
-    """Passages, their tokens' places and rarity; texts are cut once, and what they have is a table."""
+    """Passages' tokens' places and rarity; texts are cut once, and what they have is a table."""
     passages = frame(spark, sf_dir, PASSAGES, wide=True).select("passage_id", "text")
-    found = saved(embedding.counted(passages, "passage_id").drop(*left_out), "counted", compression="zstd")
-    return passages, found, saved(embedding.rarity_of(found), "rarity")
+    counted = embedding.counted(passages, "passage_id", keys=frame(spark, sf_dir, PASSAGES))
+    found = saved(counted.drop(*left_out), "counted", compression="zstd")
+    return found, saved(embedding.rarity_of(found), "rarity")
 
 
 def tfidf_vectors(spark, sf_dir):
     """Hashed vectors of all passages: their places, size and largest value."""
-    found = embedding.unit(embedding.weighed(*_counted(spark, sf_dir, "content")[1:]))
+    found = embedding.unit(embedding.weighed(*_counted(spark, sf_dir, "content")))
     return found.select("passage_id", F.col("places").cast("long").alias("places"), F.round(F.col("size") * 1000).cast("long").alias("size3"), F.round(F.array_max(F.transform("vector", lambda x: x["value"])) * 1000).cast("long").alias("most3"))
 
 
 def tfidf_refresh(spark, sf_dir):
     """Vectors after one text in seven has changed: the changed ones alone are made, the others come from the places that are kept."""
-    passages, found, weights = _counted(spark, sf_dir)
+    found, weights = _counted(spark, sf_dir)
     stored = embedding.unit(embedding.weighed(found, weights)).select("passage_id", "content", "places")
     changed = F.pmod(F.length("passage_id"), F.lit(7)) == 0
-    now = passages.withColumn("text", F.when(changed, F.concat("text", F.lit(" zebra quartz"))).otherwise(F.col("text")))
-    return embedding.refresh(stored, now, weights, "passage_id").groupBy("made").agg(F.count("*").alias("n"), F.sum("places").alias("places"))
+    passages = lambda lines: spark.sql(PASSAGES.replace("\nFROM", ", *\nFROM"), lineitem=lines)
+    now = lambda lines: passages(lines).withColumn("text", F.when(changed, F.concat("text", F.lit(" zebra quartz"))).otherwise(F.col("text")))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE)
+    return embedding.refresh(stored, lines, weights, "passage_id", make=now).groupBy("made").agg(F.count("*").alias("n"), F.sum("places").alias("places"))
 
 
 def _one_file(spark, folder, name):

@@ -42,6 +42,25 @@ def test_vectors(spark):
     assert embedding.embed(docs.limit(0), weights, "id").count() == 0
 
 
+def test_refresh_meets_what_is_stored_once(spark):
+    """Texts made from narrow rows are found again, taken over or made as they would be from the texts; they are not shuffled or written."""
+    make = lambda rows: rows.selectExpr("*", "concat('k', n) as id", "concat('toll ', repeat('dues ', n % 5), n) as text")
+    stored_of = lambda rows, w: embedding.embed(rows, w, "id").select("id", "content", "vector", "size")
+    old, new = make(spark.range(60).toDF("n")), spark.range(30, 90).toDF("n")
+    weights = embedding.rarity(old, "id")
+    stored = stored_of(old, weights)
+    got = embedding.refresh(stored, new, weights, "id", make=make)
+    plain = embedding.refresh(stored, make(new), weights, "id")
+    assert got.columns == plain.columns == ["id", "content", "vector", "size", "made"]
+    want = stored_of(make(new), weights).withColumn("made", F.substring("id", 2, 9).cast("int") >= 60)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) == sorted(map(str, want.collect()))
+    written = [f for f in got.inputFiles() if "-met-" in f]
+    assert written and spark.read.parquet(*written).columns == ["n", "_held"]
+    twice = spark.createDataFrame([("a", None), ("a", None), ("b", ""), ("c", "toll")], "id string, text string")
+    kept = embedding.refresh(stored_of(twice.where("id > 'a'"), weights), twice, weights, "id").collect()
+    assert sorted((r["id"], r["made"]) for r in kept) == [("a", True), ("a", True), ("b", False), ("c", False)]
+
+
 def put(folder, name, text, at):
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/{name}.json", "w") as f:
