@@ -140,3 +140,20 @@ def test_layout_deals_narrow_rows(spark, tmp_path):
     layout.write_layout(rows, f"file://{tmp_path}/n", ["a", "b"], ["b"], group_rows=100, narrow=["id"], make=make)
     got = spark.read.parquet(f"file://{tmp_path}/n")
     assert got.columns == rows.columns and got.exceptAll(rows).count() == rows.exceptAll(got).count() == 0
+
+
+def test_tokens_are_counted_where_texts_are(spark, tmp_path):
+    """A segment's rows are counted before they are shuffled, keys that texts share too, and every token is found by its file's range."""
+    texts = [(1, "toll dues toll 5% of 3 crore"), (1, "toll Section 14(2)"), (2, None), (3, ""), (4, "Rule 7b form 2a article 9 " + "w" + "dues port " * 20_000), (5, "rs 7 lac in 2019-20 NGT 8 percent"), (6, "lakhs of thousand")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    bags = retrieval.tallies(docs, "id")
+    assert "Exchange" not in bags._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in bags.collect()) == [1, 1, 2, 3, 4, 5, 6]
+    want = sorted(map(tuple, retrieval.term_frequencies(docs, "id").select("id", "token", "tf").collect()))
+    segments.create(docs, "id", f"file://{tmp_path}/t")
+    index = segments.open_keywords(spark, f"file://{tmp_path}/t", "id")
+    assert sorted(map(tuple, index.postings().collect())) == want and index.texts().first()["texts"] == 7
+    for token in {t for _, t, _ in want}:
+        assert sorted(map(tuple, index.postings([token]).collect())) == [w for w in want if w[1] == token], token
+    assert {"section_14_2", "rule_7b", "form_2a", "article_9", "money_crore", "money_lakh", "has_percentage", "year_2019-20", "acronym_NGT"} <= {t for _, t, _ in want}
+    assert index.postings(["nosuchtoken"]).count() == index.postings(["0"]).count() == 0
