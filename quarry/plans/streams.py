@@ -27,9 +27,14 @@ def _batches(spark, rows, folder, by):
 
 
 def answer_stream(spark, sf_dir):
-    """Events of answers whose things arrive minute by minute, some out of order, some never ended."""
-    base = shared_folder(spark, "answers")
-    _batches(spark, frame(spark, sf_dir, ARRIVALS), f"{base}/in", "batch")
+    """Events of answers whose things arrive minute by minute, some out of order, some never ended.
+
+    A file has a minute, and from the eighth on twice as many minutes as the one before: files and batches grow with the logarithm
+    of the longest answer. Files lie in the order of their minutes, so no thing is late in them.
+    """
+    base, minute = shared_folder(spark, "answers"), F.col("batch")
+    arrivals = frame(spark, sf_dir, ARRIVALS).withColumn("batch", F.when(minute < 8, minute).otherwise(F.length(F.bin(minute)) + 4))
+    _batches(spark, arrivals, f"{base}/in", "batch")
     answers.stream_answers(spark, f"{base}/in", f"{base}/out", f"{base}/progress")
     return spark.read.schema(answers.EVENTS).parquet(f"{base}/out")
 

@@ -15,7 +15,10 @@ from quarry.operators.retrieval import SUFFICIENT
 #: What happens to an answer: its hits (citation map, best score), a token, its end, a failure. seq is its place in the answer, from 0.
 INPUT = "answer_id long, seq long, kind string, data string, score double, ts timestamp"
 EVENTS = "answer_id long, place long, type string, data string"
-STATE = "next long, place long, closed boolean, last long, waiting string"
+STATE = "answers string"
+#: Answers are dealt to so many groups by a hash of their ids, each with one state: calls of Python grow with the groups and batches, not
+#: with the answers. A checkpoint holds the groups' states, so the number stays as it is.
+GROUPS = 1024
 # What is said without hits, and the caveat of hits of low scores.
 NOTHING, LOW = "I couldn't find any relevant information in the CAG reports to answer this question.", "low_relevance"
 
@@ -36,27 +39,35 @@ def events_of(kind: str, data: str | None, score: float | None) -> tuple[list[tu
 
 def _follow(patience_ms: int):
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        after, place, closed, last, raw = state.get if state.exists else (0, 0, False, 0, "[]")
-        out: list[tuple[str, str | None]] = []
-        if state.hasTimedOut:
-            if not closed:
-                out.append(("error", "timeout"))
-            state.remove()
-        else:
-            waiting = {s: (k, d, v) for s, k, d, v in json.loads(raw)}
-            for frame in frames:
-                for seq, kind, data, score, ts in zip(frame["seq"], frame["kind"], frame["data"], frame["score"], frame["ts"], strict=True):
-                    last = max(last, int(ts.timestamp() * 1000))
-                    if seq >= after and not closed:
-                        waiting.setdefault(int(seq), (kind, None if pd.isna(data) else data, None if pd.isna(score) else float(score)))
+        now = state.getCurrentWatermarkMs()
+        # of each answer: next seq, next place, closed, last time, when it is over, and what waits
+        known = {a: (*told, {s: tuple(x) for s, *x in waiting}) for a, *told, waiting in (json.loads(state.get[0]) if state.exists else [])}
+        out: list[tuple[int, int, str, str | None]] = []
+        heard: dict[int, list[tuple]] = {}
+        for frame in frames:
+            for row in zip(*(frame[c].tolist() for c in ("answer_id", "seq", "at", "kind", "data", "score")), strict=True):
+                heard.setdefault(row[0], []).append(row[1:])
+        for a, rows in heard.items():
+            after, place, closed, last, _, waiting = known.get(a, (0, 0, False, 0, 0, {}))
+            for seq, at, kind, data, score in rows:
+                last = max(last, at)
+                if seq >= after and not closed:
+                    waiting.setdefault(seq, (kind, None if pd.isna(data) else data, None if pd.isna(score) else float(score)))
             while not closed and after in waiting:
                 made, closed = events_of(*waiting.pop(after))
-                out += made
-                after += 1
-            waiting = {} if closed else waiting
-            state.update((after, place + len(out), closed, last, json.dumps([(s, *x) for s, x in sorted(waiting.items())])))
-            state.setTimeoutTimestamp(max(last + patience_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"answer_id": [key[0]] * len(out), "place": range(place, place + len(out)), "type": [t for t, _ in out], "data": [d for _, d in out]}).astype({"answer_id": "int64", "place": "int64", "type": object, "data": object})
+                out += ((a, place + i, kind, data) for i, (kind, data) in enumerate(made))
+                after, place = after + 1, place + len(made)
+            known[a] = (after, place, closed, last, max(last + patience_ms, now + 1), {} if closed else waiting)
+        for a in [a for a, told in known.items() if a not in heard and told[4] < now]:
+            _, place, closed, *_ = known.pop(a)
+            if not closed:
+                out.append((a, place, "error", "timeout"))
+        if known:
+            state.update((json.dumps([(a, *told, [(s, *x) for s, x in sorted(waiting.items())]) for a, (*told, waiting) in known.items()]),))
+            state.setTimeoutTimestamp(max(now, min(told[4] for told in known.values())))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["answer_id", "place", "type", "data"]).astype({"answer_id": "int64", "place": "int64", "type": object, "data": object})
 
     return follow
 
@@ -67,10 +78,11 @@ def answer_events(arrivals: DataFrame, late: str = "1 minute", patience_ms: int
     First comes a caveat if hits have low scores, then the citation map, tokens, and done or error; without hits a token says
     so and the answer is done. Things that come too early wait in the answer's state; those after its end, and repeats, count for
     nothing. An answer that hears nothing for the patience, by event time, ends with the error "timeout". State goes after
-    the same time.
+    the same time. The answers of a group, of which there are GROUPS, are followed in one call a batch.
     """
     rows = arrivals.where(F.col("answer_id").isNotNull() & F.col("seq").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late)
-    return rows.groupBy("answer_id").applyInPandasWithState(_follow(patience_ms), EVENTS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumns({"at": F.unix_millis("ts"), "part": F.pmod(F.xxhash64("answer_id"), F.lit(GROUPS))})
+    return rows.groupBy("part").applyInPandasWithState(_follow(patience_ms), EVENTS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def frame_of(kind: Column, data: Column) -> Column:

@@ -2,8 +2,11 @@
 
 import datetime as dt
 
+import compare
+import duckdb
 from pyspark.sql import functions as F
 
+from quarry.plans import streams
 from quarry.streaming import answers, ingest
 
 BEGIN = dt.datetime(2024, 1, 1)
@@ -41,6 +44,33 @@ def test_answers(spark, tmp_path):
     assert got[4] == [(0, "error", "timeout")] and got[5][-1] == (2, "error", "timeout") and got[6] == [(0, "citation_map", "{}")] and len(got[1]) == 4
 
 
+def test_many_answers_share_a_state(spark, tmp_path):
+    """Answers of a group end, wait and time out each by itself, and states are no more than groups."""
+    base, n = f"file://{tmp_path}", 3 * answers.GROUPS
+    things(spark, f"{base}/in", [
+        [(a, 0, "hits", "{}", 0.9, 1) for a in range(n)] + [(a, 2, "token", "c", None, 1) for a in range(0, n, 2)],
+        [(a, 1, "token", "b", None, 400) for a in range(0, n, 2)] + [(1, 1, "end", None, None, 400)],
+        [(0, 3, "end", None, None, 401), (n, 0, "hits", None, None, 401)],
+    ])
+    got = told(spark, base)
+    assert len(got) == n + 1 and got[n][-1] == (1, "done", None) and got[1] == [(0, "citation_map", "{}"), (1, "done", None)]
+    assert got[0] == [(0, "citation_map", "{}"), (1, "token", "b"), (2, "token", "c"), (3, "done", None)]
+    assert all(got[a] == got[0][:3] for a in range(2, n, 2)) and all(got[a] == [(0, "citation_map", "{}"), (1, "error", "timeout")] for a in range(3, n, 2))
+    assert 0 < spark.read.format("statestore").load(f"{base}/progress").count() <= answers.GROUPS
+
+
+def test_long_answers_make_few_batches(spark, tmp_path, monkeypatch):
+    """One answer of 300 minutes beside short ones: the same as by the SQL, in a dozen batches."""
+    turns = [(c, t, "user", "x") for c in range(1, 24) for t in range(300 if c == 3 else 70 if c == 13 else c % 6 + 1)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/sf/conversations.parquet")
+    monkeypatch.setattr(streams, "shared_folder", lambda spark, what: f"file://{tmp_path}/{what}")
+    got = streams.answer_stream(spark, f"file://{tmp_path}/sf").toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/sf/conversations.parquet/*.parquet')")
+    assert compare.rows(got) == compare.rows(con.sql(streams.ORACLE_SQL["answer_stream"]).df())
+    assert len(list((tmp_path / "answers/in").glob("*.parquet"))) <= 14 and len(list((tmp_path / "answers/progress/commits").glob("[0-9]*"))) <= 16
+
+
 def test_frames_read_back(spark):
     rows = spark.createDataFrame([(1, 0, "token", 'a "quoted"\nline'), (1, 1, "done", None)], "a long, n int, type string, data string")
     framed = rows.select("a", "n", answers.frame_of(F.col("type"), F.col("data")).alias("text"))
