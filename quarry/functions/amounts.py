@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.functions import shapes
 
 # Patterns of amounts in the order they are tried (a None unit is the pattern's second group), and what a text holds
 # that can match.
@@ -88,29 +93,64 @@ def once_a_number(pattern: str) -> str:
 def unit_of(unit: Column) -> Column:
     """A unit's usual form."""
     low = F.lower(F.trim(unit))
-    out = low
-    for name, forms in UNITS.items():
-        out = F.when(low.isin(forms), F.lit(name)).otherwise(out)
-    return out
+    usual = F.create_map(*(F.lit(x) for name, forms in UNITS.items() for form in forms for x in (form, name)))
+    return F.coalesce(usual[low], low)
+
+
+def _spans(text: bytes, patterns: Sequence[tuple]) -> list[tuple[int, int, int, int, str]]:
+    """Of what the patterns find in a text, in their order, the bytes of the number and of all, and the unit; what isn't a number is left out."""
+    out, chars = {}, shapes.decoded(text)
+    low = chars.lower()
+    for pattern, unit, *needed in patterns:
+        if needed and not any(w in low for w in needed[0].split("|")):  # far cheaper than the pattern
+            continue
+        for m in shapes.compiled("(?i)" + once_a_number(pattern)).finditer(chars):
+            try:
+                float(m[1].replace(",", ""))
+            except ValueError:
+                continue
+            a, b, c, d = shapes.in_bytes(chars, *m.span(1), *m.span())
+            out.setdefault((a, b, m[2].lower() if unit is None else unit), (c, d))
+    return [(a, b, c, d, unit) for (a, b, unit), (c, d) in out.items()]
+
+
+@lru_cache(shapes.REMEMBERED)
+def _amounts_of(shape: bytes) -> tuple[list[tuple[int, int]], list[int], bool]:
+    """Places of an answer's numbers, their units' numbers, and whether a unit is there twice."""
+    name = lambda u: next((n for n, forms in UNITS.items() if u in forms), u)
+    found = {(a, b, name(unit)): None for a, b, _, _, unit in _spans(shape, AMOUNT_PATTERNS)}
+    units = [_UNIT_NO.setdefault(u, len(_UNIT_NO)) for _, _, u in found]
+    return [(a, b) for a, b, _ in found], units, len(set(units)) < len(units)
+
+
+#: Units met so far and their numbers.
+_UNIT_NO: dict[str, int] = {}
+_AMOUNT = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("unit", T.StringType())])
+
+
+def _listed(ends: list[int], columns: dict[str, pa.Array], nulls: pa.Array | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)), mask=nulls)
+
+
+def _amounts(answers: pa.Array) -> pa.Array:
+    values, units, ends = [], [], [0]
+    for text in answers.cast(pa.binary()).to_pylist():
+        if text:
+            tell = _amounts_of if len(text) <= shapes.LONGEST else _amounts_of.__wrapped__
+            places, own, twice = tell(shapes.shape(text))
+            read = [float(text[a:b].replace(b",", b"")) for a, b in places]
+            if twice and len(set(zip(read, own))) < len(own):
+                read, own = zip(*dict.fromkeys(zip(read, own)))
+            values += read
+            units += own
+        ends.append(len(values))
+    names = pa.DictionaryArray.from_arrays(pa.array(units, pa.int32()), pa.array(list(_UNIT_NO), pa.string())).dictionary_decode()
+    return _listed(ends, {"value": pa.array(values, pa.float64()), "unit": names})
 
 
 def amounts_in(text: Column) -> Column:
     """Distinct (value, unit) of all amounts of an answer; what isn't a number is left out."""
-    parts, low = [], F.lower(text)
-    none = F.array().cast("array<struct<value:double,unit:string>>")
-    for pattern, unit, needed in AMOUNT_PATTERNS:
-        pattern = "(?i)" + once_a_number(pattern)
-        number = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")
-        values = F.regexp_extract_all(text, F.lit(pattern), 1)
-        if unit is None:
-            units = F.regexp_extract_all(text, F.lit(pattern), 2)
-            found = F.zip_with(values, units, lambda v, u: F.struct(number(v).alias("value"), unit_of(u).alias("unit")))
-        else:
-            name = next((n for n, forms in UNITS.items() if unit in forms), unit)
-            found = F.transform(values, lambda v: F.struct(number(v).alias("value"), F.lit(name).alias("unit")))
-        able = [F.contains(low, F.lit(w)) for w in needed.split("|")]  # far cheaper than the pattern
-        parts.append(F.when(reduce(lambda a, b: a | b, able), found).otherwise(none))
-    return F.array_distinct(F.filter(F.concat(*parts), lambda a: a["value"].isNotNull()))
+    return F.arrow_udf(_amounts, T.ArrayType(_AMOUNT))(text)
 
 
 def match_kind(found: Column, value: Column, unit: Column, tolerance: float = 0.05) -> Column:
@@ -118,15 +158,17 @@ def match_kind(found: Column, value: Column, unit: Column, tolerance: float = 0.
 
     Without an amount of the same unit it is missing, even if the number is there with another one.
     """
-    return F.get(F.transform(F.array(found), lambda f: _match_kind(f, value, unit_of(unit), tolerance)), 0)
+    named = F.array(F.struct(found.alias("found"), unit_of(unit).alias("unit")))
+    return F.get(F.transform(named, lambda x: _match_kind(x["found"], value, x["unit"], tolerance)), 0)
 
 
 def _match_kind(found: Column, value: Column, unit: Column, tolerance: float) -> Column:
-    """The same of amounts that are named, so that they are extracted once."""
-    same = F.filter(found, lambda a: a["unit"] == unit)
+    """The same of amounts and a unit that are named, so that they are told once."""
+    same = lambda a: a["unit"] == unit
     exact = lambda a: F.abs(a["value"] - value) < 0.01
     close = lambda a: (value != 0) & (F.try_divide(F.abs(a["value"] - value), F.abs(value)) < tolerance)
-    return F.when(F.size(same) == 0, "missing").when(F.exists(same, exact), "exact").when(F.exists(same, close) | F.exists(found, exact), "close").otherwise("wrong")
+    any_of = lambda test: F.coalesce(F.exists(found, test), F.lit(False))
+    return F.when(~any_of(same), "missing").when(any_of(lambda a: same(a) & exact(a)), "exact").when(any_of(lambda a: (same(a) & close(a)) | exact(a)), "close").otherwise("wrong")
 
 
 def contains_entity(text: Column, entity: Column) -> Column:
@@ -212,18 +254,34 @@ SUGGESTED_ENTITIES = [
 ]
 
 
+_suggested_in = lru_cache(shapes.REMEMBERED)(lambda shape: _spans(shape, SUGGESTED_AMOUNTS))
+_SUGGESTED = T.StructType([*_AMOUNT.fields, T.StructField("place", T.IntegerType()), T.StructField("size", T.IntegerType())])
+
+
+def _suggested(texts: pa.Array) -> pa.Array:
+    values, units, places, sizes, ends = [], [], [], [], [0]
+    for text in texts.cast(pa.binary()).to_pylist():
+        if text:
+            tell, seen, chars = _suggested_in if len(text) <= shapes.LONGEST else _suggested_in.__wrapped__, set(), text.isascii()
+            for a, b, c, d, unit in tell(shapes.shape(text)):
+                value, found = float(text[a:b].replace(b",", b"")), text[c:d]
+                if (value, unit) not in seen:
+                    seen.add((value, unit))
+                    at = text.find(found)
+                    values.append(value)
+                    units.append(unit)
+                    places.append(1 + (at if chars else len(shapes.decoded(text[:at]))))
+                    sizes.append(d - c if chars else len(shapes.decoded(found)))
+        ends.append(len(values))
+    columns = {"value": pa.array(values, pa.float64()), "unit": pa.array(units, pa.string()), "place": pa.array(places, pa.int32()), "size": pa.array(sizes, pa.int32())}
+    return _listed(ends, columns, texts.is_null())
+
+
 def suggested_amounts(text: Column, around: int = 50) -> Column:
     """Distinct (value, unit) that a text suggests, in the order of patterns, each with its first place and the text around it."""
-    parts = []
-    for pattern, unit in SUGGESTED_AMOUNTS:
-        pattern = "(?i)" + once_a_number(pattern)
-        values, whole = F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 0)
-        units = F.regexp_extract_all(text, F.lit(pattern), 2) if unit is None else F.array_repeat(F.lit(unit), F.size(values))
-        parts.append(F.transform(F.arrays_zip(values.alias("v"), units.alias("u"), whole.alias("w")), lambda z: F.struct(F.replace(z["v"], F.lit(","), F.lit("")).try_cast("double").alias("value"), F.lower(z["u"]).alias("unit"), z["w"].alias("found"))))
-    every = F.filter(F.concat(*parts), lambda a: a["value"].isNotNull())
-    names = F.transform(every, lambda a: F.struct(a["value"].alias("value"), a["unit"].alias("unit")))
-    first = F.filter(every, lambda a, i: F.array_position(names, F.struct(a["value"].alias("value"), a["unit"].alias("unit"))) == i + 1)
-    return F.transform(first, lambda a: F.struct(a["value"].alias("value"), a["unit"].alias("unit"), F.instr(text, a["found"]).alias("place"), F.trim(F.substring(text, F.greatest(F.lit(1), F.instr(text, a["found"]) - around), F.length(a["found"]) + 2 * around)).alias("context")))
+    found = F.arrow_udf(_suggested, T.ArrayType(_SUGGESTED))(text)
+    context = lambda a: F.trim(F.substring(text, F.greatest(F.lit(1), a["place"] - around), a["size"] + 2 * around))
+    return F.transform(found, lambda a: F.struct(a["value"].alias("value"), a["unit"].alias("unit"), a["place"].alias("place"), context(a).alias("context")))
 
 
 def suggested_entities(text: Column) -> Column:

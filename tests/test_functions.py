@@ -1,5 +1,8 @@
 """Expressions on small literal cases, worked out by hand."""
 
+import re
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -292,3 +295,38 @@ def test_blocks_of_many_questions(spark):
     got = vectors.topk_of_queries(v, v, 1)
     assert {(r["query_id"], r["rank"], r["score"]) for r in got.select("query_id", "rank", "score").collect()} == {(i, 1, 1.0) for i in range(700)}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= vectors.PAIRS * 2 * vectors.BLOCK * 64 * 8
+
+
+def test_amounts_are_found_once_a_shape(spark):
+    """Texts that differ in digits alone are searched once, and each gives what the patterns find in it."""
+    texts = [f"Rs. {i}.50 crore or {i % 3},5 crore in 2 cases, {i % 2}% and ₹{i},000 lakh, 1.2.3%" for i in range(100, 400)] + ["12 croreé, 5.5 cases", "-0% and 0 %", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    number = lambda x: None if re.fullmatch(r"[\d.,-]*\..*\.[\d.,-]*|[,.-]*", x) else float(x.replace(",", ""))
+    got = [r[0] for r in rows.select(amounts.amounts_in(F.col("text"))).collect()]
+    for text, found in zip(texts, got, strict=True):
+        want = {}
+        for pattern, unit, _ in amounts.AMOUNT_PATTERNS:
+            for m in re.finditer(pattern.replace(r"\b", r"(?u:\b)"), text or "", re.IGNORECASE | re.ASCII):
+                name = unit or m[2].lower()
+                if number(m[1]) is not None:
+                    want[number(m[1]), next((n for n, forms in amounts.UNITS.items() if name in forms), name)] = None
+        assert [tuple(a) for a in found] == list(want)
+    amounts._amounts_of.cache_clear()
+    amounts._amounts(pa.array(texts))
+    assert amounts._amounts_of.cache_info().misses < 10
+
+
+def test_match_without_unit_or_value(spark):
+    found = amounts.amounts_in(F.lit("5 crore"))
+    assert one(spark, amounts.match_kind(found, F.lit(5.0), F.lit(None).cast("string"))) == "missing"
+    assert one(spark, amounts.match_kind(found, F.lit(None).cast("double"), F.lit("cr"))) == "wrong"
+
+
+def test_suggested_amounts_are_found_once(spark):
+    text = "₹5 crore, then 15 crore, 5 Crore and ₹ 5 crore; 2.5 per cent, 2.5%"
+    got = one(spark, amounts.suggested_amounts(F.lit(text)))
+    assert [(a["value"], a["unit"], a["place"]) for a in got] == [(5.0, "crore", 1), (15.0, "crore", 16), (2.5, "percent", text.index("2.5 per") + 1)]
+    assert got[0]["context"] == text and one(spark, amounts.suggested_amounts(F.lit(None).cast("string"))) is None
+    amounts._suggested_in.cache_clear()
+    amounts._suggested(pa.array([f"Rs. {i} crore" for i in range(100, 900)]))
+    assert amounts._suggested_in.cache_info().misses == 1
