@@ -3,7 +3,9 @@
 import contextlib
 import io
 
+import duckdb
 import pytest
+from compare import rows
 
 from quarry.plans import batch
 from quarry.plans import registry
@@ -52,5 +54,22 @@ def test_pages_and_not_chunks_meet_sections(spark, data):
     assert "Keys [1]: [chunk_id" not in plan(registry.QUERIES["assign_parent"](spark, data))
 
 
+@pytest.mark.parametrize("name", ["suggest_amounts", "match_amount", "extract_amounts", "amount_accuracy"])
+def test_amounts_are_not_tried_text_by_text(spark, data, name):
+    text = plan(registry.QUERIES[name](spark, data))
+    assert "regexp_extract_all" not in text and "ArrowEvalPython" in text
+
+
+def test_cases_are_counted_where_they_are(spark, data, tmp_path):
+    """Cases that share their name count once by unit, and only they are shuffled."""
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").limit(200)
+    lines.unionByName(lines.limit(50)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.QUERIES["extract_amounts"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert rows(got.toPandas()) == rows(con.sql(registry.ORACLE_SQL["extract_amounts"]).df())
+    assert "count(distinct" in plan(got) and "LeftSemi" in plan(got)
+
+
 def test_entities_are_found_once(spark, data):
     assert "size(array_distinct" not in plan(registry.QUERIES["suggest_entities"](spark, data))
