@@ -104,7 +104,7 @@ def _spans(text: bytes, patterns: Sequence[tuple]) -> list[tuple[int, int, int,
     for pattern, unit, *needed in patterns:
         if needed and not any(w in low for w in needed[0].split("|")):  # far cheaper than the pattern
             continue
-        for m in shapes.compiled("(?i)" + once_a_number(pattern)).finditer(chars):
+        for m in shapes.compiled("(?i)" + once_a_number(pattern)).finditer(shapes.marked(chars)):
             try:
                 float(m[1].replace(",", ""))
             except ValueError:

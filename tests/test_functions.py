@@ -1,6 +1,7 @@
 """Expressions on small literal cases, worked out by hand."""
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -330,3 +331,23 @@ def test_suggested_amounts_are_found_once(spark):
     amounts._suggested_in.cache_clear()
     amounts._suggested(pa.array([f"Rs. {i} crore" for i in range(100, 900)]))
     assert amounts._suggested_in.cache_info().misses == 1
+
+
+def test_tokens_are_cut_once_a_shape(spark):
+    """Bags and counts of texts are those of the index's tokens, and texts that differ in digits alone are cut once."""
+    odd = ["Section 5 (a 1), section 5(a1), SECTION 15( ) and section 5 (a 1)", "2015-16, 1999-20 2015-167 x2015", "GSTé मेंSection 4 theİ section 4", "1,2 lac 3cr 5% 6 percent", "", None, "levy " * 300 + "form 26AS"]
+    texts = [f"Under Section {i} and Rule {i % 90}B of {1900 + i}-{i % 100}, GST of {i}.5 crore" for i in range(100, 400)] + odd
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(2)
+    got = rows.select(tokens.index_tokens(F.col("text")).alias("every"), tokens.index_bag(F.col("text")).alias("bag"), tokens.index_bag(F.col("text"), ["gst", "section_5"]).alias("some")).collect()
+    for r in got:
+        assert {b["token"]: b["tf"] for b in r["bag"]} == Counter(r["every"]) and len(r["bag"]) == len(set(r["every"]))
+        assert {b["token"]: b["tf"] for b in r["some"]} == {t: n for t, n in Counter(r["every"]).items() if t in ("gst", "section_5")}
+    want = Counter((t, n) for r in got for t, n in Counter(r["every"]).items())
+    tally = retrieval.tally(rows, "id")
+    assert {(r["token"], r["tf"]): r["n"] for r in tally.collect()} == want
+    twice = rows.where("id < 102").selectExpr("id % 100 as id", "text")  # keys that two texts share
+    found = Counter((r["token"], r["tf"]) for r in retrieval.term_frequencies(twice, "id").collect())
+    assert {(r["token"], r["tf"]): r["n"] for r in retrieval.tally(twice, "id").collect()} == found
+    tokens._tokens_of_shape.cache_clear()
+    list(tokens.tallied(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert tokens._tokens_of_shape.cache_info().misses < 12
