@@ -37,14 +37,14 @@ def _counted(spark, sf_dir, *left_out):
 
 def tfidf_vectors(spark, sf_dir):
     """Hashed vectors of all passages: their places, size and largest value."""
-    found = embedding.unit(embedding.weighed(*_counted(spark, sf_dir, "content")))
-    return found.select("passage_id", F.col("places").cast("long").alias("places"), F.round(F.col("size") * 1000).cast("long").alias("size3"), F.round(F.array_max(F.transform("vector", lambda x: x["value"])) * 1000).cast("long").alias("most3"))
+    found = embedding.weighed(*_counted(spark, sf_dir, "content"), whole=False)
+    return found.select("passage_id", F.col("places").cast("long").alias("places"), F.round(F.col("size") * 1000).cast("long").alias("size3"), F.round(F.col("most") * 1000).cast("long").alias("most3"))
 
 
 def tfidf_refresh(spark, sf_dir):
     """Vectors after one text in seven has changed: the changed ones alone are made, the others come from the places that are kept."""
     found, weights = _counted(spark, sf_dir)
-    stored = embedding.unit(embedding.weighed(found, weights)).select("passage_id", "content", "places")
+    stored = embedding.weighed(found, weights, whole=False).select("passage_id", "content", "places")
     changed = F.pmod(F.length("passage_id"), F.lit(7)) == 0
     passages = lambda lines: spark.sql(PASSAGES.replace("\nFROM", ", *\nFROM"), lineitem=lines)
     now = lambda lines: passages(lines).withColumn("text", F.when(changed, F.concat("text", F.lit(" zebra quartz"))).otherwise(F.col("text")))

@@ -98,6 +98,16 @@ def test_vectors_shuffle_no_tokens(spark):
     assert sorted((r["id"], r["places"]) for r in got) == [(1, 2), (2, 2), (2, 2), (3, 0)] and len({str(r["vector"]) for r in got if r["id"] == 2}) == 1
 
 
+def test_numbers_of_vectors_without_vectors(spark):
+    """Places and largest values are told where the vectors are made, and rarities where the places are; no place is a row."""
+    docs = spark.createDataFrame([(1, "toll dues toll"), (2, "rail toll"), (2, "dues rail"), (3, None), (4, "section 12, section 12 and rule 5"), (5, "section 77, section 12 and rule 5")], "id long, text string")
+    found = embedding.counted(docs, "id").cache()
+    weights = embedding.rarity_of(found)
+    assert {r["df"] for r in weights.collect()} == {1, 2} and "Generate" not in weights._jdf.queryExecution().executedPlan().toString().split("InMemory")[0]
+    whole = embedding.unit(embedding.weighed(found, weights)).selectExpr("id", "size", "places", "array_max(transform(vector, x -> x.value)) as most")
+    assert sorted(map(str, embedding.weighed(found, weights, whole=False).select("id", "size", "places", "most").collect())) == sorted(map(str, whole.collect()))
+
+
 def test_half_even_by_doubles(spark):
     r = random.Random(2)
     values = [0.5, 1.5, 0.125, 2.675, 1.005, 68719476735.5, 1e-300, 3e-39] + [r.randrange(10**9) / 8 for _ in range(500)] + [r.randrange(10**9) / 10000 + 0.00005 for _ in range(500)] + [r.uniform(0, 1) * 10.0 ** r.randrange(-6, 10) for _ in range(500)]
