@@ -71,5 +71,10 @@ def test_cases_are_counted_where_they_are(spark, data, tmp_path):
     assert "count(distinct" in plan(got) and "LeftSemi" in plan(got)
 
 
+def test_hits_of_a_question_are_found_once(spark, data):
+    """What is made of the hits reads them, and passages no more."""
+    assert "text" not in " ".join(x for x in plan(registry.QUERIES["ask"](spark, data)).splitlines() if "concat(Under Section" in x)
+
+
 def test_entities_are_found_once(spark, data):
     assert "size(array_distinct" not in plan(registry.QUERIES["suggest_entities"](spark, data))
